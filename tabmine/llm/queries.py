@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm import quality_rules, simhash, token_store
+from tabmine.llm import pii, quality_rules, simhash, token_store
 from tabmine.llm.common import scratch
 from tabmine.llm.oracle import ORACLE_SQL  # noqa: F401  operators that SQL cannot express have no entry
 
@@ -28,13 +28,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_output, op2_quality_rules, op5_pii, op10_simhash)
 }
 
 
