@@ -38,7 +38,7 @@ def normal(text: str) -> np.ndarray:
     keep = _alnum[c]
     first = keep.copy()  # a character, or the first other one after a character
     first[1:] |= keep[:-1]
-    c = np.where(keep, c, 32)[first]
+    c = np.where(keep, c, np.uint32(32))[first]
     return c[:-1] if len(c) and c[-1] == 32 else c
 
 
@@ -63,6 +63,13 @@ def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, most: int) -
     so ties go to the earlier start and then to the earlier end.
     """
     low, width = shift - most, 4 * most + 2
+    first = max(low, 0)
+    piece, sought = text[first : max(0, low + width - 1 + len(pattern))].tobytes(), pattern.tobytes()
+    copy = piece.find(sought)
+    while copy >= 0 and copy % 4:
+        copy = piece.find(sought, copy + 1)
+    if copy >= 0:  # no alignment beats a plain copy
+        return 0, first + copy // 4, first + copy // 4 + len(pattern)
     scale = len(text) + 2
     far = (most + 1) * scale
     at = low + np.arange(width)
