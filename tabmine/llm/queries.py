@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm import decontaminate, pii, quality_rules, simhash, token_store
+from tabmine.llm import decontaminate, language_id, pii, quality_classifier, quality_rules, simhash, token_store
 from tabmine.llm.common import scratch
 from tabmine.llm.oracle import ORACLE_SQL  # noqa: F401  operators that SQL cannot express have no entry
 
@@ -36,13 +36,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_quality_rules, op5_pii, op7_decontaminate, op10_simhash)
+    f.__name__: f for f in (op1_token_output, op2_quality_rules, op5_pii, op7_decontaminate, op8_quality_classifier, op9_language_id, op10_simhash)
 }
 
 
