@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,16 +29,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nobody refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Spark deletes the write's shuffle files as soon as it has ended, since nothing refers to them.
+    """
+    path, clean = scratch(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before) if before is not None else spark.conf.unset(clean)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str = "text") -> Column:

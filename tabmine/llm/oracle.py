@@ -50,4 +50,63 @@ def _quality(at_least: int = 200, spread: float = 2.0) -> str:
     FROM r LEFT JOIN fine USING (lang, source) LEFT JOIN byl USING (lang) CROSS JOIN al"""
 
 
-ORACLE_SQL = {"op2_quality_rules": _quality()}
+_LM = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, row_number() OVER () AS rid FROM documents),
+    w AS (SELECT doc_id, rid, unnest(ws) AS w2, generate_subscripts(ws, 1) AS i FROM d),
+    t AS (SELECT *, lag(w2) OVER (PARTITION BY rid ORDER BY i) AS w1 FROM w),
+    one AS (SELECT w2 AS w, count(*) AS n FROM t GROUP BY w2),
+    two AS (SELECT w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+    s AS (SELECT t.doc_id, CASE WHEN t.w1 IS NULL THEN ln(b.n / total) WHEN two.n IS NOT NULL THEN ln(two.n / a.n)
+            ELSE ln(CAST(0.4 AS DOUBLE) * b.n / total) END AS ls
+        FROM t JOIN one b ON b.w = t.w2 LEFT JOIN one a ON a.w = t.w1 LEFT JOIN two ON two.w1 = t.w1 AND two.w2 = t.w2
+        CROSS JOIN (SELECT CAST(sum(n) AS DOUBLE) AS total FROM one)),
+    g AS (SELECT doc_id, count(*) AS n_words, sum(ls) AS ls FROM s GROUP BY doc_id)
+    SELECT ids.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(ls, 0), 4) AS log_score, round(ls / n_words, 6) AS mean_log_score
+    FROM (SELECT DISTINCT doc_id FROM documents) ids LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM ids.doc_id"""
+
+
+def _weight(name: str, weights: dict) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.get(name, {}).items())
+    return f"CAST(CASE {name} {cases} ELSE 1 END AS DOUBLE)" if cases else "CAST(1 AS DOUBLE)"
+
+
+def _mix(weights: dict, share: float = 0.5, epochs: int = 2, seed: int = 17) -> str:
+    def fill(out: str, rows: str, parent: str, name: str) -> str:
+        by = f"PARTITION BY {parent}" if parent else ""
+        keys = f"{parent}, {name}" if parent else name
+        return f""", {out}_o AS (SELECT *,
+            coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            sum(w) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+            FROM ({rows}) WHERE w > 0 AND cap > 0),
+        {out}_f AS (SELECT *, CAST(cap AS DOUBLE) * w_left <= w * CAST(budget - before AS DOUBLE) AS is_full FROM {out}_o),
+        {out}_s AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({by}), 0) AS cap_full,
+            sum(CASE WHEN NOT is_full THEN w END) OVER ({by}) AS w_rest FROM {out}_f),
+        {out} AS (SELECT {keys}, have, CASE WHEN is_full THEN cap
+            ELSE least(CAST(floor(w * CAST(budget - cap_full AS DOUBLE) / w_rest) AS BIGINT), cap) END AS budget FROM {out}_s)"""
+
+    node = "CAST(sum(cap) AS BIGINT) AS cap, CAST(sum(have) AS BIGINT) AS have"
+    return f"""
+    WITH r AS (SELECT * FROM (SELECT doc_id,
+        'domain' || coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 4 AS domain,
+        coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents) WHERE n_tokens > 0),
+    leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS have, CAST(sum(n_tokens) AS BIGINT) * {epochs} AS cap FROM r GROUP BY ALL),
+    top AS (SELECT CAST(floor(CAST(sum(have) AS DOUBLE) * CAST({share} AS DOUBLE)) AS BIGINT) AS budget FROM leaf)
+    {fill("l1", f"SELECT domain, {node}, {_weight('domain', weights)} AS w, any_value(budget) AS budget FROM leaf, top GROUP BY domain", "", "domain")}
+    {fill("l2", f"SELECT domain, lang, {node}, {_weight('lang', weights)} AS w, any_value(l1.budget) AS budget FROM (SELECT domain, lang, have, cap FROM leaf) JOIN (SELECT domain, budget FROM l1) l1 USING (domain) GROUP BY domain, lang", "domain", "lang")}
+    {fill("l3", f"SELECT domain, lang, source, have, cap, {_weight('source', weights)} AS w, l2.budget FROM leaf JOIN (SELECT domain, lang, budget FROM l2) l2 USING (domain, lang)", "domain, lang", "source")},
+    g AS (SELECT domain, lang, source, CAST(floor(budget / have) AS INT) AS whole, budget % have AS rest FROM l3),
+    k AS (SELECT r.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY substr(md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15), doc_id, n_tokens
+        ROWS UNBOUNDED PRECEDING) AS upto FROM r JOIN g USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CAST(upto <= rest AS INT) AS INT) AS epochs
+    FROM k WHERE whole + CAST(upto <= rest AS INT) > 0"""
+
+
+#: Target weights of op6_mix_sources; names that aren't listed weigh 1.
+MIX_WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+}
+
+ORACLE_SQL = {"op2_quality_rules": _quality(), "op4_lm_scoring": _LM, "op6_mix_sources": _mix(MIX_WEIGHTS)}

@@ -8,9 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm import decontaminate, language_id, pii, quality_classifier, quality_rules, simhash, token_store
+from tabmine.llm import (
+    decontaminate,
+    language_id,
+    language_model,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_store,
+)
 from tabmine.llm.common import scratch
-from tabmine.llm.oracle import ORACLE_SQL  # noqa: F401  operators that SQL cannot express have no entry
+from tabmine.llm.oracle import MIX_WEIGHTS, ORACLE_SQL  # noqa: F401  operators that SQL cannot express have no entry
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +39,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.counts(spark, _table(spark, sf_dir, "documents"), vocab)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +74,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_quality_rules, op5_pii, op7_decontaminate, op8_quality_classifier, op9_language_id, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_token_output,
+        op2_quality_rules,
+        op3_token_counts,
+        op4_lm_scoring,
+        op5_pii,
+        op6_mix_sources,
+        op7_decontaminate,
+        op8_quality_classifier,
+        op9_language_id,
+        op10_simhash,
+    )
 }
-
-
-
