@@ -16,7 +16,9 @@ wants one short document prunes blocks by first_id/last_id and decompresses only
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -49,47 +51,84 @@ BLOCK_ARROW = pa.schema(
         ("payload", pa.binary()),
     ]
 )
-_TWO_SPACES = re.compile(r"\s\s")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters and then marks other than the apostrophe, which also begins contractions.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+class _Known(dict):
+    """Id bytes of words that follow ``lead`` (nothing or one space), found when first asked for.
+
+    The memory is bounded: it is emptied when full.
+    """
+
+    def __init__(self, owner: Encoder, lead: str, limit: int):
+        super().__init__()
+        self.owner, self.lead, self.limit = owner, lead, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if _LETTERS.fullmatch(word):  # one pre-token: straight to the merges
+            raw = (self.lead + word).encode().decode("latin-1").translate(self.owner.letters)
+            found = self.owner.packed([t.id for t in self.owner.model.tokenize(raw)])
+        elif m := _MARKED.fullmatch(word):  # two pre-tokens
+            found = self[m[1]] + self.owner.first[m[2]]
+        else:
+            found = self.owner.whole(self.lead + word)
+        if len(self) >= self.limit:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Whole texts to little-endian id bytes.
 
-    Byte-level BPE never merges across a single space that stands between two non-spaces, so a text
-    can be cut before each such space and every distinct chunk needs the tokenizer only once. The
-    cache is bounded and just emptied when full.
+    Byte-level BPE first cuts a text into pre-tokens, and a single space or line end between two other
+    characters always begins one. So a text is cut there, and every distinct word needs the tokenizer
+    only once. Texts with other white space are cut only before single spaces.
     """
 
-    def __init__(self, path: str, width: int | None = None, cache: int = 300_000):
-        import os
-
+    def __init__(self, path: str, width: int | None = None, cache: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
         self.dtype = f"<u{self.width}"
-        self.limit, self.known = cache, {}
+        self.first, self.spaced = _Known(self, "", cache // 5), _Known(self, " ", cache)
+        self.line_end = self.whole("\n")
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def chunks(self, text: str) -> list[str]:
-        if _TWO_SPACES.search(text):
-            return _INNER_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        chunks, known = self.chunks(text), self.known
-        if new := [x for x in set(chunks) if x not in known]:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(chunks))
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, dtype=self.dtype).tobytes()
-        return b"".join([known[x] for x in chunks])
+        gaps, words = text.count(" ") + text.count("\n"), text.split()
+        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):  # some other or doubled white space
+            first, *rest = _INNER_SPACE.split(text)
+            return b"".join([self.whole(first), *[self.spaced[x[1:]] for x in rest]])
+        parts: list[bytes] = []
+        spaced, first = self.spaced, self.first
+        for line in text.split("\n"):
+            word, *rest = line.split(" ")
+            parts += (self.line_end, first[word])
+            parts += [spaced[x] for x in rest]
+        return b"".join(parts[1:])
 
 
 _encoders: dict[tuple, Encoder] = {}
