@@ -1,4 +1,4 @@
 """All named queries."""
 
-from tabmine.jobs import profiling  # noqa: F401  registers its queries
+from tabmine.jobs import bayes, distributions, profiling, selection  # noqa: F401  each registers its queries
 from tabmine.jobs.registry import ORACLE_SQL, QUERIES  # noqa: F401
