@@ -55,23 +55,29 @@ def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
     return F.size(F.filter(cuts, lambda e: e <= F.col(column).cast("double")))
 
 
-def running_sum(
-    df: DataFrame, value: Column, name: str, bucket: Column, order: list[Column | str], by: list[str] | None = None, descending: bool = False
+def running_sums(
+    df: DataFrame, values: dict[str, Column], bucket: Column, order: list[Column | str], by: list[str] | None = None, descending: bool = False
 ) -> DataFrame:
-    """``df`` with the running sum of ``value``, its own row included, over ``order`` within ``by``.
+    """``df`` with running sums of ``values``, a row's own value included, over ``order`` within ``by``.
 
     No window holds more than a bucket: totals per bucket give each bucket what lies before it, and
     ``bucket`` must agree with ``order``. ``descending`` tells that the buckets are to be taken backwards.
     """
     by = by or []
-    rows = df.withColumns({"__bucket": bucket, "__value": value})
+    rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v for n, v in values.items()}})
     first = F.desc("__bucket") if descending else F.asc("__bucket")
     before = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__sum"))
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    totals = rows.groupBy(*by, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
+    totals = totals.select(*by, "__bucket", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in values])
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(totals, [*by, "__bucket"])
-    return joined.withColumn(name, F.col("__before") + F.sum("__value").over(inside)).drop("__bucket", "__value", "__before")
+    run = {n: F.col(f"__b_{n}") + F.sum(f"__v_{n}").over(inside) for n in values}
+    joined = rows.join(totals, [*by, "__bucket"]).withColumns(run)
+    return joined.drop("__bucket", *[f"__{p}_{n}" for n in values for p in "vb"])
+
+
+def running_sum(df: DataFrame, value: Column, name: str, bucket: Column, order: list[Column | str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, {name: value}, bucket, order, by, descending)
 
 
 def shuffled_rank(df: DataFrame, row_id: str, seed: int, by: list[str] | None = None, name: str = "rank") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmine.operators.frame import running_sum, value_bucket
+from tabmine.operators.frame import running_sums, value_bucket
 
 
 def confusion(predictions: DataFrame, true: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -66,8 +66,7 @@ def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by:
     )
     bucket = value_bucket(group, "threshold", parts)
     down = [F.desc("threshold")]
-    points = running_sum(group, F.col("p"), "tp", bucket, down, by, descending=True)
-    points = running_sum(points, F.col("f"), "fp", bucket, down, by, descending=True)
+    points = running_sums(group, {"tp": F.col("p"), "fp": F.col("f")}, bucket, down, by, descending=True)
     ends = group.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("f").alias("all_f"))
     points = points.join(ends, by) if by else points.crossJoin(F.broadcast(ends))  # one row
     rate = lambda x, n: F.col(x) / F.col(n)
