@@ -44,7 +44,7 @@ class Tree:
         return [node] if self.nodes[node].feature is None else [*self.leaves(2 * node), *self.leaves(2 * node + 1)]
 
 
-def _edges(cells: DataFrame, features: int, rows: DataFrame, parts: int) -> Column:
+def edges(cells: DataFrame, features: int, rows: DataFrame, parts: int) -> Column:
     """Bucket of a cell's value within its feature, from approximate quantiles of all features at once."""
     wide = rows.select(*[F.col("x")[k].alias(f"x{k}") for k in range(features)])
     found = wide.approxQuantile([f"x{k}" for k in range(features)], [p / parts for p in range(1, parts)], 0.001)
@@ -104,7 +104,7 @@ def grow(
     rows = rows.select("x", "y").persist()
     counts = rows.agg(*[F.count_if(F.col("y") == c).cast("double").alias(f"c{c}") for c in range(classes)]).first()
     tree.nodes[1] = Node([float(v) for v in counts])
-    bucket = _edges(rows, features, rows, parts)
+    bucket = edges(rows, features, rows, parts)
     for depth in range(max_depth):
         opened = [i for i in tree.nodes if i >> depth == 1 and sum(tree.nodes[i].counts) >= min_rows and max(tree.nodes[i].counts) < sum(tree.nodes[i].counts)]
         if not opened:
