@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, id_and_text
+from tabmine.llm.common import each_batch, hash_sample, id_and_text
 from tabmine.llm.hashed import buckets, codes, grams, words
 from tabmine.llm.quality_classifier import held_out
 
@@ -117,7 +117,7 @@ def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600) -> Model:
     langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
     texts, labels = [], []
     for lang in langs:
-        some = known.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang).distinct()
+        some = hash_sample(known.filter(F.col("lang") == lang), per_lang).distinct()
         for r in rows_of.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect():  # at most per_lang ids
             if _LETTER.search(r.text):
                 texts.append(r.text)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmine.llm.boosting import Boosted
-from tabmine.llm.common import each_batch, id_and_text
+from tabmine.llm.common import each_batch, hash_sample, id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -228,14 +228,8 @@ def written(spans: list[Span]) -> str:
 
 def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99) -> Judge:
     """A judge from the ``sample_docs`` texts with a digit or @ of the smallest hashed ids (the documented bound)."""
-    rows = (
-        id_and_text(docs)
-        .filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample_docs)
-        .collect()
-    )
-    return Judge.train([r.text for r in rows], precision)
+    some = id_and_text(docs).filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]"))
+    return Judge.train([r.text for r in hash_sample(some, sample_docs).collect()], precision)
 
 
 def find(spark: SparkSession, docs: DataFrame, judge: Judge | None = None) -> DataFrame:

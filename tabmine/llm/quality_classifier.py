@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, id_and_text
+from tabmine.llm.common import each_batch, hash_sample, id_and_text
 from tabmine.llm.hashed import buckets, codes, grams, words
 
 #: Character n-grams beside words.
@@ -98,7 +98,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").distinct()
     rows: list = []
     for k in (0, 1):
-        some = y.filter((F.col("y") == k) & ~held_out(5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = hash_sample(y.filter((F.col("y") == k) & ~held_out(5, 0)), per_class)
         rows += texts.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()  # at most per_class ids
     return Classifier().fit([r.text for r in rows], [r.y for r in rows])
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, id_and_text
+from tabmine.llm.common import each_batch, hash_sample, id_and_text
 
 BLOCK_SCHEMA = (
     "shard int, block int, first_token long, tokens long, first_id long, last_id long, dict_hash string, width int, "
@@ -177,12 +177,8 @@ def write(
     docs = id_and_text(docs)
     enc = Encoder(tokenizer_path)
     width = enc.width if end_id < 1 << 16 else 4
-    sample = (
-        docs.filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample_docs)
-        .collect()
-    )
+    short = docs.filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    sample = hash_sample(short, sample_docs).collect()
     enc = Encoder(tokenizer_path, width)
     end = int(end_id).to_bytes(width, "little")
     dictionary = train_dictionary([enc(r.text) + end for r in sample], dict_bytes)
