@@ -102,8 +102,9 @@ def candidates(text: str) -> list[Span]:
     if "@" in text or "[" in text or "(" in text or "{" in text:
         found += [(0, *m.span()) for m in _WIDE[0].finditer(text)]
     if _DIGIT.search(text):
-        for kind in (1, 2, 3):
-            found += [(kind, *m.span()) for m in _WIDE[kind].finditer(text)]
+        found += [(1, *m.span()) for m in _WIDE[1].finditer(text)]
+        found += [(2, *m.span()) for m in _WIDE[2].finditer(text) if 13 <= len(_digits(m.group())) <= 19]
+        found += [(3, *m.span()) for m in _WIDE[3].finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     return found
 
 
@@ -157,14 +158,20 @@ def _broken(kind: int, s: str, draw: random.Random) -> str:
     """Something of the same look that is no personal data."""
     if kind == 0:
         return draw.choice(["{} ( at ) {}", "{} @ {}"]).format(draw.choice(["look", "meet", "price"]), draw.choice(["3.50", "4.2", "10.00"]))
+    loose = draw.random() < 0.5
     if kind == 1:
-        return ".".join(str(draw.randrange(256, 999)) if k == 2 else str(draw.randrange(0, 999)) for k in range(4))
+        made = ".".join(str(draw.randrange(256, 999)) if k == 2 else str(draw.randrange(0, 999)) for k in range(4))
+        return _rewritten(1, made, draw) if loose else made
     digits = _digits(s)
     if kind == 2:
-        return digits[:-1] + str((int(digits[-1]) + draw.randrange(1, 9)) % 10)
-    return draw.choice(["{}.{}.{}", "{} {} {}", "{}/{}/{}"]).format(
-        draw.randrange(10, 99), draw.randrange(10, 99), draw.choice([draw.randrange(1900, 2030), draw.randrange(10, 99)])
-    )
+        made = digits[:-1] + str((int(digits[-1]) + draw.randrange(1, 9)) % 10)
+        return _rewritten(2, made, draw) if loose else made
+    n = lambda a, b: draw.randrange(a, b)
+    return draw.choice([
+        f"{n(1, 31):02}.{n(1, 13):02}.{n(1900, 2030)}", f"{n(1900, 2030)}-{n(1, 13):02}-{n(1, 31):02} {n(0, 24):02}",
+        f"{n(1900, 2030)}/{n(1, 13):02}/{n(1, 31):02}", f"{n(1, 999)} {n(0, 999):03} {n(0, 999):03}", f"{n(1, 99)}.{n(0, 999):03}.{n(0, 999):03}.{n(0, 999):03}",
+        f"{n(0, 9999):04}-{n(0, 9999):04}-{n(0, 9999):04}-{n(0, 9999):04}", f"{n(10, 99)} {n(10, 99)} {n(10, 99)} {n(10, 99)}",
+    ])
 
 
 class Judge:
@@ -203,8 +210,12 @@ class Judge:
             p, t = score[kinds == kind], y[held][kinds == kind]
             order = np.argsort(-p, kind="stable")
             good = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-            enough = np.flatnonzero(good >= precision)
-            cut.append(max(0.5, float(p[order][enough[-1]])) if len(enough) else 1.1)
+            if not len(enough := np.flatnonzero(good >= precision)):
+                cut.append(1.1)
+                continue
+            low = float(p[order][enough[-1]])  # halfway to the next score below
+            under = float(p[order][enough[-1] + 1]) if enough[-1] + 1 < len(order) else 0.0
+            cut.append(max(0.5, (low + under) / 2))
         return Judge(model, cut)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
