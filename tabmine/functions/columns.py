@@ -95,6 +95,12 @@ def argmax(x: Column) -> Column:
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson r over the rows that have both values, null where one has no spread."""
+    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def entropy_of(counts: Column) -> Column:
     """Entropy in bits of an array of counts."""
     n = total(F.transform(counts, lambda c: c.cast("double")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabmine.functions.columns import pearson
+
 
 def _per_feature(df: DataFrame, features: list[str], **stats) -> DataFrame:
     """(fi, feature, stats...) from one wide aggregate; a stat is a function of a column."""
@@ -76,8 +78,8 @@ def _pairs(df: DataFrame, features: list[str], name: str, f) -> DataFrame:
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson r of all pairs, each over the rows that have both values."""
-    return _pairs(df, features, "r", F.corr)
+    """Pearson r of all pairs, each over the rows that have both values; null without spread."""
+    return _pairs(df, features, "r", pearson)
 
 
 def covariances(df: DataFrame, features: list[str]) -> DataFrame:

@@ -7,14 +7,14 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmine.functions.columns import vector
+from tabmine.functions.columns import pearson, vector
 from tabmine.operators.frame import long, shuffled_rank
 
 
 def pearson_scores(rows: DataFrame) -> DataFrame:
     """(fi, score): |Pearson r| of each feature with the class code, 0 without spread."""
     cells = long(rows)
-    r = F.when((F.stddev_pop("v") == 0) | (F.stddev_pop("y") == 0), 0.0).otherwise(F.abs(F.corr("v", F.col("y").cast("double"))))
+    r = F.coalesce(F.abs(pearson(F.col("v"), F.col("y"))), F.lit(0.0))
     return cells.groupBy("fi").agg(r.alias("score"))
 
 

@@ -39,7 +39,7 @@ def detect_header(lines: list[str], delimiter: str) -> bool:
 
 def head(spark: SparkSession, path: str, n: int = 5) -> list[str]:
     """The first lines of a file, without a byte order mark."""
-    return [r.value.lstrip("﻿") for r in spark.read.text(path).limit(n).collect()]
+    return [r.value.lstrip("\ufeff") for r in spark.read.text(path).limit(n).collect()]
 
 
 def read_cells(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
