@@ -16,15 +16,15 @@ TYPES = 6  # classes of part_frame
 _PART = """SELECT p_partkey AS row_id, [CAST(p_size AS DOUBLE), p_retailprice, CAST(p_size % 5 AS DOUBLE)] AS x, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS y FROM part"""
 
 
-def split_ctes(tag: str, rows: str, criterion: str = "ratio", candidates: int | None = None) -> str:
+def split_ctes(tag: str, rows: str, criterion: str = "ratio", candidates: int | None = None, features: int = 3, classes: int = TYPES) -> str:
     """CTEs sc{tag} (node, fi, threshold, score, n_left, n_right) and best{tag} for a table (row_id, x, y, node)."""
     cap = f"WHERE rk <= {candidates}" if candidates else ""
     score = "gain" if criterion == "gain" else "CASE WHEN info < 1e-10 THEN 0 ELSE gain / info END"
-    return f"""l{tag} AS (SELECT node, y, CAST(i - 1 AS INT) AS fi, x[i] AS v FROM {rows}, range(1, 4) t(i)),
+    return f"""l{tag} AS (SELECT node, y, CAST(i - 1 AS INT) AS fi, x[i] AS v FROM {rows}, range(1, {features + 1}) t(i)),
     u{tag} AS (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nx, row_number() OVER (PARTITION BY node, fi ORDER BY v) AS rk FROM (SELECT DISTINCT node, fi, v FROM l{tag})),
     n{tag} AS (SELECT node, fi, v, y, count(*) AS n FROM l{tag} GROUP BY ALL),
     w{tag} AS (SELECT u.node, u.fi, u.v, k.y, sum(coalesce(n, 0)) OVER (PARTITION BY u.node, u.fi, k.y ORDER BY u.v) AS l, sum(coalesce(n, 0)) OVER (PARTITION BY u.node, u.fi, k.y) AS t
-        FROM u{tag} u CROSS JOIN (SELECT unnest(range(0, {TYPES})) AS y) k LEFT JOIN n{tag} n ON n.node = u.node AND n.fi = u.fi AND n.v = u.v AND n.y = k.y),
+        FROM u{tag} u CROSS JOIN (SELECT unnest(range(0, {classes})) AS y) k LEFT JOIN n{tag} n ON n.node = u.node AND n.fi = u.fi AND n.v = u.v AND n.y = k.y),
     z{tag} AS (SELECT *, sum(l) OVER (PARTITION BY node, fi, v) AS nl, sum(t) OVER (PARTITION BY node, fi, v) AS nt FROM w{tag}),
     h{tag} AS (SELECT node, fi, v, CAST(any_value(nl) AS BIGINT) AS nl, CAST(any_value(nt - nl) AS BIGINT) AS nr, sum(CASE WHEN l > 0 THEN -(l / nl) * log2(l / nl) ELSE 0 END) AS hl,
         sum(CASE WHEN t > l THEN -((t - l) / (nt - nl)) * log2((t - l) / (nt - nl)) ELSE 0 END) AS hr, sum(CASE WHEN t > 0 THEN -(t / nt) * log2(t / nt) ELSE 0 END) AS h FROM z{tag} GROUP BY ALL),
@@ -34,13 +34,13 @@ def split_ctes(tag: str, rows: str, criterion: str = "ratio", candidates: int |
     best{tag} AS (SELECT * EXCLUDE rk FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 9) DESC, fi, threshold) AS rk FROM sc{tag}) WHERE rk = 1)"""
 
 
-def tree_ctes(rows: str, criterion: str = "ratio", candidates: int | None = None, least: float = 1e-5) -> str:
+def tree_ctes(rows: str, criterion: str = "ratio", candidates: int | None = None, least: float = 1e-5, features: int = 3, classes: int = TYPES) -> str:
     """CTEs of a depth-2 tree on ``rows``: r2 (row_id, x, y, node) with leaves and sp (node, fi, threshold, score)."""
     down = "CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END"
-    return f"""r0 AS (SELECT *, 1 AS node FROM ({rows})), {split_ctes("a", "r0", criterion, candidates)},
+    return f"""r0 AS (SELECT *, 1 AS node FROM ({rows})), {split_ctes("a", "r0", criterion, candidates, features, classes)},
     sa AS (SELECT * FROM besta WHERE round(score, 9) >= {least}), r1 AS (SELECT row_id, x, y, {down} AS node FROM r0 LEFT JOIN sa USING (node)),
     op AS (SELECT node FROM r1 WHERE node > 1 GROUP BY node HAVING count(*) >= 2 AND count(DISTINCT y) > 1),
-    o1 AS (SELECT r1.* FROM r1 JOIN op USING (node)), {split_ctes("b", "o1", criterion, candidates)},
+    o1 AS (SELECT r1.* FROM r1 JOIN op USING (node)), {split_ctes("b", "o1", criterion, candidates, features, classes)},
     sb AS (SELECT * FROM bestb WHERE round(score, 9) >= {least}), r2 AS (SELECT row_id, x, y, {down} AS node FROM r1 LEFT JOIN sb USING (node)),
     sp AS (SELECT * FROM sa UNION ALL SELECT * FROM sb),
     nodes AS (SELECT 1 AS node, y FROM r0 UNION ALL SELECT node, y FROM r1 WHERE node > 1 UNION ALL SELECT node, y FROM r2 WHERE node > 3),
@@ -87,10 +87,13 @@ def c45_predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = split_sql(_PART, "row_id")
 
 
-@query("c45_prune_stats", f"""WITH sp0 AS ({_SPLIT}), {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test")},
-    v0 AS (SELECT row_id, x, y, 1 AS node FROM sp0 WHERE is_test),
+#: CTEs v0, v1, v2: rows of sp0 held out for testing, and the nodes they are in at each level.
+TEST_PATHS = """v0 AS (SELECT row_id, x, y, 1 AS node FROM sp0 WHERE is_test),
     v1 AS (SELECT row_id, x, y, CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END AS node FROM v0 LEFT JOIN sa USING (node)),
-    v2 AS (SELECT row_id, x, y, CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END AS node FROM v1 LEFT JOIN sb USING (node)),
+    v2 AS (SELECT row_id, x, y, CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END AS node FROM v1 LEFT JOIN sb USING (node))"""
+
+
+@query("c45_prune_stats", f"""WITH sp0 AS ({_SPLIT}), {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test")}, {TEST_PATHS},
     pa AS (SELECT row_id, 1 AS node FROM v0 UNION ALL SELECT row_id, node FROM v1 WHERE node > 1 UNION ALL SELECT row_id, node FROM v2 WHERE node > 3)
     SELECT pa.node, count(*) AS n, CAST(count_if(ll.label = v2.y) AS BIGINT) AS as_subtree, CAST(count_if(nl.label = v2.y) AS BIGINT) AS as_leaf
     FROM pa JOIN v2 USING (row_id) JOIN lab ll ON ll.node = v2.node JOIN lab nl ON nl.node = pa.node GROUP BY pa.node""")
