@@ -43,6 +43,21 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    if files := df.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` (a stored table of short rows) marked for broadcast if it has at most ``most_rows`` rows.
+
+    Larger ones meet the other side in an ordinary join, which adaptive execution may split.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def hash_sample(df: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     """The ``n`` rows of the smallest hashed ids (null ids last), to learn from.
 

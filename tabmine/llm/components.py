@@ -11,15 +11,15 @@ from tabmine.llm.common import stored
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the smallest node reachable.
 
-    Each half step hangs nodes under the smallest neighbour: minima are partial aggregates, the join
-    back to the edges can be split by the adaptive skew join, and nothing is collected. Rounds grow
-    with the logarithm of a component. Null ends are ignored, loops give no node.
+    Each half step hangs nodes under the smallest neighbour: minima are partial aggregates, written
+    before the join back to the edges so that the adaptive skew join can split a node with very many
+    neighbours, and nothing is collected. Rounds grow with the logarithm of a component. Null ends are ignored, loops give no node.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     edges = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
-        edges = stored(spark, _small_star(_large_star(edges)), "edges")
+        edges = stored(spark, _small_star(spark, stored(spark, _large_star(spark, edges), "edges")), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
@@ -30,15 +30,15 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Hang each larger neighbour of a node under the node's smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours under the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(spark, edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     rest = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

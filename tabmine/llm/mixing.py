@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import OWN, stored, text_of
+from tabmine.llm.common import OWN, small, stored, text_of
 
 LEVELS = ("domain", "lang", "source")
 SPACE = r"[\x20\x09-\x0D]+"
@@ -118,13 +118,13 @@ def mix(
     drawn = stored(spark, drawn.select(*LEVELS, "whole", "rest"), "mix-budgets")
     most = leaves.agg(F.max("n")).first()[0] or 1
     digits = next(d for d in range(16) if d == 15 or most <= bucket_rows * 16**d)
-    keyed = rows.join(drawn, list(LEVELS))
+    keyed = rows.join(small(drawn), list(LEVELS))
     keyed = keyed.withColumn("key", order_key(seed, F.col("whole"), "doc_id")).withColumn("bucket", F.substring("key", 1, digits))
     sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     over = sums.withColumn("upto", F.sum("t").over(upto)).filter("upto > rest")
     edge = over.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min(F.col("upto") - F.col("t")).alias("before"))
-    keyed = keyed.join(edge, list(LEVELS), "left")
+    keyed = keyed.join(small(stored(spark, edge, "mix-edges")), list(LEVELS), "left")
     inside = keyed.filter("edge is null or bucket <> edge").withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))) & (F.col("rest") > 0))
     running = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     cut = keyed.filter("bucket = edge").withColumn("run", F.sum("n_tokens").over(running))

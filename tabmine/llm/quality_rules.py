@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import OWN, stored, text_of
+from tabmine.llm.common import OWN, small, stored, text_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -127,7 +127,7 @@ def _wide(tops: DataFrame, keys: list[str], level: str) -> DataFrame:
 
 
 def judge(
-    measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, at_least: int = 200, spread: float = 2.0
+    spark: SparkSession, measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, at_least: int = 200, spread: float = 2.0
 ) -> DataFrame:
     """``measured`` plus base_failed and kept, named with ``prefix``.
 
@@ -136,14 +136,14 @@ def judge(
     and then to those of all documents. Without any threshold it is kept. Null languages and sources
     are a group of their own.
     """
-    sketch = sketches(measured, lang, source, prefix)
+    sketch = stored(spark, sketches(measured, lang, source, prefix), "sketches")
     out = measured.withColumns({
         f"{OWN}lang": F.coalesce(F.col(lang).cast("string"), F.lit("")),
         f"{OWN}source": F.coalesce(F.col(source).cast("string"), F.lit("")),
     })
     for level, keys, least in (("fine", ["lang", "source"], at_least), ("lang", ["lang"], at_least), ("all", [], 1)):
-        tops = _wide(thresholds(sketch, keys, least, spread), keys, level)
-        out = out.join(tops, [f"{OWN}{k}" for k in keys], "left") if keys else out.crossJoin(F.broadcast(tops))  # one row
+        tops = stored(spark, _wide(thresholds(sketch, keys, least, spread), keys, level), "thresholds")
+        out = out.join(small(tops), [f"{OWN}{k}" for k in keys], "left") if keys else out.crossJoin(F.broadcast(tops))  # one row
     ok = F.lit(True)
     for name, a, b, _ in RATES:
         top = F.coalesce(*[F.col(f"{OWN}{level}_{name}") for level in ("fine", "lang", "all")])
@@ -161,12 +161,12 @@ def quality(spark: SparkSession, docs: DataFrame, at_least: int = 200, spread: f
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     measured = stored(spark, measure(rows, "").drop("text"), "quality")
-    judged = judge(measured, prefix="", at_least=at_least, spread=spread)
+    judged = judge(spark, measured, prefix="", at_least=at_least, spread=spread)
     return judged.select("doc_id", *MEASURES, "n_lines", "n_upper", "base_failed", "kept")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, at_least: int = 200, spread: float = 2.0) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Texts go to the shared folder once, beside their measures."""
     measured = stored(spark, measure(docs), "quality")
-    judged = judge(measured, at_least=at_least, spread=spread)
+    judged = judge(spark, measured, at_least=at_least, spread=spread)
     return judged.filter(F.col(f"{OWN}kept")).select(*docs.columns)

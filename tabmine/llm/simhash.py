@@ -219,8 +219,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bits: int = 4, shingle
     nodes = stored(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(spark, links(spark, nodes.select("fp"), bits))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return docs.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    nodes = stored(spark, nodes, "nodes")
+    least = stored(spark, nodes.groupBy("root").agg(F.min("first_id").alias("component_id")), "groups")
+    found = stored(spark, nodes.join(least, "root").select("fp", "component_id"), "members")  # a hot group's join can be split
+    return docs.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
