@@ -48,7 +48,7 @@ def tree_ctes(rows: str, criterion: str = "ratio", candidates: int | None = None
         row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, y) AS rk FROM nodes GROUP BY node, y) WHERE rk = 1)"""
 
 
-@query("c45_best_split", f"WITH r AS (SELECT *, 1 AS node FROM ({_PART})), {split_ctes('', 'r')} SELECT node, fi, threshold, round(score, 6) AS score, n_left, n_right FROM best")
+@query("c45_best_split", f"WITH r AS (SELECT *, 1 AS node FROM ({_PART})), {split_ctes('', 'r')} SELECT node, fi, round(threshold, 6) AS threshold, round(score, 6) AS score, n_left, n_right FROM best")
 def c45_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_frame(spark, sf_dir)
     cells = rows.select(F.lit(1).alias("node"), "y", F.posexplode("x").alias("fi", "v"))
@@ -59,11 +59,12 @@ _TREE = f"WITH {tree_ctes(_PART)}"
 
 
 def _table(spark: SparkSession, grown: tree.Tree) -> DataFrame:
-    rows = [(i, n.feature, n.threshold, round(n.ratio, 6) if n.feature is not None else None, int(sum(n.counts)), n.label) for i, n in grown.nodes.items()]
+    split = lambda n, v: round(v, 6) if n.feature is not None else None
+    rows = [(i, n.feature, split(n, n.threshold), split(n, n.ratio), int(sum(n.counts)), n.label) for i, n in grown.nodes.items()]
     return spark.createDataFrame(rows, "node int, fi int, threshold double, score double, n_rows long, label int")
 
 
-@query("c45_tree", f"{_TREE} SELECT node, fi, threshold, round(score, 6) AS score, CAST(n_rows AS BIGINT) AS n_rows, label FROM lab LEFT JOIN sp USING (node)")
+@query("c45_tree", f"{_TREE} SELECT node, fi, round(threshold, 6) AS threshold, round(score, 6) AS score, CAST(n_rows AS BIGINT) AS n_rows, label FROM lab LEFT JOIN sp USING (node)")
 def c45_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, tree.grow(part_frame(spark, sf_dir), TYPES, 3, max_depth=2))
 
