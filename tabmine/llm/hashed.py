@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 _B = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = (32, 9, 10, 11, 12, 13)
 _POWERS = np.cumprod(np.full(64, _B, dtype=np.uint64), dtype=np.uint64)
 
 
@@ -25,8 +24,8 @@ def grams(c: np.ndarray, n: int) -> np.ndarray:
 
 
 def words(c: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words between white space; places in a word count modulo 64."""
-    space = np.isin(c, np.array(_SPACES, dtype=np.uint64))
+    """64-bit hashes of the words between white space, in order."""
+    space = (c == 32) | ((c >= 9) & (c <= 13))
     inside = np.flatnonzero(~space)
     if not len(inside):
         return np.zeros(0, dtype=np.uint64)
@@ -34,7 +33,18 @@ def words(c: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(first)
     place = np.arange(len(inside)) - np.repeat(starts, np.diff(np.append(starts, len(inside))))
     with np.errstate(over="ignore"):
-        return np.add.reduceat((c[inside] + np.uint64(7)) * _POWERS[place & 63], starts)
+        weight = _POWERS[place & 63]
+        if place.max() > 63:  # every place has a weight of its own
+            weight = weight * (2 * (place >> 6) + 1).astype(np.uint64)
+        return np.add.reduceat((c[inside] + np.uint64(7)) * weight, starts)
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    with np.errstate(over="ignore"):
+        h = (a ^ (a >> np.uint64(29))) * _B + b
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
 
 def buckets(h: np.ndarray, bits: int) -> np.ndarray:
