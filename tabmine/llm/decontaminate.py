@@ -6,8 +6,10 @@ bands of 2(k + 1) that overlap by half, so that one band holds them all. Bands w
 q-grams are aligned; alignment only walks the band.
 
 Texts and items are compared in lower case with every run of characters that are neither letters nor
-digits as one space. Items above ``segment`` characters are cut into overlapping segments of that
-length, so a passage of an item counts too.
+digits as one space. An item is sought in overlapping segments of ``segment`` characters (whole up to
+that length), and in segments of ``least`` characters so close together that every passage of
+``passage`` characters holds a whole one: such a passage counts wherever in the item it begins. Items
+under ``least`` characters are sought whole, those under 10 as whole words without edits.
 
 Benchmark items are broadcast in blocks of at most ``block_chars`` characters; the texts are scanned
 once per block. Texts are never shuffled or paired with each other.
@@ -91,22 +93,40 @@ def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, most: int) -
     return int(cell[k] // scale), int(cell[k] % scale), len(pattern) + low + k
 
 
+def _string(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _cuts(n: int, length: int, step: int) -> set[tuple[int, int]]:
+    """Pieces of ``length`` every ``step`` characters and at the end; all n characters if there are fewer."""
+    return {(0, n)} if n <= length else {(s, s + length) for s in (*range(0, n - length, step), n - length)}
+
+
 class Index:
     """The q-grams of a block of items, sorted by hash, behind a bit filter."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, segment: int, least: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, segment: int, least: int, passage: int = 80):
+        if not Q <= least <= min(segment, passage):
+            raise ValueError(f"least must be {Q} to segment and passage")
         self.items, self.patterns = [], []
+        self.words: dict[str, list[int]] = {}  # items too short for a q-gram
         for item_id, text in items:
             t = normal(text)
-            step = segment // 2
-            starts = [0] if len(t) <= segment else [*range(0, len(t) - segment, step), len(t) - segment]
-            for s in starts:
-                if len(p := t[s : s + segment]) >= max(least, Q):
-                    self.items.append(item_id)
-                    self.patterns.append(p)
-        self.edits = np.array([int(rate * len(p)) for p in self.patterns], dtype=np.int64)
+            if len(t) < Q:
+                if len(t):
+                    self.words.setdefault(_string(t), []).append(item_id)
+                continue
+            cuts = _cuts(len(t), segment, segment // 2)
+            if len(t) >= passage:
+                cuts |= _cuts(len(t), least, passage - least + 1)
+            for s, end in sorted(cuts, key=lambda c: (c[0] - c[1], c)):
+                self.items.append(item_id)
+                self.patterns.append(t[s:end])
+        self.lengths = sorted({w.count(" ") + 1 for w in self.words})
         size = np.array([len(p) for p in self.patterns], dtype=np.int64)
-        self.need = np.maximum(1, size + 1 - Q - self.edits * Q)
+        # no more edits than leave a shared q-gram for sure
+        self.edits = np.minimum(np.array([int(rate * n) for n in size.tolist()], dtype=np.int64), size // Q - 1)
+        self.need = size + 1 - Q - self.edits * Q
         grams = [qgrams(p) for p in self.patterns]
         every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(every, kind="stable")
@@ -123,6 +143,25 @@ class Index:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the best region of each item found, positions in the normal form."""
         t = normal(text)
+        found = self._as_words(t) + self._near(t)
+        best = dict(sorted(((m[0], m) for m in found), key=lambda x: (x[1][3], x[1][1]), reverse=True))
+        return [best[item] for item in sorted(best)]
+
+    def _as_words(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each of the shortest items as whole words."""
+        if not self.words or not len(t):
+            return []
+        every = _string(t).split(" ")
+        start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in every])]).tolist()
+        found: dict[str, int] = {}
+        for n in self.lengths:
+            for k in range(len(every) - n + 1):
+                if start[k + n] - 1 - start[k] < Q and (w := " ".join(every[k : k + n])) in self.words:
+                    found.setdefault(w, start[k])
+        return [(item, at, at + len(w), 0) for w, at in found.items() for item in self.words[w]]
+
+    def _near(self, t: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The best region of each item with q-grams."""
         grams = qgrams(t)
         if not len(self.hash) or not len(grams):
             return []
@@ -185,20 +224,23 @@ def contaminated(
     rate: float = 0.06,
     segment: int = 160,
     least: int = 60,
-    block_chars: int = 8_000_000,
+    passage: int = 80,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the best region of each item found in each document.
 
-    A document matches an item if a segment of it (the whole item up to ``segment`` normal characters)
-    stands in the text with at most ``rate`` edits per character. Segments under ``least`` characters
-    are too short to tell and match nothing. Null texts match nothing; ties go to the fewest edits,
-    then the earliest start; repeated rows of a document give repeated matches.
+    A document matches an item if a segment of it stands in the text with at most ``rate`` edits per
+    character: the whole item up to ``segment`` normal characters, a segment of that length, or one of
+    ``least`` characters, of which every passage of ``passage`` characters holds one. Items under 20
+    characters stand there without edits (the lemma leaves room for none), those under 10 as whole
+    words; items without letters or digits match nothing. Null texts match nothing; ties go to the
+    fewest edits, then the earliest start; repeated rows of a document give repeated matches.
     """
     out = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "end", "edits")])
     found = None
     texts = id_and_text(docs)
     for block in _blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(Index(block, rate, segment, least))
+        shared = spark.sparkContext.broadcast(Index(block, rate, segment, least, passage))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -220,7 +262,7 @@ def contaminated(
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item, judged where they are: no shuffle, no join."""
-    params = {"rate": 0.06, "segment": 160, "least": 60, "block_chars": 8_000_000} | params
+    params = {"rate": 0.06, "segment": 160, "least": 60, "passage": 80, "block_chars": 2_000_000} | params
     size = params.pop("block_chars")
     for block in _blocks(benchmark, size):
         shared = spark.sparkContext.broadcast(Index(block, **params))

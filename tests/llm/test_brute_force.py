@@ -282,6 +282,30 @@ def test_item_blocks_and_filter(spark, table):
     assert clean == {r.doc_id for r in table.collect()} - {r.doc_id for r in one}
 
 
+def test_any_passage_of_an_item_counts(spark, texts):
+    draw = random.Random(5)
+    item = "".join(draw.choice("abcdefghij ") + draw.choice("klmnopqrst") for _ in range(200))
+    prose = [t for t in texts.values() if 400 < len(t) < 1500][:2]
+    index = decontaminate.Index([(1, item)], 0.06, 160, 60)
+    n = len(whole := "".join(map(chr, decontaminate.normal(item))))
+    for length in (80, 120, 160, n // 2):
+        for at in range(n - length + 1):
+            piece = whole[at : at + length]
+            t = "".join(map(chr, decontaminate.normal(doc := f"{prose[0]} {piece} {prose[1]}")))
+            ((found, start, end, edits),) = index.matches(doc)
+            assert (found, edits) == (1, 0) and t[start:end] in whole
+    assert not index.matches(" ".join(prose))
+
+
+def test_short_items_count():
+    index = decontaminate.Index([(1, "Why, 42!"), (2, "the capital of Peru"), (3, "?!"), (4, "one short question of under sixty letters")], 0.06, 160, 60)
+    assert index.matches("So why 42? And why 42.") == [(1, 3, 9, 0)]
+    assert index.matches("whys 42, why 421, ?!") == []
+    assert index.matches("Name (the capital) of Peru.") == [(2, 5, 24, 0)]
+    assert index.matches("Name the capitol of Peru.") == []
+    assert index.matches("One short qestion of under sixty letters") == [(4, 0, 40, 1)]
+
+
 # classifiers
 
 
