@@ -48,6 +48,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the counts of every word pair, those that occur once included."""
+    return language_model.score(spark, _table(spark, sf_dir, "documents"), min_count=1)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, _table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_token_counts,
         op4_lm_scoring,
+        op4_lm_scoring_all_pairs,
         op5_pii,
         op6_mix_sources,
         op7_decontaminate,

@@ -137,6 +137,19 @@ def test_lm_scores(spark, table, texts):
             assert r.n_words == len(ws) and abs(r.log_score - s) < 1e-3
 
 
+def test_lm_scores_of_all_pairs(spark, texts):
+    words = {k: WORD.findall(t) for k, t in texts.items()}
+    one = Counter(w for ws in words.values() for w in ws)
+    two = Counter(p for ws in words.values() for p in zip(ws, ws[1:], strict=False))
+    n = sum(one.values())
+    got = queries.QUERIES["op4_lm_scoring_all_pairs"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ws = words[r.doc_id]
+        s = sum(math.log(two[ws[k - 1], w] / one[ws[k - 1]] if k else one[w] / n) for k, w in enumerate(ws))
+        assert r.n_words == len(ws) and abs(r.log_score - s) < 1e-3
+
+
 # personal data
 
 
