@@ -178,14 +178,14 @@ def svm_hinge_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("svm_ovo_linear")
 def svm_ovo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.vec_frame(spark, sf_dir, 16)
-    return svm.train(rows, list(range(10)), steps=15).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
+    rows = V.vec_frame(spark, sf_dir, None)
+    return svm.train(rows, list(range(10))).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
 
 @query("svm_ovo_rbf_rff")
 def svm_ovo_rbf_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = svm.fourier_features(V.vec_frame(spark, sf_dir, 16), 0.5, 64)
-    return svm.train(rows, list(range(10)), steps=15).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
+    rows = svm.fourier_features(V.vec_frame(spark, sf_dir, None), 0.5, 64)
+    return svm.train(rows, list(range(10))).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
 
 # PCA
@@ -254,8 +254,8 @@ def mlp_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(optimiser: str, rate: float) -> None:
     @query(f"mlp_train_{optimiser}")
     def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = V.vec_frame(spark, sf_dir, 16)
-        model = mlp.train(rows, [16], 10, optimiser, rate, epochs=6)
+        rows = V.vec_frame(spark, sf_dir, None)
+        model = mlp.train(rows, [16], 10, optimiser, rate, epochs=200)
         return model.predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
 
@@ -265,5 +265,5 @@ for _name, _rate in (("sgd", 0.5), ("momentum", 0.1), ("adam", 0.02)):
 
 @query("mlp_loss_history")
 def mlp_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = mlp.train(V.vec_frame(spark, sf_dir, 16), [16], 10, "adam", 0.02, epochs=8)
+    model = mlp.train(V.vec_frame(spark, sf_dir, None), [16], 10, "adam", 0.02, epochs=200)
     return report(spark.createDataFrame(list(enumerate(model.history, 1)), "epoch int, loss double"))

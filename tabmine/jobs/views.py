@@ -40,9 +40,10 @@ def vec(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[e[k].cast("double").alias(f"f{k}") for k in range(dims)])
 
 
-def vec_frame(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
-    """(row_id, x, y)."""
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, dims)
+def vec_frame(spark: SparkSession, sf_dir: str, dims: int | None = DIMS) -> DataFrame:
+    """(row_id, x, y); None takes the whole vector."""
+    x = F.col("embedding").cast("array<double>")
+    x = x if dims is None else F.slice(x, 1, dims)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), x.alias("x"), F.col("label").alias("y"))
 
 

@@ -333,3 +333,25 @@ def test_summed_is_the_same_for_any_partitioning(spark, blobs):
     f = lambda a, b: np.append(a.sum(0), b.sum())
     for parts in (1, 7):
         assert np.allclose(batches.summed(points(spark, x, y).repartition(parts), f), f(x, y))
+
+
+def test_trained_models_take_whole_vectors(spark, monkeypatch):
+    from tabmine.jobs.catalog import QUERIES
+    from tabmine.operators import mlp, svm
+
+    seen = []
+
+    def spy(module, steps):
+        real = module.train
+
+        def train(rows, *args, **params):
+            seen.append((len(rows.first().x), params.get(steps)))
+            return real(rows, *args, **(params | {steps: 1}))
+
+        monkeypatch.setattr(module, "train", train)
+
+    spy(svm, "steps")
+    spy(mlp, "epochs")
+    for name in ("svm_ovo_linear", "mlp_train_sgd", "mlp_train_momentum", "mlp_train_adam", "mlp_loss_history"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [(64, None)] + [(64, 200)] * 4
