@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Name prefix of helper columns, so that extra input columns never clash.
@@ -17,12 +17,15 @@ OWN = "__tm_"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset (tests), a
-    temporary folder is made and set as the session's checkpoint folder.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset a temporary folder is
+    made and set as the session's checkpoint folder, on a local master only: executors of a cluster
+    would each write to a disk of their own, so there it is an error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,19 +61,48 @@ def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def hash_sample(df: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
-    """The ``n`` rows of the smallest hashed ids (null ids last), to learn from.
+def hash_key(id_col: str = "doc_id") -> Column:
+    """What samples are drawn by: a hash of the id."""
+    return F.xxhash64(F.col(id_col).cast("long"))
 
-    A threshold that four times as many rows should pass comes first, so that what the tasks send for the
-    final ordering doesn't grow with their number; if too few pass, all rows are ordered.
+
+def hash_cuts(rows: DataFrame, n: int, id_col: str = "doc_id", by: str | None = None) -> dict:
+    """For each value of ``by`` (None: for all rows) the hash key of the ``n``-th smallest distinct id's key.
+
+    Reads ids and ``by`` only. The rows whose key is at most that are the sample: n ids of each class, the
+    same for any partitioning. Counts give each class a threshold that four times as many rows should pass,
+    so that what is ranked is bounded; it is widened eightfold for classes where, for repeated ids, fewer
+    than n pass. Null ids and null classes are never drawn.
     """
-    key, total = F.xxhash64(id_col), df.count()
-    order = [F.col(id_col).isNull(), key, *[F.col(c) for c in df.columns]]
-    if total > 8 * n:
-        some = df.filter(key < -(1 << 63) + (4 * n << 64) // total)
-        if some.limit(n).count() == n:
-            df = some
-    return df.orderBy(*order).limit(n)
+    ids = rows.select(hash_key(id_col).alias("key"), (F.lit(0) if by is None else F.col(by)).alias("by"), F.col(id_col).alias("id"))
+    ids = ids.filter("id is not null and by is not null").select("key", "by")
+    totals = {r.by: r.n for r in ids.groupBy("by").agg(F.count("*").alias("n")).collect()}  # a row per class
+
+    def ranked(limits: dict) -> dict:
+        hit = F.lit(False)
+        for value, limit in limits.items():
+            hit |= (F.col("by") == F.lit(value)) & (F.col("key") <= F.lit(limit))
+        rank = F.row_number().over(Window.partitionBy("by").orderBy("key"))
+        first = ids.filter(hit).distinct().withColumn("rank", rank).filter(F.col("rank") <= n)
+        return {r.by: (r.key, r.n) for r in first.groupBy("by").agg(F.max("key").alias("key"), F.count("*").alias("n")).collect()}
+
+    top = (1 << 63) - 1
+    limits = {v: min(top, -(1 << 63) + (4 * n << 64) // total) if total > 8 * n else top for v, total in totals.items()}
+    found: dict = {}
+    while limits:
+        found |= ranked(limits)
+        short = {v: limit for v, limit in limits.items() if limit < top and found.get(v, (0, 0))[1] < n}
+        limits = {v: min(top, (limit + (1 << 63)) * 8 - (1 << 63)) for v, limit in short.items()}
+    return {v: key for v, (key, _) in found.items()}
+
+
+def in_sample(cuts: dict, id_col: str = "doc_id", by: str | None = None) -> Column:
+    """Whether a row belongs to the sample that ``hash_cuts`` bounds."""
+    hit = F.lit(False)
+    for value, cut in cuts.items():
+        one = F.col(id_col).isNotNull() & (hash_key(id_col) <= F.lit(cut))
+        hit |= one if by is None else one & (F.col(by) == F.lit(value))
+    return F.coalesce(hit, F.lit(False))
 
 
 def text_of(column: str = "text") -> Column:

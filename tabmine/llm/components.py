@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import stored
+from tabmine.llm.common import forget, stored
 
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,12 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     edges = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
-        edges = stored(spark, _small_star(spark, stored(spark, _large_star(spark, edges), "edges")), "edges")
+        for half in (_large_star, _small_star):
+            least, new = half(spark, edges)
+            new = stored(spark, new, "edges")
+            forget(spark, least)
+            forget(spark, edges)
+            edges = new
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
@@ -30,15 +35,15 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _large_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Hang each larger neighbour of a node under the node's smallest neighbour (or itself)."""
+def _large_star(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of smallest neighbours (or the nodes themselves), and the larger neighbours hung under them."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = stored(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return least, both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours under the smallest of them."""
+def _small_star(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of smallest neighbours, and each node with its smaller neighbours hung under them."""
     least = stored(spark, edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     rest = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return least, rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

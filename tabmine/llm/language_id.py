@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, hash_sample, id_and_text
+from tabmine.llm.common import each_batch, hash_cuts, id_and_text, in_sample
 from tabmine.llm.hashed import buckets, codes, grams, words
 from tabmine.llm.quality_classifier import held_out
 
@@ -22,7 +22,12 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"),
     "uralic": ("fi", "et", "hu"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter by its Unicode category; signs such as a half or a raised two are none."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
 
 
 def family_of(lang: str, families: dict[str, tuple[str, ...]] = FAMILIES) -> str:
@@ -98,7 +103,7 @@ class Model:
         return best, float(1 / (1 + np.exp(-margin[best] / (len(names) - 1))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.tree or not _LETTER.search(text):
+        if not text or not self.tree or not has_letter(text):
             return "und", 0.0
         at = features(text, self.bits)
         family, sure = self._choose(sorted(self.tree), at)
@@ -106,30 +111,28 @@ class Model:
         return lang, sure * surer
 
 
-def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600) -> Model:
-    """Learn from at most ``per_lang`` texts of each language, those of the smallest hashed ids.
+def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most_chars: int = 50_000) -> Model:
+    """Learn from a bounded sample: of each language the ``per_lang`` ids of the smallest hashes.
 
-    That sample bound is the only one. Texts without a letter and rows without lang teach nothing.
+    Ids and languages alone decide which rows are drawn; one scan of the texts then gets those of all
+    languages, except texts over ``most_chars`` characters, so that what reaches the driver is bounded by
+    the number of languages. Texts without a letter and rows without lang or doc_id teach nothing.
     """
-    rows_of = id_and_text(docs.select("doc_id", "text")).filter(~held_out(4, 2))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    known = known.filter("lang is not null and doc_id is not null").filter(~held_out(4, 2))
-    langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
-    texts, labels = [], []
-    for lang in langs:
-        some = hash_sample(known.filter(F.col("lang") == lang), per_lang).distinct()
-        for r in rows_of.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect():  # at most per_lang ids
-            if _LETTER.search(r.text):
-                texts.append(r.text)
-                labels.append(lang)
-    return Model(sorted(set(labels))).fit(texts, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter("lang is not null and doc_id is not null").filter(~held_out(4, 2))
+    cuts = hash_cuts(rows, per_lang, by="lang")
+    drawn = rows.filter(in_sample(cuts, by="lang") & (F.length("text") <= most_chars)).distinct()
+    found = [r for r in drawn.orderBy("lang", "doc_id", "text").limit(2 * per_lang * max(1, len(cuts))).collect() if has_letter(r.text)]
+    return Model(sorted({r.lang for r in found})).fit([r.text for r in found], [r.lang for r in found])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, from the whole text alone.
 
     Texts that are null or have no letter are ``und`` with score 0, as is everything when there is no
-    language to learn. Repeated rows give repeated rows.
+    language to learn. Of equal votes the larger summed margin wins, of equal margins the first name. Texts
+    of any length are read whole; repeated rows give repeated rows, an empty table none; columns other than
+    doc_id, text and lang are ignored, whatever their names.
     """
     shared = spark.sparkContext.broadcast(model or train(spark, docs))
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -1,38 +1,38 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from tabmine.llm.quality_rules import RATES
+from tabmine.llm.quality_rules import PRIOR, RATES
 
 _BUCKET = """CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 7) * 64 + v // CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) END"""
 _TOP = """CASE WHEN bucket < 64 THEN bucket ELSE (bucket % 64 + 65) * CAST(pow(2, bucket // 64 - 1) AS BIGINT) - 1 END"""
 
 
-def _quality(at_least: int = 200, spread: float = 2.0) -> str:
+def _quality(prior: int = PRIOR, spread: int = 1) -> str:
     rates = ", ".join(
-        f"CASE WHEN {b} > 0 THEN CAST(floor({a} * 1000000 / {b}) AS BIGINT) ELSE 0 END AS {name}" for name, a, b, _ in RATES
+        f"CASE WHEN {b} > 0 THEN CAST(floor(greatest({a} - 1, 0) * 1000000 / {b}) AS BIGINT) ELSE 0 END AS {name}" for name, a, b, _ in RATES
     )
     rows = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS name, {name} AS v FROM r WHERE NOT base_failed" for name, *_ in RATES)
-    floor = "CASE name " + " ".join(f"WHEN '{name}' THEN {least}" for name, _, _, least in RATES) + " END"
+    percent = "CASE name " + " ".join(f"WHEN '{name}' THEN {q}" for name, _, _, q in RATES) + " END"
 
-    def level(name: str, keys: str, least: int) -> str:
+    def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        wide = ", ".join(f"max(CASE WHEN name = '{x}' THEN top END) AS {x}" for x, *_ in RATES)
         return f""", {name}_m AS (SELECT {by}name, bucket, sum(n) AS n FROM sk GROUP BY ALL),
         {name}_r AS (SELECT *, {_TOP} AS v, sum(n) OVER (PARTITION BY {by}name) AS total,
             sum(n) OVER (PARTITION BY {by}name ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM {name}_m),
-        {name}_q AS (SELECT {by}name, min(CASE WHEN upto * 100 >= total * 50 THEN v END) AS q50,
-            min(CASE WHEN upto * 100 >= total * 75 THEN v END) AS q75 FROM {name}_r WHERE total >= {least} GROUP BY {by}name),
-        {name}_t AS (SELECT {by}name, q50 + CAST(floor(greatest(q75 - q50, {floor}) * CAST({spread} AS DOUBLE)) AS BIGINT) AS top FROM {name}_q),
-        {name} AS (SELECT {by}{wide} FROM {name}_t {f"GROUP BY {keys}" if keys else ""})"""
+        {name}_q AS (SELECT {by}name, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN upto * 100 >= total * 50 THEN v END) AS q50,
+            min(CASE WHEN upto * 100 >= total * ({percent}) THEN v END) AS high FROM {name}_r GROUP BY {by}name),
+        {name} AS (SELECT {by}name, n, high + {spread} * (high - q50) AS top FROM {name}_q)"""
 
-    ok = " AND ".join(f"coalesce(r.{x} <= coalesce(fine.{x}, byl.{x}, al.{x}), true)" for x, *_ in RATES)
+    pull = lambda own, n, to: f"CAST(floor(({n} * {own} + {prior} * {to}) / ({n} + {prior})) AS BIGINT)"
+    wide = ", ".join(f"max(CASE WHEN name = '{x}' THEN top END) AS top_{x}" for x, *_ in RATES)
+    ok = " AND ".join(f"coalesce(r.{x} <= t.top_{x}, true)" for x, *_ in RATES)
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
         coalesce(source, '') AS source FROM documents),
     w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
         FROM (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
-    t AS (SELECT rid, i, word AS a, lead(word) OVER (PARTITION BY rid ORDER BY i) AS b,
+    tri AS (SELECT rid, i, word AS a, lead(word) OVER (PARTITION BY rid ORDER BY i) AS b,
         lead(word, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM w),
-    again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM t WHERE c IS NOT NULL) WHERE n > 1),
+    again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
     rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
     m AS (SELECT d.*, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words,
         length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
@@ -42,12 +42,15 @@ def _quality(at_least: int = 200, spread: float = 2.0) -> str:
         coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (rid)),
     r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM b),
     sk AS (SELECT lang, source, name, {_BUCKET} AS bucket, count(*) AS n FROM ({rows}) GROUP BY ALL)
-    {level("fine", "lang, source", at_least)}{level("byl", "lang", at_least)}{level("al", "", 1)}
+    {level("fine", "lang, source")}{level("byl", "lang")}{level("al", "")},
+    pulled AS (SELECT lang, name, {pull("byl.top", "byl.n", "al.top")} AS top FROM byl JOIN al USING (name)),
+    t AS (SELECT lang, source, {wide} FROM (SELECT fine.lang, source, fine.name, {pull("fine.top", "fine.n", "p.top")} AS top
+        FROM fine JOIN pulled p ON p.lang = fine.lang AND p.name = fine.name) GROUP BY lang, source)
     SELECT r.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
         CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
         CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper,
         base_failed, NOT base_failed AND {ok} AS kept
-    FROM r LEFT JOIN fine USING (lang, source) LEFT JOIN byl USING (lang) CROSS JOIN al"""
+    FROM r LEFT JOIN t USING (lang, source)"""
 
 
 _LM = """

@@ -4,8 +4,8 @@ Base patterns are always reported. On top of them wide generators propose overla
 out addresses, numbers without a plus, cards and addresses with odd separators), boosted trees judge
 each by its format and its context, and a calibrated threshold per kind decides. Nobody has labelled
 such spans, so the trees learn from the corpus itself: base matches of a bounded sample of documents,
-and the same matches rewritten in the looser formats, are positives; other candidates of the sample,
-and numbers broken on purpose (bad check digits, parts over 255, plain counts), are negatives.
+and the same matches rewritten in the looser formats, are positives; other candidates of the sample that no
+longer could be such data, and numbers broken on purpose (bad check digits, parts over 255, plain counts), are negatives.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmine.llm.boosting import Boosted
-from tabmine.llm.common import each_batch, hash_sample, id_and_text
+from tabmine.llm.common import each_batch, hash_cuts, id_and_text, in_sample
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,8 +86,13 @@ _WIDE = (
     ),
     re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\))\x20?[0-9]{1,3}){3}(?![0-9])"),
     re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])"),
-    re.compile(r"(?<![0-9A-Za-z(+])(?:\+|00|\(|(?=[0-9]))[0-9]{1,4}(?:[\x20()./-]{1,2}[0-9]{2,5}){2,5}(?![0-9A-Za-z])"),
+    re.compile(r"(?<![0-9A-Za-z(+])(?:\+|00|\(|(?=[0-9]))[0-9]{1,4}(?:[\x20()./-]{1,2}[0-9]{2,8}){1,5}(?![0-9A-Za-z])"),
 )
+_SPOKEN = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE
+)
+#: Common last labels of host names.
+_LAST = frozenset("com org net edu gov int mil info biz io de fr es uk it nl at ch be eu us ca au pl se no dk fi pt".split())
 _HINT = (
     re.compile(r"mail|contact|write", re.IGNORECASE),
     re.compile(r"\bip\b|host|server|addr", re.IGNORECASE),
@@ -101,6 +107,8 @@ def candidates(text: str) -> list[Span]:
     found: list[Span] = []
     if "@" in text or "[" in text or "(" in text or "{" in text:
         found += [(0, *m.span()) for m in _WIDE[0].finditer(text)]
+    if " dot " in text or " DOT " in text:
+        found += [(0, *m.span()) for m in _SPOKEN.finditer(text)]
     if _DIGIT.search(text):
         found += [(1, *m.span()) for m in _WIDE[1].finditer(text)]
         found += [(2, *m.span()) for m in _WIDE[2].finditer(text) if 13 <= len(_digits(m.group())) <= 19]
@@ -125,6 +133,8 @@ def features(text: str, span: Span) -> list[float]:
         float(len(separators)),
         float(s.startswith("+") or s.startswith("00")),
         float("(" in s),
+        float(s.startswith(("0", "(0"))),
+        float(re.split("[^a-z]+", s.lower())[-1] in _LAST),
         float(13 <= len(digits) <= 19 and luhn(digits)),
         float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
         float(9 <= len(digits) <= 15),
@@ -141,7 +151,7 @@ def features(text: str, span: Span) -> list[float]:
 def _rewritten(kind: int, s: str, draw: random.Random) -> str:
     """A base match in one of the looser formats that the wide generators cover."""
     if kind == 0:
-        at, dot = draw.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), (" [at] ", ".")])
+        at, dot = draw.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), (" [at] ", "."), (" at ", " dot ")])
         local, _, domain = s.partition("@")
         return local + at + domain.replace(".", dot)
     if kind == 1:
@@ -151,13 +161,14 @@ def _rewritten(kind: int, s: str, draw: random.Random) -> str:
         sep = draw.choice(["  ", ".", "/", "_"])
         return sep.join(digits[k : k + 4] for k in range(0, len(digits), 4))
     tail = digits[-10:]
-    return draw.choice(["({}) {}-{}", "{}-{}-{}", "00" + digits[:-10] + " {} {} {}"]).format(tail[:3], tail[3:6], tail[6:])
+    return draw.choice(["({}) {}-{}", "{}-{}-{}", "00" + digits[:-10] + " {} {} {}", "0{} {}{}", "(0{}) {}{}", "0{}/{}{}"]).format(tail[:3], tail[3:6], tail[6:])
 
 
 def _broken(kind: int, s: str, draw: random.Random) -> str:
     """Something of the same look that is no personal data."""
     if kind == 0:
-        return draw.choice(["{} ( at ) {}", "{} @ {}"]).format(draw.choice(["look", "meet", "price"]), draw.choice(["3.50", "4.2", "10.00"]))
+        word, n = draw.choice(["look", "meet", "price"]), draw.choice(["3.50", "4.2", "10.00"])
+        return draw.choice(["{} ( at ) {}", "{} @ {}", "{} at this dot {}"]).format(word, n.replace(".", " dot ") if draw.random() < 0.3 else n)
     loose = draw.random() < 0.5
     if kind == 1:
         made = ".".join(str(draw.randrange(256, 999)) if k == 2 else str(draw.randrange(0, 999)) for k in range(4))
@@ -171,9 +182,40 @@ def _broken(kind: int, s: str, draw: random.Random) -> str:
         f"{n(1, 31):02}.{n(1, 13):02}.{n(1900, 2030)}", f"{n(1900, 2030)}-{n(1, 13):02}-{n(1, 31):02} {n(0, 24):02}",
         f"{n(1900, 2030)}/{n(1, 13):02}/{n(1, 31):02}", f"{n(1, 999)} {n(0, 999):03} {n(0, 999):03}", f"{n(1, 99)}.{n(0, 999):03}.{n(0, 999):03}.{n(0, 999):03}",
         f"{n(0, 9999):04}-{n(0, 9999):04}-{n(0, 9999):04}-{n(0, 9999):04}", f"{n(10, 99)} {n(10, 99)} {n(10, 99)} {n(10, 99)}",
+        f"{n(1000, 9999)} {n(10000, 999999)}", f"{n(1900, 2030)}/{n(100000, 9999999)}", f"{n(1, 9)} {n(10**7, 10**8 - 1)}",
     ])
 
 
+def _plausible(kind: int, s: str) -> bool:
+    """Whether a natural span could be personal data in a loose format: such ones are no examples of either class."""
+    digits = _digits(s)
+    if kind == 0:
+        return bool(re.search(r"[A-Za-z]{2,}$", s))
+    if kind == 1:
+        return all(int(g) <= 255 for g in re.findall("[0-9]+", s))
+    return luhn(digits) if kind == 2 else s.startswith(("+", "0", "("))
+
+
+def examples(text: str, per_doc: int = 64, seed: int = 7) -> list[tuple[list[float], float]]:
+    """(features, label) of a text's candidates, and of its base spans rewritten and broken; at most ``per_doc``, drawn."""
+    draw, out = random.Random(f"{seed}:{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}"), []
+    base = base_spans(text)
+    taken = set(base)
+    for span in candidates(text):
+        inside = any(a < span[2] and span[1] < b for _, a, b in base)
+        if span in taken or not (inside or _plausible(span[0], text[span[1] : span[2]])):
+            out.append((features(text, span), float(span in taken)))
+    for kind, a, b in base:
+        for made, label in ((_rewritten, 1.0), (_broken, 0.0)):
+            new = text[max(0, a - 60) : a] + (s := made(kind, text[a:b], draw)) + text[b : b + 20]
+            start = min(60, a)
+            for span in candidates(new):
+                if span[0] == kind and span[1] < start + len(s) and start < span[2]:
+                    whole = abs(span[1] - start) <= 1 and abs(span[2] - start - len(s)) <= 1
+                    out.append((features(new, span), label if whole else 0.0))
+    return out if len(out) <= per_doc else draw.sample(out, per_doc)
+
+
 class Judge:
     """Boosted trees with one calibrated threshold per kind."""
 
@@ -182,40 +224,35 @@ class Judge:
 
     @staticmethod
     def train(texts: list[str], precision: float = 0.99, seed: int = 7) -> Judge:
-        """Fit on three quarters of the examples; set each threshold on the rest, at ``precision``."""
-        draw, x, y = random.Random(seed), [], []
-        for text in texts:
-            base = base_spans(text)
-            taken = {(k, a, b) for k, a, b in base}
-            for span in candidates(text):
-                inside = any(a < span[2] and span[1] < b for _, a, b in base)
-                if span in taken or not inside:
-                    x.append(features(text, span))
-                    y.append(float(span in taken))
-            for kind, a, b in base:
-                for made, label in ((_rewritten, 1.0), (_broken, 0.0)):
-                    new = text[max(0, a - 60) : a] + (s := made(kind, text[a:b], draw)) + text[b : b + 20]
-                    start = min(60, a)
-                    for span in candidates(new):
-                        if span[0] == kind and span[1] < start + len(s) and start < span[2]:
-                            whole = abs(span[1] - start) <= 1 and abs(span[2] - start - len(s)) <= 1
-                            x.append(features(new, span))
-                            y.append(label if whole else 0.0)
+        """A judge from the examples of some texts."""
+        found = [(zlib.crc32(t.encode("utf-8", "surrogatepass")), *e) for t in texts for e in examples(t, seed=seed)]
+        return Judge.fit([d for d, _, _ in found], [x for _, x, _ in found], [y for _, _, y in found], precision)
+
+    @staticmethod
+    def fit(doc: list[int], x: list[list[float]], y: list[float], precision: float = 0.99) -> Judge:
+        """Fit on three quarters of the documents; set each kind's threshold on the others, at ``precision``.
+
+        ``doc`` numbers each example's text, so that equal texts are on one side. Examples of equal score are
+        accepted or refused together: the threshold lies midway between two different scores, below the
+        last whole tie up to which the precision holds. A kind without such a score adds no spans.
+        """
         width = len(features("0", (0, 0, 1)))
-        x, y = np.array(x, dtype=float).reshape(-1, width), np.array(y)
-        held = np.arange(len(y)) % 4 == 3
+        doc, x, y = np.array(doc, dtype=np.int64), np.array(x, dtype=float).reshape(-1, width), np.array(y, dtype=float)
+        order = np.lexsort((*x.T, y, doc))  # the same model for any order of the examples
+        doc, x, y = doc[order], x[order], y[order]
+        held = doc % 4 == 3
         model = Boosted().fit(x[~held], y[~held])
         score, kinds, cut = model.score(x[held]), x[held][:, -1], []
         for kind in range(len(KINDS)):
             p, t = score[kinds == kind], y[held][kinds == kind]
-            order = np.argsort(-p, kind="stable")
-            good = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-            if not len(enough := np.flatnonzero(good >= precision)):
+            values, which = np.unique(p, return_inverse=True)
+            n, good = np.bincount(which, minlength=len(values))[::-1].cumsum(), np.bincount(which, t, len(values))[::-1].cumsum()
+            enough = np.flatnonzero(good >= precision * n) if len(values) else values
+            if not len(enough):
                 cut.append(1.1)
                 continue
-            low = float(p[order][enough[-1]])  # halfway to the next score below
-            under = float(p[order][enough[-1] + 1]) if enough[-1] + 1 < len(order) else 0.0
-            cut.append(max(0.5, (low + under) / 2))
+            values = np.append(values[::-1], 0.0)
+            cut.append(max(0.5, float(values[enough[-1]] + values[enough[-1] + 1]) / 2))
         return Judge(model, cut)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
@@ -237,17 +274,33 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99) -> Judge:
-    """A judge from the ``sample_docs`` texts with a digit or @ of the smallest hashed ids (the documented bound)."""
-    some = id_and_text(docs).filter((F.length("text") <= 20_000) & F.col("text").rlike("[0-9@]"))
-    return Judge.train([r.text for r in hash_sample(some, sample_docs).collect()], precision)
+def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 8000, per_doc: int = 64, precision: float = 0.99) -> Judge:
+    """A judge from a bounded sample: the texts of the ``sample_docs`` smallest hashed ids, whole and of any length.
+
+    Tasks turn them into examples, at most ``per_doc`` each, and only those (feature vectors) reach the
+    driver. Without examples the judge adds no spans.
+    """
+    drawn = id_and_text(docs).filter(in_sample(hash_cuts(docs, sample_docs)) & F.col("text").rlike("[0-9@]"))
+    out = pa.schema([("doc", pa.int64()), ("x", pa.list_(pa.float64())), ("y", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found := examples(text, per_doc):
+                    doc = [zlib.crc32(text.encode("utf-8", "surrogatepass"))] * len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((doc, *zip(*found, strict=True)), out, strict=True)], schema=out)
+
+    made = drawn.mapInArrow(run, "doc long, x array<double>, y double").limit(2 * sample_docs * per_doc).collect()
+    return Judge.fit([r.doc for r in made], [r.x for r in made], [r.y for r in made], precision)
 
 
 def find(spark: SparkSession, docs: DataFrame, judge: Judge | None = None) -> DataFrame:
     """Per row doc_id, base counts n_email ... n_phone, base_sha256, spans (all, as text) and n_added.
 
-    Null and empty texts have no spans (base_sha256 is that of the empty string); repeated rows give
-    repeated rows; other columns are ignored. Offsets are code points, ends exclusive.
+    Null and empty texts have no spans (base_sha256 is that of the empty string); texts of any length are
+    searched whole; repeated rows give repeated rows, an empty table none; other columns are ignored,
+    whatever their names. Of overlapping candidates the higher score wins, of equal scores the lower kind,
+    then the earlier start, then the earlier end. Offsets are code points, ends exclusive.
     """
     shared = spark.sparkContext.broadcast(judge or train(spark, docs))
     names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
@@ -270,7 +323,11 @@ def find(spark: SparkSession, docs: DataFrame, judge: Judge | None = None) -> Da
 
 
 def redact(spark: SparkSession, docs: DataFrame, judge: Judge | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of ``text_col`` replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with each span of ``text_col`` replaced by its kind in brackets; null texts stay null.
+
+    Of spans that overlap the earlier start counts, of those the longer. All columns and rows stay as
+    they are otherwise, in empty tables as in texts of any length.
+    """
     shared = spark.sparkContext.broadcast(judge or train(spark, docs.withColumn("text", F.col(text_col))))
 
     def clean(text):  # a pandas Series of texts

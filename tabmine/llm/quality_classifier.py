@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, hash_sample, id_and_text
+from tabmine.llm.common import each_batch, hash_cuts, id_and_text, in_sample
 from tabmine.llm.hashed import buckets, codes, grams, words
 
 #: Character n-grams beside words.
@@ -89,17 +89,20 @@ def held_out(of: int, rest: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == rest, F.lit(False))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500) -> Classifier:
-    """Learn from at most ``per_class`` labelled texts of each class, those of the smallest hashed ids.
+def train(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, most_chars: int = 50_000
+) -> Classifier:
+    """Learn from a bounded sample: of each class the ``per_class`` labelled ids of the smallest hashes.
 
-    That sample bound is the only one. Rows whose label is null or no 0 or 1 teach nothing.
+    Whole texts of those ids are learned from, except the ones over ``most_chars`` characters, so that what
+    reaches the driver is bounded too. Labels alone decide which ids are drawn; the texts are then scanned
+    once for both classes. Rows whose label is null or no 0 or 1 teach nothing.
     """
-    texts = id_and_text(docs).filter(~held_out(5, 0))
-    y = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").distinct()
-    rows: list = []
-    for k in (0, 1):
-        some = hash_sample(y.filter((F.col("y") == k) & ~held_out(5, 0)), per_class)
-        rows += texts.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()  # at most per_class ids
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    y = y.filter("doc_id is not null and y in (0, 1)").filter(~held_out(5, 0))
+    some = y.filter(in_sample(hash_cuts(y, per_class, by="y"), by="y")).distinct()
+    texts = id_and_text(docs).filter(F.length("text") <= most_chars)
+    rows = texts.join(F.broadcast(some), "doc_id").distinct().orderBy("doc_id", "text", "y").limit(4 * per_class).collect()  # at most 2 per_class ids
     return Classifier().fit([r.text for r in rows], [r.y for r in rows])
 
 
@@ -108,8 +111,9 @@ def classify(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    The score is of the whole text alone; null and empty texts get the class offset's score. Repeated
-    rows give repeated rows, and without labels every text gets the same high score.
+    The score is of the whole text alone, however long; null and empty texts get the class offset's score.
+    Repeated rows give repeated rows, other columns are ignored, whatever their names, an empty table gives
+    no rows, and without labels every text gets the same high score. A score of ``cut`` itself predicts 1.
     """
     model = model or train(spark, docs, labels, label)
     shared = spark.sparkContext.broadcast((model.folded, model.offset, model.bits))

@@ -17,14 +17,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Base measures, all long.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Judged measures in millionths: (name, count, per, least spread). The spread keeps a group whose
-#: quartiles coincide (mostly zeros) from rejecting the first document that differs.
+#: Judged measures: (name, count, per, percent). ``percent`` is the upper quantile of a group's sketch that
+#: its threshold starts from: the share of documents in which the rate is taken for ordinary.
 RATES = (
-    ("symbol_rate", "n_symbols", "n_words", 100_000),
-    ("dup_line_rate", "n_dup_lines", "n_lines", 300_000),
-    ("repeat_rate", "n_repeat_words", "n_words", 240_000),
-    ("upper_rate", "n_upper", "word_chars", 150_000),
+    ("symbol_rate", "n_symbols", "n_words", 90),
+    ("dup_line_rate", "n_dup_lines", "n_lines", 98),
+    ("repeat_rate", "n_repeat_words", "n_words", 98),
+    ("upper_rate", "n_upper", "word_chars", 98),
 )
+#: A group's threshold weighs as many documents as it has, its language's (and that of all) so many.
+PRIOR = 200
 
 
 def measure(docs: DataFrame, prefix: str = OWN, text_col: str = "text") -> DataFrame:
@@ -75,9 +77,12 @@ def base_failed(prefix: str = OWN) -> Column:
 
 
 def rate(count: str, per: str, prefix: str = OWN) -> Column:
-    """Millionths, rounded down; 0 where there is nothing to divide by."""
-    n = F.col(f"{prefix}{per}")
-    return F.when(n > 0, F.floor(F.col(f"{prefix}{count}") * 1_000_000 / n)).otherwise(0).cast("long")
+    """Millionths beyond the first occurrence, rounded down; 0 where there is nothing to divide by.
+
+    One occurrence says nothing about a text, so it counts in no rate.
+    """
+    n, k = F.col(f"{prefix}{per}"), F.greatest(F.col(f"{prefix}{count}") - 1, F.lit(0))
+    return F.when(n > 0, F.floor(k * 1_000_000 / n)).otherwise(0).cast("long")
 
 
 def bucket(v: Column) -> Column:
@@ -105,68 +110,78 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", pr
     return rows.groupBy("lang", "source", "x.name", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str], at_least: int, spread: float) -> DataFrame:
-    """(keys, name, top) for groups of ``at_least`` documents: median + spread * max(q75 - q50, least spread)."""
+def thresholds(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
+    """(keys, name, n, top) of each group: with q the rule's upper quantile, q + spread * (q - median); n documents."""
     merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "name")
     run = merged.select(
         *keys, "name", bucket_top(F.col("bucket")).alias("v"), F.sum("n").over(group).alias("all"),
         F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
     )
+    percent = F.create_map(*[F.lit(x) for name, _, _, q in RATES for x in (name, q)])[F.col("name")]
     quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("v")))
-    found = run.filter(F.col("all") >= at_least).groupBy(*keys, "name").agg(quantile(50).alias("q50"), quantile(75).alias("q75"))
-    floor = F.create_map(*[F.lit(x) for name, _, _, least in RATES for x in (name, least)])[F.col("name")]
-    width = F.greatest(F.col("q75") - F.col("q50"), floor)
-    return found.select(*keys, "name", (F.col("q50") + F.floor(width * F.lit(float(spread))).cast("long")).alias("top"))
+    found = run.groupBy(*keys, "name").agg(F.max("all").alias("n"), quantile(F.lit(50)).alias("q50"), quantile(percent).alias("high"))
+    return found.select(*keys, "name", "n", (F.col("high") + spread * (F.col("high") - F.col("q50"))).alias("top"))
+
 
+def group_thresholds(sketch: DataFrame, prior: int, spread: int) -> DataFrame:
+    """(lang, source, name, top): each group's own threshold, drawn towards its language's, and that towards everyone's.
 
-def _wide(tops: DataFrame, keys: list[str], level: str) -> DataFrame:
-    """One row per group: columns <level>_<name>."""
-    columns = [F.max(F.when(F.col("name") == name, F.col("top"))).alias(f"{OWN}{level}_{name}") for name, *_ in RATES]
-    return tops.groupBy(*keys).agg(*columns).withColumnsRenamed({k: f"{OWN}{k}" for k in keys})
+    A group of n documents weighs n and what it is drawn towards ``prior``, so that a small group relies
+    on the merged sketches and a large one on its own, without a size at which it changes over.
+    """
+    pull = lambda own, n, to: F.floor((n * own + prior * to) / (n + prior)).cast("long")
+    level = lambda keys, tag: thresholds(sketch, keys, spread).withColumnsRenamed({"n": f"n{tag}", "top": f"top{tag}"})
+    all_, lang, fine = level([], 0), level(["lang"], 1), level(["lang", "source"], 2)
+    lang = lang.join(F.broadcast(all_), "name").withColumn("top1", pull(F.col("top1"), F.col("n1"), F.col("top0")))  # a row per rule
+    return fine.join(lang, ["lang", "name"]).select("lang", "source", "name", pull(F.col("top2"), F.col("n2"), F.col("top1")).alias("top"))
 
 
 def judge(
-    spark: SparkSession, measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, at_least: int = 200, spread: float = 2.0
+    spark: SparkSession, measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, prior: int = PRIOR, spread: int = 1
 ) -> DataFrame:
     """``measured`` plus base_failed and kept, named with ``prefix``.
 
-    A document is held to the thresholds of its language and source; where those have under
-    ``at_least`` documents, to the language's, which come from the same sketches merged over sources,
-    and then to those of all documents. Without any threshold it is kept. Null languages and sources
-    are a group of their own.
+    A document is held to the thresholds of its language and source. Null languages and sources are a
+    group of their own. A rate equal to its threshold is kept; in an empty table nothing is judged.
     """
     sketch = stored(spark, sketches(measured, lang, source, prefix), "sketches")
+    columns = [F.max(F.when(F.col("name") == name, F.col("top"))).alias(f"{OWN}top_{name}") for name, *_ in RATES]
+    tops = group_thresholds(sketch, prior, spread).groupBy(F.col("lang").alias(f"{OWN}lang"), F.col("source").alias(f"{OWN}source")).agg(*columns)
     out = measured.withColumns({
         f"{OWN}lang": F.coalesce(F.col(lang).cast("string"), F.lit("")),
         f"{OWN}source": F.coalesce(F.col(source).cast("string"), F.lit("")),
     })
-    for level, keys, least in (("fine", ["lang", "source"], at_least), ("lang", ["lang"], at_least), ("all", [], 1)):
-        tops = stored(spark, _wide(thresholds(sketch, keys, least, spread), keys, level), "thresholds")
-        out = out.join(small(tops), [f"{OWN}{k}" for k in keys], "left") if keys else out.crossJoin(F.broadcast(tops))  # one row
+    out = out.join(small(stored(spark, tops, "thresholds")), [f"{OWN}lang", f"{OWN}source"], "left")
     ok = F.lit(True)
     for name, a, b, _ in RATES:
-        top = F.coalesce(*[F.col(f"{OWN}{level}_{name}") for level in ("fine", "lang", "all")])
-        ok &= F.coalesce(rate(a, b, prefix) <= top, F.lit(True))
+        ok &= F.coalesce(rate(a, b, prefix) <= F.col(f"{OWN}top_{name}"), F.lit(True))
     failed = base_failed(prefix)
     return out.withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": ~failed & ok})
 
 
-def quality(spark: SparkSession, docs: DataFrame, at_least: int = 200, spread: float = 2.0) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread: int = 1) -> DataFrame:
     """doc_id, the base measures, n_lines, n_upper, base_failed and kept of every row.
 
-    Null and empty texts have no words and fail the base rules; repeated rows give repeated rows;
-    columns beyond doc_id, text, lang and source are ignored. Measures are written once to the shared
-    folder, so the texts are read once for sketches and verdicts together.
+    Null and empty texts have no words and fail the base rules; texts of any length are measured whole;
+    repeated rows give repeated rows, an empty table none; columns beyond doc_id, text, lang and source are
+    ignored, whatever their names. Measures are written once to the shared folder, so the texts are read
+    once for sketches and verdicts together.
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     measured = stored(spark, measure(rows, "").drop("text"), "quality")
-    judged = judge(spark, measured, prefix="", at_least=at_least, spread=spread)
+    judged = judge(spark, measured, prefix="", prior=prior, spread=spread)
     return judged.select("doc_id", *MEASURES, "n_lines", "n_upper", "base_failed", "kept")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, at_least: int = 200, spread: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts go to the shared folder once, beside their measures."""
+def keep_good(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread: int = 1) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. Texts go to the shared folder once, beside their measures.
+
+    Rows with null or empty texts go, as ``quality`` says; repeated rows stay or go together; null ids don't
+    matter; extra columns stay, and none may begin with the helper prefix; an empty table stays empty.
+    """
+    if clash := [c for c in docs.columns if c.startswith(OWN)]:
+        raise ValueError(f"columns named like helper columns: {clash}")
     measured = stored(spark, measure(docs), "quality")
-    judged = judge(spark, measured, at_least=at_least, spread=spread)
+    judged = judge(spark, measured, prior=prior, spread=spread)
     return judged.filter(F.col(f"{OWN}kept")).select(*docs.columns)

@@ -24,12 +24,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, hash_sample, id_and_text
+from tabmine.llm.common import each_batch, hash_cuts, id_and_text, in_sample, small, stored
 
 BLOCK_SCHEMA = (
     "shard int, block int, first_token long, tokens long, first_id long, last_id long, dict_hash string, width int, "
@@ -54,7 +55,11 @@ BLOCK_ARROW = pa.schema(
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Letters and then marks other than the apostrophe, which also begins contractions.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: Texts that can't be cut at every space and line end: other white space, two in a row, or one at an end.
+_OTHER_SPACE = "[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD = rf"\x00|{_OTHER_SPACE}|[ \n][ \n]|^[ \n]|[ \n]$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,37 +69,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-class _Known(dict):
-    """Id bytes of words that follow ``lead`` (nothing or one space), found when first asked for.
-
-    The memory is bounded: it is emptied when full.
-    """
-
-    def __init__(self, owner: Encoder, lead: str, limit: int):
-        super().__init__()
-        self.owner, self.lead, self.limit = owner, lead, limit
-
-    def __missing__(self, word: str) -> bytes:
-        if _LETTERS.fullmatch(word):  # one pre-token: straight to the merges
-            raw = (self.lead + word).encode().decode("latin-1").translate(self.owner.letters)
-            found = self.owner.packed([t.id for t in self.owner.model.tokenize(raw)])
-        elif m := _MARKED.fullmatch(word):  # two pre-tokens
-            found = self[m[1]] + self.owner.first[m[2]]
-        else:
-            found = self.owner.whole(self.lead + word)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 class Encoder:
-    """Whole texts to little-endian id bytes.
+    """Whole texts to little-endian id bytes, those of the plain call of the tokenizer.
 
     Byte-level BPE first cuts a text into pre-tokens, and a single space or line end between two other
-    characters always begins one. So a text is cut there, and every distinct word needs the tokenizer
-    only once. Texts with other white space are cut only before single spaces.
+    characters always begins one, as do marks after a letter. So texts are cut there, and the tokenizer
+    sees a piece (a line end, a word with the space before it, marks) only once. Pieces of many texts are made distinct by Arrow before they
+    are looked up. Texts with other white space are cut only before single spaces, and texts that spell
+    an added token, which the tokenizer takes out first, not at all.
     """
 
     def __init__(self, path: str, width: int | None = None, cache: int = 1_000_000):
@@ -102,33 +84,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.space = self.letters[32]
         self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
         self.dtype = f"<u{self.width}"
-        self.first, self.spaced = _Known(self, "", cache // 5), _Known(self, " ", cache)
-        self.line_end = self.whole("\n")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.odd = "|".join([_ODD, *map(re.escape, added)])
+        self.known: dict[str, bytes] = {"": b""}
+        self.limit, self.packs = cache, {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        """Little-endian bytes of some ids."""
+        pack = self.packs.get(len(ids))
+        if pack is None:
+            pack = struct.Struct(f"<{len(ids)}{'H' if self.width == 2 else 'I'}").pack
+            if len(ids) < 100:
+                self.packs[len(ids)] = pack
+        return pack(*ids)
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def word(self, piece: str, lead: str, word: str) -> bytes:
+        """Id bytes of a piece that isn't known yet: ``lead`` (nothing or a space) and a word, or a line end."""
+        if word.isascii() and word.isalpha():  # one pre-token: straight to the merges; its letters stand for themselves
+            return self.packed([t.id for t in self.tokenize(self.space + word if lead else word)])
+        if _LETTERS.fullmatch(word):
+            return self.packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if m := _MARKED.fullmatch(word):  # two pre-tokens
+            return b"".join(self.pieces([piece[: -len(m[2])], m[2]]))
+        return self.whole(piece)
+
+    def pieces(self, some: list[str]) -> list[bytes]:
+        """Id bytes of each piece. What is kept of them is bounded: it is emptied when full."""
+        found = list(map(self.known.get, some))
+        for k, x in enumerate(found):
+            if x is None:
+                piece = some[k]
+                found[k] = new = self.word(piece, " ", piece[1:]) if piece[0] == " " else self.word(piece, "", piece)
+                if len(piece) <= 65:
+                    if len(self.known) >= self.limit:
+                        self.known = {"": b""}
+                    self.known[piece] = new
+        return found
+
+    def _odd(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.whole(text)
+        first, *rest = _INNER_SPACE.split(text)
+        return b"".join([self.whole(first), *self.pieces(rest)])
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """The id bytes of each text."""
+        pieces = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        pieces = pc.split_pattern(pc.replace_substring_regex(pieces, _BEFORE_MARK, "\\1\0\\2"), "\0")
+        distinct = pieces.flatten().dictionary_encode()
+        found = self.pieces(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at, ends = distinct.indices.to_numpy().tolist(), pieces.offsets.to_numpy().tolist()
+        odd = set(pc.indices_nonzero(pc.match_substring_regex(texts, self.odd)).to_pylist())
+        return [
+            self._odd(texts[k].as_py()) if k in odd else b"".join(map(found.__getitem__, at[a:b]))
+            for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
+        ]
+
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        gaps, words = text.count(" ") + text.count("\n"), text.split()
-        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):  # some other or doubled white space
-            first, *rest = _INNER_SPACE.split(text)
-            return b"".join([self.whole(first), *[self.spaced[x[1:]] for x in rest]])
-        parts: list[bytes] = []
-        spaced, first = self.spaced, self.first
-        for line in text.split("\n"):
-            word, *rest = line.split(" ")
-            parts += (self.line_end, first[word])
-            parts += [spaced[x] for x in rest]
-        return b"".join(parts[1:])
+        return self.many(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -169,19 +190,21 @@ def write(
 ) -> str:
     """Encode every text of ``docs`` and write a store to ``path``; returns ``path``.
 
-    The dictionary is trained on a bounded sample: the ``sample_docs`` documents of the smallest hashed
-    doc_id among texts of at most ``sample_chars`` characters. It only affects the size of the frames.
+    The dictionary is trained on a bounded sample: of the ``sample_docs`` documents of the smallest hashed
+    doc_ids, the texts of at most ``sample_chars`` characters. It only affects the size of the frames.
     Null texts are empty documents (just the end id); null doc_ids come first; rows that share a doc_id
-    are ordered by text; an empty table gives a store without blocks.
+    are ordered by text; texts of any length are one frame; other columns are ignored, whatever their
+    names; an empty table gives a store without blocks.
     """
     docs = id_and_text(docs)
     enc = Encoder(tokenizer_path)
     width = enc.width if end_id < 1 << 16 else 4
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
-    sample = hash_sample(short, sample_docs).collect()
+    short = (F.length("text") > 0) & (F.length("text") <= sample_chars)
+    drawn = in_sample(hash_cuts(docs.select("doc_id"), sample_docs))
+    sample = {r.doc_id: r.text for r in docs.filter(drawn & short).orderBy("doc_id", "text").limit(2 * sample_docs).collect()}
     enc = Encoder(tokenizer_path, width)
     end = int(end_id).to_bytes(width, "little")
-    dictionary = train_dictionary([enc(r.text) + end for r in sample], dict_bytes)
+    dictionary = train_dictionary([enc(text) + end for _, text in sorted(sample.items())], dict_bytes)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame(
         [(dict_hash, dictionary, width, end_id)], "dict_hash string, dictionary binary, width int, end_id int"
@@ -203,8 +226,8 @@ def write(
             )
 
         for batch in each_batch(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc(text) + end
+            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.many(batch.column(1)), strict=True):
+                raw += end
                 frames.append(compress(raw))
                 ids.append(doc_id)
                 sizes.append(len(raw) // width)
@@ -249,19 +272,17 @@ def _decompressor(dictionary: bytes):
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Read a store back: doc_id, start, n_tokens, ids_crc32 of every document.
+    """Read a store back: doc_id, start, n_tokens, ids_crc32 of every document, none for a store without blocks.
 
-    ``start`` is the shard's base plus the position in it. The bases come from one total per shard.
+    ``start`` is the shard's base plus the position in it. The bases come from one total per shard. Null
+    doc_ids come back as null, empty texts with the end id alone, repeated rows as often as they were written.
     """
     dict_hash, dictionary = _stored_dictionary(spark, path)
     shared = spark.sparkContext.broadcast(dictionary)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per output file
-    bases = (
-        blocks.groupBy("shard")
-        .agg(F.sum("tokens").alias("shard_tokens"))
-        .select("shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("base"))
-    )
+    bases = blocks.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
+    bases = stored(spark, bases.select("shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("base")), "bases")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +302,17 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     fields = ["first_token", "dict_hash", "width", "doc_ids", "n_tokens", "offsets", "payload", "base"]
     return (
-        blocks.join(F.broadcast(bases), "shard")  # a row per file of the store, 16 bytes each
+        blocks.join(small(bases), "shard")
         .select(*fields)
         .mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
-    """(doc_id, ids) of a few documents: other blocks are pruned, other frames are left compressed."""
+    """(doc_id, ids) of a few documents: other blocks are pruned, other frames are left compressed.
+
+    Ids that the store lacks give no row, ids it has twice give two; null ids can't be asked for.
+    """
     wanted = sorted({int(x) for x in doc_ids})
     dict_hash, dictionary = _stored_dictionary(spark, path)
     shared = spark.sparkContext.broadcast(dictionary)
