@@ -4,17 +4,20 @@ import os
 
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import forget, hash_sample, scratch, small, stored
+from tabmine.llm.common import forget, hash_cuts, in_sample, scratch, small, stored
 
 
-def test_hash_sample_is_the_smallest_hashes(spark):
-    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("c"))
     order = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     for n in (1, 20, 900, 6000):
-        got = hash_sample(rows.repartition(7), n).collect()
-        assert sorted(r.doc_id for r in got) == sorted(order[:n])
+        cuts = hash_cuts(rows.repartition(7), n)
+        assert sorted(r.doc_id for r in rows.filter(in_sample(cuts)).collect()) == sorted(order[:n])
+    cuts = hash_cuts(rows, 50, by="c")
+    got = [r.doc_id for r in rows.filter(in_sample(cuts, by="c")).collect()]
+    assert sorted(got) == sorted(x for c in range(3) for x in [k for k in order if k % 3 == c][:50])
     nulls = spark.createDataFrame([(None, "a"), (3, "b")], "doc_id long, text string")
-    assert [r.doc_id for r in hash_sample(nulls, 1).collect()] == [3]
+    assert [r.doc_id for r in nulls.filter(in_sample(hash_cuts(nulls, 1))).collect()] == [3]
 
 
 def test_stored_tables(spark):
