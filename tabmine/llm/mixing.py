@@ -83,6 +83,29 @@ def order_key(seed: int, epoch: Column, id_col: str) -> Column:
     return F.substring(F.md5(text), 1, 15)
 
 
+def _edges(spark: SparkSession, keyed: DataFrame, digits: int, step: int = 3) -> DataFrame:
+    """(LEVELS, edge, before): the bucket, a key prefix of ``digits``, that a leaf's cut falls into, and the tokens before it.
+
+    The prefix grows ``step`` digits at a time within the bucket found so far, so no leaf ever has more than
+    16 ** step buckets in a window, and each round only adds up what fell into the last round's buckets.
+    Leaves whose rest covers all of them have no edge.
+    """
+    edge = None
+    for done in range(0, max(1, digits), step):
+        upto = min(digits, done + step)
+        rows = keyed.select(*LEVELS, "rest", "n_tokens", F.substring("key", 1, upto).alias("bucket"))
+        if edge is None:
+            rows = rows.withColumn("before", F.lit(0).cast("long"))
+        else:
+            rows = rows.join(small(edge), list(LEVELS)).filter(F.substring("bucket", 1, done) == F.col("edge")).drop("edge")
+        sums = rows.groupBy(*LEVELS, "bucket", "rest", "before").agg(F.sum("n_tokens").alias("t"))
+        run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        over = sums.withColumn("upto", F.col("before") + F.sum("t").over(run)).filter("upto > rest")
+        found = over.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min(F.col("upto") - F.col("t")).alias("before"))
+        edge = stored(spark, found, "mix-edges")
+    return edge
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -96,7 +119,8 @@ def mix(
 ) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, epochs): how often each selected document is taken.
 
-    The target is ``share`` of all tokens; ``weights`` has whole numbers per level and name, 1 where none
+    Texts of any length are counted whole; other columns are ignored, whatever their names; an empty table
+    gives no rows; of equal order keys the smaller doc_id, then the shorter text comes first. The target is ``share`` of all tokens; ``weights`` has whole numbers per level and name, 1 where none
     is given, 0 for nothing. A leaf's documents are taken in order while their running sum of tokens
     stays within the rest of its budget. Documents without tokens are never taken. Null languages and
     sources are the name '' and null ids sort as ''; repeated rows are separate documents.
@@ -118,13 +142,8 @@ def mix(
     drawn = stored(spark, drawn.select(*LEVELS, "whole", "rest"), "mix-budgets")
     most = leaves.agg(F.max("n")).first()[0] or 1
     digits = next(d for d in range(16) if d == 15 or most <= bucket_rows * 16**d)
-    keyed = rows.join(small(drawn), list(LEVELS))
-    keyed = keyed.withColumn("key", order_key(seed, F.col("whole"), "doc_id")).withColumn("bucket", F.substring("key", 1, digits))
-    sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    over = sums.withColumn("upto", F.sum("t").over(upto)).filter("upto > rest")
-    edge = over.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min(F.col("upto") - F.col("t")).alias("before"))
-    keyed = keyed.join(small(stored(spark, edge, "mix-edges")), list(LEVELS), "left")
+    keyed = rows.join(small(drawn), list(LEVELS)).withColumn("key", order_key(seed, F.col("whole"), "doc_id"))
+    keyed = keyed.join(small(_edges(spark, keyed, digits)), list(LEVELS), "left").withColumn("bucket", F.substring("key", 1, digits))
     inside = keyed.filter("edge is null or bucket <> edge").withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))) & (F.col("rest") > 0))
     running = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     cut = keyed.filter("bucket = edge").withColumn("run", F.sum("n_tokens").over(running))
@@ -136,8 +155,12 @@ def mix(
 def apply_mix(spark: SparkSession, docs: DataFrame, weights: Mapping[str, Mapping[str, int]], **params) -> DataFrame:
     """The rows of ``docs`` that ``mix`` takes, each as many times as it has epochs.
 
-    Rows that share a doc_id are taken together, as often as the luckiest of them.
+    Rows that share a doc_id are taken together, as often as the luckiest of them, rows without one too;
+    null and empty texts have no tokens and are never taken; extra columns stay, but for names that begin
+    with the helper prefix, which are an error; an empty table stays empty.
     """
+    if clash := [c for c in docs.columns if c in (f"{OWN}id", f"{OWN}epochs", f"{OWN}copy")]:
+        raise ValueError(f"columns named like helper columns: {clash}")
     taken = mix(spark, docs, weights, **params)
     taken = taken.groupBy(F.col("doc_id").alias(f"{OWN}id")).agg(F.max("epochs").alias(f"{OWN}epochs"))
     joined = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}id")))

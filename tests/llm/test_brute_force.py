@@ -244,6 +244,13 @@ def test_mix_matches_direct_selection(spark, table, texts):
         assert got == want
 
 
+def test_mix_edges_found_in_steps(spark, table):
+    rows = table.selectExpr("doc_id", "'d' domain", "lang", "source", "cast(length(text) as long) n_tokens", "1000L rest")
+    rows = rows.withColumn("key", mixing.order_key(3, rows.rest, "doc_id"))
+    one = sorted(mixing._edges(spark, rows, 5, 5).collect())
+    assert one == sorted(mixing._edges(spark, rows, 5, 2).collect()) == sorted(mixing._edges(spark, rows, 5, 1).collect()) and one
+
+
 # decontamination
 
 
