@@ -11,8 +11,9 @@ that length), and in segments of ``least`` characters so close together that eve
 ``passage`` characters holds a whole one: such a passage counts wherever in the item it begins. Items
 under ``least`` characters are sought whole, those under 10 as whole words without edits.
 
-Benchmark items are broadcast in blocks of at most ``block_chars`` characters; the texts are scanned
-once per block. Texts are never shuffled or paired with each other.
+Benchmark items are broadcast in blocks of at most ``block_chars`` characters. If there are several, one
+scan of the texts with a bit filter of all items' q-grams finds the few texts that could match any, and
+only those meet the blocks. Texts are never shuffled or paired with each other.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, id_and_text
+from tabmine.llm.common import each_batch, id_and_text, stored
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 Q = 10
@@ -131,12 +133,13 @@ class Index:
         every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(every, kind="stable")
         self.hash = every[order]
-        self.pattern = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else order
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else order
+        self.pattern = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order] if grams else order
+        self.place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])[order] if grams else order
         bits = max(16, (len(every) * 16).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.filter = np.zeros(1 << bits, dtype=bool)
-        self.filter[every >> self.shift] = True
+        hit = np.zeros(1 << bits, dtype=bool)
+        hit[every >> self.shift] = True
+        self.filter = np.packbits(hit, bitorder="little")
         # any band lies within so many text positions
         self.reach = int((size + 2 * (self.edits + 1)).max()) if len(size) else 0
 
@@ -165,7 +168,7 @@ class Index:
         grams = qgrams(t)
         if not len(self.hash) or not len(grams):
             return []
-        hit = self.filter[grams >> self.shift]
+        hit = _in_filter(self.filter, self.shift, grams)
         least = int(self.need.min())
         upto = np.concatenate([[0], np.cumsum(hit)])
         if upto[-1] < least:
@@ -182,7 +185,7 @@ class Index:
         lo, hi = np.searchsorted(self.hash, grams[at], "left"), np.searchsorted(self.hash, grams[at], "right")
         n = hi - lo
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        position, pattern = np.repeat(at, n), self.pattern[entry]
+        position, pattern = np.repeat(at, n), self.pattern[entry].astype(np.int64)
         diagonal = position - self.place[entry]
         half = self.edits[pattern] + 1
         band = diagonal // half
@@ -203,6 +206,32 @@ class Index:
         return [(item, start, end, edits) for item, (edits, start, end) in sorted(best.items())]
 
 
+class Screen:
+    """Which texts could match any item of several indexes: their q-grams as one bit filter, their shortest items."""
+
+    def __init__(self, chars: int):
+        bits = min(30, max(16, (chars * 16).bit_length()))
+        self.shift, self.filter = np.uint64(64 - bits), np.zeros(1 << (bits - 3), dtype=np.uint8)
+        self.need, self.words = 1 << 62, Index([], 0.06, 160, 60)
+
+    def add(self, index: Index) -> None:
+        at = np.unique(index.hash >> self.shift)
+        np.bitwise_or.at(self.filter, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        self.need = min(self.need, int(index.need.min())) if len(index.need) else self.need
+        for word, items in index.words.items():
+            self.words.words[word] = items
+        self.words.lengths = sorted({*self.words.lengths, *index.lengths})
+
+    def hit(self, text: str) -> bool:
+        t = normal(text)
+        return bool(self.words._as_words(t)) or int(_in_filter(self.filter, self.shift, qgrams(t)).sum()) >= self.need
+
+
+def _in_filter(bits: np.ndarray, shift: np.uint64, grams: np.ndarray) -> np.ndarray:
+    at = grams >> shift
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, streamed to the driver one partition at a time."""
     block, size = [], 0
@@ -217,6 +246,27 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield block
 
 
+def _passed(docs: DataFrame, text_col: str, shared, keep: bool) -> DataFrame:
+    """The rows whose text the broadcast screen or index finds (``keep``), or doesn't find."""
+
+    def test(text):  # a pandas Series of texts
+        find = getattr(shared.value, "hit", None) or shared.value.matches
+        return text.map(lambda t: (t is not None and bool(find(t))) == keep)
+
+    return docs.filter(F.pandas_udf(test, "boolean")(F.col(text_col)))
+
+
+def _screened(spark: SparkSession, benchmark: DataFrame, block_chars: int, index) -> Broadcast | None:
+    """A screen for all items, broadcast; None if they are one block, whose index is enough."""
+    chars = benchmark.filter("item_id is not null").agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    if chars < block_chars:
+        return None
+    screen = Screen(chars)
+    for block in _blocks(benchmark, block_chars):
+        screen.add(index(block))
+    return spark.sparkContext.broadcast(screen)
+
+
 def contaminated(
     spark: SparkSession,
     docs: DataFrame,
@@ -225,7 +275,7 @@ def contaminated(
     segment: int = 160,
     least: int = 60,
     passage: int = 80,
-    block_chars: int = 2_000_000,
+    block_chars: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the best region of each item found in each document.
 
@@ -233,14 +283,18 @@ def contaminated(
     character: the whole item up to ``segment`` normal characters, a segment of that length, or one of
     ``least`` characters, of which every passage of ``passage`` characters holds one. Items under 20
     characters stand there without edits (the lemma leaves room for none), those under 10 as whole
-    words; items without letters or digits match nothing. Null texts match nothing; ties go to the
-    fewest edits, then the earliest start; repeated rows of a document give repeated matches.
+    words; items without letters or digits match nothing. Null and empty texts match nothing; ties go to
+    the fewest edits, then the earliest start; repeated rows of a document give repeated matches; texts of
+    any length are read whole; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     out = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "end", "edits")])
     found = None
     texts = id_and_text(docs)
+    index = lambda block: Index(block, rate, segment, least, passage)
+    if screen := _screened(spark, benchmark, block_chars, index):
+        texts = stored(spark, _passed(texts, "text", screen, True), "screened")
     for block in _blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(Index(block, rate, segment, least, passage))
+        shared = spark.sparkContext.broadcast(index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -261,14 +315,20 @@ def contaminated(
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item, judged where they are: no shuffle, no join."""
-    params = {"rate": 0.06, "segment": 160, "least": 60, "passage": 80, "block_chars": 2_000_000} | params
+    """The rows of ``docs`` that match no benchmark item, judged where they are: no shuffle, no join.
+
+    Null and empty texts stay, repeated rows stay or go together, texts of any length are read whole; ids
+    don't matter; extra columns stay, whatever their names; an empty table or benchmark drops nothing.
+    """
+    params = {"rate": 0.06, "segment": 160, "least": 60, "passage": 80, "block_chars": 1_000_000} | params
     size = params.pop("block_chars")
+    index = lambda block: Index(block, **params)
+    screen = _screened(spark, benchmark, size, index)
+    if screen is None:
+        for block in _blocks(benchmark, size):
+            docs = _passed(docs, text_col, spark.sparkContext.broadcast(index(block)), False)
+        return docs
+    suspects = stored(spark, _passed(docs, text_col, screen, True), "screened")
     for block in _blocks(benchmark, size):
-        shared = spark.sparkContext.broadcast(Index(block, **params))
-
-        def clean(text, shared=shared):  # a pandas Series of texts
-            return text.map(lambda t: t is None or not shared.value.matches(t))
-
-        docs = docs.filter(F.pandas_udf(clean, "boolean")(F.col(text_col)))
-    return docs
+        suspects = stored(spark, _passed(suspects, text_col, spark.sparkContext.broadcast(index(block)), False), "screened")
+    return _passed(docs, text_col, screen, False).unionByName(suspects)

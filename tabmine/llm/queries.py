@@ -1,4 +1,6 @@
-"""The operators with production parameters over the whole tables, under the names of the contract."""
+"""The operators with production parameters over the whole tables, under the names of the contract.
+
+Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: see each operator."""
 
 from __future__ import annotations
 
@@ -29,6 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in a store, read back: doc_id, start, n_tokens, ids_crc32 (``token_store``)."""
     path = scratch(spark, "tokens")
     docs = _table(spark, sf_dir, "documents")
     token_store.write(spark, docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -36,15 +39,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every text by learned thresholds (``quality_rules.quality``)."""
     return quality_rules.quality(spark, _table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every text over the pieces of a public vocabulary (``token_counts.counts``)."""
     vocab = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.counts(spark, _table(spark, sf_dir, "documents"), vocab)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document over words and pairs seen twice or more (``language_model.score``)."""
     return language_model.score(spark, _table(spark, sf_dir, "documents"))
 
 
@@ -54,26 +60,32 @@ def op4_lm_scoring_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every text (``pii.find``)."""
     return pii.find(spark, _table(spark, sf_dir, "documents"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for half of all tokens at the target weights (``mixing.mix``)."""
     return mixing.mix(spark, _table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of benchmark items in every text (``decontaminate.contaminated``)."""
     return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from four fifths of the ids (``quality_classifier.classify``)."""
     return quality_classifier.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of the ids (``language_id.identify``)."""
     return language_id.identify(spark, _table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document (``simhash.near_duplicates``)."""
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
