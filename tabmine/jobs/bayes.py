@@ -61,17 +61,18 @@ _MNB_LL = """voc AS (SELECT DISTINCT term FROM model), kn AS (SELECT n.* FROM n
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(row_id, term, n): lower-case words of each text."""
+    """(row_id, term, n) and y if there is one: lower-case words of each text, a row for each place."""
     text = F.lower(F.coalesce("text", F.lit("")))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    return docs.select(F.col("doc_id").alias("row_id"), F.explode(words).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
+    y = [c for c in docs.columns if c == "y"]
+    return docs.select(F.col("doc_id").alias("row_id"), *y, F.explode(words).alias("term"), F.lit(1).cast("long").alias("n"))
 
 
 def _mnb(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    counts = word_counts(docs)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("y"))
-    return docs.select(F.col("doc_id").alias("row_id")), counts, *nb.fit_multinomial(counts, labels)
+    seen = word_counts(docs.join(labels.withColumnRenamed("row_id", "doc_id"), "doc_id"))  # texts meet labels before they are words
+    return docs.select(F.col("doc_id").alias("row_id")), word_counts(docs), *nb.fit_multinomial(seen, labels)
 
 
 @query("mnb_fit", f"WITH {MNB_SQL} SELECT y, term, round(log_p, 6) AS log_p FROM model")

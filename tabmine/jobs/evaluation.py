@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tabmine.jobs import views as V
 from tabmine.jobs.bayes import GNB_PRED, GNB_SQL, gnb_predictions
-from tabmine.jobs.models import TEST_PATHS, tree_ctes
-from tabmine.jobs.neighbours import split, vote_sql
+from tabmine.jobs.models import test_paths, tree_ctes
+from tabmine.jobs.neighbours import DIST, split, vote_sql
 from tabmine.jobs.profiling import split_sql
 from tabmine.jobs.registry import query, report, table
 from tabmine.operators import chartdata, knn, metrics, naive_bayes, prep, tree, validate
@@ -138,7 +138,7 @@ def cv_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CV_KNN = f"""x AS (SELECT v.*, fold FROM ({V.VEC_SQL}) v JOIN (SELECT vec_id, fold FROM ({kfold_sql("SELECT vec_id FROM embeddings", "vec_id")})) USING (vec_id)),
     nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS y,
-        sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(q.x[i] - t.x[i], 2)))) AS dist FROM x q JOIN x t ON q.fold <> t.fold)) WHERE rank <= 5),
+        {DIST} AS dist FROM x q JOIN x t ON q.fold <> t.fold)) WHERE rank <= 5),
     {vote_sql('CAST(1 AS DOUBLE)')}, p AS (SELECT vec_id, fold, label, pred FROM x JOIN pr ON qid = vec_id)"""
 
 
@@ -209,11 +209,11 @@ def train_evaluate_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CMP = f"""SELECT 'gaussian_nb' AS algorithm, {_ALL} FROM (WITH {_scaled_split_sql(False)}, {confusion_sql('p')} SELECT * FROM su) UNION ALL
     SELECT 'knn' AS algorithm, {_ALL} FROM (WITH s AS ({split_sql(V.VEC_SQL, 'vec_id')}), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM
-        (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS y, sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(q.x[i] - t.x[i], 2)))) AS dist FROM s q JOIN s t ON q.is_test AND NOT t.is_test)) WHERE rank <= 5),
+        (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS y, {DIST} AS dist FROM s q JOIN s t ON q.is_test AND NOT t.is_test)) WHERE rank <= 5),
         {vote_sql('CAST(1 AS DOUBLE)')}, p AS (SELECT vec_id, label, pred FROM s JOIN pr ON qid = vec_id), {confusion_sql('p')} SELECT * FROM su) UNION ALL
     SELECT 'c45' AS algorithm, {_ALL} FROM (WITH sp0 AS ({split_sql(f"SELECT vec_id AS row_id, x, label AS y FROM ({V.VEC_SQL})", "row_id")}),
-        {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test", features=V.DIMS, classes=10)}, {TEST_PATHS},
-        p AS (SELECT row_id AS vec_id, y AS label, lab.label AS pred FROM v2 JOIN lab USING (node)), {confusion_sql('p')} SELECT * FROM su)"""
+        {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test", features=V.DIMS, classes=10)}, {test_paths()},
+        p AS (SELECT row_id AS vec_id, y AS label, lab.label AS pred FROM vz JOIN lab USING (node)), {confusion_sql('p')} SELECT * FROM su)"""
 
 
 @query("compare_algorithms", _CMP)
@@ -223,7 +223,7 @@ def compare_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     gnb = naive_bayes.predict_gaussian(test, naive_bayes.fit_gaussian(train)).select("y", "pred")
     near = knn.predict(knn.vote(knn.neighbors(test, train)))
     near = test.join(near, F.col("row_id") == F.col("qid")).select("y", "pred")
-    c45 = tree.predict(test, tree.grow(train, 10, V.DIMS, max_depth=2)).select("y", "pred")
+    c45 = tree.predict(test, tree.grow(train, 10, V.DIMS)).select("y", "pred")
     models = (("gaussian_nb", gnb), ("knn", near), ("c45", c45))
     parts = [metrics.summary(metrics.confusion(p)).select(F.lit(n).alias("algorithm"), *validate.METRICS) for n, p in models]
     return report(parts[0].unionByName(parts[1]).unionByName(parts[2]))

@@ -20,13 +20,13 @@ def split_ctes(tag: str, rows: str, criterion: str = "ratio", candidates: int |
     """CTEs sc{tag} (node, fi, threshold, score, n_left, n_right) and best{tag} for a table (row_id, x, y, node)."""
     cap = f"WHERE rk <= {candidates}" if candidates else ""
     score = "gain" if criterion == "gain" else "CASE WHEN info < 1e-10 THEN 0 ELSE gain / info END"
-    return f"""l{tag} AS (SELECT node, y, CAST(i - 1 AS INT) AS fi, x[i] AS v FROM {rows}, range(1, {features + 1}) t(i)),
-    u{tag} AS (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nx, row_number() OVER (PARTITION BY node, fi ORDER BY v) AS rk FROM (SELECT DISTINCT node, fi, v FROM l{tag})),
-    n{tag} AS (SELECT node, fi, v, y, count(*) AS n FROM l{tag} GROUP BY ALL),
+    return f"""l{tag} AS MATERIALIZED (SELECT node, y, CAST(i - 1 AS INT) AS fi, x[i] AS v FROM {rows}, range(1, {features + 1}) t(i)),
+    u{tag} AS MATERIALIZED (SELECT node, fi, v, lead(v) OVER (PARTITION BY node, fi ORDER BY v) AS nx, row_number() OVER (PARTITION BY node, fi ORDER BY v) AS rk FROM (SELECT DISTINCT node, fi, v FROM l{tag})),
+    n{tag} AS MATERIALIZED (SELECT node, fi, v, y, count(*) AS n FROM l{tag} GROUP BY ALL),
     w{tag} AS (SELECT u.node, u.fi, u.v, k.y, sum(coalesce(n, 0)) OVER (PARTITION BY u.node, u.fi, k.y ORDER BY u.v) AS l, sum(coalesce(n, 0)) OVER (PARTITION BY u.node, u.fi, k.y) AS t
         FROM u{tag} u CROSS JOIN (SELECT unnest(range(0, {classes})) AS y) k LEFT JOIN n{tag} n ON n.node = u.node AND n.fi = u.fi AND n.v = u.v AND n.y = k.y),
     z{tag} AS (SELECT *, sum(l) OVER (PARTITION BY node, fi, v) AS nl, sum(t) OVER (PARTITION BY node, fi, v) AS nt FROM w{tag}),
-    h{tag} AS (SELECT node, fi, v, CAST(any_value(nl) AS BIGINT) AS nl, CAST(any_value(nt - nl) AS BIGINT) AS nr, sum(CASE WHEN l > 0 THEN -(l / nl) * log2(l / nl) ELSE 0 END) AS hl,
+    h{tag} AS MATERIALIZED (SELECT node, fi, v, CAST(any_value(nl) AS BIGINT) AS nl, CAST(any_value(nt - nl) AS BIGINT) AS nr, sum(CASE WHEN l > 0 THEN -(l / nl) * log2(l / nl) ELSE 0 END) AS hl,
         sum(CASE WHEN t > l THEN -((t - l) / (nt - nl)) * log2((t - l) / (nt - nl)) ELSE 0 END) AS hr, sum(CASE WHEN t > 0 THEN -(t / nt) * log2(t / nt) ELSE 0 END) AS h FROM z{tag} GROUP BY ALL),
     g{tag} AS (SELECT h.*, nx, rk, h - nl / (nl + nr) * hl - nr / (nl + nr) * hr AS gain, -(nl / (nl + nr)) * log2(nl / (nl + nr)) - nr / (nl + nr) * log2(nr / (nl + nr)) AS info
         FROM h{tag} h JOIN u{tag} USING (node, fi, v) WHERE nx IS NOT NULL),
@@ -34,17 +34,23 @@ def split_ctes(tag: str, rows: str, criterion: str = "ratio", candidates: int |
     best{tag} AS (SELECT * EXCLUDE rk FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(score, 9) DESC, fi, threshold) AS rk FROM sc{tag}) WHERE rk = 1)"""
 
 
-def tree_ctes(rows: str, criterion: str = "ratio", candidates: int | None = None, least: float = 1e-5, features: int = 3, classes: int = TYPES) -> str:
-    """CTEs of a depth-2 tree on ``rows``: r2 (row_id, x, y, node) with leaves and sp (node, fi, threshold, score)."""
-    down = "CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END"
-    return f"""r0 AS (SELECT *, 1 AS node FROM ({rows})), {split_ctes("a", "r0", criterion, candidates, features, classes)},
-    sa AS (SELECT * FROM besta WHERE round(score, 9) >= {least}), r1 AS (SELECT row_id, x, y, {down} AS node FROM r0 LEFT JOIN sa USING (node)),
-    op AS (SELECT node FROM r1 WHERE node > 1 GROUP BY node HAVING count(*) >= 2 AND count(DISTINCT y) > 1),
-    o1 AS (SELECT r1.* FROM r1 JOIN op USING (node)), {split_ctes("b", "o1", criterion, candidates, features, classes)},
-    sb AS (SELECT * FROM bestb WHERE round(score, 9) >= {least}), r2 AS (SELECT row_id, x, y, {down} AS node FROM r1 LEFT JOIN sb USING (node)),
-    sp AS (SELECT * FROM sa UNION ALL SELECT * FROM sb),
-    nodes AS (SELECT 1 AS node, y FROM r0 UNION ALL SELECT node, y FROM r1 WHERE node > 1 UNION ALL SELECT node, y FROM r2 WHERE node > 3),
-    lab AS (SELECT node, y AS label, n_rows FROM (SELECT node, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY node) AS n_rows,
+_DOWN = "CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END"
+
+
+def tree_ctes(
+    rows: str, criterion: str = "ratio", candidates: int | None = None, least: float = 1e-5, features: int = 3, classes: int = TYPES, depth: int = 10
+) -> str:
+    """CTEs of a tree on ``rows``: rz (row_id, x, y, node) with leaves, sp (node, fi, threshold, score) and lab (node, label, n_rows)."""
+    out = f"r0 AS MATERIALIZED (SELECT *, 1 AS node FROM ({rows}))"
+    for k in range(depth):
+        out += f""", op{k} AS (SELECT node FROM r{k} WHERE node >= {2**k} GROUP BY node HAVING count(*) >= 2 AND count(DISTINCT y) > 1),
+    o{k} AS MATERIALIZED (SELECT r{k}.* FROM r{k} JOIN op{k} USING (node)), {split_ctes(f"_{k}", f"o{k}", criterion, candidates, features, classes)},
+    s{k} AS MATERIALIZED (SELECT * FROM best_{k} WHERE round(score, 9) >= {least}),
+    r{k + 1} AS MATERIALIZED (SELECT row_id, x, y, {_DOWN} AS node FROM r{k} LEFT JOIN s{k} USING (node))"""
+    every = lambda what: " UNION ALL ".join(what(k) for k in range(depth + 1))
+    return f"""{out}, rz AS (SELECT * FROM r{depth}), sp AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(depth))}),
+    nodes AS ({every(lambda k: f"SELECT node, y FROM r{k} WHERE node >= {2**k}")}),
+    lab AS MATERIALIZED (SELECT node, y AS label, n_rows FROM (SELECT node, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY node) AS n_rows,
         row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, y) AS rk FROM nodes GROUP BY node, y) WHERE rk = 1)"""
 
 
@@ -52,7 +58,8 @@ def tree_ctes(rows: str, criterion: str = "ratio", candidates: int | None = None
 def c45_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_frame(spark, sf_dir)
     cells = rows.select(F.lit(1).alias("node"), "y", F.posexplode("x").alias("fi", "v"))
-    return report(tree.best_splits(tree.split_scores(cells, TYPES, tree.edges(cells, 3, rows, 32))))
+    found = tree.best_splits(tree.split_scores(cells, TYPES, tree.edges(rows, 3, rows.count())))
+    return report(found.drop("left", "right"))
 
 
 _TREE = f"WITH {tree_ctes(_PART)}"
@@ -66,21 +73,21 @@ def _table(spark: SparkSession, grown: tree.Tree) -> DataFrame:
 
 @query("c45_tree", f"{_TREE} SELECT node, fi, round(threshold, 6) AS threshold, round(score, 6) AS score, CAST(n_rows AS BIGINT) AS n_rows, label FROM lab LEFT JOIN sp USING (node)")
 def c45_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, tree.grow(part_frame(spark, sf_dir), TYPES, 3, max_depth=2))
+    return _table(spark, tree.grow(part_frame(spark, sf_dir), TYPES, 3))
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_frame(spark, sf_dir)
-    return tree.predict(rows, tree.grow(rows, TYPES, 3, max_depth=2))
+    return tree.predict(rows, tree.grow(rows, TYPES, 3))
 
 
-@query("c45_predict", f"{_TREE} SELECT row_id, y, node AS leaf, label AS pred FROM r2 JOIN lab USING (node)")
+@query("c45_predict", f"{_TREE} SELECT row_id, y, node AS leaf, label AS pred FROM rz JOIN lab USING (node)")
 def c45_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir).select("row_id", "y", "leaf", "pred")
 
 
-@query("c45_predict_proba", f"""{_TREE}, q AS (SELECT node, CAST(k AS INT) AS k, count_if(y = k) / count(*) AS p FROM r2, range(0, {TYPES}) t(k) GROUP BY node, k)
-    SELECT row_id, k, round(p, 6) AS p FROM r2 JOIN q USING (node)""")
+@query("c45_predict_proba", f"""{_TREE}, q AS (SELECT node, CAST(k AS INT) AS k, count_if(y = k) / count(*) AS p FROM rz, range(0, {TYPES}) t(k) GROUP BY node, k)
+    SELECT row_id, k, round(p, 6) AS p FROM rz JOIN q USING (node)""")
 def c45_predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_predicted(spark, sf_dir).select("row_id", F.posexplode("proba").alias("k", "p")))
 
@@ -88,29 +95,46 @@ def c45_predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = split_sql(_PART, "row_id")
 
 
-#: CTEs v0, v1, v2: rows of sp0 held out for testing, and the nodes they are in at each level.
-TEST_PATHS = """v0 AS (SELECT row_id, x, y, 1 AS node FROM sp0 WHERE is_test),
-    v1 AS (SELECT row_id, x, y, CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END AS node FROM v0 LEFT JOIN sa USING (node)),
-    v2 AS (SELECT row_id, x, y, CASE WHEN fi IS NULL THEN node ELSE 2 * node + CAST(x[fi + 1] > threshold AS INT) END AS node FROM v1 LEFT JOIN sb USING (node))"""
+def test_paths(depth: int = 10) -> str:
+    """CTEs v0 ... : rows of sp0 held out for testing, and the nodes they are in at each level; vz is the last, pa all of them."""
+    out = "v0 AS MATERIALIZED (SELECT row_id, x, y, 1 AS node FROM sp0 WHERE is_test)"
+    for k in range(depth):
+        out += f", v{k + 1} AS MATERIALIZED (SELECT row_id, x, y, {_DOWN} AS node FROM v{k} LEFT JOIN s{k} USING (node))"
+    passed = " UNION ALL ".join(f"SELECT row_id, node FROM v{k} WHERE node >= {2**k}" for k in range(depth + 1))
+    return f"{out}, vz AS (SELECT * FROM v{depth}), pa AS MATERIALIZED ({passed})"
+
+
+_PRUNED = f"""WITH sp0 AS MATERIALIZED ({_SPLIT}), {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test")}, {test_paths()},
+    ps AS MATERIALIZED (SELECT pa.node, count(*) AS n, CAST(count_if(ll.label = vz.y) AS BIGINT) AS as_subtree, CAST(count_if(nl.label = vz.y) AS BIGINT) AS as_leaf
+        FROM pa JOIN vz USING (row_id) JOIN lab ll ON ll.node = vz.node JOIN lab nl ON nl.node = pa.node GROUP BY pa.node)"""
 
 
-@query("c45_prune_stats", f"""WITH sp0 AS ({_SPLIT}), {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test")}, {TEST_PATHS},
-    pa AS (SELECT row_id, 1 AS node FROM v0 UNION ALL SELECT row_id, node FROM v1 WHERE node > 1 UNION ALL SELECT row_id, node FROM v2 WHERE node > 3)
-    SELECT pa.node, count(*) AS n, CAST(count_if(ll.label = v2.y) AS BIGINT) AS as_subtree, CAST(count_if(nl.label = v2.y) AS BIGINT) AS as_leaf
-    FROM pa JOIN v2 USING (row_id) JOIN lab ll ON ll.node = v2.node JOIN lab nl ON nl.node = pa.node GROUP BY pa.node""")
+@query("c45_prune_stats", f"{_PRUNED} SELECT * FROM ps")
 def c45_prune_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prep.train_test_split(part_frame(spark, sf_dir), "row_id")
-    grown = tree.grow(rows.filter("not is_test"), TYPES, 3, max_depth=2)
+    grown = tree.grow(rows.filter("not is_test"), TYPES, 3)
     return tree.prune_stats(grown, rows.filter("is_test"))
 
 
-_GAIN = tree_ctes(_PART, "gain", 20, 0.001)
+@query("c45_pruned_predict", f"""{_PRUNED}, cut AS (SELECT node FROM ps JOIN sp USING (node) WHERE as_leaf >= as_subtree),
+    fin AS (SELECT vz.row_id, vz.y, coalesce(c.node, vz.node) AS leaf, c.node AS pruned FROM vz LEFT JOIN (SELECT row_id, min(node) AS node FROM pa JOIN cut USING (node) GROUP BY row_id) c USING (row_id)),
+    vl AS (SELECT node, y AS label FROM (SELECT pa.node, y, row_number() OVER (PARTITION BY pa.node ORDER BY count(*) DESC, y) AS rk FROM pa JOIN vz USING (row_id) GROUP BY pa.node, y) WHERE rk = 1)
+    SELECT row_id, fin.y, CAST(leaf AS INT) AS leaf, CASE WHEN pruned IS NULL THEN lab.label ELSE vl.label END AS pred FROM fin LEFT JOIN lab ON lab.node = leaf LEFT JOIN vl ON vl.node = leaf""")
+def c45_pruned_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for the held-out rows of the tree that they have pruned."""
+    rows = prep.train_test_split(part_frame(spark, sf_dir), "row_id")
+    held = rows.filter("is_test")
+    pruned = tree.prune(tree.grow(rows.filter("not is_test"), TYPES, 3), held)
+    return tree.predict(held, pruned).select("row_id", "y", "leaf", "pred")
+
+
+_GAIN = tree_ctes(_PART, "gain", 20, 0.001, depth=6)
 _IMPORTANCE = "im AS (SELECT f.fi, coalesce(sum(n_rows), 0) / (SELECT greatest(sum(n_rows), 1) FROM sp JOIN lab USING (node)) AS importance FROM (SELECT unnest([0, 1, 2]) AS fi) f LEFT JOIN (sp JOIN lab USING (node)) s ON s.fi = f.fi GROUP BY f.fi)"
 
 
 @query("embedded_importance", f"WITH {_GAIN}, {_IMPORTANCE} SELECT fi, round(importance, 6) AS importance FROM im ORDER BY round(importance, 9) DESC, fi LIMIT 15")
 def embedded_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tree.importance(part_frame(spark, sf_dir), TYPES, 3, max_depth=2)
+    found = tree.importance(part_frame(spark, sf_dir), TYPES, 3)
     ranked = sorted(enumerate(found), key=lambda p: (-round(p[1], 9), p[0]))[:15]
     return spark.createDataFrame([(i, round(v, 6)) for i, v in ranked], "fi int, importance double")
 
@@ -125,7 +149,7 @@ def select_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = prep.preprocess(wide, "row_id", names, "mean", "standard")
     rows = ready.select("row_id", "y", F.array(*names).alias("x"))
     filtered = {r.fi for r in select.top(select.pearson_scores(rows), 1).collect()}  # one feature
-    weights = tree.importance(rows, TYPES, 3, max_depth=2)
+    weights = tree.importance(rows, TYPES, 3)
     embedded = {max(range(3), key=lambda k: (round(weights[k], 9), -k))}
     return spark.createDataFrame([(f,) for f in sorted(filtered | embedded)[:2]], "fi int")
 
@@ -139,7 +163,7 @@ def svm_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("svm_decision", f"""WITH x AS ({V.VEC_SQL}), sv AS (SELECT x AS v, CASE WHEN label % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END AS coef FROM x ORDER BY vec_id LIMIT 20)
-    SELECT vec_id, round(sum(coef * exp(-0.5 * list_sum(list_transform(range(1, 9), lambda i: pow(x[i] - v[i], 2))))) + 0.1, 6) AS decision FROM x, sv GROUP BY vec_id""")
+    SELECT vec_id, round(sum(coef * exp(-0.5 * pow(list_distance(x, v), 2))) + 0.1, 6) AS decision FROM x, sv GROUP BY vec_id""")
 def svm_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     coef = F.when(F.col("y") % 2 == 0, 0.5).otherwise(-0.5)
@@ -178,13 +202,13 @@ def svm_hinge_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("svm_ovo_linear")
 def svm_ovo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.vec_frame(spark, sf_dir, None)
+    rows = V.vec_frame(spark, sf_dir)
     return svm.train(rows, list(range(10))).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
 
 @query("svm_ovo_rbf_rff")
 def svm_ovo_rbf_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = svm.fourier_features(V.vec_frame(spark, sf_dir, None), 0.5, 64)
+    rows = svm.fourier_features(V.vec_frame(spark, sf_dir), 0.5, 64)
     return svm.train(rows, list(range(10))).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
 
@@ -254,7 +278,7 @@ def mlp_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(optimiser: str, rate: float) -> None:
     @query(f"mlp_train_{optimiser}")
     def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = V.vec_frame(spark, sf_dir, None)
+        rows = V.vec_frame(spark, sf_dir)
         model = mlp.train(rows, [16], 10, optimiser, rate, epochs=200)
         return model.predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
 
@@ -265,5 +289,5 @@ for _name, _rate in (("sgd", 0.5), ("momentum", 0.1), ("adam", 0.02)):
 
 @query("mlp_loss_history")
 def mlp_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = mlp.train(V.vec_frame(spark, sf_dir, None), [16], 10, "adam", 0.02, epochs=200)
+    model = mlp.train(V.vec_frame(spark, sf_dir), [16], 10, "adam", 0.02, epochs=200)
     return report(spark.createDataFrame(list(enumerate(model.history, 1)), "epoch int, loss double"))

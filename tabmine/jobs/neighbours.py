@@ -10,8 +10,8 @@ from tabmine.jobs.profiling import split_sql
 from tabmine.jobs.registry import query, report
 from tabmine.operators import kmeans, knn, prep
 
-_DIST = "sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(q.x[i] - t.x[i], 2))))"
-_MANHATTAN = "list_sum(list_transform(range(1, 9), lambda i: abs(q.x[i] - t.x[i])))"
+DIST = "list_distance(q.x, t.x)"
+_MANHATTAN = f"list_sum(list_transform(range(1, {V.DIMS + 1}), lambda i: abs(q.x[i] - t.x[i])))"
 _SPLIT = f"s AS ({split_sql(V.VEC_SQL, 'vec_id')})"
 
 
@@ -33,7 +33,7 @@ def found(spark: SparkSession, sf_dir: str, metric: str = "euclidean") -> DataFr
 _NB_OUT = "SELECT qid, CAST(rank AS INT) AS rank, tid, y, round(dist, 6) AS dist FROM nb"
 
 
-@query("knn_neighbors", f"WITH {_nb(_DIST)} {_NB_OUT}")
+@query("knn_neighbors", f"WITH {_nb(DIST)} {_NB_OUT}")
 def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(found(spark, sf_dir).select("qid", "rank", "tid", "y", "dist"))
 
@@ -55,23 +55,23 @@ def _voted(spark: SparkSession, sf_dir: str, weights: str) -> DataFrame:
     return report(knn.predict(knn.vote(found(spark, sf_dir), weights)))
 
 
-@query("knn_uniform", f"WITH {_nb(_DIST)}, {vote_sql('CAST(1 AS DOUBLE)')} {_PRED_OUT}")
+@query("knn_uniform", f"WITH {_nb(DIST)}, {vote_sql('CAST(1 AS DOUBLE)')} {_PRED_OUT}")
 def knn_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir, "uniform")
 
 
-@query("knn_distance_weighted", f"WITH {_nb(_DIST)}, {vote_sql('1 / (dist + 1e-10)')} {_PRED_OUT}")
+@query("knn_distance_weighted", f"WITH {_nb(DIST)}, {vote_sql('1 / (dist + 1e-10)')} {_PRED_OUT}")
 def knn_distance_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir, "distance")
 
 
-@query("knn_gaussian", f"WITH {_nb(_DIST)}, {vote_sql('exp(-dist * dist / 2)')} {_PRED_OUT}")
+@query("knn_gaussian", f"WITH {_nb(DIST)}, {vote_sql('exp(-dist * dist / 2)')} {_PRED_OUT}")
 def knn_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir, "gaussian")
 
 
 @query("knn_bandwidth", f"""WITH {_SPLIT}, t AS (SELECT * FROM s WHERE NOT is_test), q AS (SELECT * FROM t ORDER BY md5('42-' || vec_id), vec_id LIMIT 500),
-    d AS (SELECT {_DIST} AS d FROM q, t) SELECT round(quantile_cont(d, 0.5) / sqrt(2), 6) AS sigma FROM d WHERE d > 0""")
+    d AS (SELECT {DIST} AS d FROM q, t) SELECT round(quantile_cont(d, 0.5) / sqrt(2), 6) AS sigma FROM d WHERE d > 0""")
 def knn_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigma = knn.bandwidth(split(spark, sf_dir)[1])
     return spark.createDataFrame([(round(sigma, 6),)], "sigma double")
@@ -85,14 +85,14 @@ def kmeans_sql(k: int, steps: int, tag: str = "") -> str:
     out = f"""x{tag} AS ({V.VEC_SQL}), c{tag}0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM x{tag} ORDER BY vec_id LIMIT {k})"""
     for s in range(steps + 1):
         out += f""", a{tag}{s} AS (SELECT vec_id, label, x, k, d2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d2, 9), k) AS rk FROM
-            (SELECT vec_id, label, x, k, list_sum(list_transform(range(1, 9), lambda i: pow(x[i] - c[i], 2))) AS d2 FROM x{tag}, c{tag}{s})) WHERE rk = 1)"""
+            (SELECT vec_id, label, x, k, pow(list_distance(x, c), 2) AS d2 FROM x{tag}, c{tag}{s})) WHERE rk = 1)"""
         if s < steps:
-            out += f""", c{tag}{s + 1} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(x[i]) AS m FROM a{tag}{s}, range(1, 9) t(i) GROUP BY k, i) GROUP BY k)"""
+            out += f""", c{tag}{s + 1} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(x[i]) AS m FROM a{tag}{s}, range(1, {V.DIMS + 1}) t(i) GROUP BY k, i) GROUP BY k)"""
     return out
 
 
 def _centres_sql(name: str) -> str:
-    return f"SELECT CAST(k AS INT) AS k, CAST(i - 1 AS INT) AS fi, round(c[i], 6) + 0.0 AS value FROM {name}, range(1, 9) t(i)"
+    return f"SELECT CAST(k AS INT) AS k, CAST(i - 1 AS INT) AS fi, round(c[i], 6) + 0.0 AS value FROM {name}, range(1, {V.DIMS + 1}) t(i)"
 
 
 @query("kmeans_assign", f"WITH {kmeans_sql(10, 0)} SELECT vec_id, CAST(k AS INT) AS cluster, round(d2, 6) AS d2 FROM a0")
@@ -140,7 +140,7 @@ def kmeans_fit_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("silhouette", f"""WITH x AS ({V.VEC_SQL}), n AS (SELECT label, count(*) AS n FROM x GROUP BY label),
-    d AS (SELECT q.vec_id, q.label, t.label AS other, sum({_DIST}) AS s FROM x q, x t GROUP BY ALL),
+    d AS (SELECT q.vec_id, q.label, t.label AS other, sum({DIST}) AS s FROM x q, x t GROUP BY ALL),
     ab AS (SELECT vec_id, d.label, max(CASE WHEN d.label = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN d.label <> other THEN s / n END) AS b
         FROM d JOIN n ON n.label = other GROUP BY vec_id, d.label)
     SELECT vec_id, label AS cluster, round(a, 6) AS a, round(b, 6) AS b, round(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS s FROM ab""")

@@ -194,8 +194,8 @@ def centroids(rows: DataFrame) -> DataFrame:
     return means.groupBy(F.col("y").alias("k")).agg(c.alias("c"))
 
 
-@query("vector_distance", f"""SELECT vec_id, k, round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(x[i] - c[i], 2)))), 6) AS euclidean,
-    round(list_sum(list_transform(range(1, 9), lambda i: abs(x[i] - c[i]))), 6) AS manhattan FROM ({V.VEC_SQL}), {_CENTRES}""")
+@query("vector_distance", f"""SELECT vec_id, k, round(list_distance(x, c), 6) AS euclidean,
+    round(list_sum(list_transform(range(1, {V.DIMS + 1}), lambda i: abs(x[i] - c[i]))), 6) AS manhattan FROM ({V.VEC_SQL}), {_CENTRES}""")
 def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     x, c = F.col("x"), F.col("c")
@@ -204,7 +204,7 @@ def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("kernel_values", f"""SELECT vec_id, k, round(list_dot_product(x, c), 6) + 0.0 AS linear, round(pow(0.5 * list_dot_product(x, c) + 1, 3), 6) + 0.0 AS poly,
-    round(exp(-0.5 * list_sum(list_transform(range(1, 9), lambda i: pow(x[i] - c[i], 2)))), 6) AS rbf FROM ({V.VEC_SQL}), {_CENTRES}""")
+    round(exp(-0.5 * pow(list_distance(x, c), 2)), 6) AS rbf FROM ({V.VEC_SQL}), {_CENTRES}""")
 def kernel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     x, c, g = F.col("x"), F.col("c"), F.lit(0.5)

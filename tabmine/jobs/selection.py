@@ -56,7 +56,7 @@ def _fold_sql(d: int, folds: int = 3) -> str:
     m AS (SELECT f.fold, label AS k, fi, avg(v) AS mu, var_pop(v) + 1e-9 AS va, CAST(count(*) AS DOUBLE) AS n FROM c, (SELECT unnest(range(0, {folds})) AS fold) f
         WHERE c.fold IS NULL OR c.fold <> f.fold GROUP BY ALL),
     p AS (SELECT *, ln(n / sum(n) OVER (PARTITION BY fold, fi)) AS prior FROM m),
-    t AS (SELECT c.vec_id, c.fold, c.label, p.k, c.fi, -0.5 * ln(2 * pi() * va) - pow(v - mu, 2) / (2 * va) AS term, prior FROM c JOIN p ON p.fold = c.fold AND p.fi = c.fi)"""
+    t AS MATERIALIZED (SELECT c.vec_id, c.fold, c.label, p.k, c.fi, -0.5 * ln(2 * pi() * va) - pow(v - mu, 2) / (2 * va) AS term, prior FROM c JOIN p ON p.fold = c.fold AND p.fi = c.fi)"""
 
 
 def _accuracy_sql(name: str, inside: str, candidates: str) -> str:
@@ -67,9 +67,12 @@ def _accuracy_sql(name: str, inside: str, candidates: str) -> str:
              WHERE {inside} GROUP BY cand, vec_id, fold, label, k)) WHERE rk = 1 GROUP BY cand, fold) GROUP BY cand)"""
 
 
+_ALL = f"(SELECT unnest(range(0, {V.DIMS})) AS cand)"
+
+
 @query("forward_selection", f"""WITH {_fold_sql(V.DIMS)},
-    {_accuracy_sql("s1", "fi = cand", "(SELECT unnest(range(0, 8)) AS cand)")}, b1 AS (SELECT * FROM s1 ORDER BY a DESC, cand LIMIT 1),
-    {_accuracy_sql("s2", "fi = cand OR fi = one", "(SELECT o.cand, b1.cand AS one FROM (SELECT unnest(range(0, 8)) AS cand) o, b1 WHERE o.cand <> b1.cand)")},
+    {_accuracy_sql("s1", "fi = cand", _ALL)}, b1 AS (SELECT * FROM s1 ORDER BY a DESC, cand LIMIT 1),
+    {_accuracy_sql("s2", "fi = cand OR fi = one", f"(SELECT o.cand, b1.cand AS one FROM {_ALL} o, b1 WHERE o.cand <> b1.cand)")},
     b2 AS (SELECT * FROM s2 ORDER BY a DESC, cand LIMIT 1)
     SELECT 1 AS step, CAST(cand AS INT) AS fi, round(a, 6) AS accuracy FROM b1 UNION ALL SELECT 2, CAST(cand AS INT), round(a, 6) FROM b2""")
 def forward_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +80,7 @@ def forward_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, f, round(a, 6)) for k, (f, a) in enumerate(chosen)], "step int, fi int, accuracy double")
 
 
-@query("backward_elimination", f"""WITH {_fold_sql(V.DIMS)}, {_accuracy_sql("s1", "fi <> cand", "(SELECT unnest(range(0, 8)) AS cand)")}
+@query("backward_elimination", f"""WITH {_fold_sql(V.DIMS)}, {_accuracy_sql("s1", "fi <> cand", _ALL)}
     SELECT 1 AS step, CAST(cand AS INT) AS fi, round(a, 6) AS accuracy FROM s1 ORDER BY a DESC, cand DESC LIMIT 1""")
 def backward_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = select.backward_elimination(V.vec_frame(spark, sf_dir), V.DIMS - 1, V.DIMS)

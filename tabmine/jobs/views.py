@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tabmine.jobs.registry import table
 
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-DIMS = 8
+#: The width of the embeddings.
+DIMS = 64
 VEC = [f"f{k}" for k in range(DIMS)]
 CUST = ["c_acctbal", "n_orders", "sum_price", "avg_price"]
 MISSING = ["o_totalprice", "o_custkey"]
 USR = ["n_events", "sum_value", "avg_value", "max_value"]
 
-#: (vec_id, label, x) and (vec_id, label, fi, v) of the first dimensions of the embeddings.
-VEC_SQL = f"SELECT vec_id, label, CAST(embedding[1:{DIMS}] AS DOUBLE[]) AS x FROM embeddings"
+#: (vec_id, label, x) and (vec_id, label, fi, v) of the embeddings.
+VEC_SQL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 VEC_LONG_SQL = f"SELECT vec_id, label, CAST(i - 1 AS INT) AS fi, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, {DIMS + 1}) t(i)"
 VEC_WIDE_SQL = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(DIMS)) + " FROM embeddings"
 LI_LONG_SQL = " UNION ALL ".join(
@@ -40,10 +41,9 @@ def vec(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[e[k].cast("double").alias(f"f{k}") for k in range(dims)])
 
 
-def vec_frame(spark: SparkSession, sf_dir: str, dims: int | None = DIMS) -> DataFrame:
-    """(row_id, x, y); None takes the whole vector."""
+def vec_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, x, y)."""
     x = F.col("embedding").cast("array<double>")
-    x = x if dims is None else F.slice(x, 1, dims)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), x.alias("x"), F.col("label").alias("y"))
 
 

@@ -69,27 +69,45 @@ def _blocks(rows: DataFrame, names: list[str], parts: int, block: str, packed: s
 
 
 def block_pairs(
-    left: DataFrame, right: DataFrame, f: Callable[[dict, dict], dict], schema: str, left_names: list[str], right_names: list[str], size: int = 2000
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, f: Callable[[dict, dict], dict], schema: str, left_names: list[str], right_names: list[str], size: int = 2000,
+    most: int = 20_000,
+) -> DataFrame:
     """f over every pair of a block of ``left`` and a block of ``right``, as rows of ``schema``.
 
-    Blocks have about ``size`` rows by hash. Left blocks are copied once per right block, so what moves
-    is blocks and what f returns, never pairs of rows. f gets columns as arrays, x as a matrix.
+    f gets columns as arrays, x as a matrix; a right block is sorted by its columns. A right side of at most
+    ``most`` rows is sent to every task, in blocks of ``size``. Beyond that both sides are cut into blocks by
+    hash and copied once per block of the other side, so every pair of blocks is a task's work of its own
+    and what moves is blocks and what f returns, never pairs of rows.
     """
-    n_left = max(1, -(-left.count() // size))
-    n_right = max(1, -(-right.count() // size))
-    a = _blocks(left, left_names, n_left, "a", "p").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    joined = a.join(_blocks(right, right_names, n_right, "b", "q"), "b").select("p", "q")
-
-    def columns(block: pa.Array) -> dict:
-        s = block.flatten()
-        return {f.name: matrix(s.field(f.name)) if f.name == "x" else s.field(f.name).to_numpy(zero_copy_only=False) for f in s.type}
+    n_left, n_right = max(1, -(-left.count() // size)), right.count()
+
+    def columns(block: pa.StructArray) -> dict:
+        return {f.name: matrix(block.field(f.name)) if f.name == "x" else block.field(f.name).to_numpy(zero_copy_only=False) for f in block.type}
+
+    if n_right <= most:
+        table = right.select(*right_names).toArrow().sort_by(right_names[0]).combine_chunks()  # at most ``most`` rows
+        blocks = [columns(b.to_struct_array()) for b in table.to_batches(max_chunksize=size) if b.num_rows]
+        shared = left.sparkSession.sparkContext.broadcast(blocks)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, size):
+                    one = columns(batch.slice(start, size).to_struct_array())
+                    for other in shared.value:
+                        yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in f(one, other).items()})
+
+        return left.select(*left_names).repartition(n_left, "row_id").mapInArrow(meet, schema)
+    n_right = -(-n_right // size)
+    copies = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    a = _blocks(left, left_names, n_left, "a", "p").select("*", copies(n_right, "b"))
+    b = _blocks(right, right_names, n_right, "b", "q").select("*", copies(n_left, "a"))
+    joined = a.join(b.hint("shuffle_hash"), ["a", "b"]).select("p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                out = f(columns(one.column(0)), columns(one.column(1)))
+                out = f(columns(one.column(0).flatten()), columns(one.column(1).flatten()))
                 yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in out.items()})
 
     return joined.mapInArrow(run, schema)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import order_key
-from tabmine.operators.frame import running_sum, value_bucket
+from tabmine.operators.frame import few, quantiles, running_sum, value_bucket
 
 
 def histogram(cells: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
@@ -19,9 +22,9 @@ def histogram(cells: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     cells = cells.filter(F.col("v").isNotNull())
     span = cells.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    span = span.select(*keys, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    span = few(span.select(*keys, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")))
     at = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
-    counts = cells.join(F.broadcast(span), keys).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))  # a row per group
+    counts = cells.join(span, keys).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     grid = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     grid = grid.select(*keys, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"))
@@ -30,39 +33,61 @@ def histogram(cells: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
 
 def boxplot(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., q1, median, q3, whisker_low, whisker_high, n_outliers); whiskers are data within 1.5 IQR."""
-    q = cells.groupBy(*keys).agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("q"))
-    q = q.select(*keys, *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    q = quantiles(cells, keys, "v", [0.25, 0.5, 0.75])
+    q = few(q.select(*keys, *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))]))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)
-    return cells.join(F.broadcast(q), keys).groupBy(*keys, "q1", "median", "q3").agg(  # a row per group
+    return cells.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
 
 
-def ecdf(cells: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+def ecdf(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., v, n, share): how many values are at most v, per distinct value."""
-    counts = cells.filter(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    run = running_sum(counts, F.col("c"), "n", value_bucket(counts, "v", parts), ["v"], keys)
-    total = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
-    return run.join(F.broadcast(total), keys).select(*keys, "v", "n", (F.col("n") / F.col("total")).alias("share"))  # a row per group
+    cells = cells.filter(F.col("v").isNotNull())
+    counts = cells.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    run = running_sum(counts, F.col("c"), "n", value_bucket(cells, "v"), ["v"], keys)
+    total = few(cells.groupBy(*keys).agg(F.count("*").alias("total")))
+    return run.join(total, keys).select(*keys, "v", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def kde(cells: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
     """(keys..., g, place, density): Gaussian kernel density on a grid over each group's range.
 
-    The bandwidth is 1.06 std n^-0.2, at least 1e-6, and 0.1 for one value. Equal values are counted
-    first; kernels are summed on the map side.
+    The bandwidth is 1.06 std n^-0.2, at least 1e-6, and 0.1 for one value. A task adds the kernels of its
+    rows up in one array per group; those arrays are all that is shuffled.
     """
-    counts = cells.filter(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    cells = cells.filter(F.col("v").isNotNull())
     s = cells.groupBy(*keys).agg(F.count("v").alias("n"), F.stddev_pop("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     h = F.when(F.col("n") == 1, 0.1).otherwise(F.greatest(1.06 * F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)), F.lit(1e-6)))
-    grid = s.select(*keys, "n", h.alias("h"), "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
-    grid = grid.withColumn("place", F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / (points - 1))
-    z = (F.col("place") - F.col("v")) / F.col("h")
-    density = F.sum(F.col("c") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * sqrt(2 * pi))
-    return counts.join(F.broadcast(grid), keys).groupBy(*keys, "g", "place").agg(density.alias("density"))  # points rows per group
+    spans = few(s.select(*keys, F.col("n").cast("double").alias("n"), h.alias("h"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")))
+    met = cells.join(spans, keys).select(F.to_json(F.struct(*keys)).alias("key"), "n", "h", "lo", "hi", F.col("v").cast("double").alias("v"))
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            v, codes = batch.column(5).to_numpy(), batch.column(0).dictionary_encode()
+            at = codes.indices.to_numpy()
+            for k, key in enumerate(codes.dictionary.to_pylist()):
+                some = v[at == k]
+                n, h, lo, hi = (batch.column(c)[int(np.argmax(at == k))].as_py() for c in (1, 2, 3, 4))
+                place = lo + np.arange(points) * (hi - lo) / (points - 1)
+                parts = [np.exp(-0.5 * ((place[None, :] - some[a : a + 4096, None]) / h) ** 2).sum(axis=0) for a in range(0, len(some), 4096)]
+                one = (key, n, h, lo, hi)
+                held[one] = held.get(one, 0.0) + sum(parts)
+        for (key, n, h, lo, hi), total in held.items():
+            names = ["key", "n", "h", "lo", "hi", "g", "s"]
+            columns = [pa.array([x] * points) for x in (key, n, h, lo, hi)] + [pa.array(range(points), pa.int32()), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    sums = met.mapInArrow(kernels, "key string, n double, h double, lo double, hi double, g int, s double")
+    sums = sums.groupBy("key", "n", "h", "lo", "hi", "g").agg(F.sum("s").alias("s"))
+    place = F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / (points - 1)
+    density = F.col("s") / (F.col("n") * F.col("h") * sqrt(2 * pi))
+    named = F.from_json("key", cells.select(*keys).schema)
+    return sums.select(named.alias("key"), "g", place.alias("place"), density.alias("density")).select("key.*", "g", "place", "density")
 
 
 def class_profile(cells: DataFrame, label: str, feature: str = "fi") -> DataFrame:

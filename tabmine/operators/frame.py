@@ -46,24 +46,58 @@ def encode(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:
     return joined.withColumn("y", F.when(known, F.col("y")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.col(label)))))
 
 
-def value_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
-    """A bucket number that grows with the column; buckets have about the same number of rows."""
-    edges = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.001)))
-    if not edges:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(float(e)) for e in edges])
-    return F.size(F.filter(cuts, lambda e: e <= F.col(column).cast("double")))
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of aggregates, marked for broadcast if it has at most ``most`` rows, which are then read once.
+
+    Larger ones meet the other side in an ordinary join.
+    """
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def parts_for(n: int, size: int = 65_536) -> int:
+    """Into how many buckets ``n`` values go: about ``size`` in each, more (and not only more buckets) beyond its square."""
+    return max(1, -(-n // max(size, int(n**0.5))))
+
+
+def literal_array(values: list, kind: str = "double") -> Column:
+    """A constant array, written as one string, so that long ones are cheap to plan."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def bucket_of(v: Column, edges: Column, coarse: Column, step: int) -> Column:
+    """How many of the sorted ``edges`` are at most v; ``coarse`` has every ``step``-th of them, the first included."""
+    c = F.size(F.filter(coarse, lambda e: e <= v))
+    fine = F.slice(edges, F.greatest(c - 1, F.lit(0)) * step + 1, F.lit(step))
+    return F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(fine, lambda e: e <= v)))
+
+
+def value_bucket(df: DataFrame, column: str, size: int = 65_536) -> Column | None:
+    """A bucket number that grows with the column; None if one bucket is enough.
+
+    Buckets have about the same number of rows, and there are more of them the more rows there are.
+    """
+    parts = parts_for(df.count(), size)
+    if parts == 1:
+        return None
+    edges = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    step = max(1, int(len(edges) ** 0.5))
+    return bucket_of(F.col(column).cast("double"), literal_array(edges), literal_array(edges[::step]), step)
 
 
 def running_sums(
-    df: DataFrame, values: dict[str, Column], bucket: Column, order: list[Column | str], by: list[str] | None = None, descending: bool = False
+    df: DataFrame, values: dict[str, Column], bucket: Column | None, order: list[Column | str], by: list[str] | None = None, descending: bool = False
 ) -> DataFrame:
     """``df`` with running sums of ``values``, a row's own value included, over ``order`` within ``by``.
 
     No window holds more than a bucket: totals per bucket give each bucket what lies before it, and
     ``bucket`` must agree with ``order``. ``descending`` tells that the buckets are to be taken backwards.
+    Without a bucket there is one window for each ``by``.
     """
     by = by or []
+    if bucket is None:
+        inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
     rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v for n, v in values.items()}})
     first = F.desc("__bucket") if descending else F.asc("__bucket")
     before = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +109,7 @@ def running_sums(
     return joined.drop("__bucket", *[f"__{p}_{n}" for n in values for p in "vb"])
 
 
-def running_sum(df: DataFrame, value: Column, name: str, bucket: Column, order: list[Column | str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, value: Column, name: str, bucket: Column | None, order: list[Column | str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
     """``running_sums`` of one value."""
     return running_sums(df, {name: value}, bucket, order, by, descending)
 
@@ -88,3 +122,41 @@ def shuffled_rank(df: DataFrame, row_id: str, seed: int, by: list[str] | None =
     keyed = df.withColumn("__key", order_key(seed, F.col(row_id)))
     ranked = running_sum(keyed, F.lit(1), name, F.substring("__key", 1, 3), ["__key", row_id], by)
     return ranked.drop("__key")
+
+
+def quantiles(cells: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000, size: int = 65_536) -> DataFrame:
+    """(keys..., n, q): exact quantiles of the values of each group, interpolated between neighbours; nulls are skipped.
+
+    A mergeable sketch brackets each quantile; one more pass counts what lies below a bracket and, by value,
+    what lies in it: some thousandths of the rows. Only those are ordered, in buckets of the bracket.
+    """
+    rows = cells.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    margin, k = 3.0 / accuracy, len(probs)
+    at = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", at, accuracy).alias("__a")
+    )
+    short = F.col("n") <= size  # then all of it is the bracket
+    bracket = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(short, F.col("__min")).otherwise(F.col("__a")[i]).alias("lo"), F.when(short, F.col("__max")).otherwise(F.col("__a")[k + i]).alias("hi"))
+        for i in range(k)
+    ])
+    sketch = few(sketch.select(*keys, "n", bracket.alias("__b")))
+    met = rows.join(sketch, keys) if keys else rows.crossJoin(sketch)
+    near = met.select(*keys, "n", "__v", F.explode(F.filter("__b", lambda b: F.col("__v") <= b["hi"])).alias("b"))
+    inside = F.when(F.col("__v") >= F.col("b.lo"), F.col("__v"))
+    counts = near.groupBy(*keys, "n", "b.i", "b.lo", "b.hi", inside.alias("w")).agg(F.count("*").alias("c"))
+    parts = F.ceil(F.col("n") * (4 * margin) / size)
+    place = F.floor((F.col("w") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * parts)
+    group = [*keys, "i"]
+    bucket = F.when((parts <= 1) | (F.col("hi") == F.col("lo")), 0).otherwise(F.least(place, parts - 1))
+    bucket = F.when(F.col("w").isNull(), -1).otherwise(bucket)
+    run = running_sums(counts, {"upto": F.col("c")}, bucket, [F.asc_nulls_first("w")], group)
+    p = F.element_at(literal_array(probs), F.col("i") + 1) * (F.col("n") - 1)
+    low = F.min(F.when(F.col("upto") > F.floor(p), F.col("w")))
+    high = F.min(F.when(F.col("upto") > F.ceil(p), F.col("w")))
+    found = run.groupBy(*group, "n").agg(low.alias("low"), high.alias("high"))
+    q = F.col("low") + (F.col("high") - F.col("low")) * (p - F.floor(p))
+    each = found.select(*keys, "n", F.struct("i", q.alias("q")).alias("s"))
+    out = each.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return out.select(*keys, "n", F.transform("s", lambda x: x["q"]).alias("q"))

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmine.functions import columns as C
 from tabmine.operators.batches import block_pairs, distances
 from tabmine.operators.chartdata import sample
+from tabmine.operators.frame import quantiles
 
 
 def neighbors(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "euclidean", size: int = 2000, group: str | None = None) -> DataFrame:
@@ -58,9 +58,13 @@ def predict(shares: DataFrame) -> DataFrame:
 
 
 def bandwidth(train: DataFrame, n: int = 500, seed: int = 42, exact: bool = True) -> float:
-    """Median positive distance of n sampled training rows to all of them, over the root of 2."""
-    some = sample(train, F.col("row_id"), n, seed).select(F.col("x").alias("s"))
-    d = train.crossJoin(F.broadcast(some)).select(C.euclidean(F.col("x"), F.col("s")).alias("d")).filter("d > 0")  # at most n rows
-    median = F.percentile("d", 0.5) if exact else F.percentile_approx("d", 0.5)
-    found = d.agg(median.alias("m")).first().m
+    """Median positive distance of n sampled training rows to all of them, over the root of 2.
+
+    Only distances near the median are ever shuffled.
+    """
+    some = sample(train, F.col("row_id"), n, seed)
+    every = lambda a, b: {"d": distances(a["x"], b["x"], "euclidean").ravel()}
+    d = block_pairs(train, some, every, "d double", ["row_id", "x"], ["row_id", "x"]).filter("d > 0")
+    row = quantiles(d, [], "d", [0.5]).first() if exact else d.agg(F.array(F.percentile_approx("d", 0.5)).alias("q")).first()
+    found = row.q[0] if row else None
     return found / 2**0.5 if found else 1.0

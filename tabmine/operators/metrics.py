@@ -54,7 +54,7 @@ def summary(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by: list[str] | None = None, size: int = 65_536) -> DataFrame:
     """(by..., threshold, tp, fp, tpr, fpr), one point per distinct score and a first one at (0, 0).
 
     The first point's threshold is null (it stands for infinity). With one class only the curve is the
@@ -64,7 +64,7 @@ def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by:
     group = scores.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("f")
     )
-    bucket = value_bucket(group, "threshold", parts)
+    bucket = value_bucket(scores.select(F.col(score).cast("double").alias("threshold")), "threshold", size)
     down = [F.desc("threshold")]
     points = running_sums(group, {"tp": F.col("p"), "fp": F.col("f")}, bucket, down, by, descending=True)
     ends = group.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("f").alias("all_f"))
@@ -78,13 +78,14 @@ def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by:
     return real.unionByName(start).unionByName(diagonal)
 
 
-def auc(curve: DataFrame, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def auc(curve: DataFrame, by: list[str] | None = None, size: int = 65_536) -> DataFrame:
     """(by..., auc) by the trapezoid rule; every bucket of the curve also gets the point before it."""
     by = by or []
     rank = F.coalesce(-F.col("threshold"), F.lit(float("-inf")))
     points = curve.withColumn("at", rank)
     finite = points.filter(F.col("threshold").isNotNull())
-    points = points.withColumn("bucket", F.when(F.col("threshold").isNull(), -1).otherwise(value_bucket(finite, "at", parts)))
+    bucket = value_bucket(finite, "at", size)
+    points = points.withColumn("bucket", F.when(F.col("threshold").isNull(), -1).otherwise(F.lit(0) if bucket is None else bucket))
     inside = Window.partitionBy(*by, "bucket").orderBy("at")
     steps = points.withColumns({"x0": F.lag("fpr").over(inside), "y0": F.lag("tpr").over(inside)})
     area = F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2)
@@ -92,7 +93,7 @@ def auc(curve: DataFrame, by: list[str] | None = None, parts: int = 64) -> DataF
         area.alias("area"), F.min_by("fpr", "at").alias("x_in"), F.min_by("tpr", "at").alias("y_in"),
         F.max_by("fpr", "at").alias("x_out"), F.max_by("tpr", "at").alias("y_out"),
     )
-    across = Window.partitionBy(*by).orderBy("bucket")  # at most parts + 1 rows per curve
+    across = Window.partitionBy(*by).orderBy("bucket")  # a row per bucket
     joint = (F.col("x_in") - F.lag("x_out").over(across)) * (F.col("y_in") + F.lag("y_out").over(across)) / 2
     ends = ends.withColumn("joint", joint)
     return ends.groupBy(*by).agg((F.coalesce(F.sum("area"), F.lit(0.0)) + F.coalesce(F.sum("joint"), F.lit(0.0))).alias("auc"))

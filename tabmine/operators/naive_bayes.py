@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import argmax, total
-from tabmine.operators.frame import long
+from tabmine.operators.frame import few, long
 
 
 def fit_gaussian(rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
@@ -16,7 +16,7 @@ def fit_gaussian(rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
     cells = long(rows).groupBy("y", "fi").agg(F.avg("v").alias("mean"), (F.var_pop("v") + smoothing).alias("var"))
     n = rows.groupBy("y").agg(F.count("*").alias("n"))
     prior = n.select("y", F.log(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("log_prior"))  # a row per class
-    return cells.join(F.broadcast(prior), "y")  # a row per class
+    return cells.join(few(prior), "y")
 
 
 def packed(model: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -53,11 +53,13 @@ def predict_gaussian(rows: DataFrame, model: DataFrame) -> DataFrame:
 def fit_multinomial(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """From counts (row_id, term, n) and labels (row_id, y): (y, term, log_p) and (y, log_prior, log_unseen).
 
+    Counts may come in parts that add up; counts that bring their y along (null: not labelled) aren't joined.
     Only terms a class has get a row; the others of the vocabulary share the class's log_unseen, so the
     model grows with the pairs seen. A negative count is an error.
     """
     checked = F.when(F.col("n") < 0, F.raise_error(F.lit("counts must not be negative"))).otherwise(F.col("n"))
-    known = counts.join(labels, "row_id").select("row_id", "y", "term", checked.alias("n"))
+    known = counts if "y" in counts.columns else counts.join(labels, "row_id")
+    known = known.filter("y is not null").select("row_id", "y", "term", checked.alias("n"))
     seen = known.groupBy("y", "term").agg(F.sum("n").alias("n"))
     size = seen.agg(F.count_distinct("term").alias("v"))
     rows = labels.groupBy("y").agg(F.count("*").alias("docs"))
@@ -73,18 +75,20 @@ def fit_multinomial(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) ->
 def multinomial_log_likelihood(counts: DataFrame, ids: DataFrame, terms: DataFrame, classes: DataFrame) -> DataFrame:
     """(row_id, y, ll) for all rows of ``ids`` and all classes. Terms outside the vocabulary count nothing.
 
-    Counts meet the terms in one join, which partial aggregates follow; what a class lacks of a row's
-    known terms is made up with its log_unseen.
+    The model is one row per term with the terms' log probabilities of all classes, log_unseen where a class
+    lacks it. A vocabulary of bounded size is broadcast, so that counts are added up where they are; a larger
+    one is joined after adding up equal terms of a row. One aggregate sums all classes.
     """
-    vocabulary = terms.groupBy("term").agg(F.collect_list(F.struct("y", "log_p")).alias("per_class"))
-    known = counts.join(vocabulary, "term")
-    mass = known.groupBy("row_id").agg(F.sum("n").alias("all_n"))
-    got = known.select("row_id", "n", F.explode("per_class").alias("c")).groupBy("row_id", F.col("c.y").alias("y"))
-    got = got.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("c.log_p")).alias("s"))
-    grid = ids.select("row_id").join(mass, "row_id", "left").crossJoin(F.broadcast(classes))  # a row per class
-    out = grid.join(got, ["row_id", "y"], "left")
-    lacking = F.coalesce("all_n", F.lit(0)) - F.coalesce("n", F.lit(0))
-    return out.select("row_id", "y", (F.col("log_prior") + F.coalesce("s", F.lit(0.0)) + lacking * F.col("log_unseen")).alias("ll"))
+    known = classes.orderBy("y").collect()  # a row per class
+    of = lambda k: F.max(F.when(F.col("y") == known[k].y, F.col("log_p")))
+    model = terms.groupBy("term").agg(*[F.coalesce(of(k), F.lit(known[k].log_unseen)).alias(f"p{k}") for k in range(len(known))])
+    small = few(model, 200_000)
+    if small is model:
+        counts = counts.groupBy("row_id", "term").agg(F.sum("n").alias("n"))
+    got = counts.join(small, "term").groupBy("row_id").agg(*[F.sum(F.col("n") * F.col(f"p{k}")).alias(f"s{k}") for k in range(len(known))])
+    out = ids.select("row_id").join(got, "row_id", "left")
+    ll = F.array(*[F.struct(F.lit(c.y).alias("y"), (c.log_prior + F.coalesce(f"s{k}", F.lit(0.0))).alias("ll")) for k, c in enumerate(known)])
+    return out.select("row_id", F.inline(ll))
 
 
 def predict_from_log_likelihood(ll: DataFrame) -> DataFrame:

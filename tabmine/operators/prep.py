@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmine.operators.frame import shuffled_rank
+from tabmine.operators.frame import melt, quantiles, shuffled_rank
 
 TINY = 1e-10
 
@@ -26,9 +26,11 @@ def _mapped(df: DataFrame, wide: DataFrame, features: list[str], f) -> DataFrame
 
 
 def impute(df: DataFrame, features: list[str], how: str = "mean") -> DataFrame:
-    """Nulls of each feature become its mean or its exact median."""
-    stat = {"mean": F.avg, "median": F.median}[how]
-    wide = _with_stats(df, features, {"fill": stat})
+    """Nulls of each feature become its mean or its exact median; a feature without values keeps its nulls."""
+    if how == "median":
+        found = {r.fi: r.q[0] for r in quantiles(melt(df, features, []), ["fi"], "v", [0.5]).collect()}  # a row per feature
+        return _mapped(df, df, features, lambda x, k: F.coalesce(x, F.lit(found.get(k)).cast("double")))
+    wide = _with_stats(df, features, {"fill": {"mean": F.avg}[how]})
     return _mapped(df, wide, features, lambda x, k: F.coalesce(x, F.col(f"fill__{k}")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import pearson
+from tabmine.operators.frame import melt, quantiles
 
 
 def _per_feature(df: DataFrame, features: list[str], **stats) -> DataFrame:
@@ -38,10 +39,11 @@ def basic_stats(df: DataFrame, features: list[str]) -> DataFrame:
 def full_stats(df: DataFrame, features: list[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Mean, population std, min, quartiles, max and missing count; quartiles interpolate if exact."""
     three = [0.25, 0.5, 0.75]
-    quartiles = (lambda c: F.percentile(c, three)) if exact else (lambda c: F.percentile_approx(c, three, accuracy))
-    out = _per_feature(
-        df, features, mean=F.avg, std=F.stddev_pop, min=F.min, q=quartiles, max=F.max, missing=lambda c: F.count_if(c.isNull())
-    )
+    others = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "missing": lambda c: F.count_if(c.isNull())}
+    if exact:
+        out = _per_feature(df, features, **others).join(quantiles(melt(df, features, []), ["fi"], "v", three), "fi", "left")
+    else:
+        out = _per_feature(df, features, **others, q=lambda c: F.percentile_approx(c, three, accuracy))
     q = [F.col("q")[k].alias(name) for k, name in enumerate(("q25", "median", "q75"))]
     return out.select("fi", "feature", "mean", "std", "min", *q, "max", "missing")
 

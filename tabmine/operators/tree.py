@@ -1,7 +1,7 @@
 """Decision trees grown level by level: one job finds the splits of all open nodes.
 
 A tree is a small dict kept by the driver, node id -> Node; the children of node i are 2i and 2i + 1. It
-is applied as one CASE expression, so scoring never shuffles.
+is applied as one expression over constant arrays, so scoring never shuffles.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import entropy_of, total
-from tabmine.operators.frame import running_sums
+from tabmine.operators.frame import bucket_of, literal_array, parts_for, running_sums
 
 
 @dataclass
@@ -33,51 +33,101 @@ class Tree:
     classes: int
     nodes: dict[int, Node] = field(default_factory=dict)
 
-    def leaf_of(self, x: Column, node: int = 1) -> Column:
+    def leaf_of(self, x: Column) -> Column:
         """The leaf id of a feature vector."""
-        n = self.nodes[node]
-        if n.feature is None:
-            return F.lit(node)
-        return F.when(x[n.feature] <= n.threshold, self.leaf_of(x, 2 * node)).otherwise(self.leaf_of(x, 2 * node + 1))
+        return Walk([self]).node(x)
 
     def leaves(self, node: int = 1) -> list[int]:
         return [node] if self.nodes[node].feature is None else [*self.leaves(2 * node), *self.leaves(2 * node + 1)]
 
 
-def edges(cells: DataFrame, features: int, rows: DataFrame, parts: int) -> Column:
-    """Bucket of a cell's value within its feature, from approximate quantiles of all features at once."""
+class Walk:
+    """Trees as constant arrays of nodes: a vector goes down by as many array look-ups as the trees are deep."""
+
+    def __init__(self, trees: list[Tree]):
+        self.keys: list[int] = []  # tree * ROOM + node id, by place
+        self.roots, feature, threshold, left, self.depth = [], [], [], [], 0
+        for t, tree in enumerate(trees):
+            self.roots.append(len(self.keys))
+            order, at = [1], 0
+            while at < len(order):  # the children of a node are neighbours
+                if tree.nodes[order[at]].feature is not None:
+                    order += [2 * order[at], 2 * order[at] + 1]
+                at += 1
+            place = {i: len(self.keys) + k for k, i in enumerate(order)}
+            for i in order:
+                n = tree.nodes[i]
+                feature.append(-1 if n.feature is None else n.feature)
+                threshold.append(0.0 if n.threshold is None else float(n.threshold))
+                left.append(-1 if n.feature is None else place[2 * i])
+                self.keys.append(t * ROOM + i)
+            self.depth = max(self.depth, max(order).bit_length() - 1)
+        self.feature, self.threshold, self.left = literal_array(feature, "int"), literal_array(threshold), literal_array(left, "int")
+
+    def place(self, x: Column, tree: Column | None = None) -> Column:
+        """The place of the leaf of x in ``keys``."""
+        start = F.lit(0) if tree is None else literal_array(self.roots, "int")[tree]
+        if not self.depth:
+            return start
+
+        def down(at: Column, _: Column) -> Column:
+            right = (x[self.feature[at]] > self.threshold[at]).cast("int")
+            return F.when(self.feature[at] < 0, at).otherwise(self.left[at] + right)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), start.cast("int"), down)
+
+    def node(self, x: Column) -> Column:
+        """The leaf id of x in the first tree."""
+        return literal_array(self.keys, "int")[self.place(x)]
+
+
+#: Node ids of one tree lie below this.
+ROOM = 1 << 32
+
+
+def edges(rows: DataFrame, features: int, n: int) -> Column | None:
+    """Bucket of a cell (fi, v) within its feature, from quantiles of all features at once; None if one is enough."""
+    parts = parts_for(n)
+    if parts == 1:
+        return None
     wide = rows.select(*[F.col("x")[k].alias(f"x{k}") for k in range(features)])
-    found = wide.approxQuantile([f"x{k}" for k in range(features)], [p / parts for p in range(1, parts)], 0.001)
-    table = F.create_map(*[e for k, q in enumerate(found) for e in (F.lit(k), F.array(*[F.lit(v) for v in sorted(set(q))]))])
-    return F.size(F.filter(table[F.col("fi")], lambda e: e <= F.col("v")))
+    found = wide.approxQuantile([f"x{k}" for k in range(features)], [p / parts for p in range(1, parts)], 0.25 / parts)
+    found, step = [sorted(set(q)) for q in found], max(1, int(parts**0.5))
+    table = [F.array(*[literal_array(q[::by]) for q in found])[F.col("fi")] for by in (1, step)]
+    return bucket_of(F.col("v"), *table, step)
 
 
-def split_scores(cells: DataFrame, classes: int, bucket: Column, criterion: str = "ratio", candidates: int | None = None) -> DataFrame:
-    """(node, fi, threshold, score, n_left, n_right) of all midpoints of neighbouring distinct values.
+def split_scores(cells: DataFrame, classes: int, bucket: Column | None, criterion: str = "ratio", candidates: int | None = None) -> DataFrame:
+    """(node, fi, threshold, score, n_left, n_right, left, right) of all midpoints of neighbouring distinct values.
 
     ``cells`` has (node, fi, v, y). score is the gain ratio (0 if the split has under 1e-10 bits) or the
-    gain. ``candidates`` keeps only so many lowest thresholds of each node and feature.
+    gain; left and right count the classes. ``candidates`` keeps only so many lowest thresholds of each
+    node and feature.
     """
     ks = range(classes)
     counts = cells.groupBy("node", "fi", "v").agg(*[F.count_if(F.col("y") == c).alias(f"c{c}") for c in ks])
     by = ["node", "fi"]
     run = running_sums(counts, {f"l{c}": F.col(f"c{c}") for c in ks}, bucket, ["v"], by)
     whole = counts.groupBy(*by).agg(*[F.sum(f"c{c}").alias(f"t{c}") for c in ks])
-    # the next value of a bucket's last row is the first of a later bucket
-    marked = run.withColumn("__b", bucket)
-    firsts = marked.groupBy(*by, "__b").agg(F.min("v").alias("__first"))
-    firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*by).orderBy("__b"))).drop("__first")
-    inside = Window.partitionBy(*by, "__b").orderBy("v")
-    marked = marked.join(firsts, [*by, "__b"]).withColumn("next", F.coalesce(F.lead("v").over(inside), F.col("__next")))
-    rows = marked.filter("next is not null").join(F.broadcast(whole), by)  # a row per open node and feature
-    if candidates is not None:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("v"))
-        rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= candidates)
+    if bucket is None:
+        marked = run.withColumn("__b", F.lit(0)).withColumn("next", F.lead("v").over(Window.partitionBy(*by).orderBy("v")))
+    else:  # the next value of a bucket's last row is the first of a later bucket
+        marked = run.withColumn("__b", bucket)
+        firsts = marked.groupBy(*by, "__b").agg(F.min("v").alias("__first"))
+        firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*by).orderBy("__b"))).drop("__first")
+        inside = Window.partitionBy(*by, "__b").orderBy("v")
+        marked = marked.join(firsts, [*by, "__b"]).withColumn("next", F.coalesce(F.lead("v").over(inside), F.col("__next")))
+    rows = marked.filter("next is not null")
+    if candidates is not None:  # of each bucket first, so that no window ranks all values
+        for key in ([*by, "__b"], by):
+            rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy("v"))).filter(F.col("__rank") <= candidates)
+    rows = rows.join(whole, by)
     left = F.array(*[F.col(f"l{c}") for c in ks])
     right = F.array(*[F.col(f"t{c}") - F.col(f"l{c}") for c in ks])
     every = F.array(*[F.col(f"t{c}") for c in ks])
     rows = rows.select(
-        "node", "fi", ((F.col("v") + F.col("next")) / 2).alias("threshold"), entropy_of(left).alias("hl"), entropy_of(right).alias("hr"), entropy_of(every).alias("h"),
+        "node", "fi", ((F.col("v") + F.col("next")) / 2).alias("threshold"), left.alias("left"), right.alias("right"),
+        entropy_of(left).alias("hl"), entropy_of(right).alias("hr"), entropy_of(every).alias("h"),
         *[total(F.transform(a, lambda v: v.cast("double"))).alias(n) for a, n in ((left, "nl"), (right, "nr"))],
     )
     n = F.col("nl") + F.col("nr")
@@ -85,51 +135,57 @@ def split_scores(cells: DataFrame, classes: int, bucket: Column, criterion: str
     gain = F.col("h") - pl * F.col("hl") - pr * F.col("hr")
     info = -(pl * F.log2(pl)) - pr * F.log2(pr)
     score = gain if criterion == "gain" else F.when(info < 1e-10, 0.0).otherwise(gain / info)
-    return rows.select("node", "fi", "threshold", score.alias("score"), F.col("nl").cast("long").alias("n_left"), F.col("nr").cast("long").alias("n_right"))
+    sizes = [F.col("nl").cast("long").alias("n_left"), F.col("nr").cast("long").alias("n_right")]
+    return rows.select("node", "fi", "threshold", score.alias("score"), *sizes, "left", "right")
 
 
 def best_splits(scores: DataFrame) -> DataFrame:
     """The best row of each node; scores equal to 9 digits go to the lowest feature, then threshold."""
     order = F.struct(F.round("score", 9), -F.col("fi"), -F.col("threshold"))
-    best = F.max_by(F.struct("fi", "threshold", "score", "n_left", "n_right"), order)
+    best = F.max_by(F.struct("fi", "threshold", "score", "n_left", "n_right", "left", "right"), order)
     return scores.groupBy("node").agg(best.alias("b")).select("node", "b.*")
 
 
 def grow(
     rows: DataFrame, classes: int, features: int, max_depth: int = 10, min_rows: int = 2, min_score: float = 1e-5,
-    criterion: str = "ratio", candidates: int | None = None, parts: int = 32,
+    criterion: str = "ratio", candidates: int | None = None,
 ) -> Tree:
     """Grow a tree; a node stays a leaf at ``max_depth``, below ``min_rows``, when pure or below ``min_score``."""
-    tree = Tree(classes)
-    rows = rows.select("x", "y").persist()
-    counts = rows.agg(*[F.count_if(F.col("y") == c).cast("double").alias(f"c{c}") for c in range(classes)]).first()
-    tree.nodes[1] = Node([float(v) for v in counts])
-    bucket = edges(rows, features, rows, parts)
+    return grow_all(rows.withColumn("tree", F.lit(0)), 1, classes, features, max_depth, min_rows, min_score, criterion, candidates)[0]
+
+
+def grow_all(
+    rows: DataFrame, trees: int, classes: int, features: int, max_depth: int = 10, min_rows: int = 2, min_score: float = 1e-5,
+    criterion: str = "ratio", candidates: int | None = None,
+) -> list[Tree]:
+    """Grow several trees at once, one job a level; column tree (0, 1, ...) tells whose training row it is."""
+    rows = rows.select("x", "y", F.col("tree").cast("int").alias("tree")).persist()
+    out = [Tree(classes, {1: Node([0.0] * classes)}) for _ in range(trees)]
+    for r in rows.groupBy("tree", "y").agg(F.count("*").alias("n")).collect():  # trees times classes
+        out[r.tree].nodes[1].counts[r.y] = float(r.n)
+    bucket = edges(rows, features, int(max((sum(t.nodes[1].counts) for t in out), default=0)))
     for depth in range(max_depth):
-        opened = [i for i in tree.nodes if i >> depth == 1 and sum(tree.nodes[i].counts) >= min_rows and max(tree.nodes[i].counts) < sum(tree.nodes[i].counts)]
+        may = lambda n: sum(n.counts) >= min_rows and max(n.counts) < sum(n.counts)
+        opened = {t * ROOM + i for t, tree in enumerate(out) for i, n in tree.nodes.items() if i >> depth == 1 and may(n)}
         if not opened:
             break
-        node = tree.leaf_of(F.col("x"))
-        cells = rows.withColumn("node", node).filter(F.col("node").isin(opened)).select("node", "y", F.posexplode("x").alias("fi", "v"))
-        found = best_splits(split_scores(cells, classes, bucket, criterion, candidates)).collect()  # a row per open node
-        for s in found:
+        walk = Walk(out)
+        key = literal_array([k if k in opened else -1 for k in walk.keys], "long")[walk.place(F.col("x"), F.col("tree"))]
+        cells = rows.withColumn("node", key).filter("node >= 0").select("node", "y", F.posexplode("x").alias("fi", "v"))
+        for s in best_splits(split_scores(cells, classes, bucket, criterion, candidates)).collect():  # a row per open node
             if round(s.score, 9) >= min_score:
-                n = tree.nodes[s.node]
+                tree, i = out[s.node // ROOM], s.node % ROOM
+                n = tree.nodes[i]
                 n.feature, n.threshold, n.ratio = s.fi, s.threshold, s.score
-                tree.nodes[2 * s.node] = Node([0.0] * classes)
-                tree.nodes[2 * s.node + 1] = Node([0.0] * classes)
-        fresh = rows.groupBy(tree.leaf_of(F.col("x")).alias("node"), "y").agg(F.count("*").alias("n")).collect()  # leaves times classes
-        for r in fresh:
-            if r.node >> (depth + 1):
-                tree.nodes[r.node].counts[r.y] = float(r.n)
+                tree.nodes[2 * i], tree.nodes[2 * i + 1] = Node([float(c) for c in s.left]), Node([float(c) for c in s.right])
     rows.unpersist()
-    return tree
+    return out
 
 
 def prune_stats(tree: Tree, validation: DataFrame) -> DataFrame:
     """(node, n, as_subtree, as_leaf) for the nodes that validation rows pass: how many are right either way."""
     leaf = tree.leaf_of(F.col("x"))
-    label = F.create_map(*[v for i, n in tree.nodes.items() for v in (F.lit(i), F.lit(n.label))])
+    label = F.map_from_arrays(literal_array(list(tree.nodes), "int"), literal_array([n.label for n in tree.nodes.values()], "int"))
     path = F.transform(F.sequence(F.lit(0), F.lit(max(tree.nodes).bit_length() - 1)), lambda up: F.floor(F.col("leaf") / F.pow(F.lit(2.0), up)).cast("int"))
     passed = validation.withColumn("leaf", leaf).select("y", "leaf", F.explode(F.filter(path, lambda i: i > 0)).alias("node"))
     return passed.groupBy("node").agg(
@@ -169,11 +225,20 @@ def prune(tree: Tree, validation: DataFrame) -> Tree:
 
 def predict(rows: DataFrame, tree: Tree) -> DataFrame:
     """(row_id, y, leaf, pred, proba); proba are the leaf's class shares."""
-    labels = F.create_map(*[v for i in tree.leaves() for v in (F.lit(i), F.lit(tree.nodes[i].label))])
-    share = lambda n: [c / max(1.0, sum(n.counts)) for c in n.counts]
-    shares = F.create_map(*[v for i in tree.leaves() for v in (F.lit(i), F.array(*[F.lit(p) for p in share(tree.nodes[i])]))])
-    out = rows.select("row_id", "y", tree.leaf_of(F.col("x")).alias("leaf"))
-    return out.select("row_id", "y", "leaf", labels[F.col("leaf")].alias("pred"), shares[F.col("leaf")].alias("proba"))
+    out = predict_all(rows.withColumn("tree", F.lit(0)), [tree])
+    return out.select("row_id", "y", F.col("node").cast("int").alias("leaf"), "pred", "proba")
+
+
+def predict_all(rows: DataFrame, trees: list[Tree]) -> DataFrame:
+    """``rows`` (row_id, tree, y, x) with node, pred and proba by the tree that each row names."""
+    walk = Walk(trees)
+    nodes = [trees[k // ROOM].nodes[k % ROOM] for k in walk.keys]
+    labels = literal_array([n.label for n in nodes], "int")
+    shares = literal_array([c / max(1.0, sum(n.counts)) for n in nodes for c in n.counts])
+    out = rows.withColumn("__at", walk.place(F.col("x"), F.col("tree")))
+    proba = F.slice(shares, F.col("__at") * trees[0].classes + 1, F.lit(trees[0].classes))
+    node = literal_array(walk.keys, "long")[F.col("__at")] % ROOM
+    return out.withColumns({"node": node, "pred": labels[F.col("__at")], "proba": proba}).drop("__at")
 
 
 def importance(rows: DataFrame, classes: int, features: int, max_depth: int = 6) -> list[float]:
