@@ -11,7 +11,7 @@ from tabmine.jobs.models import test_paths, tree_ctes
 from tabmine.jobs.neighbours import DIST, split, vote_sql
 from tabmine.jobs.profiling import split_sql
 from tabmine.jobs.registry import query, report, table
-from tabmine.operators import chartdata, knn, metrics, naive_bayes, prep, tree, validate
+from tabmine.operators import chartdata, kmeans, knn, metrics, naive_bayes, tree, validate, workflow
 
 _P = f"{GNB_SQL}, {GNB_PRED}"
 
@@ -111,10 +111,10 @@ def roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(each.crossJoin(F.broadcast(each.agg(F.avg("auc").alias("macro")))))  # one row
 
 
-def kfold_sql(source: str, key: str, k: int = 5) -> str:
+def kfold_sql(source: str, key: str, k: int = 5, seed: int = 42) -> str:
     return f"""SELECT * EXCLUDE (rk, n_all), CAST(CASE WHEN rk < (n_all % {k}) * (n_all // {k} + 1) THEN rk // (n_all // {k} + 1)
         ELSE n_all % {k} + (rk - (n_all % {k}) * (n_all // {k} + 1)) // greatest(n_all // {k}, 1) END AS INT) AS fold
-        FROM (SELECT *, row_number() OVER (ORDER BY md5('42-' || {key}), {key}) - 1 AS rk, count(*) OVER () AS n_all FROM ({source}))"""
+        FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}-' || {key}), {key}) - 1 AS rk, count(*) OVER () AS n_all FROM ({source}))"""
 
 
 @query("kfold_assign", kfold_sql("SELECT o_orderkey FROM orders", "o_orderkey", 7))
@@ -123,46 +123,79 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CV_OUT = "SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (UNPIVOT su ON COLUMNS(* EXCLUDE fold) INTO NAME metric VALUE v) GROUP BY metric"
-_CV_GNB = f"""c AS (SELECT l.*, fold FROM ({V.VEC_LONG_SQL}) l JOIN (SELECT vec_id, fold FROM ({kfold_sql("SELECT vec_id FROM embeddings", "vec_id")})) USING (vec_id)),
-    g AS (SELECT f.fold, label AS k, fi, avg(v) AS mean, var_pop(v) + 1e-9 AS var, CAST(count(*) AS DOUBLE) AS n FROM c, (SELECT unnest(range(0, 5)) AS fold) f WHERE c.fold <> f.fold GROUP BY ALL),
+
+
+def _cv_gnb(k: int = 5, seed: int = 42) -> str:
+    """CTEs that end in p (vec_id, fold, label, pred): naive Bayes predictions of one cross-validation."""
+    return f"""c AS (SELECT l.*, fold FROM ({V.VEC_LONG_SQL}) l JOIN (SELECT vec_id, fold FROM ({kfold_sql("SELECT vec_id FROM embeddings", "vec_id", k, seed)})) USING (vec_id)),
+    g AS (SELECT f.fold, label AS k, fi, avg(v) AS mean, var_pop(v) + 1e-9 AS var, CAST(count(*) AS DOUBLE) AS n FROM c, (SELECT unnest(range(0, {k})) AS fold) f WHERE c.fold <> f.fold GROUP BY ALL),
     gp AS (SELECT *, ln(n / sum(n) OVER (PARTITION BY fold, fi)) AS log_prior FROM g),
     s AS (SELECT c.vec_id, c.fold, c.label, gp.k, any_value(log_prior) + sum(-0.5 * ln(2 * pi() * var) - pow(v - mean, 2) / (2 * var)) AS ll FROM c JOIN gp ON gp.fold = c.fold AND gp.fi = c.fi GROUP BY ALL),
     p AS (SELECT vec_id, fold, label, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(ll, 9) DESC, k) AS rk FROM s) WHERE rk = 1)"""
 
 
+_CV_GNB = _cv_gnb()
+
+
 @query("cv_gnb", f"WITH {_CV_GNB}, {confusion_sql('p', 'fold')} {_CV_OUT}")
 def cv_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = validate.kfold(V.vec_frame(spark, sf_dir), 5)
     return report(validate.cross_validated(validate.gaussian_fold_predictions(folded)))
 
 
-_CV_KNN = f"""x AS (SELECT v.*, fold FROM ({V.VEC_SQL}) v JOIN (SELECT vec_id, fold FROM ({kfold_sql("SELECT vec_id FROM embeddings", "vec_id")})) USING (vec_id)),
+def _cv_knn(k: int = 5, seed: int = 42) -> str:
+    """The same by five nearest neighbours."""
+    return f"""x AS (SELECT v.*, fold FROM ({V.VEC_SQL}) v JOIN (SELECT vec_id, fold FROM ({kfold_sql("SELECT vec_id FROM embeddings", "vec_id", k, seed)})) USING (vec_id)),
     nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS y,
         {DIST} AS dist FROM x q JOIN x t ON q.fold <> t.fold)) WHERE rank <= 5),
     {vote_sql('CAST(1 AS DOUBLE)')}, p AS (SELECT vec_id, fold, label, pred FROM x JOIN pr ON qid = vec_id)"""
 
 
+_CV_KNN = _cv_knn()
+
+
+def _runs(one, k: int, runs: int) -> str:
+    """A table (fold, label, pred) of repeated cross-validations, their folds numbered on."""
+    return " UNION ALL ".join(f"SELECT fold + {k * r} AS fold, label, pred FROM (WITH {one(k, 42 + 100 * r)} SELECT * FROM p)" for r in range(runs))
+
+
 @query("cv_knn", f"WITH {_CV_KNN}, {confusion_sql('p', 'fold')} {_CV_OUT}")
 def cv_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = validate.kfold(V.vec_frame(spark, sf_dir), 5)
     return report(validate.cross_validated(validate.knn_fold_predictions(folded)))
 
 
-def _tree_fit(rows: DataFrame):
-    grown = tree.grow(rows, 10, V.DIMS, max_depth=2)
-    return lambda part: tree.predict(part, grown)
+@query("cv_repeated", f"WITH p AS ({_runs(_cv_gnb, 5, 3)}), {confusion_sql('p', 'fold')} {_CV_OUT}")
+def cv_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cross-validations of five folds, each shuffled anew."""
+    found = validate.repeated(V.vec_frame(spark, sf_dir), workflow.fold_predictions("gaussian_nb", 10, V.DIMS), 5, 3)
+    return report(validate.cross_validated(found))
+
 
+def _cell(algorithm: str, one) -> str:
+    return f"""SELECT 'embeddings' AS dataset, '{algorithm}' AS algorithm, metric, mean AS value, std, CAST(NULL AS VARCHAR) AS error
+        FROM (WITH p AS ({_runs(one, 3, 2)}), {confusion_sql('p', 'fold')} {_CV_OUT})"""
 
-@query("benchmark_grid")
+
+@query("benchmark_grid", f"{_cell('gaussian_nb', _cv_gnb)} UNION ALL {_cell('knn', _cv_knn)}")
 def benchmark_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = validate.kfold(V.vec_frame(spark, sf_dir), 3).persist()
-    algorithms = {
-        "gaussian_nb": validate.gaussian_fold_predictions,
-        "knn": validate.knn_fold_predictions,
-        "c45": lambda rows: validate.looped_fold_predictions(rows, 3, _tree_fit),
-    }
-    out = report(validate.grid(spark, {"embeddings": folded}, algorithms))
-    folded.unpersist()
+    """Two algorithms, three folds, two runs: mean and spread of every metric."""
+    algorithms = {name: workflow.fold_predictions(name, 10, V.DIMS) for name in ("gaussian_nb", "knn")}
+    return report(validate.grid(spark, {"embeddings": V.vec_frame(spark, sf_dir)}, algorithms, 3, 2))
+
+
+@query("benchmark_grid_all")
+def benchmark_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six algorithms, three folds; clusters are judged by inertia and silhouette."""
+    rows = V.vec_frame(spark, sf_dir).persist()
+    algorithms = {name: workflow.fold_predictions(name, 10, V.DIMS) for name in workflow.MODELS}
+
+    def clusters(frame: DataFrame, runs: int) -> list[tuple[str, float, float]]:
+        return kmeans.evaluation(kmeans.evaluate(frame, 10, runs, 5))
+
+    clusters.clusters = True
+    out = report(validate.grid(spark, {"embeddings": rows}, algorithms | {"kmeans": clusters}, 3, 1))
+    rows.unpersist()
     return out
 
 
@@ -172,9 +205,8 @@ _RESULTS = f"""g AS (SELECT fold, avg(CAST(label = pred AS DOUBLE)) AS a FROM (W
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = validate.kfold(V.vec_frame(spark, sf_dir), 5)
-    algorithms = {"gaussian_nb": validate.gaussian_fold_predictions, "knn": validate.knn_fold_predictions}
-    return validate.grid(spark, {"embeddings": folded}, algorithms)
+    algorithms = {name: workflow.fold_predictions(name, 10, V.DIMS) for name in ("gaussian_nb", "knn")}
+    return validate.grid(spark, {"embeddings": V.vec_frame(spark, sf_dir)}, algorithms)
 
 
 @query("results_matrix", f"WITH {_RESULTS} SELECT dataset, round(sum(CASE WHEN algorithm = 'gaussian_nb' THEN value END), 6) AS gaussian_nb, round(sum(CASE WHEN algorithm = 'knn' THEN value END), 6) AS knn, CAST(0 AS DOUBLE) AS mlp FROM r GROUP BY dataset")
@@ -197,23 +229,70 @@ def _scaled_split_sql(scale: bool) -> str:
     {GNB_PRED}"""
 
 
-@query("train_evaluate_gnb", f"WITH {_scaled_split_sql(True)}, {confusion_sql('p')} SELECT {_ALL} FROM su")
-def train_evaluate_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _train_evaluate(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
     """Scale, split, fit, predict and score one model."""
-    wide = prep.standard_scale(V.vec(spark, sf_dir), V.VEC)
-    rows = prep.train_test_split(wide, "vec_id").select(F.col("vec_id").alias("row_id"), F.array(*V.VEC).alias("x"), F.col("label").alias("y"), "is_test")
-    model = naive_bayes.fit_gaussian(rows.filter("not is_test"))
-    found = naive_bayes.predict_gaussian(rows.filter("is_test"), model)
-    return report(metrics.summary(metrics.confusion(found)).select(*validate.METRICS))
+    return report(workflow.train_evaluate(V.vec(spark, sf_dir), "vec_id", V.VEC, "label", name, **params))
 
 
-_CMP = f"""SELECT 'gaussian_nb' AS algorithm, {_ALL} FROM (WITH {_scaled_split_sql(False)}, {confusion_sql('p')} SELECT * FROM su) UNION ALL
-    SELECT 'knn' AS algorithm, {_ALL} FROM (WITH s AS ({split_sql(V.VEC_SQL, 'vec_id')}), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM
+_SCALED = f"""SELECT vec_id, label, list(v ORDER BY fi) AS x FROM (SELECT vec_id, label, fi, (v - avg(v) OVER (PARTITION BY fi)) / stddev_pop(v) OVER (PARTITION BY fi) AS v
+    FROM ({V.VEC_LONG_SQL})) GROUP BY vec_id, label"""
+
+
+def _knn_metrics(x: str) -> str:
+    return f"""WITH s AS MATERIALIZED ({split_sql(x, "vec_id")}), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM
         (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS y, {DIST} AS dist FROM s q JOIN s t ON q.is_test AND NOT t.is_test)) WHERE rank <= 5),
-        {vote_sql('CAST(1 AS DOUBLE)')}, p AS (SELECT vec_id, label, pred FROM s JOIN pr ON qid = vec_id), {confusion_sql('p')} SELECT * FROM su) UNION ALL
-    SELECT 'c45' AS algorithm, {_ALL} FROM (WITH sp0 AS ({split_sql(f"SELECT vec_id AS row_id, x, label AS y FROM ({V.VEC_SQL})", "row_id")}),
+        {vote_sql('CAST(1 AS DOUBLE)')}, p AS (SELECT vec_id, label, pred FROM s JOIN pr ON qid = vec_id), {confusion_sql('p')} SELECT {_ALL} FROM su"""
+
+
+def _c45_metrics(x: str) -> str:
+    return f"""WITH sp0 AS MATERIALIZED ({split_sql(f"SELECT vec_id AS row_id, x, label AS y FROM ({x})", "row_id")}),
         {tree_ctes("SELECT row_id, x, y FROM sp0 WHERE NOT is_test", features=V.DIMS, classes=10)}, {test_paths()},
-        p AS (SELECT row_id AS vec_id, y AS label, lab.label AS pred FROM vz JOIN lab USING (node)), {confusion_sql('p')} SELECT * FROM su)"""
+        p AS (SELECT row_id AS vec_id, y AS label, lab.label AS pred FROM vz JOIN lab USING (node)), {confusion_sql('p')} SELECT {_ALL} FROM su"""
+
+
+_GNB_METRICS = f"WITH {_scaled_split_sql(True)}, {confusion_sql('p')} SELECT {_ALL} FROM su"
+_SCALED_CV = f"""c AS (SELECT l.*, fold FROM (SELECT vec_id, label, fi, (v - avg(v) OVER (PARTITION BY fi)) / stddev_pop(v) OVER (PARTITION BY fi) AS v FROM ({V.VEC_LONG_SQL})) l JOIN"""
+
+
+@query("train_evaluate_gnb", _GNB_METRICS)
+def train_evaluate_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "gaussian_nb")
+
+
+@query("train_evaluate_gnb_cv", f"""SELECT * FROM ({_GNB_METRICS}), (WITH {_CV_GNB.replace("c AS (SELECT l.*, fold FROM (" + V.VEC_LONG_SQL + ") l JOIN", _SCALED_CV)}, {confusion_sql('p', 'fold')}
+    SELECT round(avg(accuracy), 6) AS cv_accuracy, round(stddev_pop(accuracy), 6) AS cv_accuracy_std, round(avg(f1_macro), 6) AS cv_f1_macro FROM su)""")
+def train_evaluate_gnb_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with five folds of cross-validation beside it."""
+    return _train_evaluate(spark, sf_dir, "gaussian_nb", folds=5)
+
+
+@query("train_evaluate_knn", _knn_metrics(_SCALED))
+def train_evaluate_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "knn")
+
+
+@query("train_evaluate_c45", _c45_metrics(_SCALED))
+def train_evaluate_c45(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "c45")
+
+
+@query("train_evaluate_svm")
+def train_evaluate_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "svm")
+
+
+@query("train_evaluate_mlp")
+def train_evaluate_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "mlp", epochs=30)
+
+
+@query("train_evaluate_kmeans")
+def train_evaluate_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train_evaluate(spark, sf_dir, "kmeans", k=10)
+
+
+_CMP = f"""SELECT 'gaussian_nb' AS algorithm, {_ALL} FROM (WITH {_scaled_split_sql(False)}, {confusion_sql('p')} SELECT * FROM su) UNION ALL
+    SELECT 'knn' AS algorithm, * FROM ({_knn_metrics(V.VEC_SQL)}) UNION ALL SELECT 'c45' AS algorithm, * FROM ({_c45_metrics(V.VEC_SQL)})"""
 
 
 @query("compare_algorithms", _CMP)

@@ -134,17 +134,21 @@ def elbow(rows: DataFrame, ks: list[int], iterations: int = 300, tolerance: floa
     return [(k, fit(rows, [init(rows, k)], iterations, tolerance)[1]) for k in ks]
 
 
-def evaluate(rows: DataFrame, k: int, runs: int = 3, restarts: int = 5, seed: int = 42, cap: int = 2000) -> list[tuple[int, float, float | None]]:
-    """(run, inertia, silhouette) of seeded k-means++ fits. The exact silhouette costs n squared distances,
-    so above ``cap`` rows it is left out (null)."""
-    out, small = [], rows.count() <= cap
+def evaluate(rows: DataFrame, k: int, runs: int = 3, restarts: int = 5, seed: int = 42) -> list[tuple[int, float, float]]:
+    """(run, inertia, silhouette) of seeded k-means++ fits. The silhouette is exact at any size: n squared distances, by blocks."""
+    out = []
     for run in range(runs):
         centres, inertia = fit(rows, [plus_plus(rows, k, seed + 100 * run + r) for r in range(restarts)])
-        score = silhouette(assign(rows, centres)).first().silhouette if small else None
-        out.append((run, inertia, score))
+        out.append((run, inertia, silhouette(assign(rows, centres)).first().silhouette))
     return out
 
 
+def evaluation(found: list[tuple[int, float, float]]) -> list[tuple[str, float, float]]:
+    """(metric, mean, std) over runs, the std being the population's."""
+    table = np.array([r[1:] for r in found])
+    return [(name, float(table[:, c].mean()), float(table[:, c].std())) for c, name in enumerate(("inertia", "silhouette"))]
+
+
 def centres_table(spark, centres: Centres) -> DataFrame:
     """(k, fi, value)."""
     rows = [(k, i, float(v)) for k, c in enumerate(centres) for i, v in enumerate(c)]

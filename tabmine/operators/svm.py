@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,6 +21,10 @@ def gamma(rows: DataFrame, how: str = "scale") -> DataFrame:
     return one.withColumn("gamma", 1.0 / (F.col("d") * F.col("var") + 1e-10) if how == "scale" else 1.0 / F.col("d"))
 
 
+def scale_gamma(rows: DataFrame) -> float:
+    return gamma(rows).first().gamma
+
+
 def hinge_gradient(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], w: np.ndarray, c: float) -> np.ndarray:
     """Per pair the loss and the gradient of C times the hinge sum, for weights w (pairs x (d + 1))."""
     out = np.zeros((len(pairs), w.shape[1] + 1))
@@ -33,6 +38,17 @@ def hinge_gradient(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], w
     return out.ravel()
 
 
+def kernel_features(rows: DataFrame, kernel: str = "linear", gamma: float | None = None, coef0: float = 1.0, degree: int = 3, size: int = 256, seed: int = 42) -> DataFrame:
+    """``rows`` with x replaced by features whose dot products are the kernel (linear) or approach it (rbf, poly).
+
+    ``gamma`` None is 1 / (d var), from all rows: give it when rows of another table must get the same features.
+    """
+    if kernel == "linear":
+        return rows
+    g = scale_gamma(rows) if gamma is None else gamma
+    return fourier_features(rows, g, size, seed) if kernel == "rbf" else polynomial_features(rows, g, coef0, degree, size, seed)
+
+
 @dataclass
 class OneVsOne:
     """A linear decision w x + b per pair of classes, the first of the pair being the positive side."""
@@ -58,6 +74,11 @@ class OneVsOne:
         return out.withColumn("pred", F.array(*[F.lit(c) for c in classes])[C.argmax(F.col("votes"))])
 
 
+    def predict_mapped(self, mapped) -> Callable[[DataFrame], DataFrame]:
+        """A function that predicts rows after ``mapped``, the feature map the machine was trained on."""
+        return lambda rows: self.predict(mapped(rows))
+
+
 def train(rows: DataFrame, classes: list[int], c: float = 1.0, steps: int = 60, rate: float = 1.0) -> OneVsOne:
     """All pairs share each pass over the rows; the step is a subgradient of |w|^2 / 2 + C sum hinge, averaged."""
     rows = rows.select("x", "y").persist()
@@ -78,15 +99,40 @@ def train(rows: DataFrame, classes: list[int], c: float = 1.0, steps: int = 60,
     return OneVsOne(pairs, mean / max(1, steps - steps // 2))
 
 
+def _width(rows: DataFrame) -> int:
+    first = rows.first()
+    return len(first.x) if first else 0
+
+
 def fourier_features(rows: DataFrame, g: float, size: int = 100, seed: int = 42) -> DataFrame:
     """``rows`` with x replaced by random Fourier features whose dot products approach exp(-g |x - z|^2)."""
-    d = len(rows.first().x)
+    d = _width(rows)
     draw = np.random.default_rng(seed)
     w, b = draw.normal(0.0, np.sqrt(2 * g), (d, size)), draw.uniform(0, 2 * np.pi, size)
     mapped = scored(rows, lambda x: np.sqrt(2.0 / size) * np.cos(x @ w + b), "z")
     return mapped.withColumn("x", F.col("z")).drop("z")
 
 
+def polynomial_features(rows: DataFrame, g: float, coef0: float = 1.0, degree: int = 3, size: int = 256, seed: int = 42) -> DataFrame:
+    """``rows`` with x replaced by a tensor sketch: dot products approach (g x z + coef0) ** degree.
+
+    Each of ``degree`` count sketches adds the coordinates up in ``size`` signed buckets; their circular
+    convolution, a product of Fourier transforms, sketches the product of that many dot products.
+    """
+    d = _width(rows) + 1
+    draw = np.random.default_rng(seed)
+    at, sign = draw.integers(0, size, (degree, d)), draw.choice([-1.0, 1.0], (degree, d))
+    maps = np.zeros((degree, d, size))
+    for k in range(degree):
+        maps[k, np.arange(d), at[k]] = sign[k]
+
+    def sketch(x: np.ndarray) -> np.ndarray:
+        wide = np.hstack([np.sqrt(g) * x, np.full((len(x), 1), np.sqrt(coef0))])
+        return np.fft.irfft(np.prod([np.fft.rfft(wide @ m, axis=1) for m in maps], axis=0), n=size, axis=1)
+
+    return scored(rows, sketch, "z").withColumn("x", F.col("z")).drop("z")
+
+
 def decision(rows: DataFrame, vectors: DataFrame, g: float, intercept: float = 0.0) -> DataFrame:
     """(row_id, y, decision): sum of coef K(v, x) over support vectors (v, coef), plus the intercept.
 

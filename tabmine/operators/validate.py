@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import argmax
-from tabmine.operators import knn, metrics, naive_bayes
+from tabmine.operators import knn, metrics, naive_bayes, tree
 from tabmine.operators.frame import shuffled_rank
 from tabmine.operators.select import fold_models
 
 METRICS = ["accuracy", *[f"{m}_{a}" for a in ("macro", "micro", "weighted") for m in ("precision", "recall", "f1")]]
-RESULT_SCHEMA = "dataset string, algorithm string, metric string, value double"
+RESULT_SCHEMA = "dataset string, algorithm string, metric string, value double, std double, error string"
 
 
 def kfold(rows: DataFrame, k: int = 5, seed: int = 42, row_id: str = "row_id", name: str = "fold") -> DataFrame:
@@ -25,9 +25,9 @@ def kfold(rows: DataFrame, k: int = 5, seed: int = 42, row_id: str = "row_id", n
     return ranked.withColumn(name, fold.cast("int")).drop("__rank", "__n")
 
 
-def gaussian_fold_predictions(folded: DataFrame) -> DataFrame:
+def gaussian_fold_predictions(folded: DataFrame, smoothing: float = 1e-9) -> DataFrame:
     """(row_id, fold, y, pred): each row by the model of the other folds; one scan fits all of them."""
-    models = naive_bayes.packed(fold_models(folded), ["fold"])
+    models = naive_bayes.packed(fold_models(folded, smoothing), ["fold"])
     scored = folded.join(F.broadcast(models), "fold")  # a row per fold
     scored = scored.withColumn("ll", naive_bayes.gaussian_log_likelihood(F.col("x"), F.col("classes")))
     names = F.transform("classes", lambda c: c["y"])
@@ -50,6 +50,22 @@ def looped_fold_predictions(folded: DataFrame, k: int, fit: Callable[[DataFrame]
     return out
 
 
+def tree_fold_predictions(folded: DataFrame, k: int, classes: int, features: int, **params) -> DataFrame:
+    """(row_id, fold, y, pred) by a tree per fold; all of them grow in the same jobs."""
+    training = folded.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("tree <> fold")
+    grown = tree.grow_all(training, k, classes, features, **params)
+    return tree.predict_all(folded.withColumn("tree", F.col("fold")), grown).select("row_id", "fold", "y", "pred")
+
+
+def repeated(rows: DataFrame, predict: Callable[[DataFrame, int], DataFrame], k: int = 5, runs: int = 1, seed: int = 42) -> DataFrame:
+    """(row_id, fold, y, pred) of ``runs`` cross-validations, run r shuffled by seed + 100 r; folds are numbered on."""
+    out = None
+    for r in range(runs):
+        part = predict(kfold(rows, k, seed + 100 * r), k).withColumn("fold", F.col("fold") + k * r)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cross_validated(predictions: DataFrame) -> DataFrame:
     """(metric, mean, std) over folds; std is the population's."""
     per_fold = metrics.summary(metrics.confusion(predictions, by=["fold"]), ["fold"])
@@ -57,20 +73,25 @@ def cross_validated(predictions: DataFrame) -> DataFrame:
     return cells.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def grid(spark: SparkSession, datasets: Mapping[str, DataFrame], algorithms: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """(dataset, algorithm, metric, value, error) of every cell; a failing cell has only its error.
+def grid(
+    spark: SparkSession, datasets: Mapping[str, DataFrame], algorithms: Mapping[str, Callable[[DataFrame, int], DataFrame]], k: int = 5, runs: int = 1
+) -> DataFrame:
+    """(dataset, algorithm, metric, value, std, error) of every cell; a failing cell has only its error.
 
-    An algorithm is a function from a folded frame to (row_id, fold, y, pred).
+    An algorithm is a function from a folded frame and k to (row_id, fold, y, pred), or with the attribute
+    ``clusters`` from the frame and the number of runs to (metric, mean, std). value and std are over all
+    folds of all runs.
     """
     rows = []
     for dataset, frame in datasets.items():
         for algorithm, predict in algorithms.items():
             try:
-                found = cross_validated(predict(frame)).collect()  # a row per metric
-                rows += [(dataset, algorithm, r.metric, r.mean, None) for r in found]
+                whole = getattr(predict, "clusters", False)
+                found = predict(frame, runs) if whole else cross_validated(repeated(frame, predict, k, runs)).collect()  # a row per metric
+                rows += [(dataset, algorithm, metric, mean, std, None) for metric, mean, std in found]
             except Exception as error:  # a broken cell must not lose the others
-                rows.append((dataset, algorithm, None, None, str(error)[:200]))
-    return spark.createDataFrame(rows, RESULT_SCHEMA + ", error string")
+                rows.append((dataset, algorithm, None, None, None, str(error)[:200]))
+    return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 def result_matrix(results: DataFrame, metric: str = "accuracy", algorithms: list[str] | None = None) -> DataFrame:

@@ -285,8 +285,8 @@ def test_roc(spark):
     rows = spark.createDataFrame([(float(s), bool(p)) for s, p in zip(score, positive, strict=True)], "score double, positive boolean")
     a, b = score[positive], score[~positive]
     want = np.mean((a[:, None] > b) + 0.5 * (a[:, None] == b))
-    for parts in (2, 64):
-        assert metrics.auc(metrics.roc(rows, parts=parts), parts=parts).first().auc == pytest.approx(want)
+    for size in (9, 65_536):
+        assert metrics.auc(metrics.roc(rows, size=size), size=size).first().auc == pytest.approx(want)
     single = metrics.roc(spark.createDataFrame([(0.3, True), (0.6, True)], "score double, positive boolean"))
     assert sorted((r.fpr, r.tpr) for r in single.collect()) == [(0.0, 0.0), (1.0, 1.0)]
 
@@ -328,6 +328,48 @@ def test_running_sums_over_buckets(spark):
         assert [r.run for r in part] == np.cumsum([r.k for r in part]).tolist()
 
 
+def test_quantiles_by_brackets(spark):
+    draw = np.random.default_rng(8)
+    v = np.round(draw.normal(0, 1, 4000) ** 3, 3)
+    rows = spark.createDataFrame([(k % 2, float(x) if k % 50 else None) for k, x in enumerate(v)], "g int, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for size, accuracy in ((65_536, 10_000), (40, 100)):
+        for r in frame.quantiles(rows, ["g"], "v", probs, accuracy, size).collect():
+            some = [x for k, x in enumerate(v) if k % 2 == r.g and k % 50]
+            assert r.n == len(some) and np.allclose(r.q, np.quantile(some, probs))
+    assert np.allclose(frame.quantiles(rows.filter("g = 1"), [], "v", [0.5]).first().q, np.median([x for k, x in enumerate(v) if k % 2]))
+    assert frame.quantiles(rows.filter("g = 7"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_block_pairs_of_large_sides(spark, blobs):
+    x, y = blobs
+    rows = points(spark, x, y)
+    f = lambda a, b: {"s": np.array([batches.distances(a["x"], b["x"], "manhattan").sum()])}
+    sums = [batches.block_pairs(rows, rows, f, "s double", ["row_id", "x"], ["row_id", "x"], 17, most).agg(F.sum("s")).first()[0] for most in (0, 20_000)]
+    assert np.allclose(sums, np.abs(x[:, None] - x[None]).sum())
+
+
+def test_splits_in_buckets_are_the_same(spark, blobs):
+    x, y = blobs
+    rows = points(spark, x, y)
+    cells = rows.select(F.lit(1).alias("node"), "y", F.posexplode("x").alias("fi", "v"))
+    for candidates in (None, 3):
+        scores = [tree.split_scores(cells, 3, tree.edges(rows, 4, n), candidates=candidates).select("fi", "threshold", "score", "n_left") for n in (10, 400_000)]
+        assert sorted(scores[0].collect()) == sorted(scores[1].collect())
+
+
+def test_wrapper_around_any_model(spark, blobs):
+    x, y = blobs
+    rows = points(spark, np.hstack([x, np.zeros((len(x), 1))]), y)
+
+    def fit(train):
+        model = naive_bayes.fit_gaussian(train)
+        return lambda part: naive_bayes.predict_gaussian(part, model)
+
+    assert select.forward_selection(rows, 2, 5, fit=fit) == select.forward_selection(rows, 2, 5)
+    assert select.backward_elimination(rows, 4, 5, fit=fit) == select.backward_elimination(rows, 4, 5)
+
+
 def test_summed_is_the_same_for_any_partitioning(spark, blobs):
     x, y = blobs
     f = lambda a, b: np.append(a.sum(0), b.sum())
