@@ -79,7 +79,7 @@ class Encoder:
     an added token, which the tokenizer takes out first, not at all.
     """
 
-    def __init__(self, path: str, width: int | None = None, cache: int = 1_000_000):
+    def __init__(self, path: str, width: int | None = None, cache: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
