@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmine.jobs import training_sql as T
 from tabmine.jobs import views as V
 from tabmine.jobs.bayes import GNB_PRED, GNB_SQL, gnb_predictions
 from tabmine.jobs.models import test_paths, tree_ctes
@@ -276,7 +277,12 @@ def train_evaluate_c45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _train_evaluate(spark, sf_dir, "c45")
 
 
-@query("train_evaluate_svm")
+def _svm_metrics(x: str) -> str:
+    rows = lambda test: f"SELECT vec_id, label, x FROM sv WHERE {test}"
+    return f"""WITH RECURSIVE sv AS MATERIALIZED ({split_sql(x, "vec_id")}), {T.svm_ctes(rows("NOT is_test"), rows("is_test"))}, {confusion_sql('p')} SELECT {_ALL} FROM su"""
+
+
+@query("train_evaluate_svm", _svm_metrics(_SCALED))
 def train_evaluate_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _train_evaluate(spark, sf_dir, "svm")
 

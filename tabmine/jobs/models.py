@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmine.jobs import training_sql as T
 from tabmine.jobs import views as V
-from tabmine.jobs.bayes import gnb_predictions
+from tabmine.jobs.bayes import GNB_PRED, GNB_SQL, gnb_predictions
 from tabmine.jobs.profiling import centroids, split_sql
 from tabmine.jobs.registry import query, report
 from tabmine.jobs.selection import part_frame
@@ -200,7 +201,7 @@ def svm_hinge_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.createDataFrame(rows, "a int, b int, fi int, gradient double"))
 
 
-@query("svm_ovo_linear")
+@query("svm_ovo_linear", f"WITH RECURSIVE {T.svm_ctes(V.VEC_SQL, V.VEC_SQL)} SELECT * FROM p")
 def svm_ovo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     return svm.train(rows, list(range(10))).predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
@@ -215,32 +216,40 @@ def svm_ovo_rbf_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
 # PCA
 
 
-@query("pca_explained_variance", f"""WITH m AS (SELECT var_samp(f0) AS a, covar_samp(f0, f1) AS b, var_samp(f1) AS c FROM ({V.VEC_WIDE_SQL})),
-    e AS (SELECT (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 AS e1, (a + c - sqrt(pow(a - c, 2) + 4 * b * b)) / 2 AS e2 FROM m)
-    SELECT 1 AS component, round(e1, 9) AS variance, round(e1 / (e1 + e2), 6) AS ratio, round(e1 / (e1 + e2), 6) AS cumulative FROM e
-    UNION ALL SELECT 2, round(e2, 9), round(e2 / (e1 + e2), 6), round(CAST(1 AS DOUBLE), 6) FROM e""")
-def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linalg.pca(V.vec_frame(spark, sf_dir, 2)).explained()
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.pca(V.vec_frame(spark, sf_dir)).explained()
     return report(spark.createDataFrame(found, "component int, variance double, ratio double, cumulative double"), 6, variance=9)
 
 
+@query("pca_explained_variance")
+def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _explained(spark, sf_dir)
+
+
+@query("pca_leading_variance", f"WITH {T.pca_ctes(3)}, e AS (" + " UNION ALL ".join(f"SELECT {n} AS component, variance FROM e{n}" for n in (1, 2, 3)) + """)
+    SELECT component, round(variance, 9) AS variance, round(variance / total, 6) AS ratio, round(sum(variance) OVER (ORDER BY component) / total, 6) AS cumulative FROM e, tr""")
+def pca_leading_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three leading components, their shares being of the variance of all."""
+    return _explained(spark, sf_dir).filter("component <= 3")
+
+
 def _projected(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     out = linalg.pca(rows).transform(rows, k)
     return report(out.select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), *[f"pc{j + 1}" for j in range(k)]))
 
 
-@query("pca_project_2d")
+@query("pca_project_2d", f"WITH {T.pca_ctes(2)} {T.projected_sql(2)}")
 def pca_project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(spark, sf_dir, 2)
 
 
-@query("pca_project_3d")
+@query("pca_project_3d", f"WITH {T.pca_ctes(3)} {T.projected_sql(3)}")
 def pca_project_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(spark, sf_dir, 3)
 
 
-@query("pca_prediction_map")
+@query("pca_prediction_map", f"SELECT a.*, pred, pred = a.label AS correct FROM (WITH {T.pca_ctes(2)} {T.projected_sql(2)}) a JOIN (WITH {GNB_SQL}, {GNB_PRED} SELECT vec_id, pred FROM p) b USING (vec_id)")
 def pca_prediction_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gnb_predictions(spark, sf_dir).select(F.col("row_id").alias("vec_id"), "pred")
     return _projected(spark, sf_dir, 2).join(found, "vec_id").withColumn("correct", F.col("pred") == F.col("label"))
@@ -291,3 +300,30 @@ for _name, _rate in (("sgd", 0.5), ("momentum", 0.1), ("adam", 0.02)):
 def mlp_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mlp.train(V.vec_frame(spark, sf_dir), [16], 10, "adam", 0.02, epochs=200)
     return report(spark.createDataFrame(list(enumerate(model.history, 1)), "epoch int, loss double"))
+
+
+# The first steps from the same starting weights, one batch an epoch
+
+_START = mlp.initial([V.DIMS, 16, 10])
+_LISTED = [float(v) for w, b in _START for v in (*w.T.ravel(), *b)]
+_STEPS = 8
+
+
+def _stepped(optimiser: str, rate: float) -> None:
+    ctes = T.mlp_ctes(_LISTED, 16, 10, optimiser, rate, _STEPS)
+    weights = f"(SELECT w FROM st WHERE t = {_STEPS}), xs"
+
+    @query(f"mlp_steps_{optimiser}", f"WITH RECURSIVE {ctes} SELECT vec_id, label, round(list_max(p), 5) AS p, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred FROM ({T.mlp_forward_sql(weights, 16, 10)})")
+    def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = V.vec_frame(spark, sf_dir)
+        found = mlp.train(rows, [16], 10, optimiser, rate, epochs=_STEPS, batches=1).predict(rows)
+        return report(found.select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), F.array_max("proba").alias("p"), "pred"), 5)
+
+    @query(f"mlp_steps_{optimiser}_loss", f"WITH RECURSIVE {ctes} SELECT t AS epoch, round(loss, 6) AS loss FROM st WHERE t > 0")
+    def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = mlp.train(V.vec_frame(spark, sf_dir), [16], 10, optimiser, rate, epochs=_STEPS, batches=1)
+        return report(spark.createDataFrame(list(enumerate(model.history, 1)), "epoch int, loss double"))
+
+
+for _name, _rate in (("sgd", 0.5), ("momentum", 0.1), ("adam", 0.02)):
+    _stepped(_name, _rate)

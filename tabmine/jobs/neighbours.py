@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabmine.jobs import training_sql as T
 from tabmine.jobs import views as V
 from tabmine.jobs.profiling import split_sql
 from tabmine.jobs.registry import query, report
@@ -127,12 +128,13 @@ def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.createDataFrame(found, "k int, inertia double"))
 
 
-@query("kmeans_pp_init")
+@query("kmeans_pp_init", f"WITH xs AS MATERIALIZED ({V.VEC_SQL}), {T.plus_plus_ctes('', 10, 42)} SELECT k, CAST(i - 1 AS INT) AS fi, x[i] AS value FROM i, range(1, {V.DIMS + 1}) ri(i)")
 def kmeans_pp_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.centres_table(spark, kmeans.plus_plus(V.vec_frame(spark, sf_dir), 10))
 
 
-@query("kmeans_fit_converged")
+@query("kmeans_fit_converged", f"""WITH RECURSIVE {T.kmeans_ctes(10, {0: 42, 1: 43, 2: 44})}, b AS (SELECT r, sum(d2) AS inertia FROM fa GROUP BY r ORDER BY round(sum(d2), 9), r LIMIT 1)
+    SELECT k, CAST(i - 1 AS INT) AS fi, round(c[i], 6) + 0.0 AS value, round(inertia, 6) AS inertia FROM st JOIN b USING (r), range(1, {V.DIMS + 1}) ri(i) WHERE t = 60""")
 def kmeans_fit_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     centres, inertia = kmeans.fit(rows, [kmeans.plus_plus(rows, 10, seed) for seed in (42, 43, 44)])
@@ -148,7 +150,14 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(kmeans.silhouette_rows(V.vec_frame(spark, sf_dir), "y").withColumnRenamed("row_id", "vec_id"))
 
 
-@query("kmeans_evaluate")
+@query("kmeans_evaluate", f"""WITH RECURSIVE {T.kmeans_ctes(10, {0: 42, 1: 43, 10: 142, 11: 143})},
+    b AS (SELECT r // 10 AS run, r, inertia FROM (SELECT *, row_number() OVER (PARTITION BY r // 10 ORDER BY round(inertia, 9), r) AS rk FROM (SELECT r, sum(d2) AS inertia FROM fa GROUP BY r)) WHERE rk = 1),
+    a AS MATERIALIZED (SELECT run, vec_id, k, x FROM fa JOIN b USING (r)), n AS (SELECT run, k, count(*) AS n FROM a GROUP BY run, k),
+    d AS (SELECT q.run, q.vec_id, q.k, t.k AS other, sum({DIST}) AS s FROM a q JOIN a t USING (run) GROUP BY ALL),
+    ab AS (SELECT d.run, vec_id, d.k, max(CASE WHEN d.k = other THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN d.k <> other THEN s / n END) AS b
+        FROM d JOIN n ON n.run = d.run AND n.k = other GROUP BY d.run, vec_id, d.k),
+    sc AS (SELECT run, avg(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY run)
+    SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) + 0.0 AS std FROM (SELECT 'inertia' AS metric, inertia AS v FROM b UNION ALL SELECT 'silhouette', silhouette FROM sc) GROUP BY metric""")
 def kmeans_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and spread of inertia and silhouette over seeded runs."""
     found = kmeans.evaluation(kmeans.evaluate(V.vec_frame(spark, sf_dir), 10, runs=2, restarts=2))
