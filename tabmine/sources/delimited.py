@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,59 +20,105 @@ def detect_delimiter(lines: list[str]) -> str:
     some = [x for x in lines if x.strip()][:5]
     best, fields = ",", 1
     for d in DELIMITERS:
-        counts = {len(x.split(d)) for x in some}
+        counts = {len(_fields(x, d)) for x in some}
         if len(counts) == 1 and (n := counts.pop()) > fields:
             best, fields = d, n
     return best
 
 
+def _fields(line: str, delimiter: str) -> list[str]:
+    """The trimmed fields of a line; quotes may hold delimiters."""
+    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter), [])]
+
+
 def detect_header(lines: list[str], delimiter: str) -> bool:
     """A header if the first line is mostly text over a mostly numeric second one, or has another field count."""
-    import re
-
-    some = [x.strip().split(delimiter) for x in lines if x.strip()][:2]
+    some = [_fields(x.strip(), delimiter) for x in lines if x.strip()][:2]
     if len(some) < 2:
         return False
     if len(some[0]) != len(some[1]):
         return True
-    share = [sum(bool(re.match(NUMBER, c.strip())) for c in row) / len(row) for row in some]
+    share = [sum(bool(re.match(NUMBER, c)) for c in row) / len(row) for row in some]
     return share[0] < 0.5 and share[1] > 0.5
 
 
-def head(spark: SparkSession, path: str, n: int = 5) -> list[str]:
-    """The first lines of a file, without a byte order mark."""
-    return [r.value.lstrip("\ufeff") for r in spark.read.text(path).limit(n).collect()]
+def _lines(spark: SparkSession, path: str, encoding: str, skip_rows: int) -> DataFrame:
+    """(value): the lines of a file after the first ``skip_rows``, blank ones aside, without a byte order mark.
+
+    Spark reads a file's parts in order, so its first lines are the first rows of the first partition.
+    """
+    raw = spark.read.text(path)
+    if encoding.upper().replace("-", "") != "UTF8":
+        raw = raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    if skip_rows:
+        raw = raw.withColumn("__n", F.monotonically_increasing_id()).filter(F.col("__n") >= skip_rows).drop("__n")
+    return raw.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter(F.trim("value") != "")
+
+
+def head(spark: SparkSession, path: str, n: int = 5, encoding: str = "UTF-8", skip_rows: int = 0) -> list[str]:
+    """The first lines of a file after ``skip_rows``, blank ones aside, without a byte order mark."""
+    return [r.value for r in _lines(spark, path, encoding, skip_rows).limit(n).collect()]
 
 
-def read_cells(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All cells as trimmed strings, blank lines dropped; columns are named by the header, or c0, c1, ..."""
-    lines = head(spark, path)
+def read_cells(
+    spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, encoding: str = "UTF-8", skip_rows: int = 0
+) -> DataFrame:
+    """All cells as trimmed strings, empty ones as null; columns are named by the header, or c0, c1, ...
+
+    ``path`` is a file, or a folder whose files all repeat the header. ``skip_rows`` lines at the beginning are
+    passed over, blank lines dropped, and so are rows of fewer fields than the first data row has; fields
+    beyond that are ignored. Quoted fields may hold delimiters, but no line ends. ``encoding`` is one that
+    keeps line ends as single bytes.
+    """
+    lines = head(spark, path, 5, encoding, skip_rows)
+    if not lines:
+        return spark.createDataFrame([], T.StructType([]))
     delimiter = delimiter or detect_delimiter(lines)
     header = detect_header(lines, delimiter) if header is None else header
-    first = lines[0].split(delimiter) if lines else []
-    names = [c.strip().strip('"') for c in first] if header else [f"c{k}" for k in range(len(first))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(
-        path, schema=schema, sep=delimiter, header=header, encoding=encoding, mode="PERMISSIVE", enforceSchema=True,
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="\u0000",
-    )
-    return raw.dropna(how="all")
+    rows = [_fields(x, delimiter) for x in lines]
+    width = len(rows[1] if header and len(rows) > 1 else rows[0])
+    names = [c or f"c{k}" for k, c in enumerate(rows[0][:width])] if header else []
+    names += [f"c{k}" for k in range(len(names), width)]
+    texts = _lines(spark, path, encoding, skip_rows)
+    if header:
+        texts = texts.filter(F.col("value") != lines[0])
+    unquoted = F.regexp_replace("value", '"([^"]|"")*"', "")
+    fields = F.regexp_count(unquoted, F.lit(re.escape(delimiter))) + 1
+    options = {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"', "nullValue": "\u0000"}
+    cells = F.from_csv("value", ", ".join(f"f{k} string" for k in range(width)), options)
+    return texts.filter(fields >= width).select(cells.alias("c")).select(*[F.col(f"c.f{k}").alias(n) for k, n in enumerate(names)])
 
 
 def labelled(cells: DataFrame, target: int = -1, skip: list[int] | None = None, row_id: str | None = None) -> DataFrame:
     """(row_id, features as double, label) from string columns.
 
     ``skip`` columns go first; ``target`` then counts among those that are left, from the end if negative.
-    Cells that are no numbers become null; rows without a label cell (too short) are dropped.
+    Cells that are no numbers become null; rows without a label are dropped. Without ``row_id`` ids are made
+    from the cells' hash and a number among equal rows, so they are the same for any partitioning.
     """
     names = [c for k, c in enumerate(cells.columns) if k not in (skip or []) and c != row_id]
     label = names[target]
     features = [c for c in names if c != label]
-    key = F.col(row_id) if row_id else F.monotonically_increasing_id()
     rows = cells.filter(F.col(label).isNotNull() & (F.trim(label) != ""))
+    if row_id is None:
+        rows = with_content_id(rows, "__row_id")
+    key = F.col(row_id or "__row_id")
     return rows.select(key.alias("row_id"), *[number(F.col(c)).alias(c) for c in features], F.trim(label).alias("label"))
 
 
+def with_content_id(rows: DataFrame, name: str, chunk: int = 100_000) -> DataFrame:
+    """``rows`` with an id from their content: equal rows are counted and told apart by number.
+
+    Counting combines on the map side, so a row that makes up much of the table is no hot key.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk))).alias("__part")
+    some = F.sequence(F.col("__part") * chunk, F.least(F.col("__n"), (F.col("__part") + 1) * chunk) - 1)
+    numbered = counted.select("*", part).select(*rows.columns, F.explode(some).alias("__k"))
+    cells = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    return numbered.select(*rows.columns, F.concat_ws("-", F.md5(cells), F.col("__k")).alias(name))
+
+
 def column_roles(cells: DataFrame) -> DataFrame:
     """(position, name, role) in one pass: feature, label or ignored.
 

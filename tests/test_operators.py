@@ -51,6 +51,17 @@ def test_reading_files(spark, tmp_path):
     first.write_text("id1,M,1.5,2\nid2,B,2.5,3\n")
     out = delimited.labelled(delimited.read_cells(spark, str(first)), target=0, skip=[0]).drop("row_id").collect()
     assert sorted((r.label, r.c2, r.c3) for r in out) == [("B", 2.5, 3.0), ("M", 1.5, 2.0)]
+    odd = tmp_path / "odd.csv"
+    odd.write_bytes('made by hand\n\n"a,x";b;label\n1;;é\n2;4\n"3";5;"y;z";9\n'.encode("latin-1"))
+    out = delimited.read_cells(spark, str(odd), ";", True, "ISO-8859-1", 1)
+    assert out.columns == ["a,x", "b", "label"] and sorted(map(tuple, out.collect())) == [("1", None, "é"), ("3", "5", "y;z")]
+    start = tmp_path / "start.csv"
+    start.write_text("0,2,4.0\n1,3,5.0\n1,3,5.0\n0,2\n")  # the label first, a short row last
+    out = [delimited.labelled(delimited.read_cells(spark, str(start)).repartition(n), target=0).collect() for n in (1, 3)]
+    assert sorted(out[0]) == sorted(out[1]) and len({r.row_id for r in out[0]}) == 3
+    assert sorted((r.label, r.c1, r.c2) for r in out[0]) == [("0", 2.0, 4.0), ("1", 3.0, 5.0), ("1", 3.0, 5.0)]
+    (tmp_path / "none.csv").write_text("")
+    assert delimited.read_cells(spark, str(tmp_path / "none.csv")).columns == []
 
 
 def test_roles(spark):
@@ -293,21 +304,21 @@ def test_roc(spark):
 
 def test_grid_keeps_errors(spark, blobs, tmp_path):
     x, y = blobs
-    folded = validate.kfold(points(spark, x, y), 3)
-
-    def broken(rows):
+    def broken(rows, k):
         raise ValueError("no such model")
 
-    grid = validate.grid(spark, {"blobs": folded}, {"nb": validate.gaussian_fold_predictions, "broken": broken})
+    grid = validate.grid(spark, {"blobs": points(spark, x, y)}, {"nb": lambda rows, k: validate.gaussian_fold_predictions(rows), "broken": broken}, 3, 2)
     cells = grid.collect()
     assert [r.error for r in cells if r.algorithm == "broken"] == ["no such model"]
     assert validate.result_matrix(grid.filter("error is null"), algorithms=["nb", "svm"]).first().svm == 0
     assert validate.best_algorithms(grid.filter("error is null")).first().algorithm == "nb"
     results.write_json(grid, str(tmp_path / "r"))
     assert results.read_json(spark, str(tmp_path / "r")).count() == len(cells)
-    summary = grid.withColumn("mean", F.col("value")).withColumn("std", F.lit(0.0))
+    summary = grid.withColumn("mean", F.col("value"))
     results.write_csv(summary, str(tmp_path / "c"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns[:3] == ["Dataset", "Algorithm", "Accuracy"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == [
+        "Dataset", "Algorithm", "Accuracy", "Accuracy_Std", "F1_Macro", "F1_Std", "Train_Time", "Time_Std"
+    ]
 
 
 def test_selection(spark, blobs):
