@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import OWN, each_batch, forget, id_and_text, stored
+from tabmine.llm.common import each_batch, forget, id_and_text, stored
 from tabmine.llm.components import components
 
 #: ASCII capitals to small letters, as the fingerprint's definition has it.
@@ -238,4 +238,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, bits: int = 4, shingle: int =
     """
     found = near_duplicates(spark, docs, bits, shingle)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", f"{OWN}id"), F.col("doc_id").cast("long") == F.col(f"{OWN}id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

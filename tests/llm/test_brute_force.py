@@ -6,15 +6,17 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import corpus_pipeline
-from tabmine.llm import components, decontaminate, language_model, mixing, pii, queries, quality_rules, simhash, token_counts, token_store
+from tabmine.llm import components, decontaminate, language_id, language_model, mixing, pii, quality_classifier, queries, quality_rules, simhash, token_counts, token_store
 from tabmine.llm.common import scratch
 from tabmine.llm.oracle import MIX_WEIGHTS
 
@@ -80,6 +82,24 @@ def test_base_measures(spark, table, texts):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def _rates(measured, lang, source):
+    tops = quality_rules.group_thresholds(quality_rules.sketches(measured), 0, 1).filter(f"lang = '{lang}' and source = '{source}'")
+    return {r.name: r.top for r in tops.collect()}
+
+
+def test_a_sources_threshold_follows_its_own_texts(spark):
+    """Capitals added to one source move that source's threshold and no other group's."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(80)), "en", f"s{k % 2}") for k in range(120)]
+    loud = [(k, t.upper() if s == "s1" and k % 3 else t, x, s) for k, t, x, s in rows]
+    for names in (rows, loud):
+        measured = quality_rules.measure(spark.createDataFrame(names, "doc_id long, text string, lang string, source string"))
+        got = [_rates(measured, "en", s) for s in ("s0", "s1")]
+        if names is rows:
+            before = got
+    assert got[0] == before[0] and got[1]["upper_rate"] > before[1]["upper_rate"] + 100_000
+    assert {k: v for k, v in got[1].items() if k != "upper_rate"} == {k: v for k, v in before[1].items() if k != "upper_rate"}
+
+
 def test_sketch_buckets(spark):
     rows = spark.range(0, 3000).selectExpr("cast(id * id * 37 as long) as v")
     out = rows.select("v", quality_rules.bucket(rows.v).alias("b"))
@@ -197,6 +217,24 @@ def test_loose_formats_are_found_and_counts_left_alone(texts):
         assert not found(clean)
 
 
+def test_recall_of_every_kind_of_loose_data():
+    """Half of the texts teach; the other half's data, rewritten, is found, and broken on purpose is left alone."""
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist() if t and re.search("[0-9@]", t)]
+    odd = [zlib.crc32(t.encode()) % 2 for t in texts]
+    judge = pii.Judge.train([t for t, o in zip(texts, odd, strict=True) if o])
+    draw, found, total = random.Random(4), Counter(), Counter()
+    for t in (t for t, o in zip(texts, odd, strict=True) if not o):
+        for kind, a, b in pii.base_spans(t):
+            for made in (pii._rewritten, pii._broken):
+                new = t[max(0, a - 60) : a] + (s := made(kind, t[a:b], draw)) + t[b : b + 20]
+                start = min(60, a)
+                total[made, kind] += 1
+                found[made, kind] += any(k == kind and x < start + len(s) and start < y for k, x, y in judge.spans(new)[1])
+    for kind in range(len(pii.KINDS)):
+        assert total[pii._rewritten, kind] > 50 and found[pii._rewritten, kind] >= 0.9 * total[pii._rewritten, kind]
+        assert found[pii._broken, kind] <= 0.02 * total[pii._broken, kind]
+
+
 # mixing
 
 
@@ -351,6 +389,43 @@ def test_language_on_held_out(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
 
 
+def test_quality_score_is_the_softmax_of_averaged_vectors(texts):
+    some = [t for t in texts.values() if t][:60]
+    model = quality_classifier.Classifier().fit(some, [k % 3 > 0 for k in range(60)], epochs=2)
+    for t in [*some[:20], "", "two words"]:
+        at = quality_classifier.features(t, model.bits)
+        mean = sum((model.e[k].astype(float) for k in at), np.zeros(model.e.shape[1])) / (len(at) + quality_classifier.PAD)
+        z = np.exp(model.u.astype(float) @ mean + model.bias)
+        assert model.score(t) == pytest.approx(z[1] / z.sum(), abs=1e-5)
+
+
+def test_language_votes(texts):
+    langs = ["en", "de", "nl", "fr", "es", "fi"]
+    some = [t for t in texts.values() if t and len(t) > 100][:90]
+    label = [langs[k % 6] for k in range(len(some))]
+    model = language_id.Model(langs).fit(some, label)
+    assert model.tree == {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"], "uralic": ["fi"]}
+
+    def best(names, counts, n):
+        votes, margin = Counter(), Counter()
+        for a, b in combinations(names, 2):
+            w, bias = model.pairs[a, b]
+            z = sum(float(w[k]) * c for k, c in counts.items()) / n + bias
+            votes[a if z >= 0 else b] += 1
+            margin[a] += z
+            margin[b] -= z
+        return max(names, key=lambda x: (votes[x], margin[x]))
+
+    for t in [*some[:30], "hello there", "x"]:
+        at = language_id.features(t, model.bits).tolist()
+        family = best(sorted(model.tree), Counter(at), len(at))
+        assert model.predict(t)[0] == best(model.tree[family], Counter(at), len(at))
+
+
+def test_signs_are_no_letters():
+    assert not any(map(language_id.has_letter, ["", "½ ²", "12 %", "_-_", "٣"])) and all(map(language_id.has_letter, ["a", "²b", "é", "漢", "ª"]))
+
+
 # near duplicates
 
 

@@ -124,3 +124,17 @@ def test_extra_columns_survive_filters(spark, docs):
     assert quality_rules.keep_good(spark, wide).columns == wide.columns
     assert simhash.keep_one(spark, wide).columns == wide.columns
     assert mixing.apply_mix(spark, wide, {}, epochs=1).columns == wide.columns
+
+
+@pytest.mark.parametrize("f", [quality_rules.keep_good, lambda s, d: mixing.apply_mix(s, d, {})])
+def test_helper_names_are_refused(spark, docs, f):
+    with pytest.raises(ValueError, match="helper"):
+        f(spark, docs.withColumn("__tm_epochs", F.lit(1)))
+
+
+def test_filters_with_helper_names(spark, docs):
+    wide = docs.withColumn("__tm_id", F.lit("x"))
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    assert decontaminate.keep_clean(spark, wide, bench).collect() == wide.collect()
+    assert simhash.keep_one(spark, wide).columns == wide.columns and simhash.keep_one(spark, wide).count() == len(ROWS) - 2
+    assert {r.doc_id for r in pii.redact(spark, wide).collect()} == {r[0] for r in ROWS}
