@@ -143,8 +143,8 @@ def test_lm_scores(spark, table, texts):
     one = Counter(w for ws in words.values() for w in ws)
     two = Counter(p for ws in words.values() for p in zip(ws, ws[1:], strict=False))
     n = sum(one.values())
-    for hot in (1e-4, 0.5):
-        for r in language_model.score(spark, table, hot=hot).collect():
+    for hot, parts in ((1e-4, 2), (0.5, 1), (1e-3, 4)):
+        for r in language_model.score(spark, table, hot=hot, parts=parts).collect():
             ws, s = words[r.doc_id], 0.0
             for k, w in enumerate(ws):
                 pair = (ws[k - 1], w) if k else None
