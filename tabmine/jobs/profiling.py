@@ -148,6 +148,19 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.stratified_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
 
 
+def _minmax_sql(c: str) -> str:
+    return f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS {c}"
+
+
+@query("preprocess_rows", f"""WITH m AS ({V.MISSING_SQL}), q AS (SELECT quantile_cont(o_totalprice, 0.5) AS a, quantile_cont(o_custkey, 0.5) AS b FROM m),
+    i AS (SELECT o_orderkey, coalesce(o_totalprice, a) AS o_totalprice, coalesce(o_custkey, b) AS o_custkey FROM m, q)
+    SELECT o_orderkey, {_minmax_sql("o_totalprice")}, {_minmax_sql("o_custkey")}, is_test FROM ({split_sql("SELECT * FROM i", "o_orderkey")})""")
+def preprocess_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians for gaps, features into 0..1, a fifth of the rows for testing."""
+    ready = prep.preprocess(V.with_missing(spark, sf_dir), "o_orderkey", V.MISSING, "median", "minmax", 0.2)
+    return report(ready.select("o_orderkey", *V.MISSING, "is_test"))
+
+
 @query("preprocess_report", f"""WITH m AS ({V.MISSING_SQL}), d AS (SELECT * FROM m WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL),
     s AS ({split_sql("SELECT * FROM d", "o_orderkey")})
     SELECT (SELECT count(*) FROM m) AS n_before, count(*) AS n_after, CAST(0 AS BIGINT) AS missing_after, CAST(count_if(NOT is_test) AS BIGINT) AS n_train,

@@ -23,6 +23,13 @@ def filter_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(select.variance_filter(V.vec_frame(spark, sf_dir), k=5))
 
 
+@query("project_features", f"SELECT vec_id, round(f1, 6) AS a, round(f5, 6) AS b, round(f40, 6) AS c FROM ({V.VEC_WIDE_SQL})")
+def project_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors cut down to three chosen features, in index order."""
+    rows = select.keep_features(V.vec(spark, sf_dir), V.VEC, [40, 1, 5])
+    return report(rows.select("vec_id", *[F.col("x")[k].alias(n) for k, n in enumerate("abc")]))
+
+
 _MI_SQL = """WITH c AS (SELECT fi, v, y FROM ({source})), d AS (SELECT fi, count(DISTINCT v) AS u FROM c GROUP BY fi),
     q AS (SELECT fi, quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q, list_sort(list_distinct(list(v))) AS vals FROM c GROUP BY fi),
     e AS (SELECT fi, unnest(list_sort(list_distinct(CASE WHEN u < 10 THEN vals ELSE q END))) AS e FROM q JOIN d USING (fi)),

@@ -19,8 +19,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 def summed(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all batches of f(X, y), a vector of doubles.
 
-    Every task adds its batches up and sends one vector; vectors are added place by place in Spark, so
-    the driver gets one vector however many tasks there are.
+    Every task adds its batches up and sends one vector on to one more task, which adds those up as they
+    come, so the driver gets one vector however many tasks there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,12 +32,17 @@ def summed(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -
         if acc is not None:
             yield pa.RecordBatch.from_arrays([pa.array([acc], type=pa.list_(pa.float64()))], names=["s"])
 
-    parts = rows.select("x", "y").mapInArrow(run, "s array<double>")
-    found = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(found))
-    for r in found:
-        out[r.i] = r.v
-    return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = None
+        for batch in batches:
+            for part in batch.column(0):
+                acc = part.values.to_numpy() if acc is None else acc + part.values.to_numpy()
+        if acc is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([acc], type=pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.select("x", "y").mapInArrow(run, "s array<double>").repartition(1)
+    found = parts.mapInArrow(added, "s array<double>").collect()
+    return np.array(found[0].s) if found else np.zeros(0)
 
 
 def scored(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], name: str = "out") -> DataFrame:

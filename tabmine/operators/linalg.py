@@ -23,11 +23,11 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def correlation(rows: DataFrame) -> np.ndarray:
-    """Pearson r of all pairs of a wide frame; 0 where a feature has no spread."""
+    """Pearson r of all pairs of a wide frame; NaN where a feature has no spread, as it is null in the profile."""
     _, _, gram = moments(rows)
     sd = np.sqrt(np.diag(gram))
     scale = np.outer(sd, sd)
-    return np.divide(gram, scale, out=np.zeros_like(gram), where=scale > 0)
+    return np.divide(gram, scale, out=np.full_like(gram, np.nan), where=scale > 0)
 
 
 @dataclass

@@ -52,10 +52,10 @@ def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, activation
 
 
 def initial(sizes: list[int], activation: str = "relu", seed: int = 42) -> Weights:
-    """He scaling for relu, Xavier otherwise; biases 0."""
+    """Variance 2 / inputs for relu, 1 / inputs otherwise; biases 0."""
     draw, out = np.random.default_rng(seed), []
     for a, b in zip(sizes, sizes[1:], strict=False):
-        scale = np.sqrt(2.0 / a) if activation == "relu" else np.sqrt(2.0 / (a + b))
+        scale = np.sqrt((2.0 if activation == "relu" else 1.0) / a)
         out.append((draw.normal(0.0, scale, (a, b)), np.zeros(b)))
     return out
 
