@@ -377,8 +377,8 @@ def test_wrapper_around_any_model(spark, blobs):
         model = naive_bayes.fit_gaussian(train)
         return lambda part: naive_bayes.predict_gaussian(part, model)
 
-    assert select.forward_selection(rows, 2, 5, fit=fit) == select.forward_selection(rows, 2, 5)
-    assert select.backward_elimination(rows, 4, 5, fit=fit) == select.backward_elimination(rows, 4, 5)
+    assert select.forward_selection(rows, 1, 5, 2, fit=fit) == select.forward_selection(rows, 1, 5, 2)
+    assert select.backward_elimination(rows, 4, 5, 2, fit=fit) == select.backward_elimination(rows, 4, 5, 2)
 
 
 def test_summed_is_the_same_for_any_partitioning(spark, blobs):
