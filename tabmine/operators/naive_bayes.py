@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmine.functions.columns import argmax, total
 from tabmine.operators.frame import few, long
+from tabmine.sources.files import stored
 
 
 def fit_gaussian(rows: DataFrame, smoothing: float = 1e-9) -> DataFrame:
@@ -60,7 +61,7 @@ def fit_multinomial(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) ->
     checked = F.when(F.col("n") < 0, F.raise_error(F.lit("counts must not be negative"))).otherwise(F.col("n"))
     known = counts if "y" in counts.columns else counts.join(labels, "row_id")
     known = known.filter("y is not null").select("row_id", "y", "term", checked.alias("n"))
-    seen = known.groupBy("y", "term").agg(F.sum("n").alias("n"))
+    seen = stored(known.groupBy("y", "term").agg(F.sum("n").alias("n")), "term-counts")  # several tables come from it
     size = seen.agg(F.count_distinct("term").alias("v"))
     rows = labels.groupBy("y").agg(F.count("*").alias("docs"))
     prior = rows.select("y", F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy())).alias("log_prior"))  # a row per class
