@@ -112,4 +112,31 @@ MIX_WEIGHTS = {
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
 }
 
-ORACLE_SQL = {"op2_quality_rules": _quality(), "op4_lm_scoring": _LM, "op6_mix_sources": _mix(MIX_WEIGHTS)}
+_AUDIT = """
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+        FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    m AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws),
+        'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS fails FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM f a, f b, f c, f e, f g
+        WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+    s AS (SELECT filter_order, step, filter_order[step] AS filter, filter_order[1:step - 1] AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    c AS (SELECT part, struct_extract(fails, 'A') AS a, fails.B AS b, fails.C AS c, fails.D AS d, fails.E AS e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    z AS (SELECT part, n, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS failed FROM c),
+    y AS (SELECT part, filter_order, step, filter, n, good, toxic, list_contains(failed, filter) AS fail, len(failed) AS n_failed,
+        len(list_filter(failed, lambda x: contains(earlier, x))) > 0 AS gone FROM z, s),
+    r AS (SELECT part, filter_order, step, filter, CAST(sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN fail AND n_failed = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM y GROUP BY part, filter_order, step, filter)
+    SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+ORACLE_SQL = {
+    "op2_quality_rules": _quality(),
+    "op4_lm_scoring": _LM,
+    "op6_mix_sources": _mix(MIX_WEIGHTS),
+    "op11_filter_audit": _AUDIT,
+}

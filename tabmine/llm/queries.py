@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabmine.llm import (
     decontaminate,
+    filter_audit,
     language_id,
     language_model,
     mixing,
@@ -90,6 +91,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all 120 orders, per source (``filter_audit.audit``)."""
+    return filter_audit.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_language_id,
         op10_simhash,
+        op11_filter_audit,
     )
 }
