@@ -134,9 +134,34 @@ _AUDIT = """
         CAST(sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM y GROUP BY part, filter_order, step, filter)
     SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
 
+#: CRC-32 byte by byte, its table made from the polynomial.
+_SPELLING = """
+    WITH RECURSIVE step AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+    r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+    b AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+    h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x), 2), lambda i: CAST(('0x' || x[i + 1:i + 2]) AS BIGINT))),
+        lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1])), 4294967295) AS h FROM b, step),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+    k AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS key FROM p),
+    c AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS cut FROM p),
+    near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+        UNION ALL SELECT c.word, w.word, w.n FROM c JOIN w ON c.cut = w.word
+        UNION ALL SELECT w.word, c.word, c.n FROM c JOIN w ON c.cut = w.word),
+    g AS (SELECT word, count(*) AS n_near, min({'less': -other_n, 'word': other}) AS best FROM near GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * w.n THEN best.word END AS form,
+        CASE WHEN -best.less >= 5 * w.n THEN -best.less END AS form_n FROM w LEFT JOIN g USING (word)),
+    path AS (SELECT word, word AS root FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, path.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+    FROM f JOIN path ON path.word = f.word JOIN f last ON last.word = path.root AND last.form IS NULL"""
+
 ORACLE_SQL = {
     "op2_quality_rules": _quality(),
     "op4_lm_scoring": _LM,
     "op6_mix_sources": _mix(MIX_WEIGHTS),
     "op11_filter_audit": _AUDIT,
+    "op13_spelling_variants": _SPELLING,
 }

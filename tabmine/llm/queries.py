@@ -20,6 +20,7 @@ from tabmine.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     token_counts,
     token_store,
 )
@@ -96,6 +97,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of all texts (``spelling.variants``)."""
+    return spelling.variants(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_simhash,
         op11_filter_audit,
+        op13_spelling_variants,
     )
 }
