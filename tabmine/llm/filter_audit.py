@@ -45,6 +45,7 @@ def failures(spark: SparkSession, docs: DataFrame, part: str = "source") -> Data
         mask = mask.bitwiseOR(F.when(failed, 1 << k).otherwise(0))
     rows = stored(spark, rows.select("doc_id", "part", mask.alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest")), "masks")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    firsts = stored(spark, firsts, "firsts")  # both sides of the join are exchanges then, which can be split
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.join(firsts, "digest", "left").select("doc_id", "part", F.col("mask").bitwiseOR(F.when(copy, 16).otherwise(0)).alias("mask"))
 

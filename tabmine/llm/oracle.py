@@ -134,6 +134,22 @@ _AUDIT = """
         CAST(sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM y GROUP BY part, filter_order, step, filter)
     SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
 
+_JOIN = """
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS hs FROM d),
+    t AS (SELECT list_sort(hs) AS hs, row_number() OVER () AS id FROM (SELECT DISTINCT list_sort(hs) AS hs FROM s WHERE len(hs) > 0)),
+    g AS (SELECT id, len(hs) AS n, unnest(hs) AS h FROM t),
+    p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    reach AS (SELECT id AS node, id AS other FROM t UNION SELECT node, e.b FROM reach JOIN e ON e.a = reach.other),
+    m AS (SELECT s.doc_id, len(s.hs) AS n, t.id FROM s LEFT JOIN t ON t.hs = list_sort(s.hs)),
+    c AS (SELECT node, min(doc_id) AS component_id FROM reach JOIN m ON m.id = reach.other GROUP BY node)
+    SELECT m.doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN m.doc_id ELSE component_id END AS component_id
+    FROM m LEFT JOIN c ON c.node = m.id"""
+
 #: CRC-32 byte by byte, its table made from the polynomial.
 _SPELLING = """
     WITH RECURSIVE step AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
@@ -163,5 +179,6 @@ ORACLE_SQL = {
     "op4_lm_scoring": _LM,
     "op6_mix_sources": _mix(MIX_WEIGHTS),
     "op11_filter_audit": _AUDIT,
+    "op12_shingle_join": _JOIN,
     "op13_spelling_variants": _SPELLING,
 }

@@ -19,6 +19,7 @@ from tabmine.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    shingle_join,
     simhash,
     spelling,
     token_counts,
@@ -97,6 +98,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and group of every document by Jaccard links of word shingles (``shingle_join.near_duplicates``)."""
+    return shingle_join.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every frequent word of all texts (``spelling.variants``)."""
     return spelling.variants(spark, _table(spark, sf_dir, "documents"))
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_simhash,
         op11_filter_audit,
+        op12_shingle_join,
         op13_spelling_variants,
     )
 }
