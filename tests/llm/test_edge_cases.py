@@ -5,7 +5,21 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabmine.llm import decontaminate, language_id, language_model, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_store
+from tabmine.llm import (
+    decontaminate,
+    filter_audit,
+    language_id,
+    language_model,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    shingle_join,
+    simhash,
+    spelling,
+    token_counts,
+    token_store,
+)
 from tabmine.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score string, n_words string, h string, epochs string"
@@ -56,10 +70,11 @@ def operators(spark):
         "classify": (lambda d: quality_classifier.classify(spark, d, labels), ["doc_id", "held_out", "score", "predicted"], True),
         "language": (lambda d: language_id.identify(spark, d), ["doc_id", "held_out", "lang_pred", "score"], True),
         "simhash": (lambda d: simhash.near_duplicates(spark, d), ["doc_id", "fp", "component_id"], True),
+        "shingle_join": (lambda d: shingle_join.near_duplicates(spark, d), ["doc_id", "n_shingles", "component_id"], True),
     }
 
 
-NAMES = ["token_store", "quality", "token_counts", "lm", "pii", "mix", "decontaminate", "classify", "language", "simhash"]
+NAMES = ["token_store", "quality", "token_counts", "lm", "pii", "mix", "decontaminate", "classify", "language", "simhash", "shingle_join"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -113,6 +128,15 @@ def test_defined_results(spark, docs):
     assert {r.predicted for r in one.collect()} == {1}
 
 
+def test_odd_rows_in_counts(spark, docs, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = filter_audit.audit(spark, docs, labels).collect()
+    assert {r.part for r in rows} == {"", "src1", "src2", "src9"} and len(rows) == 4 * 600
+    assert sum(r.kept + r.removed for r in rows if r.step == 1 and r.filter_order == "ABCDE") == len(ROWS)
+    assert filter_audit.audit(spark, empty, labels).count() == 0
+    assert spelling.variants(spark, docs).collect() == spelling.variants(spark, empty).collect() == []
+
+
 def test_redaction_keeps_null(spark):
     rows = spark.createDataFrame([(1, "write to bob@mail.example.com or 10.0.0.7"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(spark, rows).collect()}
