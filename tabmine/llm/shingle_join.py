@@ -75,12 +75,12 @@ class Bands:
         return int(np.searchsorted(self.first, n, "right")) - 1
 
     def words(self, band: int) -> tuple[int, int]:
-        """Sketch words of a band and the next, and how many of them linked sets are sure to share beyond one."""
+        """Sketch words of a band and the next, and how many of them a set leaves out."""
         while len(self.first) < band + 2:
             self._next()
         most = self.first[band + 1] - 1
         differ = self.differences(most + most * 100 // self.percent)
-        spare = 2 + differ // 32
+        spare = 1 + differ // 2
         return (differ + 1 + spare, spare) if differ else (0, 0)  # sets that may not differ are equal, hence one
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -94,15 +94,10 @@ class Bands:
             place = (hashes >> np.uint64(32)) * np.uint64(64 * m) >> np.uint64(32)  # ascending, as the hashes
             block, bit = place >> np.uint64(6), _ONE << (place & np.uint64(63))
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            word, block = np.bitwise_xor.reduceat(bit, starts), block[starts]
-            some = word != 0
-            if m - int(some.sum()) > spare:
-                every = np.zeros(m, dtype=np.uint64)
-                every[block.astype(np.int64)] = word
-                word, block = every, np.arange(m, dtype=np.uint64)
-            else:
-                word, block = word[some], block[some]
-            found.append(pairs(pairs(block, np.full(len(block), band, dtype=np.uint64)), word))
+            word = np.zeros(m, dtype=np.uint64)
+            word[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(bit, starts)
+            key = pairs(pairs(np.arange(m, dtype=np.uint64), np.full(m, band, dtype=np.uint64)), word)
+            found.append(key[np.lexsort((key, np.bitwise_count(word)))[spare:]])
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -125,49 +120,59 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _scan(docs: DataFrame, make, schema: str, arrow: pa.Schema, once: bool) -> DataFrame:
-    """``make``(set id, doc_id, text, hashes) gives columns for each text; with ``once`` a task takes each set once, empty sets never."""
+def _scan(docs: DataFrame, make, out: pa.Schema, shingle: int, once: bool) -> DataFrame:
+    """Rows ``make(doc_id, text, hashes, node, new)`` of each text, columns that are arrays being many rows.
+
+    ``node`` is the set's id, None for empty sets; ``new`` says that the task hasn't had the set before. With
+    ``once`` only the new ones are taken. A task remembers the ids it has had, 8 bytes a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in each_batch(batches, 256):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = shingle_set(text, make.shingle)
+                hashes = shingle_set(text, shingle)
                 node = set_id(hashes) if len(hashes) else None
-                if once:
-                    if node is None or node in seen:
-                        continue
+                new = node is not None and node not in seen
+                if new:
                     seen.add(node)
-                rows.append(make(node, doc_id, text, hashes))
+                if new or not once:
+                    rows.append(make(doc_id, text, hashes, node, new))
             if rows:
                 columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else c for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
-
-    return id_and_text(docs).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
 
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return id_and_text(docs).mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in out))
 
-def _maker(f, shingle: int):
-    f.shingle = shingle
-    return f
 
-
-def sizes(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, node, n) of every row; node is null for empty sets."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-    make = _maker(lambda node, doc_id, _, hashes: (doc_id, node, len(hashes)), shingle)
-    return _scan(docs, make, "doc_id long, node long, n long", arrow, False)
+def measured(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, node, n, sketch) of every row; node is null for empty sets, and a task gives each sketch once."""
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    return _scan(docs, lambda doc_id, _, hashes, node, new: (doc_id, node, len(hashes), sketch(hashes).tobytes() if new else None), out, shingle, False)
 
 
 def keyed(docs: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
     """(key, node) for every set and key; sets in several tasks repeat."""
-    arrow, bands = pa.schema([("key", pa.int64()), ("node", pa.int64())]), Bands(percent)
+    bands = Bands(percent)
 
-    def make(node, doc_id, text, hashes):
+    def make(doc_id, text, hashes, node, new):
         keys = bands.keys(hashes).view(np.int64)
         return keys, np.full(len(keys), node, dtype=np.int64)
 
-    return _scan(docs, _maker(make, shingle), "key long, node long", arrow, True)
+    return _scan(docs, make, pa.schema([("key", pa.int64()), ("node", pa.int64())]), shingle, True)
+
+
+def texts_of(spark: SparkSession, docs: DataFrame, found: DataFrame, shingle: int = 4) -> DataFrame:
+    """(node, text) of the sets in the pairs of ``found``, once each: stored, and never more than a row a task before."""
+    every = _scan(docs, lambda doc_id, text, hashes, node, new: (node, text), pa.schema([("node", pa.int64()), ("text", pa.string())]), shingle, True)
+    nodes = stored(spark, found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    some = stored(spark, every.join(nodes, "node", "left_semi"), "texts")
+    texts = stored(spark, some.dropDuplicates(["node"]), "texts")
+    forget(spark, some)
+    forget(spark, nodes)
+    return texts
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -209,9 +214,35 @@ def meetings(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, center long")
 
 
+def _with_both(found: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with the columns of both ends; the second join's left side is heavy, so a hot ``a`` can be split."""
+    one = lambda end: of.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    return found.join(one("b"), "b").join(one("a"), "a").select("a", "b", *[f"{c}_{end}" for c in columns for end in "ab"])
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def bounded(found: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
+    """The pairs of ``found`` that sizes and sketches of ``sets`` (node, n, sketch) don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
+            keep = np.flatnonzero(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+            differ = np.zeros(len(keep), dtype=np.int64)
+            for k, row in enumerate(keep.tolist()):
+                x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype="<u8")[None] for c in (4, 5))
+                words = min(x.shape[1], y.shape[1])
+                differ[k] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64)
+            keep = keep[(100 + percent) * differ <= (100 - percent) * (n_a[keep] + n_b[keep])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], schema=_PAIRS)
+
+    return _with_both(found, sets, "n", "sketch").mapInArrow(run, "a long, b long")
+
+
 def verified(found: DataFrame, texts: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
-    """The pairs (a, b) of ``found`` whose sets are similar enough, by their whole texts; ``a`` may be a hot one."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The pairs (a, b) of ``found`` whose sets are similar enough, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, left = None, np.zeros(0, dtype=np.uint64)
@@ -225,11 +256,9 @@ def verified(found: DataFrame, texts: DataFrame, percent: int = 85, shingle: int
                 if 100 * both >= percent * (len(left) + len(right) - both):
                     rows.append((held, b.as_py()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=_PAIRS)
 
-    one = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-    rows = found.join(one("b"), "b").join(one("a"), "a")  # the second join's left side is heavy, and can be split
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _with_both(found, texts, "text").mapInArrow(run, "a long, b long")
 
 
 def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -258,7 +287,6 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("key", "part", other, "node", "root", "n", "sketch")
     rows = rows.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node", "root", "n", "sketch")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
@@ -280,7 +308,7 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes
                         a, b = np.minimum(node1[x], node2[y])[keep], np.maximum(node1[x], node2[y])[keep]
                         if len(a):
                             found = np.unique(np.stack([a, b], axis=1), axis=0)
-                            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=out)
+                            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIRS)
 
         for batch in batches:
             for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -294,31 +322,30 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
-    """Pairs (a, b) of sets, by ``set_id``, that are similar enough and connect all sets that such pairs connect."""
+def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (node, n, sketch; stored) that are similar enough and connect all that such pairs connect."""
     shared = stored(spark, meetings(keyed(docs, percent, shingle)), "meetings")
-    text = pa.schema([("node", pa.int64()), ("text", pa.string())])
-    texts = _scan(docs, _maker(lambda node, _, t, __: (node, t), shingle), "node long, text string", text, True)
-    # a task gives each set once, so no set has more rows than there are tasks
-    texts = stored(spark, texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    first = stored(spark, shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = stored(spark, verified(first, texts, percent, shingle), "links")
+    stars = stored(spark, shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+
+    def similar(some: DataFrame) -> DataFrame:
+        texts = texts_of(spark, docs, some, shingle)
+        found = stored(spark, verified(some, texts, percent, shingle), "links")
+        forget(spark, texts)
+        return found
+
+    found = similar(stored(spark, bounded(stars, sets, percent), "pairs"))
     groups = stored(spark, components(spark, found), "groups")
     rest = shared.filter("node <> center").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rest = stored(spark, rest, "meetings")
     forget(spark, shared)
-    open_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    open_keys = stored(spark, open_keys, "keys")
-    rest_open = stored(spark, rest.join(open_keys, "key", "left_semi"), "meetings")
+    keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    keys = stored(spark, keys, "keys")
+    crossed = stored(spark, rest.join(keys, "key", "left_semi"), "meetings")
     forget(spark, rest)
-    made = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-    make = _maker(lambda node, _, __, hashes: (node, len(hashes), sketch(hashes).tobytes()), shingle)
-    sketches = texts.join(rest_open.select("node").distinct(), "node", "left_semi").select(F.lit(None).cast("long").alias("doc_id"), "text")
-    sketches = stored(spark, _scan(sketches, make, "node long, n long, sketch binary", made, True), "sketches")
-    sketched = stored(spark, rest_open.join(sketches, "node"), "meetings")
-    more = stored(spark, crossing(spark, sketched, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = stored(spark, verified(more, texts, percent, shingle), "links")
-    for table in (texts, first, groups, open_keys, rest_open, sketches, sketched):
+    # a set's sketch goes to each of its open keys
+    sketched = stored(spark, crossed.join(sets.select("node", "n", "sketch"), "node"), "meetings")
+    more = similar(stored(spark, crossing(spark, sketched, percent).join(stars, ["a", "b"], "left_anti"), "pairs"))
+    for table in (stars, groups, keys, crossed, sketched):
         forget(spark, table)
     return found.unionByName(more)
 
@@ -333,13 +360,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shi
     empty table none; similarities equal to the limit are links; texts of any length are read whole; other
     columns are ignored, whatever their names.
     """
-    rows = stored(spark, sizes(docs, shingle), "sets")
-    sets = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    roots = components(spark, links(spark, docs, percent, shingle))
-    nodes = stored(spark, sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    rows = stored(spark, measured(docs, shingle), "rows")
+    sets = rows.filter("node is not null").groupBy("node")
+    sets = stored(spark, sets.agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "sets")
+    roots = components(spark, links(spark, docs, sets, percent, shingle))
+    nodes = sets.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = stored(spark, nodes, "nodes")
     least = stored(spark, nodes.groupBy("root").agg(F.min("first_id").alias("component_id")), "groups")
     found = stored(spark, nodes.join(least, "root").select("node", "component_id"), "members")  # a hot group's join can be split
-    forget(spark, nodes)
-    forget(spark, least)
+    for table in (sets, nodes, least):
+        forget(spark, table)
     alone = rows.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)

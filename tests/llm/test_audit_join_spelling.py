@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 
 from tabmine.llm import filter_audit, queries, shingle_join, spelling
-from tabmine.llm.components import components
 from tabmine.llm.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
@@ -191,16 +190,17 @@ def test_crossing_in_tiles(spark, most_bytes):
     assert len(got) == len(set(got)) and linked <= set(got) and not far & set(got) and linked
 
 
-def test_second_round_finds_links_that_the_first_leaves_out(spark):
-    """Two groups that only meet beside a smaller third set are joined by a pair without that set."""
-    docs = _copies(5)
+def test_chains_about_the_limit(spark):
+    """Versions of one text, some linked with each other and not with the others."""
+    draw, parts = random.Random(12), []
+    for _ in range(30):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        far = _edited(draw, words, 2)
+        parts += [words, far, _edited(draw, far, 1), _edited(draw, words, 1), _edited(draw, words, 3)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(parts)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    shared = shingle_join.meetings(shingle_join.keyed(frame)).filter("node <> center")
-    text = {shingle_join.set_id(shingle_join.shingle_set(t)): _set(t) for _, t in docs if t and t.strip()}
-    stars = {(r.center, r.node) for r in shared.select("center", "node").distinct().collect() if _linked(text[r.center], text[r.node])}
-    first = {r.node: r.root for r in components(spark, spark.createDataFrame(sorted(stars), "a long, b long")).collect()}
-    every = {r.node: r.root for r in components(spark, shingle_join.links(spark, frame)).collect()}
-    assert len(set(every.values())) <= len(set(first.values())) and set(first) <= set(every)
+    got = sorted((tuple(r) for r in shingle_join.near_duplicates(spark, frame).collect()), key=str)
+    assert got == _joined(docs) and 60 < len({r[2] for r in got}) < 150
 
 
 # spelling variants
