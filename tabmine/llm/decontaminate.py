@@ -11,14 +11,21 @@ that length), and in segments of ``least`` characters so close together that eve
 ``passage`` characters holds a whole one: such a passage counts wherever in the item it begins. Items
 under ``least`` characters are sought whole, those under 10 as whole words without edits.
 
-Benchmark items are broadcast in blocks of at most ``block_chars`` characters. If there are several, one
-scan of the texts with a bit filter of all items' q-grams finds the few texts that could match any, and
-only those meet the blocks. Texts are never shuffled or paired with each other.
+Benchmark items are broadcast in blocks of about ``block_chars`` characters. One block is indexed on the
+driver. Several are dealt out by a hash, indexed in tasks and stored; one scan of the texts with bit filters of
+all items' q-grams finds the few texts that could match any, and only those meet the blocks, one block after
+the other. Texts are never shuffled or paired with each other.
+
+Repeated q-grams cost no more than the text and the index: pairs of a text position and an index entry are
+made for some ``most`` at a time, patterns with more of them are counted in windows, and diagonals that touch
+are aligned at once. Items of which a plain copy stands in the text need neither.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, id_and_text, stored
+from tabmine.llm.common import each_batch, forget, id_and_text, stored
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 Q = 10
@@ -59,21 +66,16 @@ def qgrams(c: np.ndarray) -> np.ndarray:
         return eight[:-2] * b2 + two[8:]
 
 
-def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, most: int) -> tuple[int, int, int]:
+def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, most: int, span: int | None = None) -> tuple[int, int, int]:
     """The least edits of ``pattern`` against a piece of ``text``, and that piece's start and end.
 
-    Only diagonals (text minus pattern position) of the band that begins at ``shift``, and of ``most``
-    more on both sides, count. More than ``most`` edits give most + 1. A cell is edits * scale + start,
-    so ties go to the earlier start and then to the earlier end.
+    Only diagonals (text minus pattern position) of the band that begins at ``shift``, ``span`` wide (2 * most + 2
+    if None), and of ``most`` more on both sides, count. More than ``most`` edits give most + 1. A cell is
+    edits * scale + start, so ties go to the earlier start and then to the earlier end.
     """
-    low, width = shift - most, 4 * most + 2
-    first = max(low, 0)
-    piece, sought = text[first : max(0, low + width - 1 + len(pattern))].tobytes(), pattern.tobytes()
-    copy = piece.find(sought)
-    while copy >= 0 and copy % 4:
-        copy = piece.find(sought, copy + 1)
-    if copy >= 0:  # no alignment beats a plain copy
-        return 0, first + copy // 4, first + copy // 4 + len(pattern)
+    low, width = shift - most, (2 * most + 2 if span is None else span) + 2 * most
+    if (copy := find_copy(pattern, text, max(low, 0), low + width - 1 + len(pattern))) >= 0:
+        return 0, copy, copy + len(pattern)  # no alignment beats a plain copy
     scale = len(text) + 2
     far = (most + 1) * scale
     at = low + np.arange(width)
@@ -95,6 +97,23 @@ def banded_edits(pattern: np.ndarray, text: np.ndarray, shift: int, most: int) -
     return int(cell[k] // scale), int(cell[k] % scale), len(pattern) + low + k
 
 
+def find_copy(pattern: np.ndarray, text: np.ndarray, start: int = 0, end: int | None = None) -> int:
+    """Where ``text[start:end]`` first holds ``pattern`` as it is, or -1."""
+    piece, sought = text[start : len(text) if end is None else max(0, end)].tobytes(), pattern.tobytes()
+    copy = piece.find(sought)
+    while copy >= 0 and copy % 4:
+        copy = piece.find(sought, copy + 1)
+    return start + copy // 4 if copy >= 0 else -1
+
+
+def _merged(low: np.ndarray, high: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Intervals [low, high), ordered by low, as disjoint ones of at most ``most``."""
+    upto = np.maximum.accumulate(high)
+    cuts = np.flatnonzero(np.concatenate([[True], low[1:] > upto[:-1]]))
+    ends = upto[np.append(cuts[1:], len(upto)) - 1]
+    return [(a, min(a + most, end)) for start, end in zip(low[cuts].tolist(), ends.tolist(), strict=True) for a in range(start, end, most)]
+
+
 def _string(c: np.ndarray) -> str:
     return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -107,6 +126,9 @@ def _cuts(n: int, length: int, step: int) -> set[tuple[int, int]]:
 class Index:
     """The q-grams of a block of items, sorted by hash, behind a bit filter."""
 
+    #: Pairs of a text position and an index entry, and diagonals aligned, at a time.
+    most, widest = 1 << 20, 1 << 15
+
     def __init__(self, items: list[tuple[int, str]], rate: float, segment: int, least: int, passage: int = 80):
         if not Q <= least <= min(segment, passage):
             raise ValueError(f"least must be {Q} to segment and passage")
@@ -125,7 +147,7 @@ class Index:
                 self.items.append(item_id)
                 self.patterns.append(t[s:end])
         self.lengths = sorted({w.count(" ") + 1 for w in self.words})
-        size = np.array([len(p) for p in self.patterns], dtype=np.int64)
+        self.size = size = np.array([len(p) for p in self.patterns], dtype=np.int64)
         # no more edits than leave a shared q-gram for sure
         self.edits = np.minimum(np.array([int(rate * n) for n in size.tolist()], dtype=np.int64), size // Q - 1)
         self.need = size + 1 - Q - self.edits * Q
@@ -170,61 +192,116 @@ class Index:
             return []
         hit = _in_filter(self.filter, self.shift, grams)
         least = int(self.need.min())
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        if upto[-1] < least:
-            return []
-        # positions in some window of ``reach`` with enough hits; the others can't be in a full band
-        ends = np.minimum(np.arange(len(hit)) + self.reach, len(hit))
-        dense = np.flatnonzero(upto[ends] - upto[:-1] >= least)
+        dense = _dense(hit, self.reach, least)  # positions outside of their windows can't be in a full band
         if not len(dense):
             return []
         cover = np.zeros(len(hit) + 1, dtype=np.int64)
         np.add.at(cover, dense, 1)
-        np.add.at(cover, ends[dense], -1)
+        np.add.at(cover, np.minimum(dense + self.reach, len(hit)), -1)
         at = np.flatnonzero(hit & (np.cumsum(cover[:-1]) > 0))
-        lo, hi = np.searchsorted(self.hash, grams[at], "left"), np.searchsorted(self.hash, grams[at], "right")
+        every, of, times = np.unique(grams[at], return_inverse=True, return_counts=True)
+        lo, hi = np.searchsorted(self.hash, every, "left"), np.searchsorted(self.hash, every, "right")
         n = hi - lo
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        position, pattern = np.repeat(at, n), self.pattern[entry].astype(np.int64)
-        diagonal = position - self.place[entry]
-        half = self.edits[pattern] + 1
-        band = diagonal // half
-        low, span = self.reach + 2, len(t) + 2 * self.reach + 8  # band numbers start above -low
-        key = pattern * span + band + low
-        bands, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        of, number = bands // span, bands % span - low
-        best: dict[int, tuple[int, int, int]] = {}
-        for p, b, c in zip(of.tolist(), number.tolist(), count.tolist(), strict=True):
-            if c < self.need[p]:
+        pattern, gram = self.pattern[entry], np.repeat(np.arange(len(every)), n)  # once for each distinct q-gram
+        load = np.bincount(pattern, weights=times[gram], minlength=len(self.patterns)).astype(np.int64)
+        best = self._copies(t, np.flatnonzero(np.bincount(pattern, minlength=len(self.patterns)) == self.size + 1 - Q))
+        sought = [p for p in np.flatnonzero(load >= self.need).tolist() if best.get(self.items[p], (1,))[0]]
+        regions: dict[int, list[tuple[int, int]]] = {}
+        light: list[int] = []
+        for p in sought:
+            if load[p] > self.most:  # its q-grams are very frequent: counted in windows, not by diagonals
+                regions[p] = self._windows(p, at, grams[at])
                 continue
+            if light and load[light].sum() + load[p] > self.most:
+                regions |= self._bands(light, at, of, pattern, gram, entry, len(t))
+                light = []
+            light.append(p)
+        regions |= self._bands(light, at, of, pattern, gram, entry, len(t)) if light else {}
+        for p in sorted(regions):
             k, item = int(self.edits[p]), self.items[p]
-            if item in best and best[item][0] == 0 and best[item][1] <= max(0, b * (k + 1) - k):
-                continue  # an exact copy that starts no later
-            edits, start, end = banded_edits(self.patterns[p], t, b * (k + 1), k)
-            if edits <= k and (self.items[p] not in best or (edits, start) < best[self.items[p]][:2]):
-                best[self.items[p]] = (edits, start, end)
+            for low, high in regions[p]:
+                if item in best and best[item][0] == 0 and best[item][1] <= max(0, low - k):
+                    break  # an exact copy that starts no later
+                edits, start, end = banded_edits(self.patterns[p], t, low, k, high - low)
+                if edits <= k and (item not in best or (edits, start) < best[item][:2]):
+                    best[item] = (edits, start, end)
         return [(item, start, end, edits) for item, (edits, start, end) in sorted(best.items())]
 
+    def _copies(self, t: np.ndarray, whole: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """The first plain copy for each item of the patterns ``whole``, all of whose q-grams stand in the text."""
+        best: dict[int, tuple[int, int, int]] = {}
+        for p in whole.tolist():
+            item, length = self.items[p], len(self.patterns[p])
+            before = best[item][1] + length - 1 if item in best else None
+            if (copy := find_copy(self.patterns[p], t, 0, before)) >= 0:
+                best[item] = (0, copy, copy + length)
+        return best
+
+    def _bands(self, light: list[int], at, of, pattern, gram, entry, length: int) -> dict[int, list[tuple[int, int]]]:
+        """For each pattern the diagonals of bands with enough q-grams; bands that touch are one."""
+        own = np.isin(pattern, np.array(light))
+        pattern, gram, place = pattern[own].astype(np.int64), gram[own], self.place[entry[own]]
+        order = np.argsort(of, kind="stable")  # text positions by q-gram
+        first = np.searchsorted(of[order], gram, "left")
+        n = np.searchsorted(of[order], gram, "right") - first
+        position = at[order[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]]
+        pattern, place = np.repeat(pattern, n), np.repeat(place, n)
+        band = (position - place) // (self.edits[pattern] + 1)
+        low, span = self.reach + 2, length + 2 * self.reach + 8  # band numbers start above -low
+        key = pattern * span + band + low
+        bands, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        full = bands[count >= self.need[bands // span]]
+        found = {}
+        for p in np.unique(full // span).tolist():
+            half, start = int(self.edits[p]) + 1, (full[full // span == p] % span - low) * (int(self.edits[p]) + 1)
+            found[p] = _merged(start, start + 2 * half, self.widest)
+        return found
+
+    def _windows(self, p: int, at: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
+        """The diagonals on which pattern ``p`` may stand, from windows of its length with enough of its q-grams."""
+        x = at[np.isin(grams, qgrams(self.patterns[p]))]
+        size, k, need = int(self.size[p]), int(self.edits[p]), int(self.need[p])
+        if len(x) < need:
+            return []
+        first, last = x[: len(x) - need + 1], x[need - 1 :]
+        near = last - first <= size - Q + k
+        return _merged(last[near] - size - 2 * k, first[near] + k + 1, self.widest) if near.any() else []
+
 
 class Screen:
-    """Which texts could match any item of several indexes: their q-grams as one bit filter, their shortest items."""
+    """Which texts could match any item of several indexes: bit filters of their q-grams, their shortest items.
+
+    Patterns that need few shared q-grams have a filter of their own, so that one short item doesn't let
+    every text through.
+    """
 
     def __init__(self, chars: int):
-        bits = min(30, max(16, (chars * 16).bit_length()))
-        self.shift, self.filter = np.uint64(64 - bits), np.zeros(1 << (bits - 3), dtype=np.uint8)
-        self.need, self.words = 1 << 62, Index([], 0.06, 160, 60)
+        self.bits = min(30, max(16, (chars * 16).bit_length()))
+        self.shift = np.uint64(64 - self.bits)
+        self.filters: dict[int, np.ndarray] = {}
+        self.need: dict[int, int] = {}
+        self.reach: dict[int, int] = {}  # any band lies within so many text positions
+        self.words = Index([], 0.06, 160, 60)
 
     def add(self, index: Index) -> None:
-        at = np.unique(index.hash >> self.shift)
-        np.bitwise_or.at(self.filter, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        self.need = min(self.need, int(index.need.min())) if len(index.need) else self.need
+        kind = np.frexp(index.need)[1] if len(index.need) else index.need  # by powers of two
+        for k in np.unique(kind).tolist():
+            bits = self.filters.setdefault(k, np.zeros(1 << (self.bits - 3), dtype=np.uint8))
+            at = np.unique(index.hash[kind[index.pattern] == k] >> self.shift)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            self.need[k] = min(self.need.get(k, 1 << 62), int(index.need[kind == k].min()))
+            self.reach[k] = max(self.reach.get(k, 0), int((index.size + 2 * (index.edits + 1))[kind == k].max()))
         for word, items in index.words.items():
             self.words.words[word] = items
         self.words.lengths = sorted({*self.words.lengths, *index.lengths})
 
     def hit(self, text: str) -> bool:
         t = normal(text)
-        return bool(self.words._as_words(t)) or int(_in_filter(self.filter, self.shift, qgrams(t)).sum()) >= self.need
+        if self.words._as_words(t):
+            return True
+        grams = qgrams(t)
+        return any(len(_dense(_in_filter(bits, self.shift, grams), self.reach[k], self.need[k])) for k, bits in self.filters.items())
 
 
 def _in_filter(bits: np.ndarray, shift: np.uint64, grams: np.ndarray) -> np.ndarray:
@@ -232,18 +309,58 @@ def _in_filter(bits: np.ndarray, shift: np.uint64, grams: np.ndarray) -> np.ndar
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, streamed to the driver one partition at a time."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
-    for row in rows.toLocalIterator():
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _dense(hit: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Starts of windows of ``reach`` positions with ``least`` hits or more."""
+    upto = np.concatenate([[0], np.cumsum(hit)])
+    if upto[-1] < least:
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(upto[np.minimum(np.arange(len(hit)) + reach, len(hit))] - upto[:-1] >= least)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+
+
+class _Indexes:
+    """The indexes of a benchmark: one made here, or several made in tasks and stored."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, block_chars: int, **params):
+        items = _items(benchmark)
+        self.spark, self.table, self.screen = spark, None, None
+        chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+        if chars < block_chars:
+            self.one = Index([(r.item_id, r.text) for r in items.toLocalIterator()], **params)
+            return
+        n = -(-chars // block_chars)
+        out = pa.schema([("index", pa.binary())])
+
+        def build(block: pa.Table) -> pa.Table:
+            made = Index(sorted(zip(block["item_id"].to_pylist(), block["text"].to_pylist(), strict=True)), **params)
+            return pa.table([pa.array([pickle.dumps(made, 5)], pa.binary())], schema=out)
+
+        rows = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        self.table = stored(spark, rows.groupBy("block").applyInArrow(build, "index binary"), "indexes")
+        screen = Screen(chars)
+        for index in self._each():
+            screen.add(index)
+        self.screen = spark.sparkContext.broadcast(screen)
+
+    def _each(self) -> Iterator[Index]:
+        if self.table is None:
+            yield self.one
+            return
+        for row in self.table.toLocalIterator():  # one partition at a time
+            yield pickle.loads(row["index"])  # noqa: S301  written by the tasks above
+
+    def shared(self) -> Iterator[Broadcast]:
+        """The indexes as broadcasts, each to be used before the next is asked for if there are several."""
+        for index in self._each():
+            shared = self.spark.sparkContext.broadcast(index)
+            yield shared
+            if self.table is not None:
+                shared.destroy()
+        if self.table is not None:
+            forget(self.spark, self.table)
 
 
 def _passed(docs: DataFrame, text_col: str, shared, keep: bool) -> DataFrame:
@@ -256,17 +373,6 @@ def _passed(docs: DataFrame, text_col: str, shared, keep: bool) -> DataFrame:
     return docs.filter(F.pandas_udf(test, "boolean")(F.col(text_col)))
 
 
-def _screened(spark: SparkSession, benchmark: DataFrame, block_chars: int, index) -> Broadcast | None:
-    """A screen for all items, broadcast; None if they are one block, whose index is enough."""
-    chars = benchmark.filter("item_id is not null").agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    if chars < block_chars:
-        return None
-    screen = Screen(chars)
-    for block in _blocks(benchmark, block_chars):
-        screen.add(index(block))
-    return spark.sparkContext.broadcast(screen)
-
-
 def contaminated(
     spark: SparkSession,
     docs: DataFrame,
@@ -286,17 +392,15 @@ def contaminated(
     words; items without letters or digits match nothing. Null and empty texts match nothing; ties go to
     the fewest edits, then the earliest start; repeated rows of a document give repeated matches; texts of
     any length are read whole; other columns are ignored, whatever their names; an empty table gives no rows.
+
+    Repeated characters and words in texts and items (long runs of one word) are matched like any others.
     """
     out = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "end", "edits")])
-    found = None
-    texts = id_and_text(docs)
-    index = lambda block: Index(block, rate, segment, least, passage)
-    if screen := _screened(spark, benchmark, block_chars, index):
-        texts = stored(spark, _passed(texts, "text", screen, True), "screened")
-    for block in _blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    indexes = _Indexes(spark, benchmark, block_chars, rate=rate, segment=segment, least=least, passage=passage)
+    texts, schema = id_and_text(docs), "doc_id long, item_id long, start long, end long, edits long"
+
+    def searched(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in each_batch(batches):
                 rows = [
@@ -307,11 +411,14 @@ def contaminated(
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*rows, strict=True)], schema=out)
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long")
-    return found
+        return texts.mapInArrow(run, schema)
+
+    if indexes.screen is None:
+        return searched(next(indexes.shared()))
+    texts = stored(spark, _passed(texts, "text", indexes.screen, True), "screened")
+    parts = [stored(spark, searched(shared), "matches") for shared in indexes.shared()]
+    forget(spark, texts)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **params) -> DataFrame:
@@ -321,14 +428,11 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_
     don't matter; extra columns stay, whatever their names; an empty table or benchmark drops nothing.
     """
     params = {"rate": 0.06, "segment": 160, "least": 60, "passage": 80, "block_chars": 1_000_000} | params
-    size = params.pop("block_chars")
-    index = lambda block: Index(block, **params)
-    screen = _screened(spark, benchmark, size, index)
-    if screen is None:
-        for block in _blocks(benchmark, size):
-            docs = _passed(docs, text_col, spark.sparkContext.broadcast(index(block)), False)
-        return docs
-    suspects = stored(spark, _passed(docs, text_col, screen, True), "screened")
-    for block in _blocks(benchmark, size):
-        suspects = stored(spark, _passed(suspects, text_col, spark.sparkContext.broadcast(index(block)), False), "screened")
-    return _passed(docs, text_col, screen, False).unionByName(suspects)
+    indexes = _Indexes(spark, benchmark, **params)
+    if indexes.screen is None:
+        return _passed(docs, text_col, next(indexes.shared()), False)
+    suspects = stored(spark, _passed(docs, text_col, indexes.screen, True), "screened")
+    for shared in indexes.shared():
+        before, suspects = suspects, stored(spark, _passed(suspects, text_col, shared, False), "screened")
+        forget(spark, before)
+    return _passed(docs, text_col, indexes.screen, False).unionByName(suspects)

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -338,6 +340,56 @@ def test_item_blocks_and_filter(spark, table):
     assert clean == {r.doc_id for r in table.collect()} - {r.doc_id for r in one}
 
 
+def test_repeated_qgrams_stay_bounded():
+    """One word repeated, in an item and in a text of 20,000 words, takes neither much memory nor time."""
+    index = decontaminate.Index([(1, "ha " * 200), (2, "an item of other words that nobody repeats at such length as this one")], 0.06, 160, 60)
+    tracemalloc.start()
+    start = time.process_time()
+    assert index.matches("ha " * 20_000) == [(1, 0, 160, 0)]
+    assert time.process_time() - start < 1 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.reset_peak()
+    assert index.matches(("ha " * 10 + "xq ") * 1500)[0][3] == 2  # no plain copy: windows and wide bands
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [1, 50, 3000, 1 << 20])
+def test_repeated_qgrams_against_edit_distance(most):
+    draw = random.Random(7)
+    word = lambda: draw.choice(["ha", "he", "la la", "abc"])
+    items = ["ha " * 40, "la la he " * 12, " ".join(word() for _ in range(40)), "abcabcabc " * 5, "one two three four five six seven eight nine ten"]
+    index = decontaminate.Index(list(enumerate(items)), 0.06, 60, 40, 60)
+    index.most, index.widest = most, 64
+    text_of = lambda c: "".join(map(chr, c))
+    hits = 0
+    for k in range(30):
+        x = list(items[k % 5] * draw.choice([1, 2]) + " " + " ".join(word() for _ in range(60)))
+        for _ in range(draw.choice([0, 2, 6, 12])):
+            x[draw.randrange(len(x))] = draw.choice("xyz ")
+        t = text_of(decontaminate.normal(doc := "".join(x)))
+        want = {}
+        for item, p, e in zip(index.items, index.patterns, index.edits.tolist(), strict=True):
+            if (d := _edits(text_of(p), t)) <= e:
+                want[item] = min(d, want.get(item, d))
+        got = index.matches(doc)
+        assert {m[0]: m[3] for m in got} == want
+        assert all(_edits(t[start:end], text_of(decontaminate.normal(items[item]))) <= edits for item, start, end, edits in got)
+        hits += len(got)
+    assert hits > 20
+
+
+def test_screen_has_a_filter_of_its_own_for_short_items(texts):
+    long = [(k, t) for k, t in enumerate(texts.values()) if 200 < len(t) < 900][:5]
+    prose = [t for t in texts.values() if 2000 < len(t) < 9000][:40]
+    counts = []
+    for items in (long, [*long, (99, "zq xw vy uj ki")]):
+        screen = decontaminate.Screen(10_000)
+        screen.add(decontaminate.Index(items, 0.06, 160, 60))
+        counts.append(sum(map(screen.hit, prose)))
+        assert all(screen.hit(f"{prose[0]} {t} {prose[1]}") for _, t in items)
+    assert counts[0] == counts[1] < 30
+
+
 def test_any_passage_of_an_item_counts(spark, texts):
     draw = random.Random(5)
     item = "".join(draw.choice("abcdefghij ") + draw.choice("klmnopqrst") for _ in range(200))
