@@ -1,18 +1,19 @@
 """Stupid-backoff scores as joins: count tables partitioned by n-gram hash, joined to exploded n-grams.
 
-With c the corpus counts over all documents and N all words,
+With c the corpus counts over all documents and N all words, the score of a word after its context is
 
-    S(w2 | w1) = c(w1 w2) / c(w1)   if c(w1 w2) >= min_count, else   alpha * c(w2) / N
+    S(w | context) = c(context w) / c(context)   if c(context w) >= min_count, else   alpha * S(w | shorter context)
 
-and a document's first word has c(w) / N. The logarithm of a document's score is a sum over its words of
-ln(alpha c(w) / N), plus a sum over its pairs found in the table of ln(c(w1 w2) / c(w1)) minus that
-unigram term. So each order is a stream of (document, hash) rows joined to a table hash -> value, and pairs
-without an entry need no row in it. The orders run one after the other, and pairs in parts by hash, so that
-only one stream's shuffle files exist at a time.
+with c(w) / N without context. The logarithm of a document's score is a sum over its words of
+ln(c(w) / N) and a ln(alpha) for each order not found, plus a sum over its n-grams found in a table of what they add to
+that: ln(c(n-gram) / c(context)) minus the same of the n-gram without its first word, which is found too, and
+minus ln(alpha). So each order is a stream of (document, hash) rows joined to a table hash -> value, and n-grams
+without an entry need no row in it. The orders run one after the other, and those above 1 in parts by hash,
+so that only one stream's shuffle files exist at a time.
 
 Counting combines on the map side. N-grams with more than a ``hot`` share of all (at most 1 / hot of an
 order, a proven bound) are broadcast and summed before the shuffle; the rest is an ordinary join on the
-hash, whose skew adaptive execution may split.
+hash, into as many partitions as the table's size asks for.
 """
 
 from __future__ import annotations
@@ -41,9 +42,17 @@ def _neighbours(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[:-1][same], h[1:][same], row[1:][same]
 
 
+def _ends(h: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last order - 1 words of each n-gram, and the number of its text."""
+    for _ in range(order - 2):
+        a, b, row = _neighbours(h, row)
+        h = hashed.pairs(a, b)
+    return _neighbours(h, row)
+
+
 def _counted(docs: DataFrame, order: int, words: int = 2_000_000) -> DataFrame:
-    """Word hashes h1 (and h2 of the next word, if order is 2) with n, added up over about ``words`` words of a task."""
-    names = ["h1", "h2", "n"] if order == 2 else ["h1", "n"]
+    """n-grams by the hashes h1 and h2 of their ends (the word's h1 if order is 1) with n, added up over about ``words`` words of a task."""
+    names = ["h1", "h2", "n"] if order > 1 else ["h1", "n"]
 
     def added(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         if order == 1:
@@ -61,7 +70,7 @@ def _counted(docs: DataFrame, order: int, words: int = 2_000_000) -> DataFrame:
         size = 0
         for batch in each_batch(batches):
             for h, row in hashed.words_of(batch.column(1).to_pylist()):
-                held.append((h,) if order == 1 else _neighbours(h, row)[:2])
+                held.append((h,) if order == 1 else _ends(h, row, order)[:2])
                 size += len(h)
                 if size >= words:
                     yield added(held)
@@ -73,37 +82,42 @@ def _counted(docs: DataFrame, order: int, words: int = 2_000_000) -> DataFrame:
     return parts.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
-def tables(spark: SparkSession, docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> tuple[DataFrame, DataFrame, int]:
-    """The tables (g, n, value) of words and of pairs, keyed by n-gram hash, and N. ``n`` is the count."""
+def tables(spark: SparkSession, docs: DataFrame, alpha: float = 0.4, min_count: int = 1, order: int = 2) -> tuple[list[DataFrame], int]:
+    """The tables (g, n, value) of each order from 1, keyed by n-gram hash, and N. ``n`` is the count."""
     single = stored(spark, _counted(docs, 1).withColumnRenamed("h1", "g"), "unigrams")
     total = single.agg(F.sum("n")).first()[0] or 0
-    single = single.withColumn("value", F.log(F.lit(alpha) * F.col("n") / F.lit(float(max(1, total)))))
-    counted = stored(spark, _counted(docs, 2).filter(F.col("n") >= min_count), "bigrams")
-    first = single.select(F.col("g").alias("h1"), F.col("n").alias("n1"))
-    second = single.select(F.col("g").alias("h2"), F.col("value").alias("v2"))
-    double = counted.join(first, "h1").join(second, "h2")
-    double = double.select("h1", "h2", "n", (F.log(F.col("n") / F.col("n1")) - F.col("v2")).alias("value"))
+    single = single.withColumn("ratio", F.log(F.col("n") / F.lit(float(max(1, total)))))
+    found = [single.withColumn("value", F.col("ratio") + (order - 1) * float(np.log(alpha)))]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([_signed(hashed.pairs(a, b)), *batch.columns[2:]], names=["g", "n", "value"])
+            yield pa.RecordBatch.from_arrays([_signed(hashed.pairs(a, b)), *batch.columns[2:]], names=["g", "n", "value", "ratio"])
 
-    double = double.mapInArrow(keyed, "g long, n long, value double")
-    double = stored(spark, double.repartition("g"), "pair-values")
-    forget(spark, counted)
-    return single, double, total
+    for k in range(2, order + 1):
+        counted = stored(spark, _counted(docs, k).filter(F.col("n") >= min_count), "counts")
+        first = found[-1].select(F.col("g").alias("h1"), F.col("n").alias("n1"))
+        last = found[-1].select(F.col("g").alias("h2"), F.col("ratio").alias("r2"))
+        ratio = F.log(F.col("n") / F.col("n1"))
+        table = counted.join(first, "h1").join(last, "h2").select("h1", "h2", "n", (ratio - F.col("r2") - float(np.log(alpha))).alias("value"), ratio.alias("ratio"))
+        table = table.mapInArrow(keyed, "g long, n long, value double, ratio double")
+        if k == order:
+            table = table.drop("ratio")
+        found.append(stored(spark, table.repartition("g"), "values"))
+        forget(spark, counted)
+    return [table.select("g", "n", "value") for table in found], total
 
 
-def _sums(spark: SparkSession, docs: DataFrame, order: int, table: DataFrame, least: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(doc_id, s, n_words, n_parts): the sum of the values of each document's n-grams of one order.
+def _sums(spark: SparkSession, docs: DataFrame, order: int, table: DataFrame, least: int, part: int = 0, parts: int = 1, highest: int = 2) -> DataFrame:
+    """(doc_id, s, n_words, n_short): the sum of the values of each document's n-grams of one order.
 
     Of ``parts`` (a power of two) only those n-grams count whose hash is in ``part``.
 
     A task adds up the frequent n-grams of a text by itself and hands on the others, which meet their
     values in a join on the hash. Rows are two numbers, to keep what is shuffled small: x is four times the
     id, plus what the other number is: 0 a hash, 1 such a sum in fixed point, 2 the words of one row (sent
-    with order 1, so that no scan of the texts is needed for them; n_parts counts rows that have any).
+    with order 1, so that no scan of the texts is needed for them; n_short is how many orders up to ``highest``
+    its first words have no context for).
     """
     table = table.filter(F.col("g").bitwiseAND(F.lit(parts - 1)) == part)
     often = table.filter(F.col("n") > least).select("g", "value").toPandas()  # at most 1 / hot rows of 16 bytes
@@ -123,7 +137,7 @@ def _sums(spark: SparkSession, docs: DataFrame, order: int, table: DataFrame, le
                 if order == 1:
                     g = h.view(np.int64)
                 else:
-                    a, b, row = _neighbours(h, row)
+                    a, b, row = _ends(h, row, order)
                     g = hashed.pairs(a, b).view(np.int64)
                 if parts > 1:
                     own = (g & (parts - 1)) == part
@@ -139,32 +153,45 @@ def _sums(spark: SparkSession, docs: DataFrame, order: int, table: DataFrame, le
                 x, g = np.append(x, ids * 4 + 2), np.append(g, size)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(g)], schema=out)
 
-    others = table.filter(F.col("n") <= least).select("g", "value").hint("shuffle_hash")
-    grams = id_and_text(docs).mapInArrow(run, "x long, g long").join(others, "g", "left")
+    others = table.filter(F.col("n") <= least).select("g", "value")
+    grams = id_and_text(docs).mapInArrow(run, "x long, g long")
+    need = others.count() // 1_000_000 + 1  # rows a partition's hash table may have; no key is frequent
+    if need > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        others, grams = others.repartition(need, "g"), grams.repartition(need, "g")
+    grams = grams.join(others.hint("shuffle_hash"), "g", "left")
     kind, zero = F.col("x").bitwiseAND(F.lit(3)), F.lit(0.0)
     value = F.when(kind == 0, F.coalesce("value", zero)).when(kind == 1, F.col("g") / float(SCALE)).otherwise(zero)
+    begun = F.least(F.col("g"), F.lit(highest - 1))
+    short = begun * highest - F.floor(begun * (begun + 1) / 2)
     sums = grams.groupBy(F.shiftright("x", 2).alias("id")).agg(
-        F.sum(value).alias("s"), F.coalesce(F.sum(F.when(kind == 2, F.col("g"))), F.lit(0)).alias("n_words"), F.count_if((kind == 2) & (F.col("g") > 0)).alias("n_parts")
+        F.sum(value).alias("s"), F.coalesce(F.sum(F.when(kind == 2, F.col("g"))), F.lit(0)).alias("n_words"), F.coalesce(F.sum(F.when(kind == 2, short)), F.lit(0)).alias("n_short")
     )
-    return stored(spark, sums.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "s", "n_words", "n_parts"), "sums")
+    return stored(spark, sums.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "s", "n_words", "n_short"), "sums")
 
 
-def score(spark: SparkSession, docs: DataFrame, alpha: float = 0.4, min_count: int = 2, hot: float = 1e-4, parts: int = 2) -> DataFrame:
+def score(
+    spark: SparkSession, docs: DataFrame, alpha: float = 0.4, min_count: int = 1, hot: float = 1e-4, parts: int = 2, order: int = 2
+) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document, over counts of all documents.
 
-    Null and empty texts have no words: log_score 0 and a null mean. Rows that share a doc_id are one
-    document's parts: their words and scores are added up (null ids are one document). Texts of any length
-    are read whole, columns other than doc_id and text are ignored, whatever their names, and an empty table
-    gives no rows. N-grams of more than ``hot`` of all words are added up before the shuffle. Pairs
-    are joined in ``parts`` passes by hash (a power of two), so that only a part of them is on disk at a time.
+    ``order`` is the longest n-gram. Null and empty texts have no words: log_score 0 and a null mean. Rows that
+    share a doc_id are one document's parts: their words and scores are added up (null ids are one document).
+    Texts of any length are read whole, columns other than doc_id and text are ignored, whatever their names, and
+    an empty table gives no rows. N-grams of more than ``hot`` of all words are added up before the shuffle. Pairs
+    and longer ones are joined in ``parts`` passes by hash (a power of two), so that only a part of them is on disk
+    at a time.
     """
-    single, double, total = tables(spark, docs, alpha, min_count)
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    found, total = tables(spark, docs, alpha, min_count, order)
     least = max(1, int(total * hot))
-    sums = _sums(spark, docs, 1, single, least)
-    for part in range(parts):
-        sums = sums.unionByName(_sums(spark, docs, 2, double, least, part, parts))
-    forget(spark, double)
-    begun = -F.log(F.lit(alpha)) * F.sum("n_parts")  # a first word isn't backed off to
+    sums = _sums(spark, docs, 1, found[0], least, highest=order)
+    for k in range(2, order + 1):
+        for part in range(parts):
+            sums = sums.unionByName(_sums(spark, docs, k, found[k - 1], least, part, parts))
+    for table in found:
+        forget(spark, table)
+    begun = -float(np.log(alpha)) * F.sum("n_short")  # words without a context aren't backed off to
     out = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), (F.sum("s") + begun).alias("s"))
     mean = F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6))
     return out.select("doc_id", "n_words", F.round("s", 4).alias("log_score"), mean.alias("mean_log_score"))

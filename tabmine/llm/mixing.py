@@ -78,7 +78,7 @@ def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str,
 
 
 def order_key(seed: int, epoch: Column, id_col: str) -> Column:
-    """60 bits of md5 over seed, epoch and id, as hexadecimal digits."""
+    """60 bits of md5 over seed, epoch and id (null as empty), as hexadecimal digits."""
     text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return F.substring(F.md5(text), 1, 15)
 
@@ -123,7 +123,7 @@ def mix(
     gives no rows; of equal order keys the smaller doc_id, then the shorter text comes first. The target is ``share`` of all tokens; ``weights`` has whole numbers per level and name, 1 where none
     is given, 0 for nothing. A leaf's documents are taken in order while their running sum of tokens
     stays within the rest of its budget. Documents without tokens are never taken. Null languages and
-    sources are the name '' and null ids sort as ''; repeated rows are separate documents.
+    sources are the name '', documents without an id are ordered by their text; repeated rows are separate documents.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(
@@ -132,6 +132,7 @@ def mix(
         name("lang").alias("lang"),
         name("source").alias("source"),
         (words_of() if tokens is None else tokens).cast("long").alias("n_tokens"),
+        F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string")) if "text" in docs.columns else F.lit("")).alias("name"),
     ).filter("n_tokens > 0")
     rows = stored(spark, rows, "mix-rows")
     leaves = stored(spark, rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n")), "mix-leaves")
@@ -142,7 +143,7 @@ def mix(
     drawn = stored(spark, drawn.select(*LEVELS, "whole", "rest"), "mix-budgets")
     most = leaves.agg(F.max("n")).first()[0] or 1
     digits = next(d for d in range(16) if d == 15 or most <= bucket_rows * 16**d)
-    keyed = rows.join(small(drawn), list(LEVELS)).withColumn("key", order_key(seed, F.col("whole"), "doc_id"))
+    keyed = rows.join(small(drawn), list(LEVELS)).withColumn("key", order_key(seed, F.col("whole"), "name"))
     keyed = keyed.join(small(_edges(spark, keyed, digits)), list(LEVELS), "left").withColumn("bucket", F.substring("key", 1, digits))
     inside = keyed.filter("edge is null or bucket <> edge").withColumn("more", (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))) & (F.col("rest") > 0))
     running = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,30 +1,40 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from tabmine.llm.quality_rules import PRIOR, RATES
+from tabmine.llm.quality_rules import LENGTHS, PRIOR, RATES, TIMES
 
 _BUCKET = """CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 7) * 64 + v // CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) END"""
 _TOP = """CASE WHEN bucket < 64 THEN bucket ELSE (bucket % 64 + 65) * CAST(pow(2, bucket // 64 - 1) AS BIGINT) - 1 END"""
 
 
-def _quality(prior: int = PRIOR, spread: int = 1) -> str:
+def _quality(prior: int = PRIOR, times: int = TIMES) -> str:
     rates = ", ".join(
         f"CASE WHEN {b} > 0 THEN CAST(floor(greatest({a} - 1, 0) * 1000000 / {b}) AS BIGINT) ELSE 0 END AS {name}" for name, a, b, _ in RATES
     )
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS name, {name} AS v FROM r WHERE NOT base_failed" for name, *_ in RATES)
-    percent = "CASE name " + " ".join(f"WHEN '{name}' THEN {q}" for name, _, _, q in RATES) + " END"
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS name, {name} AS v FROM r WHERE NOT base_failed" for name in (*[r[0] for r in RATES], *LENGTHS))
+    least = "CASE name " + " ".join(f"WHEN '{name}' THEN {n * 1_000_000}" for name, _, _, n in RATES) + " END"
+    per = "CASE name " + " ".join(f"WHEN '{name}' THEN '{of}'" for name, _, of, _ in RATES) + " END"
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f""", {name}_m AS (SELECT {by}name, bucket, sum(n) AS n FROM sk GROUP BY ALL),
         {name}_r AS (SELECT *, {_TOP} AS v, sum(n) OVER (PARTITION BY {by}name) AS total,
             sum(n) OVER (PARTITION BY {by}name ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM {name}_m),
-        {name}_q AS (SELECT {by}name, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN upto * 100 >= total * 50 THEN v END) AS q50,
-            min(CASE WHEN upto * 100 >= total * ({percent}) THEN v END) AS high FROM {name}_r GROUP BY {by}name),
-        {name} AS (SELECT {by}name, n, high + {spread} * (high - q50) AS top FROM {name}_q)"""
-
-    pull = lambda own, n, to: f"CAST(floor(({n} * {own} + {prior} * {to}) / ({n} + {prior})) AS BIGINT)"
-    wide = ", ".join(f"max(CASE WHEN name = '{x}' THEN top END) AS top_{x}" for x, *_ in RATES)
-    ok = " AND ".join(f"coalesce(r.{x} <= t.top_{x}, true)" for x, *_ in RATES)
+        {name}_q AS (SELECT {by}name, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN upto * 100 >= total * 10 THEN v END) AS q10,
+            min(CASE WHEN upto * 100 >= total * 50 THEN v END) AS q50 FROM {name}_r GROUP BY {by}name),
+        {name} AS (SELECT q.*, q50 AS mid, q50 - q10 AS low, (SELECT greatest(max(s.q50), 1) FROM {name}_q s
+            WHERE s.name = {per.replace("CASE name", "CASE q.name")} {"".join(f" AND s.{k} = q.{k}" for k in keys.replace(" ", "").split(",") if k)}) AS size
+            FROM {name}_q q WHERE q.name LIKE '%_rate')"""
+
+    def drawn(own: str, to: str, on: str) -> str:
+        pull = lambda c: f"CAST(floor((o.n * o.{c} + {prior} * p.{c}) / (o.n + {prior})) AS BIGINT)"
+        junk = f"o.mid > p.mid + {times} * greatest(p.low, CAST(floor({least.replace('CASE name', 'CASE o.name')} / p.size) AS BIGINT))"
+        kept = ", ".join(f"CASE WHEN {junk} THEN p.{c} ELSE {pull(c)} END AS {c}" for c in ("mid", "low"))
+        return f"SELECT o.* EXCLUDE (mid, low, size), {kept}, {pull('size')} AS size FROM {own} o JOIN {to} p ON {on}"
+
+    wide = ", ".join(f"max(CASE WHEN name = '{x}' THEN {c} END) AS {c}_{x}" for x, *_ in RATES for c in ("mid", "low", "size"))
+    ok = " AND ".join(
+        f"coalesce(r.{x} <= t.mid_{x} + {times} * greatest(t.low_{x}, CAST(floor({n * 1_000_000} / least(t.size_{x}, greatest(r.{of}, 1))) AS BIGINT)), true)" for x, _, of, n in RATES
+    )
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
         coalesce(source, '') AS source FROM documents),
@@ -43,9 +53,8 @@ def _quality(prior: int = PRIOR, spread: int = 1) -> str:
     r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM b),
     sk AS (SELECT lang, source, name, {_BUCKET} AS bucket, count(*) AS n FROM ({rows}) GROUP BY ALL)
     {level("fine", "lang, source")}{level("byl", "lang")}{level("al", "")},
-    pulled AS (SELECT lang, name, {pull("byl.top", "byl.n", "al.top")} AS top FROM byl JOIN al USING (name)),
-    t AS (SELECT lang, source, {wide} FROM (SELECT fine.lang, source, fine.name, {pull("fine.top", "fine.n", "p.top")} AS top
-        FROM fine JOIN pulled p ON p.lang = fine.lang AND p.name = fine.name) GROUP BY lang, source)
+    pulled AS ({drawn("byl", "al", "o.name = p.name")}),
+    t AS (SELECT lang, source, {wide} FROM ({drawn("fine", "pulled", "o.lang = p.lang AND o.name = p.name")}) GROUP BY lang, source)
     SELECT r.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
         CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
         CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper,
@@ -53,15 +62,22 @@ def _quality(prior: int = PRIOR, spread: int = 1) -> str:
     FROM r LEFT JOIN t USING (lang, source)"""
 
 
-_LM = """
+def _lm(order: int) -> str:
+    """Stupid backoff over words, pairs and, for order 3, triples."""
+    back = "ln(CAST(0.4 AS DOUBLE))"
+    one = "ln(b.n / total)"
+    two = f"CASE WHEN t.w1 IS NULL THEN {one} WHEN two.n IS NOT NULL THEN ln(two.n / a.n) ELSE {back} + {one} END"
+    three = f"CASE WHEN t.w0 IS NOT NULL AND three.n IS NOT NULL THEN ln(three.n / before.n) WHEN t.w0 IS NOT NULL THEN {back} + {two} ELSE {two} END"
+    tables = ", three AS (SELECT w0, w1, w2, count(*) AS n FROM t WHERE w0 IS NOT NULL GROUP BY ALL)" if order == 3 else ""
+    joins = "LEFT JOIN three ON three.w0 = t.w0 AND three.w1 = t.w1 AND three.w2 = t.w2 LEFT JOIN two before ON before.w1 = t.w0 AND before.w2 = t.w1" if order == 3 else ""
+    return f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, row_number() OVER () AS rid FROM documents),
     w AS (SELECT doc_id, rid, unnest(ws) AS w2, generate_subscripts(ws, 1) AS i FROM d),
-    t AS (SELECT *, lag(w2) OVER (PARTITION BY rid ORDER BY i) AS w1 FROM w),
+    t AS (SELECT *, lag(w2) OVER (PARTITION BY rid ORDER BY i) AS w1, lag(w2, 2) OVER (PARTITION BY rid ORDER BY i) AS w0 FROM w),
     one AS (SELECT w2 AS w, count(*) AS n FROM t GROUP BY w2),
-    two AS (SELECT w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-    s AS (SELECT t.doc_id, CASE WHEN t.w1 IS NULL THEN ln(b.n / total) WHEN two.n IS NOT NULL THEN ln(two.n / a.n)
-            ELSE ln(CAST(0.4 AS DOUBLE) * b.n / total) END AS ls
-        FROM t JOIN one b ON b.w = t.w2 LEFT JOIN one a ON a.w = t.w1 LEFT JOIN two ON two.w1 = t.w1 AND two.w2 = t.w2
+    two AS (SELECT w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY ALL){tables},
+    s AS (SELECT t.doc_id, {three if order == 3 else two} AS ls
+        FROM t JOIN one b ON b.w = t.w2 LEFT JOIN one a ON a.w = t.w1 LEFT JOIN two ON two.w1 = t.w1 AND two.w2 = t.w2 {joins}
         CROSS JOIN (SELECT CAST(sum(n) AS DOUBLE) AS total FROM one)),
     g AS (SELECT doc_id, count(*) AS n_words, sum(ls) AS ls FROM s GROUP BY doc_id)
     SELECT ids.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(ls, 0), 4) AS log_score, round(ls / n_words, 6) AS mean_log_score
@@ -92,7 +108,8 @@ def _mix(weights: dict, share: float = 0.5, epochs: int = 2, seed: int = 17) ->
     WITH r AS (SELECT * FROM (SELECT doc_id,
         'domain' || coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 4 AS domain,
         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents) WHERE n_tokens > 0),
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+        coalesce(CAST(doc_id AS VARCHAR), md5(text)) AS name FROM documents) WHERE n_tokens > 0),
     leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS have, CAST(sum(n_tokens) AS BIGINT) * {epochs} AS cap FROM r GROUP BY ALL),
     top AS (SELECT CAST(floor(CAST(sum(have) AS DOUBLE) * CAST({share} AS DOUBLE)) AS BIGINT) AS budget FROM leaf)
     {fill("l1", f"SELECT domain, {node}, {_weight('domain', weights)} AS w, any_value(budget) AS budget FROM leaf, top GROUP BY domain", "", "domain")}
@@ -176,7 +193,9 @@ _SPELLING = """
 
 ORACLE_SQL = {
     "op2_quality_rules": _quality(),
-    "op4_lm_scoring": _LM,
+    "op4_lm_scoring": _lm(2),
+    "op4_lm_scoring_all_pairs": _lm(2),
+    "op4_lm_scoring_trigrams": _lm(3),
     "op6_mix_sources": _mix(MIX_WEIGHTS),
     "op11_filter_audit": _AUDIT,
     "op12_shingle_join": _JOIN,

@@ -4,6 +4,13 @@ Everything here is DataFrame functions. A sketch is a table of counts over logar
 integer metric (64 buckets per power of two, so a quantile is off by at most 1/64): sketches merge by
 adding counts, are the same for every partitioning, and have at most a few thousand rows per group, so
 the hot source costs no more than any other.
+
+A rate's threshold in a group is mid + times * max(low, least / length): mid is the median, low how far the
+lowest tenth lies below it, both of which junk above the median doesn't move, however much of it there is up to
+half; least / length is what the smallest occurrence makes in a typical text, or in the text itself if that
+is shorter. So a spike at one value (all texts without symbols, say) doesn't make a single occurrence
+count as excess. A group whose median is over the threshold of its language, or a language's over that of all,
+is mostly junk and is held to that one.
 """
 
 from __future__ import annotations
@@ -17,14 +24,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Base measures, all long.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Judged measures: (name, count, per, percent). ``percent`` is the upper quantile of a group's sketch that
-#: its threshold starts from: the share of documents in which the rate is taken for ordinary.
+#: Judged measures: (name, count, per, least). ``least`` is the smallest count that an occurrence adds: a
+#: repeated window covers three words at two places.
 RATES = (
-    ("symbol_rate", "n_symbols", "n_words", 90),
-    ("dup_line_rate", "n_dup_lines", "n_lines", 98),
-    ("repeat_rate", "n_repeat_words", "n_words", 98),
-    ("upper_rate", "n_upper", "word_chars", 98),
+    ("symbol_rate", "n_symbols", "n_words", 1),
+    ("dup_line_rate", "n_dup_lines", "n_lines", 1),
+    ("repeat_rate", "n_repeat_words", "n_words", 6),
+    ("upper_rate", "n_upper", "word_chars", 1),
 )
+#: Lengths whose medians are learned too.
+LENGTHS = ("n_words", "n_lines", "word_chars")
+#: How many lower spreads, or occurrences in a typical text, a rate may lie above the median.
+TIMES = 8
 #: A group's threshold weighs as many documents as it has, its language's (and that of all) so many.
 PRIOR = 200
 
@@ -100,8 +111,9 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN) -> DataFrame:
-    """(lang, source, name, bucket, n) over the documents that pass the base rules."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("name"), bucket(rate(a, b, prefix)).alias("bucket")) for name, a, b, _ in RATES])
+    """(lang, source, name, bucket, n) of rates and lengths over the documents that pass the base rules."""
+    values = [(name, rate(a, b, prefix)) for name, a, b, _ in RATES] + [(name, F.col(f"{prefix}{name}")) for name in LENGTHS]
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), bucket(v).alias("bucket")) for name, v in values])
     rows = measured.filter(~base_failed(prefix)).select(
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
@@ -110,35 +122,52 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", pr
     return rows.groupBy("lang", "source", "x.name", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
-    """(keys, name, n, top) of each group: with q the rule's upper quantile, q + spread * (q - median); n documents."""
+def _least(name: str | Column) -> Column:
+    return F.create_map(*[F.lit(x) for rule, _, _, least in RATES for x in (rule, least * 1_000_000)])[name]
+
+
+def _top(mid: Column, low: Column, size: Column, least: Column, times: int) -> Column:
+    """The threshold of a rate in a text of a length."""
+    return mid + times * F.greatest(low, F.floor(least / size))
+
+
+def levels(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, n, mid, low, size) of each group and rate: n documents, median, lower spread, median length."""
     merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "name")
     run = merged.select(
         *keys, "name", bucket_top(F.col("bucket")).alias("v"), F.sum("n").over(group).alias("all"),
         F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
     )
-    percent = F.create_map(*[F.lit(x) for name, _, _, q in RATES for x in (name, q)])[F.col("name")]
     quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("v")))
-    found = run.groupBy(*keys, "name").agg(F.max("all").alias("n"), quantile(F.lit(50)).alias("q50"), quantile(percent).alias("high"))
-    return found.select(*keys, "name", "n", (F.col("high") + spread * (F.col("high") - F.col("q50"))).alias("top"))
+    found = run.groupBy(*keys, "name").agg(F.max("all").alias("n"), quantile(10).alias("q10"), quantile(50).alias("q50"))
+    rates = found.select(*keys, "name", "n", F.col("q50").alias("mid"), (F.col("q50") - F.col("q10")).alias("low"))
+    per = F.create_map(*[F.lit(x) for rule, _, of, _ in RATES for x in (rule, of)])
+    sizes = found.select(*keys, F.col("name").alias("per"), F.greatest("q50", F.lit(1)).alias("size"))
+    return rates.filter(F.col("name").isin([rule for rule, *_ in RATES])).withColumn("per", per[F.col("name")]).join(sizes, [*keys, "per"]).drop("per")
 
 
-def group_thresholds(sketch: DataFrame, prior: int, spread: int) -> DataFrame:
-    """(lang, source, name, top): each group's own threshold, drawn towards its language's, and that towards everyone's.
+def group_levels(sketch: DataFrame, prior: int = PRIOR, times: int = TIMES) -> DataFrame:
+    """(lang, source, name, mid, low, size): each group's own levels, drawn towards its language's, and those towards everyone's.
 
     A group of n documents weighs n and what it is drawn towards ``prior``, so that a small group relies
-    on the merged sketches and a large one on its own, without a size at which it changes over.
+    on the merged sketches and a large one on its own, without a size at which it changes over. A group whose
+    median is over the threshold it is drawn towards takes that one's median and spread.
     """
-    pull = lambda own, n, to: F.floor((n * own + prior * to) / (n + prior)).cast("long")
-    level = lambda keys, tag: thresholds(sketch, keys, spread).withColumnsRenamed({"n": f"n{tag}", "top": f"top{tag}"})
-    all_, lang, fine = level([], 0), level(["lang"], 1), level(["lang", "source"], 2)
-    lang = lang.join(F.broadcast(all_), "name").withColumn("top1", pull(F.col("top1"), F.col("n1"), F.col("top0")))  # a row per rule
-    return fine.join(lang, ["lang", "name"]).select("lang", "source", "name", pull(F.col("top2"), F.col("n2"), F.col("top1")).alias("top"))
+
+    def drawn(own: DataFrame, to: DataFrame, on: list[str]) -> DataFrame:
+        both = own.join(to.drop("n").withColumnsRenamed({c: f"to_{c}" for c in ("mid", "low", "size")}), on)
+        junk = F.col("mid") > _top(F.col("to_mid"), F.col("to_low"), F.col("to_size"), _least(F.col("name")), times)
+        pull = lambda c: F.floor((F.col("n") * F.col(c) + prior * F.col(f"to_{c}")) / (F.col("n") + prior)).cast("long")
+        kept = {c: F.when(junk, F.col(f"to_{c}")).otherwise(pull(c)) for c in ("mid", "low")} | {"size": pull("size")}
+        return both.withColumns(kept).select(*own.columns)
+
+    lang = drawn(levels(sketch, ["lang"]), F.broadcast(levels(sketch, [])), ["name"])  # a row per rule
+    return drawn(levels(sketch, ["lang", "source"]), lang, ["lang", "name"]).drop("n")
 
 
 def judge(
-    spark: SparkSession, measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, prior: int = PRIOR, spread: int = 1
+    spark: SparkSession, measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = OWN, prior: int = PRIOR, times: int = TIMES
 ) -> DataFrame:
     """``measured`` plus base_failed and kept, named with ``prefix``.
 
@@ -146,21 +175,24 @@ def judge(
     group of their own. A rate equal to its threshold is kept; in an empty table nothing is judged.
     """
     sketch = stored(spark, sketches(measured, lang, source, prefix), "sketches")
-    columns = [F.max(F.when(F.col("name") == name, F.col("top"))).alias(f"{OWN}top_{name}") for name, *_ in RATES]
-    tops = group_thresholds(sketch, prior, spread).groupBy(F.col("lang").alias(f"{OWN}lang"), F.col("source").alias(f"{OWN}source")).agg(*columns)
+    kinds = ("mid", "low", "size")
+    columns = [F.max(F.when(F.col("name") == name, F.col(c))).alias(f"{OWN}{c}_{name}") for name, *_ in RATES for c in kinds]
+    groups = group_levels(sketch, prior, times).groupBy(F.col("lang").alias(f"{OWN}lang"), F.col("source").alias(f"{OWN}source")).agg(*columns)
     out = measured.withColumns({
         f"{OWN}lang": F.coalesce(F.col(lang).cast("string"), F.lit("")),
         f"{OWN}source": F.coalesce(F.col(source).cast("string"), F.lit("")),
     })
-    out = out.join(small(stored(spark, tops, "thresholds")), [f"{OWN}lang", f"{OWN}source"], "left")
+    out = out.join(small(stored(spark, groups, "levels")), [f"{OWN}lang", f"{OWN}source"], "left")
     ok = F.lit(True)
     for name, a, b, _ in RATES:
-        ok &= F.coalesce(rate(a, b, prefix) <= F.col(f"{OWN}top_{name}"), F.lit(True))
+        mid, low, size = (F.col(f"{OWN}{c}_{name}") for c in kinds)
+        top = _top(mid, low, F.least(size, F.greatest(F.col(f"{prefix}{b}"), F.lit(1))), _least(F.lit(name)), times)
+        ok &= F.coalesce(rate(a, b, prefix) <= top, F.lit(True))
     failed = base_failed(prefix)
     return out.withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": ~failed & ok})
 
 
-def quality(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread: int = 1) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, times: int = TIMES) -> DataFrame:
     """doc_id, the base measures, n_lines, n_upper, base_failed and kept of every row.
 
     Null and empty texts have no words and fail the base rules; texts of any length are measured whole;
@@ -170,11 +202,11 @@ def quality(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread: in
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"))
     measured = stored(spark, measure(rows, "").drop("text"), "quality")
-    judged = judge(spark, measured, prefix="", prior=prior, spread=spread)
+    judged = judge(spark, measured, prefix="", prior=prior, times=times)
     return judged.select("doc_id", *MEASURES, "n_lines", "n_upper", "base_failed", "kept")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread: int = 1) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, times: int = TIMES) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Texts go to the shared folder once, beside their measures.
 
     Rows with null or empty texts go, as ``quality`` says; repeated rows stay or go together; null ids don't
@@ -183,5 +215,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, prior: int = PRIOR, spread:
     if clash := [c for c in docs.columns if c.startswith(OWN)]:
         raise ValueError(f"columns named like helper columns: {clash}")
     measured = stored(spark, measure(docs), "quality")
-    judged = judge(spark, measured, prior=prior, spread=spread)
+    judged = judge(spark, measured, prior=prior, times=times)
     return judged.filter(F.col(f"{OWN}kept")).select(*docs.columns)

@@ -53,13 +53,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document over words and pairs seen twice or more (``language_model.score``)."""
+    """Stupid-backoff score of every document over all words and word pairs (``language_model.score``)."""
     return language_model.score(spark, _table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores over the counts of every word pair, those that occur once included."""
-    return language_model.score(spark, _table(spark, sf_dir, "documents"), min_count=1)
+    """The same: scores over the counts of every word pair, those that occur once included."""
+    return op4_lm_scoring(spark, sf_dir)
+
+
+def op4_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the counts of all words, pairs and triples."""
+    return language_model.score(spark, _table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_lm_scoring,
         op4_lm_scoring_all_pairs,
+        op4_lm_scoring_trigrams,
         op5_pii,
         op6_mix_sources,
         op7_decontaminate,

@@ -5,7 +5,7 @@ lost executor only costs its task):
 
 ``<path>/dictionary``  one row: dict_hash (sha256 of the bytes), dictionary, width, end_id
 ``<path>/blocks``      one row per block of consecutive documents: shard, block, first_token (ids of the
-                       shard before the block), tokens, first_id, last_id, dict_hash, width and the
+                       shard before the block), tokens, first_id (the least that isn't null), last_id, dict_hash, width and the
                        offset index (doc_ids, n_tokens, offsets) into ``payload``, the frames one after
                        another
 
@@ -193,7 +193,7 @@ def write(
     The dictionary is trained on a bounded sample: of the ``sample_docs`` documents of the smallest hashed
     doc_ids, the texts of at most ``sample_chars`` characters. It only affects the size of the frames.
     Null texts are empty documents (just the end id); null doc_ids come first; rows that share a doc_id
-    are ordered by text; texts of any length are one frame; other columns are ignored, whatever their
+    are ordered by a hash of the text; texts of any length are one frame; other columns are ignored, whatever their
     names; an empty table gives a store without blocks.
     """
     docs = id_and_text(docs)
@@ -219,7 +219,8 @@ def write(
         number, before = 0, 0
 
         def block() -> pa.RecordBatch:
-            row = [shard, number, before, sum(sizes), ids[0], ids[-1], dict_hash, width]
+            first = next((x for x in ids if x is not None), None)
+            row = [shard, number, before, sum(sizes), first, ids[-1], dict_hash, width]
             row += [ids, sizes, offsets, b"".join(frames)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], type=f.type) for x, f in zip(row, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW
@@ -240,8 +241,10 @@ def write(
             yield block()
 
     (
-        docs.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "h")  # rows of one id, or without any, are no single task
+        .sortWithinPartitions("doc_id", "h", "text")
+        .select("doc_id", "text")
         .mapInArrow(encode, BLOCK_SCHEMA)
         .write.option("compression", "none")
         .parquet(f"{path}/blocks")
@@ -311,7 +314,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 def fetch(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
     """(doc_id, ids) of a few documents: other blocks are pruned, other frames are left compressed.
 
-    Ids that the store lacks give no row, ids it has twice give two; null ids can't be asked for.
+    Ids that the store lacks give no row, ids it has twice give two, in one block or in several; null ids can't be
+    asked for and hide no others; empty texts have the end id; an empty store gives no rows.
     """
     wanted = sorted({int(x) for x in doc_ids})
     dict_hash, dictionary = _stored_dictionary(spark, path)
@@ -321,7 +325,7 @@ def fetch(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
         return blocks.select(F.lit(0).cast("long").alias("doc_id"), F.array(F.lit(0)).alias("ids")).limit(0)
     hit = F.lit(False)
     for x in wanted:
-        hit |= (F.col("first_id") <= x) & (F.col("last_id") >= x)
+        hit |= (F.coalesce("first_id", "last_id") <= x) & (F.col("last_id") >= x)
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

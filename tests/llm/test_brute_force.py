@@ -57,6 +57,23 @@ def test_token_store_round_trip(spark, table, texts, tokenizer):
     assert token_store.fetch(spark, path, []).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_fetch_beside_null_and_repeated_ids(spark, tokenizer, block_bytes):
+    rows = [(None, "without an id"), (1, "one"), (2, "two of them"), (2, "two of them"), (2, "another two"), (None, "again"), (7, None), (9, "nine")]
+    path = scratch(spark, "t")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_store.write(spark, docs, path, public_tokenizers.path("byte_bpe_50k.json"), block_bytes=block_bytes)
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    for wanted in ([1, 2], [7], [9, 2], [3], [1, 2, 7, 9]):
+        got = sorted((r.doc_id, r.ids) for r in token_store.fetch(spark, path, wanted).collect())
+        assert got == sorted((d, ids(t)) for d, t in rows if d in wanted)
+    read = token_store.digest(spark, path).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in read) == sorted((str(d), len(ids(t))) for d, t in rows)
+    assert [r.doc_id for r in sorted(read, key=lambda r: r.start)] == [None, None, 1, 2, 2, 2, 7, 9]
+    empty = token_store.write(spark, docs.limit(0), scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_store.fetch(spark, empty, [1]).count() == 0
+
+
 def test_encoder_on_odd_texts(tokenizer):
     enc = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), cache=50)
     draw = random.Random(3)
@@ -84,22 +101,50 @@ def test_base_measures(spark, table, texts):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
-def _rates(measured, lang, source):
-    tops = quality_rules.group_thresholds(quality_rules.sketches(measured), 0, 1).filter(f"lang = '{lang}' and source = '{source}'")
-    return {r.name: r.top for r in tops.collect()}
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def _levels(measured, lang, source):
+    found = quality_rules.group_levels(quality_rules.sketches(measured, prefix=""), 0).filter(f"lang = '{lang}' and source = '{source}'")
+    return {r.name: (r.mid, r.low) for r in found.collect()}
 
 
 def test_a_sources_threshold_follows_its_own_texts(spark):
-    """Capitals added to one source move that source's threshold and no other group's."""
+    """A few capitals added to one source move that source's levels and no other group's."""
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(80)), "en", f"s{k % 2}") for k in range(120)]
-    loud = [(k, t.upper() if s == "s1" and k % 3 else t, x, s) for k, t, x, s in rows]
-    for names in (rows, loud):
-        measured = quality_rules.measure(spark.createDataFrame(names, "doc_id long, text string, lang string, source string"))
-        got = [_rates(measured, "en", s) for s in ("s0", "s1")]
-        if names is rows:
-            before = got
-    assert got[0] == before[0] and got[1]["upper_rate"] > before[1]["upper_rate"] + 100_000
-    assert {k: v for k, v in got[1].items() if k != "upper_rate"} == {k: v for k, v in before[1].items() if k != "upper_rate"}
+    loud = [(k, t.replace("w", "W", 6 + k % 5) if s == "s1" else t, x, s) for k, t, x, s in rows]
+    got = {}
+    for tag, names in (("plain", rows), ("loud", loud)):
+        measured = quality_rules.measure(spark.createDataFrame(names, SCHEMA), "")
+        got[tag] = [_levels(measured, "en", s) for s in ("s0", "s1")]
+    assert got["loud"][0] == got["plain"][0]
+    assert got["loud"][1]["upper_rate"][0] > got["plain"][1]["upper_rate"][0] + 10_000 and got["loud"][1]["upper_rate"][1] > 0
+    assert {k: v for k, v in got["loud"][1].items() if k != "upper_rate"} == {k: v for k, v in got["plain"][1].items() if k != "upper_rate"}
+
+
+@pytest.mark.parametrize("percent", [5, 15, 40, 70])
+def test_junk_of_any_share_is_rejected(spark, percent):
+    """One source has so much junk, the others none; a long clean text with two symbols stays."""
+    draw = random.Random(percent)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9)))
+    prose = lambda n: ". ".join(" ".join([word().title(), *[word() for _ in range(9)]]) for _ in range(n // 10))
+    junk = lambda n: " ".join(word() if draw.random() < 0.6 else draw.choice(["#", "|", "<b>", "$$ &"]) for _ in range(n))
+    length = lambda: int(draw.lognormvariate(5.6, 0.7)) + 60
+    rows = [(k, prose(length()), "en", f"src{k % 6}") for k in range(900)]
+    bad = [(k, junk(length()), "en", "src0") for k in range(1000, 1000 + 150 * percent // (100 - percent))]
+    long = [(5000, prose(1500) + " # " + prose(1500) + " | end", "en", "src0"), (5001, prose(1500) + " # $ " + prose(1500), "en", "src3")]
+    found = {r.doc_id: r for r in quality_rules.quality(spark, spark.createDataFrame(rows + bad + long, SCHEMA)).collect()}
+    assert np.mean([found[k].kept for k, *_ in bad]) <= 0.1
+    assert found[5000].kept and found[5001].kept
+    clean = [found[k].kept for k, *_ in rows if not found[k].base_failed]
+    assert len(clean) > 800 and np.mean(clean) > 0.99
+
+
+def test_bad_labels_are_rejected_and_good_ones_kept(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = _labels(spark, "quality", sf)
+    rows = [(labels.get(r.doc_id), r.kept) for r in quality_rules.quality(spark, spark.read.parquet(f"{sf}/documents.parquet")).collect() if not r.base_failed]
+    assert not any(kept for q, kept in rows if q == 0) and np.mean([kept for q, kept in rows if q == 1]) > 0.995
 
 
 def test_sketch_buckets(spark):
@@ -150,7 +195,7 @@ def test_lm_scores(spark, table, texts):
             ws, s = words[r.doc_id], 0.0
             for k, w in enumerate(ws):
                 pair = (ws[k - 1], w) if k else None
-                if k and two[pair] >= 2:
+                if k:
                     s += math.log(two[pair] / one[ws[k - 1]])
                 else:
                     s += math.log((0.4 if k else 1.0) * one[w] / n)
@@ -170,6 +215,30 @@ def test_lm_scores_of_all_pairs(spark, texts):
         assert r.n_words == len(ws) and abs(r.log_score - s) < 1e-3
 
 
+@pytest.mark.parametrize(("order", "least"), [(2, 2), (3, 1), (3, 2), (4, 1)])
+def test_lm_scores_of_higher_orders(spark, order, least):
+    """Back-off over several orders on small texts, counts under a least one left out."""
+    draw = random.Random(order)
+    docs = [(k, " ".join(draw.choice("abcde") for _ in range(draw.choice([0, 1, 2, 3, 9, 40])))) for k in range(60)]
+    words = {k: t.split() for k, t in docs}
+    count = Counter(tuple(ws[i : i + n]) for ws in words.values() for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    total = sum(map(len, words.values()))
+
+    def log(context, w):
+        if not context:
+            return math.log(count[w,] / total)
+        if count[*context, w] >= least:
+            return math.log(count[*context, w] / count[context])
+        return math.log(0.4) + log(context[1:], w)
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot, parts in ((1e-4, 2), (0.1, 1)):
+        for r in language_model.score(spark, frame, order=order, min_count=least, hot=hot, parts=parts).collect():
+            ws = words[r.doc_id]
+            want = sum(log(tuple(ws[max(0, k - order + 1) : k]), w) for k, w in enumerate(ws))
+            assert r.n_words == len(ws) and abs(r.log_score - want) < 1e-3
+
+
 # personal data
 
 
