@@ -164,11 +164,20 @@ def keyed(docs: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
     return _scan(docs, make, pa.schema([("key", pa.int64()), ("node", pa.int64())]), shingle, True)
 
 
-def texts_of(spark: SparkSession, docs: DataFrame, found: DataFrame, shingle: int = 4) -> DataFrame:
-    """(node, text) of the sets in the pairs of ``found``, once each: stored, and never more than a row a task before."""
-    every = _scan(docs, lambda doc_id, text, hashes, node, new: (node, text), pa.schema([("node", pa.int64()), ("text", pa.string())]), shingle, True)
-    nodes = stored(spark, found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    some = stored(spark, every.join(nodes, "node", "left_semi"), "texts")
+def texts_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, found: DataFrame, shingle: int = 4) -> DataFrame:
+    """(node, text) of the sets in the pairs of ``found``, once each, stored.
+
+    Only rows with the first id of such a set are hashed again, and rows without an id. A task gives a set
+    once, so no set has more rows than there are tasks before the last step.
+    """
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "first_id"), "node")
+    nodes = stored(spark, nodes, "nodes")
+    docs = id_and_text(docs)
+    ids = nodes.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
+    some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    out = pa.schema([("node", pa.int64()), ("text", pa.string())])
+    some = _scan(some, lambda doc_id, text, hashes, node, new: (node, text), out, shingle, True)
+    some = stored(spark, some.join(nodes.select("node"), "node", "left_semi"), "texts")
     texts = stored(spark, some.dropDuplicates(["node"]), "texts")
     forget(spark, some)
     forget(spark, nodes)
@@ -261,8 +270,8 @@ def verified(found: DataFrame, texts: DataFrame, percent: int = 85, shingle: int
     return _with_both(found, texts, "text").mapInArrow(run, "a long, b long")
 
 
-def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sketches that may belong to similar sets, by sizes and the lower bound; in blocks."""
+def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index pairs of sketches that may belong to similar sets, by sizes and the lower bound, and that bound; in blocks."""
     step = max(1, cells // max(1, b.size))
     for k in range(0, len(a), step):
         x, size = a[k : k + step], n_a[k : k + step, None] + n_b[None, :]
@@ -271,11 +280,25 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
         if may.any():
             differ = np.bitwise_count(x[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
             i, j = np.nonzero(may & ((100 + percent) * differ <= (100 - percent) * size))
-            yield i + k, j
+            yield i + k, j, differ[i, j]
+
 
+def _forest(x: np.ndarray, y: np.ndarray, differ: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs of one block span the groups of ``label`` (changed); the closest of a row's are taken first."""
+    taken = []
+    order = np.lexsort((differ, x))
+    rows, starts = np.unique(x[order], return_index=True)
+    for row, part in zip(rows.tolist(), np.split(order, starts[1:]), strict=False):  # no rows: one empty part
+        part = part[label[y[part]] != label[row]]
+        others, first = np.unique(label[y[part]], return_index=True)
+        if len(others):
+            taken.append(part[first])
+            label[np.isin(label, others)] = label[row]
+    return np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
 
-def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes: int = 1 << 25) -> DataFrame:
-    """Pairs (a, b) of sets that share a key, are in different groups and pass the sketch's bound.
+
+def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bool = False, most_bytes: int = 1 << 25) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, are in different groups and pass the sketch's bound; with ``forest`` as many as join those groups.
 
     ``rows``: (key, node, root, n, sketch). A key whose sketches take more than ``most_bytes`` goes to tiles of
     two of its salted parts, all pairs of parts.
@@ -294,20 +317,23 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes
         def tile() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            by_width: dict[int, list] = {}
-            for row in held:
-                by_width.setdefault(len(row[-1]), []).append(row)
-            blocks = []
-            for _, own in sorted(by_width.items()):
-                part, node, root, n = (np.array(c) for c in list(zip(*own, strict=True))[:4])
-                blocks.append((part, node, root, n, np.stack([np.frombuffer(r[-1], dtype="<u8") for r in own])))
-            for i, (p1, node1, root1, n1, s1) in enumerate(blocks):
-                for p2, node2, root2, n2, s2 in blocks[i:]:
-                    for x, y in _close(s1, folded(s2, s1.shape[1]), n1, n2, percent):
-                        keep = (root1[x] != root2[y]) & ((p1[x] != p2[y]) | (name[1] == name[2]))
-                        a, b = np.minimum(node1[x], node2[y])[keep], np.maximum(node1[x], node2[y])[keep]
-                        if len(a):
-                            found = np.unique(np.stack([a, b], axis=1), axis=0)
+            held.sort(key=lambda row: len(row[-1]))
+            part, node, root, n = (np.array(c) for c in list(zip(*held, strict=True))[:4])
+            width = np.array([len(row[-1]) for row in held])
+            edges = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(held)]
+            blocks = [(a, b, np.stack([np.frombuffer(row[-1], dtype="<u8") for row in held[a:b]])) for a, b in zip(edges, edges[1:], strict=False)]
+            label = np.unique(root, return_inverse=True)[1]
+            for i, (a1, b1, s1) in enumerate(blocks):
+                for a2, b2, s2 in blocks[i:]:
+                    for x, y, differ in _close(s1, folded(s2, s1.shape[1]), n[a1:b1], n[a2:b2], percent):
+                        x, y = x + a1, y + a2
+                        keep = (root[x] != root[y]) & ((part[x] != part[y]) | (name[1] == name[2]))
+                        x, y, differ = x[keep], y[keep], differ[keep]
+                        if forest:
+                            keep = _forest(x, y, differ, label)
+                            x, y = x[keep], y[keep]
+                        if len(x):
+                            found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
                             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIRS)
 
         for batch in batches:
@@ -323,31 +349,34 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, most_bytes
 
 
 def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (node, n, sketch; stored) that are similar enough and connect all that such pairs connect."""
+    """Pairs (a, b) of ``sets`` (node, first_id, n, sketch; stored) that are similar enough and connect all that such pairs connect."""
     shared = stored(spark, meetings(keyed(docs, percent, shingle)), "meetings")
     stars = stored(spark, shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    rest = stored(spark, shared.filter("node <> center").select("key", "node"), "meetings")
+    forget(spark, shared)
 
     def similar(some: DataFrame) -> DataFrame:
-        texts = texts_of(spark, docs, some, shingle)
+        texts = texts_of(spark, docs, sets, some, shingle)
         found = stored(spark, verified(some, texts, percent, shingle), "links")
         forget(spark, texts)
         return found
 
-    found = similar(stored(spark, bounded(stars, sets, percent), "pairs"))
-    groups = stored(spark, components(spark, found), "groups")
-    rest = shared.filter("node <> center").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rest = stored(spark, rest, "meetings")
-    forget(spark, shared)
-    keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    keys = stored(spark, keys, "keys")
-    crossed = stored(spark, rest.join(keys, "key", "left_semi"), "meetings")
-    forget(spark, rest)
-    # a set's sketch goes to each of its open keys
-    sketched = stored(spark, crossed.join(sets.select("node", "n", "sketch"), "node"), "meetings")
-    more = similar(stored(spark, crossing(spark, sketched, percent).join(stars, ["a", "b"], "left_anti"), "pairs"))
-    for table in (stars, groups, keys, crossed, sketched):
-        forget(spark, table)
-    return found.unionByName(more)
+    found, tested = similar(stored(spark, bounded(stars, sets, percent), "pairs")), stars
+    for forest in (True, False):
+        groups = stored(spark, components(spark, found), "groups")
+        rooted = stored(spark, rest.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "meetings")
+        keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        keys = stored(spark, keys, "keys")
+        crossed = stored(spark, rooted.join(keys, "key", "left_semi"), "meetings")
+        # a set's sketch goes to each of its open keys
+        sketched = stored(spark, crossed.join(sets.select("node", "n", "sketch"), "node"), "meetings")
+        more = stored(spark, crossing(spark, sketched, percent, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        for table in (groups, rest, rooted, keys, sketched):
+            forget(spark, table)
+        rest = crossed.select("key", "node")
+        tested, found = tested.unionByName(more), found.unionByName(similar(more))
+    forget(spark, crossed)
+    return found
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:

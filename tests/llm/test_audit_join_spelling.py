@@ -177,6 +177,15 @@ def test_meetings_over_batches(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def _reach(pairs, n):
+    """The groups of sets 0 to n - 1, two and two joined beforehand, that pairs connect."""
+    group = [k // 2 for k in range(n)]
+    for a, b in pairs:
+        low, high = sorted((group[a], group[b]))
+        group = [low if g == high else g for g in group]
+    return group
+
+
 @pytest.mark.parametrize("most_bytes", [1, 200, 1 << 25])
 def test_crossing_in_tiles(spark, most_bytes):
     draw = np.random.default_rng(6)
@@ -188,6 +197,9 @@ def test_crossing_in_tiles(spark, most_bytes):
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and _linked(set(sets[i].tolist()), set(sets[j].tolist()))}
     far = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 == j // 2 or len(np.intersect1d(sets[i], sets[j])) < 0.5 * len(np.union1d(sets[i], sets[j]))}
     assert len(got) == len(set(got)) and linked <= set(got) and not far & set(got) and linked
+    some = [tuple(r) for r in shingle_join.crossing(spark, frame, forest=True, most_bytes=most_bytes).collect()]
+    assert set(some) <= set(got) and (most_bytes < 1 << 25 or len(some) < len(got))
+    assert _reach(got, len(sets)) == _reach(some, len(sets))
 
 
 def test_chains_about_the_limit(spark):
