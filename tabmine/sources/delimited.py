@@ -11,29 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabmine.functions.columns import NUMBER, is_missing, number
+from tabmine.sources.quoted import ends_inside, lines_of, read_records
 
 DELIMITERS = (",", ";", "\t", "|", " ")
 
 
+def _records(lines: list[str], delimiter: str, n: int) -> list[list[str]]:
+    """The trimmed fields of the first records; quotes may hold delimiters and line ends."""
+    rows, inside = [], False
+    for line in lines:
+        if inside or line.strip():
+            rows = [*rows[:-1], f"{rows[-1]}\n{line}"] if inside else [*rows, line]
+            inside = ends_inside(line, delimiter, inside)
+    return [[c.strip() for c in row] for row in csv.reader((r + "\n" for r in rows[:n]), delimiter=delimiter)]
+
+
 def detect_delimiter(lines: list[str]) -> str:
-    """The delimiter that gives all of the first lines the same, largest number of fields over one; else a comma."""
-    some = [x for x in lines if x.strip()][:5]
+    """The delimiter that gives all of the first records the same, largest number of fields over one; else a comma."""
     best, fields = ",", 1
     for d in DELIMITERS:
-        counts = {len(_fields(x, d)) for x in some}
+        counts = {len(row) for row in _records(lines, d, 5)}
         if len(counts) == 1 and (n := counts.pop()) > fields:
             best, fields = d, n
     return best
 
 
-def _fields(line: str, delimiter: str) -> list[str]:
-    """The trimmed fields of a line; quotes may hold delimiters."""
-    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter), [])]
-
-
 def detect_header(lines: list[str], delimiter: str) -> bool:
-    """A header if the first line is mostly text over a mostly numeric second one, or has another field count."""
-    some = [_fields(x.strip(), delimiter) for x in lines if x.strip()][:2]
+    """A header if the first record is mostly text over a mostly numeric second one, or has another field count."""
+    some = _records(lines, delimiter, 2)
     if len(some) < 2:
         return False
     if len(some[0]) != len(some[1]):
@@ -42,22 +47,18 @@ def detect_header(lines: list[str], delimiter: str) -> bool:
     return share[0] < 0.5 and share[1] > 0.5
 
 
-def _lines(spark: SparkSession, path: str, encoding: str, skip_rows: int) -> DataFrame:
-    """(value): the lines of a file after the first ``skip_rows``, blank ones aside, without a byte order mark.
+def head(spark: SparkSession, path: str, n: int = 5, encoding: str = "UTF-8", skip_rows: int = 0) -> list[str]:
+    """The first lines of a file (of a folder's first file) after ``skip_rows``, blank ones aside, without a byte order mark.
 
-    Spark reads a file's parts in order, so its first lines are the first rows of the first partition.
+    Spark reads a single file's splits in order, so a limit takes its first lines.
     """
-    raw = spark.read.text(path)
-    if encoding.upper().replace("-", "") != "UTF8":
-        raw = raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-    if skip_rows:
-        raw = raw.withColumn("__n", F.monotonically_increasing_id()).filter(F.col("__n") >= skip_rows).drop("__n")
-    return raw.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter(F.trim("value") != "")
-
-
-def head(spark: SparkSession, path: str, n: int = 5, encoding: str = "UTF-8", skip_rows: int = 0) -> list[str]:
-    """The first lines of a file after ``skip_rows``, blank ones aside, without a byte order mark."""
-    return [r.value for r in _lines(spark, path, encoding, skip_rows).limit(n).collect()]
+    files = spark.read.text(path).inputFiles()
+    if not files:
+        return []
+    first = [r.value for r in lines_of(spark, min(files), encoding).select("value").limit(skip_rows + 4 * n).collect()]
+    if first:
+        first[0] = first[0].removeprefix("\ufeff")
+    return [x for x in first[skip_rows:] if x.strip()][:n]
 
 
 def read_cells(
@@ -65,28 +66,23 @@ def read_cells(
 ) -> DataFrame:
     """All cells as trimmed strings, empty ones as null; columns are named by the header, or c0, c1, ...
 
-    ``path`` is a file, or a folder whose files all repeat the header. ``skip_rows`` lines at the beginning are
-    passed over, blank lines dropped, and so are rows of fewer fields than the first data row has; fields
-    beyond that are ignored. Quoted fields may hold delimiters, but no line ends. ``encoding`` is one that
-    keeps line ends as single bytes.
+    ``path`` is a file, or a folder each of whose files begins with the header: it is the first record after
+    ``skip_rows`` lines, and equal ones further on are data. Blank lines are dropped, and so are rows of fewer
+    fields than the first data row has; fields beyond that are ignored. Quoted fields may hold delimiters and line
+    ends (``quoted.read_records``). ``encoding`` is one that keeps line ends as single bytes. An empty file gives no
+    columns.
     """
-    lines = head(spark, path, 5, encoding, skip_rows)
+    lines = head(spark, path, 50, encoding, skip_rows)
     if not lines:
         return spark.createDataFrame([], T.StructType([]))
     delimiter = delimiter or detect_delimiter(lines)
     header = detect_header(lines, delimiter) if header is None else header
-    rows = [_fields(x, delimiter) for x in lines]
+    rows = _records(lines, delimiter, 2)
     width = len(rows[1] if header and len(rows) > 1 else rows[0])
     names = [c or f"c{k}" for k, c in enumerate(rows[0][:width])] if header else []
     names += [f"c{k}" for k in range(len(names), width)]
-    texts = _lines(spark, path, encoding, skip_rows)
-    if header:
-        texts = texts.filter(F.col("value") != lines[0])
-    unquoted = F.regexp_replace("value", '"([^"]|"")*"', "")
-    fields = F.regexp_count(unquoted, F.lit(re.escape(delimiter))) + 1
-    options = {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"', "nullValue": "\u0000"}
-    cells = F.from_csv("value", ", ".join(f"f{k} string" for k in range(width)), options)
-    return texts.filter(fields >= width).select(cells.alias("c")).select(*[F.col(f"c.f{k}").alias(n) for k, n in enumerate(names)])
+    records = read_records(spark, path, delimiter, header, encoding, skip_rows)
+    return records.filter(F.size("cells") >= width).select(*[F.col("cells")[k].alias(n) for k, n in enumerate(names)])
 
 
 def labelled(cells: DataFrame, target: int = -1, skip: list[int] | None = None, row_id: str | None = None) -> DataFrame:
