@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabmine.llm.common import each_batch, forget, id_and_text, stored
+from tabmine.llm.common import each_batch, forget, id_and_text, small, stored
 from tabmine.llm.components import components
 from tabmine.llm.hashed import codes, pairs, words_at
 
@@ -173,14 +173,14 @@ def texts_of(spark: SparkSession, docs: DataFrame, sets: DataFrame, found: DataF
     nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "first_id"), "node")
     nodes = stored(spark, nodes, "nodes")
     docs = id_and_text(docs)
-    ids = nodes.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    ids = stored(spark, nodes.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null").distinct(), "ids")
+    some = docs.join(small(ids, 1_000_000), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
     out = pa.schema([("node", pa.int64()), ("text", pa.string())])
     some = _scan(some, lambda doc_id, text, hashes, node, new: (node, text), out, shingle, True)
     some = stored(spark, some.join(nodes.select("node"), "node", "left_semi"), "texts")
     texts = stored(spark, some.dropDuplicates(["node"]), "texts")
-    forget(spark, some)
-    forget(spark, nodes)
+    for table in (some, nodes, ids):
+        forget(spark, table)
     return texts
 
 
