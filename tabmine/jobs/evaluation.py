@@ -289,7 +289,7 @@ def train_evaluate_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("train_evaluate_mlp")
 def train_evaluate_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _train_evaluate(spark, sf_dir, "mlp", epochs=30)
+    return _train_evaluate(spark, sf_dir, "mlp")
 
 
 @query("train_evaluate_kmeans")

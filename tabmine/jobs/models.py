@@ -284,24 +284,6 @@ def mlp_gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.createDataFrame([(k, float(b)) for k, b in enumerate(new[-1][1])], "k int, output_bias double"))
 
 
-def _trained(optimiser: str, rate: float) -> None:
-    @query(f"mlp_train_{optimiser}")
-    def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = V.vec_frame(spark, sf_dir)
-        model = mlp.train(rows, [16], 10, optimiser, rate, epochs=200)
-        return model.predict(rows).select(F.col("row_id").alias("vec_id"), F.col("y").alias("label"), "pred")
-
-
-for _name, _rate in (("sgd", 0.5), ("momentum", 0.1), ("adam", 0.02)):
-    _trained(_name, _rate)
-
-
-@query("mlp_loss_history")
-def mlp_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = mlp.train(V.vec_frame(spark, sf_dir), [16], 10, "adam", 0.02, epochs=200)
-    return report(spark.createDataFrame(list(enumerate(model.history, 1)), "epoch int, loss double"))
-
-
 # The first steps from the same starting weights, one batch an epoch
 
 _START = mlp.initial([V.DIMS, 16, 10])

@@ -16,33 +16,41 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def summed(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of f(X, y), a vector of doubles.
+def added_up(parts: DataFrame) -> np.ndarray:
+    """The sum of all vectors of the column s; none give no values.
 
-    Every task adds its batches up and sends one vector on to one more task, which adds those up as they
-    come, so the driver gets one vector however many tasks there are.
+    Vectors meet in as many tasks as the square root of the number of partitions, and their sums in one,
+    so that no task reads more than that many, and the driver gets one vector.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = None
         for batch in batches:
-            if batch.num_rows:
-                part = f(matrix(batch.column(0)), batch.column(1).to_numpy())
-                acc = part if acc is None else acc + part
+            for part in batch.column(0):
+                acc = part.values.to_numpy() if acc is None else acc + part.values.to_numpy()
         if acc is not None:
             yield pa.RecordBatch.from_arrays([pa.array([acc], type=pa.list_(pa.float64()))], names=["s"])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = parts.rdd.getNumPartitions()
+    if n > 64:
+        parts = parts.repartition(int(np.ceil(np.sqrt(n)))).mapInArrow(added, "s array<double>")
+    found = parts.repartition(1).mapInArrow(added, "s array<double>").collect()
+    return np.array(found[0].s) if found else np.zeros(0)
+
+
+def summed(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of f(X, y), a vector of doubles: one vector a task, added up in one or two levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = None
         for batch in batches:
-            for part in batch.column(0):
-                acc = part.values.to_numpy() if acc is None else acc + part.values.to_numpy()
+            if batch.num_rows:
+                part = f(matrix(batch.column(0)), batch.column(1).to_numpy())
+                acc = part if acc is None else acc + part
         if acc is not None:
             yield pa.RecordBatch.from_arrays([pa.array([acc], type=pa.list_(pa.float64()))], names=["s"])
 
-    parts = rows.select("x", "y").mapInArrow(run, "s array<double>").repartition(1)
-    found = parts.mapInArrow(added, "s array<double>").collect()
-    return np.array(found[0].s) if found else np.zeros(0)
+    return added_up(rows.select("x", "y").mapInArrow(run, "s array<double>"))
 
 
 def scored(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], name: str = "out") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabmine.functions import columns as C
-from tabmine.operators.batches import scored, summed
+from tabmine.operators.batches import block_pairs, scored, summed
 
 
 def gamma(rows: DataFrame, how: str = "scale") -> DataFrame:
@@ -133,11 +133,22 @@ def polynomial_features(rows: DataFrame, g: float, coef0: float = 1.0, degree: i
     return scored(rows, sketch, "z").withColumn("x", F.col("z")).drop("z")
 
 
-def decision(rows: DataFrame, vectors: DataFrame, g: float, intercept: float = 0.0) -> DataFrame:
-    """(row_id, y, decision): sum of coef K(v, x) over support vectors (v, coef), plus the intercept.
+def decision(rows: DataFrame, vectors: DataFrame, g: float, intercept: float = 0.0, most: int = 20_000) -> DataFrame:
+    """(row_id, y, decision): sum of coef K(v, x) over support vectors (sv_id, v, coef), plus the intercept.
 
-    Support vectors are a model: one row of at most some thousands of them, broadcast.
+    Up to ``most`` support vectors are one broadcast row; beyond that blocks of them meet blocks of rows.
     """
-    model = vectors.agg(F.sort_array(F.collect_list(F.struct("sv_id", "coef", "v"))).alias("sv"))
-    terms = F.transform("sv", lambda s: s["coef"] * C.rbf_kernel(F.col("x"), s["v"], F.lit(g)))
-    return rows.crossJoin(F.broadcast(model)).select("row_id", "y", (C.total(terms) + intercept).alias("decision"))
+    if vectors.limit(most + 1).count() <= most:
+        model = vectors.agg(F.sort_array(F.collect_list(F.struct("sv_id", "coef", "v"))).alias("sv"))
+        terms = F.transform("sv", lambda s: s["coef"] * C.rbf_kernel(F.col("x"), s["v"], F.lit(g)))
+        return rows.crossJoin(F.broadcast(model)).select("row_id", "y", (C.total(terms) + intercept).alias("decision"))
+
+    def part(a: dict, b: dict) -> dict:
+        far = (a["x"] ** 2).sum(axis=1)[:, None] + (b["x"] ** 2).sum(axis=1)[None, :] - 2 * a["x"] @ b["x"].T
+        return {"row_id": a["row_id"], "z": np.exp(-g * np.maximum(far, 0)) @ b["coef"]}
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    right = vectors.select(F.col("sv_id").alias("row_id"), "coef", F.col("v").alias("x"))
+    parts = block_pairs(rows.select("row_id", "x"), right, part, f"row_id {kind}, z double", ["row_id", "x"], ["row_id", "coef", "x"], most=0)
+    sums = parts.groupBy("row_id").agg((F.sum("z") + intercept).alias("decision"))
+    return rows.select("row_id", "y").join(sums, "row_id").select("row_id", "y", "decision")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabmine.operators import kmeans, knn, metrics, mlp, naive_bayes, prep, svm, tree, validate
+from tabmine.operators import kmeans, knn, local_steps, metrics, naive_bayes, prep, svm, tree, validate
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 MODELS = ("gaussian_nb", "knn", "c45", "svm", "mlp")
@@ -30,7 +30,7 @@ def fitter(name: str, classes: int, features: int, **params) -> Fit:
             mapped = lambda part: svm.kernel_features(part, **own)
             return svm.train(mapped(rows), list(range(classes)), **machine).predict_mapped(mapped)
         if name == "mlp":
-            return mlp.train(rows, **({"hidden": [16], "classes": classes, "rate": 0.02} | params)).predict
+            return local_steps.train(rows, **({"hidden": [16], "classes": classes, "rate": 0.005} | params)).predict
         raise ValueError(f"no model named {name}")
 
     def nearest(part: DataFrame, rows: DataFrame) -> DataFrame:

@@ -390,7 +390,7 @@ def test_summed_is_the_same_for_any_partitioning(spark, blobs):
 
 def test_trained_models_take_whole_vectors(spark, monkeypatch):
     from tabmine.jobs.catalog import QUERIES
-    from tabmine.operators import mlp, svm
+    from tabmine.operators import local_steps, svm
 
     seen = []
 
@@ -404,7 +404,7 @@ def test_trained_models_take_whole_vectors(spark, monkeypatch):
         monkeypatch.setattr(module, "train", train)
 
     spy(svm, "steps")
-    spy(mlp, "epochs")
+    spy(local_steps, "epochs")
     for name in ("svm_ovo_linear", "mlp_train_sgd", "mlp_train_momentum", "mlp_train_adam", "mlp_loss_history"):
         QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert seen == [(64, None)] + [(64, 200)] * 4
