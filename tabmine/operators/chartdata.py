@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import order_key
-from tabmine.operators.frame import few, quantiles, running_sum, value_bucket
+from tabmine.operators.frame import few, quantiles, running_sum
 
 
 def histogram(cells: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
@@ -48,7 +48,7 @@ def ecdf(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., v, n, share): how many values are at most v, per distinct value."""
     cells = cells.filter(F.col("v").isNotNull())
     counts = cells.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    run = running_sum(counts, F.col("c"), "n", value_bucket(cells, "v"), ["v"], keys)
+    run = running_sum(counts, F.col("c"), "n", ["v"], keys)
     total = few(cells.groupBy(*keys).agg(F.count("*").alias("total")))
     return run.join(total, keys).select(*keys, "v", "n", (F.col("n") / F.col("total")).alias("share"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabmine.functions.columns import order_key, vector
+from tabmine.sources.files import stored
 
 
 def frame(df: DataFrame, row_id: str, features: list[str], label: str | None = None) -> DataFrame:
@@ -72,35 +73,33 @@ def bucket_of(v: Column, edges: Column, coarse: Column, step: int) -> Column:
     return F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(fine, lambda e: e <= v)))
 
 
-def value_bucket(df: DataFrame, column: str, size: int = 65_536) -> Column | None:
-    """A bucket number that grows with the column; None if one bucket is enough.
+def ranged(df: DataFrame, order: list[Column | str], size: int = 65_536) -> tuple[DataFrame, Column | None]:
+    """``df`` in ranges of ``order`` of about ``size`` rows each, and the number of a row's range; (df, None) if one is enough.
 
-    Buckets have about the same number of rows, and there are more of them the more rows there are.
+    Spark's range partitioning finds the borders, so none are in the plan, and equal keys share a range. It is
+    written, since a range's number must stay what it is; the number is a column __range.
     """
     parts = parts_for(df.count(), size)
     if parts == 1:
-        return None
-    edges = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.25 / parts)))
-    step = max(1, int(len(edges) ** 0.5))
-    return bucket_of(F.col(column).cast("double"), literal_array(edges), literal_array(edges[::step]), step)
+        return df, None
+    dealt = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    return stored(dealt, "ranges"), F.col("__range")
 
 
 def running_sums(
-    df: DataFrame, values: dict[str, Column], bucket: Column | None, order: list[Column | str], by: list[str] | None = None, descending: bool = False
+    df: DataFrame, values: dict[str, Column], bucket: Column | None, order: list[Column | str], by: list[str] | None = None
 ) -> DataFrame:
     """``df`` with running sums of ``values``, a row's own value included, over ``order`` within ``by``.
 
     No window holds more than a bucket: totals per bucket give each bucket what lies before it, and
-    ``bucket`` must agree with ``order``. ``descending`` tells that the buckets are to be taken backwards.
-    Without a bucket there is one window for each ``by``.
+    ``bucket`` must agree with ``order``. Without a bucket there is one window for each ``by``.
     """
     by = by or []
     if bucket is None:
         inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
     rows = df.withColumns({"__bucket": bucket, **{f"__v_{n}": v for n, v in values.items()}})
-    first = F.desc("__bucket") if descending else F.asc("__bucket")
-    before = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
     totals = totals.select(*by, "__bucket", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in values])
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,19 +108,16 @@ def running_sums(
     return joined.drop("__bucket", *[f"__{p}_{n}" for n in values for p in "vb"])
 
 
-def running_sum(df: DataFrame, value: Column, name: str, bucket: Column | None, order: list[Column | str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """``running_sums`` of one value."""
-    return running_sums(df, {name: value}, bucket, order, by, descending)
+def running_sum(df: DataFrame, value: Column, name: str, order: list[Column | str], by: list[str] | None = None, size: int = 65_536) -> DataFrame:
+    """``running_sums`` of one value over ranges of ``order``."""
+    dealt, bucket = ranged(df, order, size)
+    return running_sums(dealt, {name: value}, bucket, order, by).drop("__range")
 
 
-def shuffled_rank(df: DataFrame, row_id: str, seed: int, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """``df`` with the 1-based place of each row in the seeded shuffle, exact and without a global window.
-
-    The key is a uniform hash, so its first hexadecimal digits are even buckets.
-    """
+def shuffled_rank(df: DataFrame, row_id: str, seed: int, by: list[str] | None = None, name: str = "rank", size: int = 65_536) -> DataFrame:
+    """``df`` with the 1-based place of each row in the seeded shuffle, exact and without a global window."""
     keyed = df.withColumn("__key", order_key(seed, F.col(row_id)))
-    ranked = running_sum(keyed, F.lit(1), name, F.substring("__key", 1, 3), ["__key", row_id], by)
-    return ranked.drop("__key")
+    return running_sum(keyed, F.lit(1), name, ["__key", row_id], by, size).drop("__key")
 
 
 def quantiles(cells: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000, size: int = 65_536) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabmine.operators.frame import running_sums, value_bucket
+from tabmine.operators.frame import ranged, running_sums
 
 
 def confusion(predictions: DataFrame, true: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -64,9 +64,9 @@ def roc(scores: DataFrame, score: str = "score", positive: str = "positive", by:
     group = scores.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("f")
     )
-    bucket = value_bucket(scores.select(F.col(score).cast("double").alias("threshold")), "threshold", size)
     down = [F.desc("threshold")]
-    points = running_sums(group, {"tp": F.col("p"), "fp": F.col("f")}, bucket, down, by, descending=True)
+    dealt, bucket = ranged(group, down, size)
+    points = running_sums(dealt, {"tp": F.col("p"), "fp": F.col("f")}, bucket, down, by)
     ends = group.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("f").alias("all_f"))
     points = points.join(ends, by) if by else points.crossJoin(F.broadcast(ends))  # one row
     rate = lambda x, n: F.col(x) / F.col(n)
@@ -82,10 +82,8 @@ def auc(curve: DataFrame, by: list[str] | None = None, size: int = 65_536) -> Da
     """(by..., auc) by the trapezoid rule; every bucket of the curve also gets the point before it."""
     by = by or []
     rank = F.coalesce(-F.col("threshold"), F.lit(float("-inf")))
-    points = curve.withColumn("at", rank)
-    finite = points.filter(F.col("threshold").isNotNull())
-    bucket = value_bucket(finite, "at", size)
-    points = points.withColumn("bucket", F.when(F.col("threshold").isNull(), -1).otherwise(F.lit(0) if bucket is None else bucket))
+    points, bucket = ranged(curve.withColumn("at", rank), ["at"], size)
+    points = points.withColumn("bucket", F.lit(0) if bucket is None else bucket)
     inside = Window.partitionBy(*by, "bucket").orderBy("at")
     steps = points.withColumns({"x0": F.lag("fpr").over(inside), "y0": F.lag("tpr").over(inside)})
     area = F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2)

@@ -333,10 +333,26 @@ def test_selection(spark, blobs):
 
 def test_running_sums_over_buckets(spark):
     rows = spark.createDataFrame([(k % 3, float((k * 37) % 101), k) for k in range(300)], "g int, v double, k int")
-    out = frame.running_sum(rows, F.col("k"), "run", frame.value_bucket(rows, "v", 9), ["v", "k"], ["g"]).collect()
-    for g in range(3):
-        part = sorted((r for r in out if r.g == g), key=lambda r: (r.v, r.k))
-        assert [r.run for r in part] == np.cumsum([r.k for r in part]).tolist()
+    for size in (9, 65_536):
+        for order, key in ((["v", "k"], lambda r: (r.v, r.k)), ([F.desc("v"), "k"], lambda r: (-r.v, r.k))):
+            out = frame.running_sum(rows, F.col("k"), "run", order, ["g"], size)
+            assert out.columns == ["g", "v", "k", "run"]
+            for g in range(3):
+                part = sorted((r for r in out.collect() if r.g == g), key=key)
+                assert [r.run for r in part] == np.cumsum([r.k for r in part]).tolist()
+
+
+def test_ranks_and_curves_do_not_depend_on_ranges(spark):
+    rows = spark.createDataFrame([(f"r{k}", k % 4, float(k * 37 % 23), int(k * 29 % 7 < 3)) for k in range(250)], "id string, g int, score double, positive int")
+    for by in (None, ["g"]):
+        ranks = [sorted((r.id, r.rank) for r in frame.shuffled_rank(rows, "id", 7, by, size=n).collect()) for n in (10, 65_536)]
+        assert ranks[0] == ranks[1] and (by or sorted(r for _, r in ranks[0]) == list(range(1, 251)))
+        curves = [metrics.roc(rows, by=by, size=n) for n in (3, 65_536)]
+        assert sorted(map(str, curves[0].collect())) == sorted(map(str, curves[1].collect()))
+        areas = [sorted(r.auc for r in metrics.auc(curves[1], by, size=n).collect()) for n in (3, 65_536)]
+        assert areas[0] == pytest.approx(areas[1])
+    plan = frame.ranged(rows, ["score"], 10)[0]._jdf.queryExecution().toString()
+    assert "37.0" not in plan and "Split" not in plan  # no borders in the plan
 
 
 def test_quantiles_by_brackets(spark):
