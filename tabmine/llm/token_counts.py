@@ -111,7 +111,9 @@ def counts(spark: SparkSession, docs: DataFrame, vocab: list[tuple[str, float]])
     """(doc_id, n_tokens) of every row's whole text.
 
     Null and empty texts have 0 tokens; a text that is one space is one segment, the meta symbol
-    alone; repeated rows give repeated rows; other columns are ignored.
+    alone; null ids stay null; repeated rows give repeated rows, an empty table none; texts of any length are
+    counted whole; paths of equal score count as the tokenizers library breaks the tie, for the longest last
+    piece; other columns are ignored, whatever their names.
     """
     shared, name = spark.sparkContext.broadcast(vocab), sha256(repr(vocab).encode()).hexdigest()
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
