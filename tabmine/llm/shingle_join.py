@@ -298,8 +298,10 @@ def _forest(x: np.ndarray, y: np.ndarray, differ: np.ndarray, label: np.ndarray)
 
 
 def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bool = False, most_bytes: int = 1 << 25) -> DataFrame:
-    """Pairs (a, b) of sets that share a key, are in different groups and pass the sketch's bound; with ``forest`` as many as join those groups.
+    """(a, b, key): pairs of sets that share a key, are in different groups and pass the sketch's bound.
 
+    With ``forest`` only as many of a tile's pairs come back as join its groups, and ``key`` alone tells of each key
+    of which pairs were left out; else it is null.
     ``rows``: (key, node, root, n, sketch). A key whose sketches take more than ``most_bytes`` goes to tiles of
     two of its salted parts, all pairs of parts.
     """
@@ -310,6 +312,7 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bo
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("key", "part", other, "node", "root", "n", "sketch")
     rows = rows.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node", "root", "n", "sketch")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
@@ -317,6 +320,7 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bo
         def tile() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
+            left_out = False
             held.sort(key=lambda row: len(row[-1]))
             part, node, root, n = (np.array(c) for c in list(zip(*held, strict=True))[:4])
             width = np.array([len(row[-1]) for row in held])
@@ -331,10 +335,13 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bo
                         x, y, differ = x[keep], y[keep], differ[keep]
                         if forest:
                             keep = _forest(x, y, differ, label)
+                            left_out |= len(keep) < len(x)
                             x, y = x[keep], y[keep]
                         if len(x):
                             found = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
-                            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIRS)
+                            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], schema=out)
+            if left_out:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, None, name[0])], schema=out)
 
         for batch in batches:
             for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -345,7 +352,7 @@ def crossing(spark: SparkSession, rows: DataFrame, percent: int = 85, forest: bo
         yield from tile()
 
     tiles = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(run, "a long, b long, key long").distinct()
 
 
 def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, percent: int = 85, shingle: int = 4) -> DataFrame:
@@ -370,12 +377,17 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, percent: int =
         crossed = stored(spark, rooted.join(keys, "key", "left_semi"), "meetings")
         # a set's sketch goes to each of its open keys
         sketched = stored(spark, crossed.join(sets.select("node", "n", "sketch"), "node"), "meetings")
-        more = stored(spark, crossing(spark, sketched, percent, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
-        for table in (groups, rest, rooted, keys, sketched):
+        crosses = stored(spark, crossing(spark, sketched, percent, forest), "crosses")
+        more = crosses.filter("key is null").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        more = stored(spark, more, "pairs")
+        # keys all of whose pairs have been taken are done with
+        rest_open = crossed.select("key", "node").join(small(crosses.filter("key is not null").select("key")), "key", "left_semi")
+        rest_open = stored(spark, rest_open, "meetings")
+        for table in (groups, rest, rooted, keys, crossed, sketched, crosses):
             forget(spark, table)
-        rest = crossed.select("key", "node")
+        rest = rest_open
         tested, found = tested.unionByName(more), found.unionByName(similar(more))
-    forget(spark, crossed)
+    forget(spark, rest)
     return found
 
 
