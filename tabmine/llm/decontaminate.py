@@ -338,7 +338,7 @@ class _Indexes:
             made = Index(sorted(zip(block["item_id"].to_pylist(), block["text"].to_pylist(), strict=True)), **params)
             return pa.table([pa.array([pickle.dumps(made, 5)], pa.binary())], schema=out)
 
-        rows = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        rows = items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))  # texts of one id stay together
         self.table = stored(spark, rows.groupBy("block").applyInArrow(build, "index binary"), "indexes")
         screen = Screen(chars)
         for index in self._each():
