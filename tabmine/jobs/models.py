@@ -11,7 +11,7 @@ from tabmine.jobs.bayes import GNB_PRED, GNB_SQL, gnb_predictions
 from tabmine.jobs.profiling import centroids, split_sql
 from tabmine.jobs.registry import query, report
 from tabmine.jobs.selection import part_frame
-from tabmine.operators import linalg, mlp, prep, select, svm, tree
+from tabmine.operators import linalg, mlp, prep, select, splits, svm, tree
 
 TYPES = 6  # classes of part_frame
 _PART = """SELECT p_partkey AS row_id, [CAST(p_size AS DOUBLE), p_retailprice, CAST(p_size % 5 AS DOUBLE)] AS x, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS y FROM part"""
@@ -59,7 +59,7 @@ def tree_ctes(
 def c45_best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_frame(spark, sf_dir)
     cells = rows.select(F.lit(1).alias("node"), "y", F.posexplode("x").alias("fi", "v"))
-    found = tree.best_splits(tree.split_scores(cells, TYPES, tree.edges(rows, 3, rows.count())))
+    found = splits.best_splits(splits.split_scores(splits.counted(cells, TYPES), TYPES))
     return report(found.drop("left", "right"))
 
 

@@ -66,13 +66,6 @@ def literal_array(values: list, kind: str = "double") -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def bucket_of(v: Column, edges: Column, coarse: Column, step: int) -> Column:
-    """How many of the sorted ``edges`` are at most v; ``coarse`` has every ``step``-th of them, the first included."""
-    c = F.size(F.filter(coarse, lambda e: e <= v))
-    fine = F.slice(edges, F.greatest(c - 1, F.lit(0)) * step + 1, F.lit(step))
-    return F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(fine, lambda e: e <= v)))
-
-
 def ranged(df: DataFrame, order: list[Column | str], size: int = 65_536) -> tuple[DataFrame, Column | None]:
     """``df`` in ranges of ``order`` of about ``size`` rows each, and the number of a row's range; (df, None) if one is enough.
 

@@ -1,4 +1,4 @@
-"""Decision trees grown level by level: one job finds the splits of all open nodes.
+"""Decision trees: large nodes are split level by level from histograms, small ones grow whole in one last job.
 
 A tree is a small dict kept by the driver, node id -> Node; the children of node i are 2i and 2i + 1. It
 is applied as one expression over constant arrays, so scoring never shuffles.
@@ -6,13 +6,15 @@ is applied as one expression over constant arrays, so scoring never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabmine.functions.columns import entropy_of, total
-from tabmine.operators.frame import bucket_of, literal_array, parts_for, running_sums
+from tabmine.operators import splits
+from tabmine.operators.frame import literal_array
+from tabmine.sources.files import stored
 
 
 @dataclass
@@ -85,103 +87,85 @@ class Walk:
 ROOM = 1 << 32
 
 
-def edges(rows: DataFrame, features: int, n: int) -> Column | None:
-    """Bucket of a cell (fi, v) within its feature, from quantiles of all features at once; None if one is enough."""
-    parts = parts_for(n)
-    if parts == 1:
-        return None
-    wide = rows.select(*[F.col("x")[k].alias(f"x{k}") for k in range(features)])
-    found = wide.approxQuantile([f"x{k}" for k in range(features)], [p / parts for p in range(1, parts)], 0.25 / parts)
-    found, step = [sorted(set(q)) for q in found], max(1, int(parts**0.5))
-    table = [F.array(*[literal_array(q[::by]) for q in found])[F.col("fi")] for by in (1, step)]
-    return bucket_of(F.col("v"), *table, step)
-
-
-def split_scores(cells: DataFrame, classes: int, bucket: Column | None, criterion: str = "ratio", candidates: int | None = None) -> DataFrame:
-    """(node, fi, threshold, score, n_left, n_right, left, right) of all midpoints of neighbouring distinct values.
-
-    ``cells`` has (node, fi, v, y). score is the gain ratio (0 if the split has under 1e-10 bits) or the
-    gain; left and right count the classes. ``candidates`` keeps only so many lowest thresholds of each
-    node and feature.
-    """
-    ks = range(classes)
-    counts = cells.groupBy("node", "fi", "v").agg(*[F.count_if(F.col("y") == c).alias(f"c{c}") for c in ks])
-    by = ["node", "fi"]
-    run = running_sums(counts, {f"l{c}": F.col(f"c{c}") for c in ks}, bucket, ["v"], by)
-    whole = counts.groupBy(*by).agg(*[F.sum(f"c{c}").alias(f"t{c}") for c in ks])
-    if bucket is None:
-        marked = run.withColumn("__b", F.lit(0)).withColumn("next", F.lead("v").over(Window.partitionBy(*by).orderBy("v")))
-    else:  # the next value of a bucket's last row is the first of a later bucket
-        marked = run.withColumn("__b", bucket)
-        firsts = marked.groupBy(*by, "__b").agg(F.min("v").alias("__first"))
-        firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*by).orderBy("__b"))).drop("__first")
-        inside = Window.partitionBy(*by, "__b").orderBy("v")
-        marked = marked.join(firsts, [*by, "__b"]).withColumn("next", F.coalesce(F.lead("v").over(inside), F.col("__next")))
-    rows = marked.filter("next is not null")
-    if candidates is not None:  # of each bucket first, so that no window ranks all values
-        for key in ([*by, "__b"], by):
-            rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy("v"))).filter(F.col("__rank") <= candidates)
-    rows = rows.join(whole, by)
-    left = F.array(*[F.col(f"l{c}") for c in ks])
-    right = F.array(*[F.col(f"t{c}") - F.col(f"l{c}") for c in ks])
-    every = F.array(*[F.col(f"t{c}") for c in ks])
-    rows = rows.select(
-        "node", "fi", ((F.col("v") + F.col("next")) / 2).alias("threshold"), left.alias("left"), right.alias("right"),
-        entropy_of(left).alias("hl"), entropy_of(right).alias("hr"), entropy_of(every).alias("h"),
-        *[total(F.transform(a, lambda v: v.cast("double"))).alias(n) for a, n in ((left, "nl"), (right, "nr"))],
-    )
-    n = F.col("nl") + F.col("nr")
-    pl, pr = F.col("nl") / n, F.col("nr") / n
-    gain = F.col("h") - pl * F.col("hl") - pr * F.col("hr")
-    info = -(pl * F.log2(pl)) - pr * F.log2(pr)
-    score = gain if criterion == "gain" else F.when(info < 1e-10, 0.0).otherwise(gain / info)
-    sizes = [F.col("nl").cast("long").alias("n_left"), F.col("nr").cast("long").alias("n_right")]
-    return rows.select("node", "fi", "threshold", score.alias("score"), *sizes, "left", "right")
-
-
-def best_splits(scores: DataFrame) -> DataFrame:
-    """The best row of each node; scores equal to 9 digits go to the lowest feature, then threshold."""
-    order = F.struct(F.round("score", 9), -F.col("fi"), -F.col("threshold"))
-    best = F.max_by(F.struct("fi", "threshold", "score", "n_left", "n_right", "left", "right"), order)
-    return scores.groupBy("node").agg(best.alias("b")).select("node", "b.*")
-
-
 def grow(
     rows: DataFrame, classes: int, features: int, max_depth: int = 10, min_rows: int = 2, min_score: float = 1e-5,
-    criterion: str = "ratio", candidates: int | None = None,
+    criterion: str = "ratio", candidates: int | None = None, **sizes: int,
 ) -> Tree:
     """Grow a tree; a node stays a leaf at ``max_depth``, below ``min_rows``, when pure or below ``min_score``."""
-    return grow_all(rows.withColumn("tree", F.lit(0)), 1, classes, features, max_depth, min_rows, min_score, criterion, candidates)[0]
+    return grow_all(rows.withColumn("tree", F.lit(0)), 1, classes, features, max_depth, min_rows, min_score, criterion, candidates, **sizes)[0]
 
 
 def grow_all(
     rows: DataFrame, trees: int, classes: int, features: int, max_depth: int = 10, min_rows: int = 2, min_score: float = 1e-5,
-    criterion: str = "ratio", candidates: int | None = None,
+    criterion: str = "ratio", candidates: int | None = None, small: int | None = None, bins: int = 256,
 ) -> list[Tree]:
-    """Grow several trees at once, one job a level; column tree (0, 1, ...) tells whose training row it is."""
+    """Grow several trees at once; column tree (0, 1, ...) tells whose training row it is.
+
+    Nodes of over ``small`` rows (about four million cells, unless given) are split level by level: histograms over
+    ``bins`` bins a feature tell which bins can hold the best cut, and only those are read by value. Of two children the
+    smaller is counted and the other is the parent less it. Nodes of at most ``small`` rows are left for one
+    last job, in which a task grows all that is below a node. The trees are those of trying every cut of every
+    node, whatever the sizes. x must be free of nulls. No rows, or rows of one class, give a single leaf.
+    """
     rows = rows.select("x", "y", F.col("tree").cast("int").alias("tree")).persist()
     out = [Tree(classes, {1: Node([0.0] * classes)}) for _ in range(trees)]
     for r in rows.groupBy("tree", "y").agg(F.count("*").alias("n")).collect():  # trees times classes
         out[r.tree].nodes[1].counts[r.y] = float(r.n)
-    bucket = edges(rows, features, int(max((sum(t.nodes[1].counts) for t in out), default=0)))
-    for depth in range(max_depth):
-        may = lambda n: sum(n.counts) >= min_rows and max(n.counts) < sum(n.counts)
-        opened = {t * ROOM + i for t, tree in enumerate(out) for i, n in tree.nodes.items() if i >> depth == 1 and may(n)}
-        if not opened:
-            break
+    small = max(1024, (1 << 22) // max(1, features)) if small is None else small
+    edges, above, left_over = None, None, set()
+
+    def at(keys: set[int]) -> DataFrame:
+        """The rows that lie in these nodes, as (node, y, x)."""
         walk = Walk(out)
-        key = literal_array([k if k in opened else -1 for k in walk.keys], "long")[walk.place(F.col("x"), F.col("tree"))]
-        cells = rows.withColumn("node", key).filter("node >= 0").select("node", "y", F.posexplode("x").alias("fi", "v"))
-        for s in best_splits(split_scores(cells, classes, bucket, criterion, candidates)).collect():  # a row per open node
+        key = literal_array([k if k in keys else -1 for k in walk.keys], "long")[walk.place(F.col("x"), F.col("tree"))]
+        return rows.select(key.alias("node"), "y", "x").filter("node >= 0")
+
+    def add(found: DataFrame) -> None:
+        for s in sorted(found.collect(), key=lambda s: s.node):  # the splits; parents come before children
             if round(s.score, 9) >= min_score:
                 tree, i = out[s.node // ROOM], s.node % ROOM
                 n = tree.nodes[i]
                 n.feature, n.threshold, n.ratio = s.fi, s.threshold, s.score
                 tree.nodes[2 * i], tree.nodes[2 * i + 1] = Node([float(c) for c in s.left]), Node([float(c) for c in s.right])
+
+    for depth in range(max_depth):
+        may = lambda n: sum(n.counts) >= min_rows and max(n.counts) < sum(n.counts)
+        opened = {t * ROOM + i: sum(n.counts) for t, tree in enumerate(out) for i, n in tree.nodes.items() if i >> depth == 1 and may(n)}
+        left_over |= {k for k, n in opened.items() if n <= small}
+        large = {k for k, n in opened.items() if n > small}
+        if not large:
+            break
+        if candidates is not None:
+            counts = splits.lowest(at(large), classes, features, candidates)
+        else:
+            edges = splits.bin_edges(rows, features, bins) if edges is None else edges
+            above = stored(_histograms(out, at, large, above, edges, classes, bins), "histograms")
+            marked = stored(splits.open_bins(above, classes, min_score, criterion), "bins")
+            counts = stored(splits.refined(at(large), edges, marked, classes, bins), "values")
+        add(splits.best_splits(splits.split_scores(counts, classes, criterion, candidates)))
+    if left_over:
+        add(splits.subtrees(at(left_over), ROOM, max_depth, classes, min_rows, min_score, criterion, candidates))
     rows.unpersist()
     return out
 
 
+def _histograms(out: list[Tree], at: Callable, large: set[int], above: DataFrame | None, edges: list, classes: int, bins: int) -> DataFrame:
+    """Histograms of the nodes ``large``, from those of their parents and a count of the smaller child of each."""
+    if above is None:
+        return splits.histograms(at(large), edges, classes, bins)
+    size = lambda k: sum(out[k // ROOM].nodes[k % ROOM].counts)
+    less = {min(k, k ^ 1, key=lambda j: (size(j), j)) for k in large}
+    rest = {k ^ 1 for k in less} & large  # the parent less the smaller child
+    scanned = splits.histograms(at(less), edges, classes, bins)
+    scanned = stored(scanned, "counted")
+    parent = {k // ROOM * ROOM + k % ROOM // 2: k & 1 for k in rest}
+    node, odd = F.col("node"), F.col("node").isin([p for p, side in parent.items() if side])
+    whole = above.filter(node.isin(list(parent))).withColumn("node", node + node % ROOM + odd.cast("long"))
+    minus = scanned.withColumns({"node": node.bitwiseXOR(F.lit(1)), "n": -F.col("n")}).filter(node.isin(list(rest)))
+    every = scanned.filter(node.isin(list(large))).unionByName(whole).unionByName(minus)
+    return every.groupBy("node", "fi", "b", "y").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def prune_stats(tree: Tree, validation: DataFrame) -> DataFrame:
     """(node, n, as_subtree, as_leaf) for the nodes that validation rows pass: how many are right either way."""
     leaf = tree.leaf_of(F.col("x"))
