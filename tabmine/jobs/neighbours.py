@@ -9,7 +9,7 @@ from tabmine.jobs import training_sql as T
 from tabmine.jobs import views as V
 from tabmine.jobs.profiling import split_sql
 from tabmine.jobs.registry import query, report
-from tabmine.operators import kmeans, knn, prep
+from tabmine.operators import kmeans, knn, pivots, prep
 
 DIST = "list_distance(q.x, t.x)"
 _MANHATTAN = f"list_sum(list_transform(range(1, {V.DIMS + 1}), lambda i: abs(q.x[i] - t.x[i])))"
@@ -71,6 +71,22 @@ def knn_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir, "gaussian")
 
 
+_ORDERS = """o AS (SELECT o_orderkey AS row_id, o_orderstatus = 'P' AS open, CAST(o_orderstatus = 'O' AS INT) AS y,
+    [o_totalprice / 1000, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 10.0] AS x FROM orders)"""
+
+
+@query("knn_pivots", f"""WITH {_ORDERS}, nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), tid) AS rank FROM
+    (SELECT q.row_id AS qid, t.row_id AS tid, t.y, list_distance(q.x, t.x) AS dist FROM o q JOIN o t ON q.open AND NOT t.open)) WHERE rank <= 5) {_NB_OUT}""")
+def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five orders nearest to each open one by price and date, by cells around pivots."""
+    day = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    x = F.array(F.col("o_totalprice") / 1000, day / 10.0).alias("x")
+    y = (F.col("o_orderstatus") == "O").cast("int").alias("y")
+    rows = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus", y, x)
+    found, _ = pivots.neighbors(rows.filter("o_orderstatus = 'P'"), rows.filter("o_orderstatus <> 'P'"), 5)
+    return report(found.select("qid", "rank", "tid", "y", "dist"))
+
+
 @query("knn_bandwidth", f"""WITH {_SPLIT}, t AS (SELECT * FROM s WHERE NOT is_test), q AS (SELECT * FROM t ORDER BY md5('42-' || vec_id), vec_id LIMIT 500),
     d AS (SELECT {DIST} AS d FROM q, t) SELECT round(quantile_cont(d, 0.5) / sqrt(2), 6) AS sigma FROM d WHERE d > 0""")
 def knn_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,9 +76,28 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if metric == "euclidean" else out
 
 
-def _blocks(rows: DataFrame, names: list[str], parts: int, block: str, packed: str) -> DataFrame:
-    key = F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias(block)
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias(packed))
+def packed(rows: DataFrame, names: list[str], parts: Column, block: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., block, name): ``rows`` of each ``by`` dealt by hash into ``parts`` blocks, each a sorted array in one row."""
+    key = F.pmod(F.xxhash64("row_id"), parts).cast("int").alias(block)
+    return rows.groupBy(*(by or []), key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias(name))
+
+
+def columns_of(block: pa.StructArray) -> dict:
+    """A block's columns as arrays, x as a matrix."""
+    return {f.name: matrix(block.field(f.name)) if f.name == "x" else block.field(f.name).to_numpy(zero_copy_only=False) for f in block.type}
+
+
+def met(pairs: DataFrame, f: Callable[[dict, dict], dict], schema: str) -> DataFrame:
+    """f over the blocks p and q of each row, as rows of ``schema``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                out = f(columns_of(one.column(0).flatten()), columns_of(one.column(1).flatten()))
+                yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in out.items()})
+
+    return pairs.select("p", "q").mapInArrow(run, schema)
 
 
 def block_pairs(
@@ -94,36 +113,24 @@ def block_pairs(
     """
     n_left, n_right = max(1, -(-left.count() // size)), right.count()
 
-    def columns(block: pa.StructArray) -> dict:
-        return {f.name: matrix(block.field(f.name)) if f.name == "x" else block.field(f.name).to_numpy(zero_copy_only=False) for f in block.type}
-
     if n_right <= most:
         table = right.select(*right_names).toArrow().sort_by(right_names[0]).combine_chunks()  # at most ``most`` rows
-        blocks = [columns(b.to_struct_array()) for b in table.to_batches(max_chunksize=size) if b.num_rows]
+        blocks = [columns_of(b.to_struct_array()) for b in table.to_batches(max_chunksize=size) if b.num_rows]
         shared = left.sparkSession.sparkContext.broadcast(blocks)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, batch.num_rows, size):
-                    one = columns(batch.slice(start, size).to_struct_array())
+                    one = columns_of(batch.slice(start, size).to_struct_array())
                     for other in shared.value:
                         yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in f(one, other).items()})
 
         return left.select(*left_names).repartition(n_left, "row_id").mapInArrow(meet, schema)
     n_right = -(-n_right // size)
     copies = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    a = _blocks(left, left_names, n_left, "a", "p").select("*", copies(n_right, "b"))
-    b = _blocks(right, right_names, n_right, "b", "q").select("*", copies(n_left, "a"))
-    joined = a.join(b.hint("shuffle_hash"), ["a", "b"]).select("p", "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                out = f(columns(one.column(0).flatten()), columns(one.column(1).flatten()))
-                yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in out.items()})
-
-    return joined.mapInArrow(run, schema)
+    a = packed(left, left_names, F.lit(n_left), "a", "p").select("*", copies(n_right, "b"))
+    b = packed(right, right_names, F.lit(n_right), "b", "q").select("*", copies(n_left, "a"))
+    return met(a.join(b.hint("shuffle_hash"), ["a", "b"]), f, schema)
 
 
 def array_of(values: list[float]) -> Column:

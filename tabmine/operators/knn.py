@@ -1,4 +1,4 @@
-"""k nearest neighbours: blocks of queries against blocks of training rows, k rows back per query and block."""
+"""k nearest neighbours: blocks of queries against blocks of training rows, k rows back per query and block; pivots for many rows."""
 
 from __future__ import annotations
 
@@ -6,17 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabmine.operators import pivots
 from tabmine.operators.batches import block_pairs, distances
 from tabmine.operators.chartdata import sample
 from tabmine.operators.frame import quantiles
 
 
-def neighbors(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "euclidean", size: int = 2000, group: str | None = None) -> DataFrame:
+def neighbors(
+    queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "euclidean", size: int = 2000, group: str | None = None, most: int = 20_000
+) -> DataFrame:
     """(qid, rank, tid, y, dist): the k nearest training rows of each query, ties by training id.
 
     Distances equal to 9 digits are ties. With ``group`` a query meets only training rows whose group
-    differs from its own (cross-validation folds).
+    differs from its own (cross-validation folds). Over ``most`` training rows are cut into cells around pivots,
+    of which a query meets only those that its k-th distance reaches.
     """
+    if train.limit(most + 1).count() > most:
+        return pivots.neighbors(queries, train, k, metric, group, size)[0]
     extra = [group] if group else []
 
     def nearest(q: dict, t: dict) -> dict:
@@ -33,7 +39,7 @@ def neighbors(queries: DataFrame, train: DataFrame, k: int = 5, metric: str = "e
 
     q = queries.select("row_id", *extra, "x")
     t = train.select("row_id", "y", *extra, "x")
-    found = block_pairs(q, t, nearest, "qid long, tid long, y int, dist double", ["row_id", *extra, "x"], ["row_id", "y", *extra, "x"], size)
+    found = block_pairs(q, t, nearest, "qid long, tid long, y int, dist double", ["row_id", *extra, "x"], ["row_id", "y", *extra, "x"], size, most)
     order = Window.partitionBy("qid").orderBy(F.round("dist", 9), "tid")  # k rows per training block
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
