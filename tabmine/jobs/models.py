@@ -226,13 +226,23 @@ def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explained(spark, sf_dir)
 
 
-@query("pca_leading_variance", f"WITH {T.pca_ctes(3)}, e AS (" + " UNION ALL ".join(f"SELECT {n} AS component, variance FROM e{n}" for n in (1, 2, 3)) + """)
-    SELECT component, round(variance, 9) AS variance, round(variance / total, 6) AS ratio, round(sum(variance) OVER (ORDER BY component) / total, 6) AS cumulative FROM e, tr""")
+_LEADING = f"WITH {T.pca_ctes(3)}, e AS (" + " UNION ALL ".join(f"SELECT {n} AS component, variance FROM e{n}" for n in (1, 2, 3)) + """)
+    SELECT component, round(variance, 9) AS variance, round(variance / total, 6) AS ratio, round(sum(variance) OVER (ORDER BY component) / total, 6) AS cumulative FROM e, tr"""
+
+
+@query("pca_leading_variance", _LEADING)
 def pca_leading_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three leading components, their shares being of the variance of all."""
     return _explained(spark, sf_dir).filter("component <= 3")
 
 
+@query("pca_leading_krylov", _LEADING)
+def pca_leading_krylov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same three without a covariance matrix."""
+    found = linalg.leading(V.vec_frame(spark, sf_dir), 3).explained()
+    return report(spark.createDataFrame(found, "component int, variance double, ratio double, cumulative double"), 6, variance=9)
+
+
 def _projected(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = V.vec_frame(spark, sf_dir)
     out = linalg.pca(rows).transform(rows, k)

@@ -178,3 +178,10 @@ def kmeans_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and spread of inertia and silhouette over seeded runs."""
     found = kmeans.evaluation(kmeans.evaluate(V.vec_frame(spark, sf_dir), 10, runs=2, restarts=2))
     return report(spark.createDataFrame(found, "metric string, mean double, std double"))
+
+
+@query("kmeans_oversampled")
+def kmeans_oversampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia and silhouette over two runs of two oversampled starts each."""
+    found = kmeans.evaluation(kmeans.evaluate(V.vec_frame(spark, sf_dir), 10, runs=2, restarts=2, oversample=True))
+    return report(spark.createDataFrame(found, "metric string, mean double, std double"))

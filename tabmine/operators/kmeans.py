@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabmine.functions import columns as C
-from tabmine.operators.batches import array_of, block_pairs, distances, summed
+from tabmine.operators.batches import array_of, block_pairs, distances, matrix, summed
 
 Centres = list[list[float]]
 
@@ -40,6 +41,56 @@ def plus_plus(rows: DataFrame, k: int, seed: int = 42) -> Centres:
     return centres
 
 
+def oversampled(rows: DataFrame, k: int, seeds: list[int], rounds: int = 5, seed_of_rows: int = 42) -> list[Centres]:
+    """Starting centres of a run for each seed, all runs together, in 2 * ``rounds`` + 2 jobs whatever k is.
+
+    A round adds every row with probability 2 k times its share of the squared distances to the run's candidates, drawn
+    by hash of its id; so there come to be about 2 k * ``rounds`` candidates. They are weighted by the rows nearest to
+    them, and k of them are drawn as k-means++ would. Fewer different rows than k give fewer centres.
+    """
+    runs: list[np.ndarray] = []
+    first = random_rows(rows, len(seeds), seed_of_rows)  # a row per run
+    if not first:
+        return [[] for _ in seeds]
+    runs = [np.array([first[r % len(first)]]) for r in range(len(seeds))]
+
+    def least(x: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.concatenate([distances(x[a : a + 2000], candidates, "euclidean") for a in range(0, len(x), 2000)])
+        return d.argmin(axis=1), d.min(axis=1) ** 2
+
+    for turn in range(rounds):
+        now = list(runs)
+        cost = summed(rows, lambda x, _, now=now: np.array([least(x, c)[1].sum() for c in now]))
+        digits = [F.substring(C.order_key(s * 1000 + turn, F.col("row_id")), 1, 12) for s in seeds]
+        u = F.array(*[F.conv(h, 16, 10).cast("double") / float(16**12) for h in digits])
+
+        def draw(batches, now=now, cost=cost):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, chance = matrix(batch.column(0)), matrix(batch.column(1))
+                for r, c in enumerate(now):
+                    won = np.flatnonzero(chance[:, r] * cost[r] < 2 * k * least(x, c)[1])
+                    yield pa.RecordBatch.from_pydict({"run": pa.array(np.full(len(won), r, dtype=np.int32)), "x": batch.column(0).take(pa.array(won))})
+
+        added = rows.select("x", u.alias("u")).mapInArrow(draw, "run int, x array<double>").collect()  # about 2 k a run
+        for r in range(len(runs)):
+            runs[r] = np.unique(np.array([*runs[r].tolist(), *[list(a.x) for a in added if a.run == r]]), axis=0)
+    weights = summed(rows, lambda x, _: np.concatenate([np.bincount(least(x, c)[0], minlength=len(c)).astype(float) for c in runs]))
+    weights = np.split(weights, np.cumsum([len(c) for c in runs])[:-1])
+    out = []
+    for seed, candidates, weight in zip(seeds, runs, weights, strict=True):
+        rng = np.random.default_rng(seed)
+        chosen = [int(rng.choice(len(candidates), p=weight / weight.sum()))]
+        while len(chosen) < min(k, len(candidates)):
+            share = weight * least(candidates, candidates[chosen])[1]
+            if not share.sum():
+                break
+            chosen.append(int(rng.choice(len(candidates), p=share / share.sum())))
+        out.append(candidates[chosen].tolist())
+    return out
+
+
 def assign(rows: DataFrame, centres: Centres) -> DataFrame:
     """``rows`` with cluster and its distance d2 squared; ties (to 9 digits) go to the lowest cluster."""
     d2 = F.transform(F.array(*[array_of(c) for c in centres]), lambda c: C.squared_distance(F.col("x"), c))
@@ -134,11 +185,16 @@ def elbow(rows: DataFrame, ks: list[int], iterations: int = 300, tolerance: floa
     return [(k, fit(rows, [init(rows, k)], iterations, tolerance)[1]) for k in ks]
 
 
-def evaluate(rows: DataFrame, k: int, runs: int = 3, restarts: int = 5, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(run, inertia, silhouette) of seeded k-means++ fits. The silhouette is exact at any size: n squared distances, by blocks."""
+def evaluate(rows: DataFrame, k: int, runs: int = 3, restarts: int = 5, seed: int = 42, oversample: bool = False) -> list[tuple[int, float, float]]:
+    """(run, inertia, silhouette) of seeded k-means++ fits, or of oversampling starts, whose jobs don't grow with k and restarts.
+
+    The silhouette is exact at any size: n squared distances, by blocks.
+    """
     out = []
     for run in range(runs):
-        centres, inertia = fit(rows, [plus_plus(rows, k, seed + 100 * run + r) for r in range(restarts)])
+        seeds = [seed + 100 * run + r for r in range(restarts)]
+        starts = oversampled(rows, k, seeds) if oversample else [plus_plus(rows, k, s) for s in seeds]
+        centres, inertia = fit(rows, starts)
         out.append((run, inertia, silhouette(assign(rows, centres)).first().silhouette))
     return out
 

@@ -58,3 +58,52 @@ def pca(rows: DataFrame) -> Pca:
     vectors = vectors * np.where(vectors[np.arange(len(vectors)), top] < 0, -1.0, 1.0)[:, None]
     whole = values.sum()
     return Pca(mean, vectors, values, values / whole if whole else values)
+
+
+def leading(rows: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-9, seed: int = 0) -> Pca:
+    """The first ``k`` components of ``pca`` for wide vectors: no covariance matrix is made anywhere.
+
+    Block Krylov steps from a random start: a round is one job that multiplies the covariance by k + 10 vectors, so a task
+    returns d x (k + 10) numbers, and the driver holds the basis so far. Done when no component's residual
+    exceeds ``tolerance`` of the largest variance; an error after ``rounds``. Ratios are of the whole variance.
+    """
+    first = summed(rows, lambda x, _: np.append(x.sum(axis=0), float(len(x))))
+    if not len(first):
+        raise ValueError("no rows")
+    n, mean = int(first[-1]), first[:-1] / first[-1]
+    d = len(mean)
+    k = min(k, d)
+    start = np.random.default_rng(seed).normal(size=(d, min(d, k + 10)))
+    new, basis, images = np.linalg.qr(start)[0], np.zeros((d, 0)), np.zeros((d, 0))
+    for _ in range(rounds):
+
+        def product(x: np.ndarray, _y: np.ndarray, q: np.ndarray = new) -> np.ndarray:
+            out, spread = np.zeros(q.shape), 0.0
+            step = max(1, (1 << 21) // d)
+            for at in range(0, len(x), step):
+                part = x[at : at + step] - mean
+                out += part.T @ (part @ q)
+                spread += float((part * part).sum())
+            return np.append(out.ravel(), spread)
+
+        found = summed(rows, product) / max(1, n - 1)
+        image, whole = found[:-1].reshape(new.shape), found[-1]
+        basis, images = np.hstack([basis, new]), np.hstack([images, image])
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+        vectors = basis @ turn
+        off = np.linalg.norm(images @ turn - vectors * values, axis=0)
+        for _again in range(2):  # twice, so that the basis stays orthogonal
+            image = image - basis @ (basis.T @ image)
+        u, size, _ = np.linalg.svd(image, full_matrices=False)
+        new = u[:, size > 1e-12 * max(values[0], 1e-300)][:, : d - basis.shape[1]]
+        if off.max() <= tolerance * max(values[0], 0.0) or not new.shape[1]:
+            break
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+    else:
+        raise RuntimeError(f"components are not found to {tolerance} in {rounds} rounds")
+    vectors, values = vectors.T, np.maximum(values, 0.0)
+    top = np.abs(vectors).argmax(axis=1)
+    vectors = vectors * np.where(vectors[np.arange(k), top] < 0, -1.0, 1.0)[:, None]
+    return Pca(mean, vectors, values, values / whole if whole else values)
