@@ -239,6 +239,33 @@ def test_lm_scores_of_higher_orders(spark, order, least):
             assert r.n_words == len(ws) and abs(r.log_score - want) < 1e-3
 
 
+def test_lm_scores_store_no_table_of_pairs(spark, monkeypatch):
+    """Counts of all pairs and triples, with buckets far smaller than the texts; nothing written has a row for each of them."""
+    draw = random.Random(5)
+    docs = [(k, " ".join(draw.choice(["the", f"w{draw.randrange(300)}"]) for _ in range(draw.choice([0, 1, 2, 3, 400])))) for k in range(100)]
+    words = {k: t.split() for k, t in docs}
+    rows = []
+
+    def stored(spark, df, name, own=language_model.stored):
+        df = own(spark, df, name)
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(language_model, "stored", stored)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for order in (2, 3):
+        count = Counter(tuple(ws[i : i + n]) for ws in words.values() for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+        total = sum(map(len, words.values()))
+        context = lambda ws, k: tuple(ws[max(0, k - order + 1) : k])  # noqa: B023, E731
+        want = {k: sum(math.log(count[*context(ws, i), w] / (count[context(ws, i)] if i else total)) for i, w in enumerate(ws)) for k, ws in words.items()}
+        got = [language_model.score(spark, frame, order=order, hot=1e-2), *[language_model._every_found(spark, frame, order, hot, 2, 700, 1_000) for hot in (0.1, 1e-3)]]
+        for out in got:
+            found = {r.doc_id: r for r in out.withColumnRenamed("log_score", "s").collect()}
+            assert found.keys() == words.keys()
+            assert all(found[k].n_words == len(ws) and abs(found[k].s - want[k]) < 1e-3 for k, ws in words.items())
+    assert max(rows) <= 400 < len({p for ws in words.values() for p in zip(ws, ws[1:], strict=False)})
+
+
 # personal data
 
 
