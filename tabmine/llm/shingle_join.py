@@ -5,10 +5,11 @@ bit in both, so their sketches differ in no more bits than the sets in shingles.
 Jaccard similarity of p per cent or more differ in at most (100 - p)(a + b) / (100 + p).
 
 Sizes fall into bands so wide that linked sets are in one band or in neighbouring ones. For each band and
-the next, with room for D differences, a sketch has D + 1 + s words of 64 bits. By the pigeonhole principle
-linked sets agree on at least s + 1 words, and meet at one of them. Empty words would be frequent keys: a set
-with at most s of them leaves them out, since at least one word it agrees on isn't empty; sets with more keep
-them. Sets that meet are verified on their texts.
+the next, with room for D differences, a set's shingles are dealt out into D + 1 + s blocks by their hashes, and a block's word
+is the exclusive or of its hashes, 64 bits. A shingle that only one of two sets has changes one block, so by the pigeonhole
+principle linked sets agree on at least s + 1 words, and meet at one of them; sets that agree on a word have just the same
+shingles in its block. Words of few shingles would be frequent keys: each set leaves out its s words of fewest, in
+one order for all, and the last word that linked sets agree on stays in both. Sets that meet are verified on their texts.
 
 Rows that meet at a key are compared in two rounds. First each is verified with the smallest of the key only,
 which joins large groups of near copies with a link each. Then the remaining pairs of a key whose ends are
@@ -75,7 +76,7 @@ class Bands:
         return int(np.searchsorted(self.first, n, "right")) - 1
 
     def words(self, band: int) -> tuple[int, int]:
-        """Sketch words of a band and the next, and how many of them a set leaves out."""
+        """Words (blocks) of a band and the next, and how many of them a set leaves out."""
         while len(self.first) < band + 2:
             self._next()
         most = self.first[band + 1] - 1
@@ -91,13 +92,13 @@ class Bands:
             m, spare = self.words(band) if band >= 0 else (0, 0)
             if not m:
                 continue
-            place = (hashes >> np.uint64(32)) * np.uint64(64 * m) >> np.uint64(32)  # ascending, as the hashes
-            block, bit = place >> np.uint64(6), _ONE << (place & np.uint64(63))
+            block = ((hashes >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            word = np.zeros(m, dtype=np.uint64)
-            word[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(bit, starts)
+            word, size = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.int64)
+            word[block[starts]] = np.bitwise_xor.reduceat(pairs(hashes, hashes), starts)
+            size[block[starts]] = np.diff(np.append(starts, len(block)))
             key = pairs(pairs(np.arange(m, dtype=np.uint64), np.full(m, band, dtype=np.uint64)), word)
-            found.append(key[np.lexsort((key, np.bitwise_count(word)))[spare:]])
+            found.append(key[np.lexsort((key, size))[spare:]])
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -404,6 +405,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shi
     rows = stored(spark, measured(docs, shingle), "rows")
     sets = rows.filter("node is not null").groupBy("node")
     sets = stored(spark, sets.agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "sets")
+    slim = stored(spark, rows.drop("sketch"), "rows")  # the sketches are in sets now
+    forget(spark, rows)
+    rows = slim
     roots = components(spark, links(spark, docs, sets, percent, shingle))
     nodes = sets.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stored(spark, nodes, "nodes")

@@ -280,3 +280,16 @@ def test_runs_and_partial_counts(spark):
 def test_roots_of_long_chains(spark):
     forms = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(40)], "word string, form string")
     assert {r.word: r.root for r in spelling.roots(spark, forms).collect()} == {f"w{k}": "w40" for k in range(40)}
+
+
+def test_unlike_sets_share_no_keys():
+    """Words of a few shingles tell unlike sets apart, however many there are; linked sets still meet."""
+    draw = np.random.default_rng(4)
+    bands, keys = shingle_join.Bands(85), []
+    for n in (30, 31, 32) * 1_000:
+        hashes = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        keys.append(np.unique(bands.keys(hashes)))
+        near = np.unique(np.append(hashes[2:], draw.integers(0, 1 << 63, 2).astype(np.uint64)))
+        assert 100 * (n - 2) >= 85 * (n + 2) and len(np.intersect1d(keys[-1], bands.keys(near)))
+    every = np.concatenate(keys)
+    assert len(np.unique(every)) == len(every)
