@@ -91,3 +91,13 @@ def test_few_bins_stay_open(spark):
     edges = splits.bin_edges(rows, 2, 32)
     bins = splits.open_bins(splits.histograms(rows, edges, 2, 32), 2, 1e-5, "gain").filter("open").collect()
     assert len(bins) <= 3 and {r.fi for r in bins} == {1}
+
+
+def test_cuts_summed_bin_by_bin(spark, odd):
+    """Bins given by hand, empty and one-value ones among them, leave the cuts as they are."""
+    x, y = odd
+    cells = points(spark, x, y).select((F.col("row_id") % 2).alias("node"), "y", F.posexplode("x").alias("fi", "v"))
+    bins = [np.array([-9.0, -0.5, 0.0, 0.7, 9.0]), np.array([0.0, 1.0, 2.0]), np.array([0.1]), np.array([])]
+    for candidates in (None, 2):
+        got = [sorted(tree.split_scores(cells, 3, e, "gain", candidates).collect()) for e in (None, bins)]
+        assert got[0] == got[1] and got[0]
