@@ -48,17 +48,26 @@ def detect_header(lines: list[str], delimiter: str) -> bool:
 
 
 def head(spark: SparkSession, path: str, n: int = 5, encoding: str = "UTF-8", skip_rows: int = 0) -> list[str]:
-    """The first lines of a file (of a folder's first file) after ``skip_rows``, blank ones aside, without a byte order mark.
+    """The first lines of a file after ``skip_rows``, blank ones aside, without a byte order mark.
 
-    Spark reads a single file's splits in order, so a limit takes its first lines.
+    Of a folder that is the first file, or the largest if that has one line at most (an empty partition is written as
+    a header alone). Spark reads a single file's splits in order, so a limit takes its first lines.
     """
+
+    def lines(file: str) -> list[str]:
+        first = [r.value for r in lines_of(spark, file, encoding).select("value").limit(skip_rows + 4 * n).collect()]
+        if first:
+            first[0] = first[0].removeprefix("\ufeff")
+        return [x for x in first[skip_rows:] if x.strip()][:n]
+
     files = spark.read.text(path).inputFiles()
     if not files:
         return []
-    first = [r.value for r in lines_of(spark, min(files), encoding).select("value").limit(skip_rows + 4 * n).collect()]
-    if first:
-        first[0] = first[0].removeprefix("\ufeff")
-    return [x for x in first[skip_rows:] if x.strip()][:n]
+    found = lines(min(files))
+    if len(found) > 1 or len(files) == 1:
+        return found
+    largest = spark.read.format("binaryFile").load(path).orderBy(F.desc("length"), "path").select("path").first()  # lists files, reads none
+    return lines(largest.path) or found
 
 
 def read_cells(
@@ -66,7 +75,7 @@ def read_cells(
 ) -> DataFrame:
     """All cells as trimmed strings, empty ones as null; columns are named by the header, or c0, c1, ...
 
-    ``path`` is a file, or a folder each of whose files begins with the header: it is the first record after
+    ``path`` is a file, or a folder each of whose files begins with the header, if only that: it is the first record after
     ``skip_rows`` lines, and equal ones further on are data. Blank lines are dropped, and so are rows of fewer
     fields than the first data row has; fields beyond that are ignored. Quoted fields may hold delimiters and line
     ends (``quoted.read_records``). ``encoding`` is one that keeps line ends as single bytes. An empty file gives no

@@ -95,3 +95,16 @@ def test_line_ends_of_other_systems_and_marks(spark, splits, tmp_path):
         assert out.columns == ["a", "b"] and sorted(map(tuple, out.collect())) == [("1", "x\ny"), ("2", "é")]
         out = delimited.read_cells(spark, str(tmp_path / "l.csv"), header=True, encoding="ISO-8859-1")
         assert [tuple(r) for r in out.collect()] == [("1", "ä\nö")]
+
+
+def test_first_file_with_only_a_header(spark, tmp_path):
+    for k, rows in enumerate(["", "1|4|x\n2|5|y\n", "", "3|6|z\n"]):
+        (tmp_path / f"part-{k}.csv").write_text("id|size|label\n" + rows)
+    path = str(tmp_path)
+    assert delimited.detect_header(delimited.head(spark, path), "|")
+    got = delimited.read_cells(spark, path)
+    assert got.columns == ["id", "size", "label"]
+    assert sorted(map(tuple, got.collect())) == [("1", "4", "x"), ("2", "5", "y"), ("3", "6", "z")]
+    for name in ("part-1.csv", "part-3.csv"):
+        (tmp_path / name).write_text("id|size|label\n")
+    assert delimited.head(spark, path) == ["id|size|label"]
