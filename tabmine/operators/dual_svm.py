@@ -8,6 +8,9 @@ solves for their alphas in one task, the others standing still; all pairs at onc
 number, go to every block, which adds what they change to its decision values. So the dual never falls, and the
 gap between primal and dual, which bounds the distance from the optimum, ends the rounds. (Blocks that solve for
 all their own rows at the same time and average take hundreds of rounds, since the blocks' changes overlap.)
+Where most rows become support vectors, as with polynomials of unlike rows, working sets take very many rounds too. So
+pairs of a bounded number of rows are solved whole, a pair in a task: up to ``WHOLE`` rows at once, beyond that by
+sweeps over random blocks of them.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from tabmine.functions import columns as C
 from tabmine.operators.batches import block_pairs, matrix, scored
 from tabmine.sources.files import stored
 
+#: Rows of a pair that are solved for at once.
+WHOLE = 2000
+
 _STATE = "block long, ids array<{id}>, x binary, y binary, alpha binary, f binary, sums array<double>"
 _WORST = "pair int, violation double, block long, at int, x array<double>, sign double, alpha double, f double"
 
@@ -39,7 +45,8 @@ def kernel_of(name: str = "rbf", gamma: float = 1.0, coef0: float = 1.0, degree:
         if name == "linear":
             return dot
         if name == "poly":
-            return (gamma * dot + coef0) ** degree
+            base = gamma * dot + coef0
+            return base if degree == 1 else base * base if degree == 2 else base * base * base if degree == 3 else base**degree
         far = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * dot
         return np.exp(-gamma * np.maximum(far, 0))
 
@@ -112,12 +119,15 @@ class Machine:
             return scored(rows, lambda x: value(x, v) @ weight + bias, "decision")
 
         def part(a: dict, b: dict) -> dict:
-            z = value(a["x"], b["x"]) @ (np.stack(b["alpha"]) * signs(b["y"], pairs))
+            z, weight = np.zeros((len(a["x"]), len(pairs))), np.stack(b["alpha"]) * signs(b["y"], pairs)
+            for i in range(0, len(z), 2000):
+                for j in range(0, len(weight), 2000):
+                    z[i : i + 2000] += value(a["x"][i : i + 2000], b["x"][j : j + 2000]) @ weight[j : j + 2000]
             return {"row_id": a["row_id"], "pair": np.tile(np.arange(len(pairs)), (len(z), 1)).tolist(), "z": z.tolist()}
 
         kind = rows.schema["row_id"].dataType.simpleString()
         vectors = self.vectors.withColumnRenamed("sv_id", "row_id")
-        parts = block_pairs(rows.select("row_id", "x"), vectors, part, f"row_id {kind}, pair array<long>, z array<double>", ["row_id", "x"], ["row_id", "y", "alpha", "x"], most=0)
+        parts = block_pairs(rows.select("row_id", "x"), vectors, part, f"row_id {kind}, pair array<long>, z array<double>", ["row_id", "x"], ["row_id", "y", "alpha", "x"], most=0, whole=True)
         parts = parts.select("row_id", F.explode(F.arrays_zip("pair", "z")).alias("p")).groupBy("row_id", "p.pair").agg(F.sum("p.z").alias("z"))
         shift = F.array(*[F.lit(float(v)) for v in bias])[F.col("pair")]
         sums = parts.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pair", (F.col("z") + shift).alias("z")))).alias("p"))
@@ -131,6 +141,69 @@ class Machine:
         return self.decide(rows, most).withColumn("pred", F.array(*[F.lit(c) for c in classes])[C.argmax(votes)])
 
 
+def sweeps(
+    x: np.ndarray, s: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray], c: float, tol: float, most: int, size: int = WHOLE, inner: int = 12
+) -> tuple[np.ndarray, int, tuple[float, float, float]]:
+    """One pair's alphas with a gap of at most ``tol``, the sweeps it took, at most ``most``, and the sums of alphas, of the quadratic form and of hinges.
+
+    Up to ``size`` rows are solved for at once. More are cut at random into blocks anew in each sweep; a block's rows are
+    solved for roughly, by coordinates, and the others' decision values follow. Kernel values are made when needed.
+    """
+    n, alpha, f, draw = len(x), np.zeros(len(x)), np.zeros(len(x)), np.random.default_rng(0)
+    number, sums = 0, (0.0, 0.0, 0.0)
+    while number < most:
+        number += 1
+        for w in np.array_split(draw.permutation(n), -(-n // size)):
+            q, slope = (value(x[w], x[w]) + 1) * s[w][:, None] * s[w][None, :], (1 - s * f)[w]
+            if n <= size:
+                new = ascend(q, slope, alpha[w], c)
+            else:
+                new, bend = alpha[w], np.maximum(np.diag(q), 1e-12).tolist()
+                for _ in range(inner):
+                    for i, b in enumerate(bend):
+                        if change := min(max(new[i] + slope[i] / b, 0.0), c) - new[i]:
+                            slope -= change * q[i]
+                            new[i] += change
+            signed = (new - alpha[w]) * s[w]
+            alpha[w] = new
+            for first in range(0, n, 4096):  # bounds the kernel matrix
+                f[first : first + 4096] += (value(x[first : first + 4096], x[w]) + 1) @ signed
+        sums = float(alpha.sum()), float((alpha * s * f).sum()), float(np.maximum(1 - s * f, 0).sum())
+        primal = sums[1] / 2 + c * sums[2]
+        if primal <= 0 or primal - (sums[0] - sums[1] / 2) <= tol * primal:
+            break
+    return alpha, number, sums
+
+
+def _whole(rows: DataFrame, pairs: list[tuple[int, int]], params: tuple, c: float, tol: float, most: int) -> Machine:
+    """The machine of pairs that are solved for in a task each."""
+    kind, value = rows.schema["row_id"].dataType.simpleString(), kernel_of(*params)
+    names = ["pair", "row_id", "x", "y", "alpha", "sums"]
+
+    def solve(key: tuple, one: pa.Table) -> pa.Table:
+        one = one.sort_by("row_id").combine_chunks()
+        x, y = matrix(one["x"].combine_chunks()), one["y"].to_numpy().astype(np.int64)
+        s = signs(y, pairs)[:, key[0].as_py()]
+        alpha, number, sums = sweeps(x, s, value, c, tol, most)
+        at = np.append(np.flatnonzero(alpha > 0), 0)  # the last row has the sums
+        learned, told = pa.array([*alpha[at[:-1]], None], pa.float64()), [None] * (len(at) - 1) + [[*sums, float((alpha * s).sum()), float(number)]]
+        columns = [one[n].take(pa.array(at)).combine_chunks() for n in ("pair", "row_id", "x")]
+        return pa.Table.from_arrays([*columns, pa.array(y[at]), learned, pa.array(told, pa.list_(pa.float64()))], names=names)
+
+    of_class = {k: [p for p, pair in enumerate(pairs) if k in pair] for k in {k for p in pairs for k in p}}
+    own = F.coalesce(*[F.when(F.col("y") == k, F.array(*map(F.lit, p))) for k, p in of_class.items()])
+    dealt = rows.select(F.explode(own).alias("pair"), "row_id", "x", "y")
+    solved = stored(dealt.groupBy("pair").applyInArrow(solve, f"pair int, row_id {kind}, x array<double>, y long, alpha double, sums array<double>"), "solved")
+    asum, quad, hinge, bias, number = np.zeros((5, len(pairs)))
+    for r in solved.filter("alpha is null").select("pair", "sums").collect():  # a row per pair
+        asum[r.pair], quad[r.pair], hinge[r.pair], bias[r.pair], number[r.pair] = r.sums
+    primal = quad / 2 + c * hinge
+    gap = np.where(primal > 0, (primal - (asum - quad / 2)) / np.maximum(primal, 1e-12), 0.0)
+    every = solved.filter("alpha is not null").groupBy(F.col("row_id").alias("sv_id"), "x", "y").agg(F.collect_list(F.struct("pair", "alpha")).alias("p"))
+    alpha = F.transform(F.sequence(F.lit(0), F.lit(len(pairs) - 1)), lambda k: C.total(F.transform(F.filter("p", lambda v: v["pair"] == k), lambda v: v["alpha"])))
+    return Machine(pairs, stored(every.select("sv_id", "x", "y", alpha.alias("alpha")), "vectors"), bias, gap, int(number.max(initial=0)), params)
+
+
 def _packed(rows: DataFrame, pairs: int, block_rows: int) -> tuple[DataFrame, int]:
     """One row per block, and how many blocks there are."""
     kind = rows.schema["row_id"].dataType.simpleString()
@@ -171,16 +244,21 @@ def _added(table: DataFrame, column: str, n: int) -> np.ndarray:
 
 def train(
     rows: DataFrame, classes: list[int], kernel: str = "rbf", gamma: float = 1.0, coef0: float = 1.0, degree: int = 3, c: float = 1.0, tol: float = 1e-3,
-    rounds: int = 100, working: int = 600, block_rows: int = 500,
+    rounds: int = 100, working: int = 600, block_rows: int = 500, alone: int | None = None,
 ) -> Machine:
     """All pairs of ``classes`` trained together on ``rows`` (row_id, x, y) until each pair's gap is at most ``tol`` of its primal value.
 
-    A round is three jobs, whatever the number of pairs; no more than ``working`` rows a pair go through the driver
+    If no pair has more than ``alone`` rows (20,000 for polynomials, 0 for other kernels, unless given), each is solved
+    for in a task, and a round is a sweep over its rows. Beyond that a round is three jobs, whatever the number of pairs; no more than ``working`` rows a pair go through the driver
     to the blocks in it. ``rounds`` bounds the rounds, and the machine says what gap it reached. Pairs without rows
     have a gap of 0 and decide for their first class.
     """
     pairs = list(combinations(sorted(classes), 2))
     n_pairs, value, params = len(pairs), kernel_of(kernel, gamma, coef0, degree), (kernel, gamma, coef0, degree)
+    alone = alone if alone is not None else 20_000 if kernel == "poly" else 0
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()} if alone else {}  # a row per class
+    if alone and pairs and max(counts.get(a, 0) + counts.get(b, 0) for a, b in pairs) <= alone:
+        return _whole(rows, pairs, params, c, tol, rounds)
     kind = rows.schema["row_id"].dataType.simpleString()
     state, blocks = _packed(rows.select("row_id", "y", "x"), n_pairs, block_rows)
     share = max(1, 2 * working // blocks)  # of a pair, from each block

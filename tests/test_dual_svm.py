@@ -75,3 +75,26 @@ def test_held_out_rows_and_missing_classes(spark, rows):
     assert empty.vectors.count() == 0 and {r.pred for r in empty.predict(new).collect()} == {0}
     with pytest.raises(ValueError, match="kernel"):
         dual_svm.train(rows, [0, 1], "sigmoid")
+
+
+@pytest.mark.parametrize(("kernel", "working", "block_rows"), [("linear", 40, 30), ("rbf", 40, 20)])
+def test_working_sets_and_whole_pairs_say_the_same(rows, kernel, working, block_rows):
+    key = lambda machine: np.array([r.decision for r in sorted(machine.decide(rows).collect())])
+    sets = dual_svm.train(rows, [0, 1, 2], kernel, 0.3, 1.0, 2, 1.0, 1e-5, 60, working, block_rows, alone=0)
+    whole = dual_svm.train(rows, [0, 1, 2], kernel, 0.3, 1.0, 2, 1.0, 1e-5, alone=500)
+    assert whole.rounds == 1 and sets.rounds > 1 and max(whole.gap.max(), sets.gap.max()) <= 1e-5
+    assert np.abs(key(sets) - key(whole)).max() < 0.02
+
+
+def test_many_support_vectors_of_a_polynomial():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(900, 64))
+    x, s = x / np.linalg.norm(x, axis=1)[:, None], draw.choice([-1.0, 1.0], 900)
+    value = dual_svm.kernel_of("poly", 1.0, 1.0, 3)
+    assert np.allclose(value(x, x[:5]), (x @ x[:5].T + 1) ** 3)
+    for size in (2000, 300):
+        alpha, number, (asum, quad, hinge) = dual_svm.sweeps(x, s, value, 1.0, 1e-3, 100, size)
+        assert number == 1 if size > 900 else number < 40
+        q = (value(x, x) + 1) * s[:, None] * s[None, :]
+        assert quad == pytest.approx(alpha @ q @ alpha) and hinge == pytest.approx(np.maximum(1 - q @ alpha, 0).sum())
+        assert quad / 2 + hinge - (asum - quad / 2) <= 1e-3 * (quad / 2 + hinge) and (alpha > 0).mean() > 0.5
