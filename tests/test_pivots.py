@@ -47,3 +47,28 @@ def test_groups_and_few_rows(spark, clusters):
     few, seen = pivots.neighbors(rows.limit(5), rows.filter("row_id < 2"), 4)
     assert few.count() == 10 and seen.rows == 10
     assert pivots.neighbors(rows, rows.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_routes_by_beacons_are_those_of_all_pivots(clusters, metric, grouped):
+    x = clusters[0]
+    centres = np.unique(x[::8], axis=0)
+    d = pivots.distances(x, centres, metric)
+    beacons = pivots.beacons_of(centres)
+    assert len(beacons) < len(centres)
+    home, least, _, _ = pivots.homes(x, centres, beacons, metric)
+    assert (home == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all()
+    count = lambda rows: np.bincount(home[rows], minlength=len(centres))
+    near, far = np.full(len(centres), np.inf), np.zeros(len(centres))
+    np.minimum.at(near, home, least)
+    np.maximum.at(far, home, least)
+    fold = np.arange(len(x)) % 3
+    cells = pivots.Cells(centres, metric, count(slice(None)), near, far, {g: count(fold == g) for g in range(3)} if grouped else {})
+    limit = np.random.default_rng(3).uniform(0, 20, len(x))
+    limit[::50] = np.inf
+    for bound in (None, limit):
+        group = fold if grouped else None
+        want = np.nonzero(cells.reached(x, group, 4, bound))
+        got = cells.routes(x, group, 4, bound)
+        assert sorted(zip(*got, strict=True)) == list(zip(*want, strict=True))
